@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import language_id, mixing, packing, secret_scan, sharding
+from tessella.llm import language_id, mixing, near_dedup, packing, secret_scan, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op2_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(_table(spark, sf_dir, "documents"))
 
 
+def op3_minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held = language_id.held_out("doc_id")
@@ -42,6 +46,6 @@ def op8_block_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_secret_ownership, op4_language_mixture, op6_concat_pack, op7_interleaved_shards, op8_block_mix)
+    f.__name__: f for f in (op2_secret_ownership, op3_minhash_classes, op4_language_mixture, op6_concat_pack, op7_interleaved_shards, op8_block_mix)
 }
 ORACLE: dict[str, str] = {}
