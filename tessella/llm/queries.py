@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import language_id, mixing, near_dedup, packing, secret_scan, sharding
+from tessella.llm import language_id, mixing, near_dedup, packing, range_join, secret_scan, sharding, vp_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +45,15 @@ def op8_block_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op9_vantage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vp_search.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op10_range_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return range_join.classes(_table(spark, sf_dir, "embeddings"), 0.9)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_secret_ownership, op3_minhash_classes, op4_language_mixture, op6_concat_pack, op7_interleaved_shards, op8_block_mix)
+    f.__name__: f for f in (op2_secret_ownership, op3_minhash_classes, op4_language_mixture, op6_concat_pack, op7_interleaved_shards, op8_block_mix, op9_vantage_search, op10_range_classes)
 }
 ORACLE: dict[str, str] = {}
