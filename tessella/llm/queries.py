@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import language_id, mixing, near_dedup, packing, range_join, secret_scan, sharding, vp_search
+from tessella.llm import language_id, license_scan, mixing, near_dedup, packing, range_join, secret_scan, sharding, url_filter, vp_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op2_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(_table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,10 @@ def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, docs.where(~held), keep={"doc_id": F.col("doc_id"), "held_out": held})
 
 
+def op5_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"))
+
+
 def op6_concat_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -54,6 +62,6 @@ def op10_range_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_secret_ownership, op3_minhash_classes, op4_language_mixture, op6_concat_pack, op7_interleaved_shards, op8_block_mix, op9_vantage_search, op10_range_classes)
+    f.__name__: f for f in (op1_license_digests, op2_secret_ownership, op3_minhash_classes, op4_language_mixture, op5_path_templates, op6_concat_pack, op7_interleaved_shards, op8_block_mix, op9_vantage_search, op10_range_classes)
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op1_license_digests": license_scan.oracle_sql()}
