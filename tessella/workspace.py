@@ -47,6 +47,7 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        self._tables: list[DataFrame] = []
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return the table read back, with the same schema."""
@@ -55,6 +56,7 @@ class Workspace:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tessella_path = path
+        self._tables.append(out)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
@@ -64,3 +66,11 @@ class Workspace:
         for table in tables:
             path = jvm.org.apache.hadoop.fs.Path(table._tessella_path)
             path.getFileSystem(conf).delete(path, True)
+            self._tables = [t for t in self._tables if t is not table]
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """``df`` as the one table that stays of this workspace."""
+        before = list(self._tables)
+        out = self.save(df, "result")
+        self.drop(*before)
+        return out
