@@ -306,7 +306,7 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     alone = F.col("n_shingles") == 0
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("head_doc"))
     stays = alone | (F.col("doc_id").eqNullSafe(F.col("head_doc")) & (F.col("md5") == F.col("head_md5")))
-    return out.select("doc_id", "md5", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), stays.alias("stays"))
+    return work.result(out.select("doc_id", "md5", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), stays.alias("stays")))
 
 
 def near_duplicates(df: DataFrame, **options) -> DataFrame:

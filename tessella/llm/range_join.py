@@ -196,4 +196,4 @@ def classes(df: DataFrame, cosine: float = 0.9, vec_id: str = "vec_id", embeddin
     joined = rows.where("ok").join(told, F.col("x") == F.col("_x")).select("vec_id", F.col("_links").alias("n_links"), F.col("component").alias("component_id"))
     alone = rows.where(~F.col("ok")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     both = joined.unionByName(alone)
-    return both.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    return work.result(both.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))))

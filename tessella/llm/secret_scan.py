@@ -150,26 +150,56 @@ def secret_scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", repo:
     return found.join(judged, "row", "left").select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", F.coalesce("n_live", none).alias("n_live"), F.coalesce("n_example", none).alias("n_example"))
 
 
-def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        at = batch.schema.get_field_index("text")
+        at, spans_at = batch.schema.get_field_index("_text"), batch.schema.get_field_index("_spans")
         out = []
-        for cell in batch.column(at):
-            raw = cell.as_py()
-            spans = find_spans(raw.encode("utf-8", "replace")) if raw else []
+        for cell, spans in zip(batch.column(at), batch.column(spans_at).to_pylist(), strict=True):
+            text = cell.as_py()
             if spans:
                 parts, done = [], 0
-                for start, kind, end, _ in spans:
-                    if start >= done:
-                        parts += [raw[done:start], f"<{KINDS[kind]}-removed>"]
-                    done = max(done, end)
-                raw = "".join(parts) + raw[done:]
-            out.append(raw)
-        columns = list(batch.columns)
-        columns[at] = pa.array(out, batch.schema.field(at).type)
-        yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-
-
-def redact(df: DataFrame) -> DataFrame:
-    """``df`` with every span of its column ``text`` replaced by a marker; overlapping spans become one."""
-    return df.mapInArrow(_redact, df.schema)
+                for span in sorted(spans, key=lambda s: (s["start"], -s["end"])):
+                    if span["start"] >= done:
+                        parts += [text[done : span["start"]], f"<{span['kind']}:{'example' if span['example'] else 'removed'}>"]
+                    done = max(done, span["end"])
+                text = "".join(parts) + text[done:]
+            out.append(text)
+        columns, names = list(batch.columns), list(batch.schema.names)
+        columns[at], names[at] = pa.array(out, batch.schema.field(at).type), "_text"
+        yield pa.RecordBatch.from_arrays([c for i, c in enumerate(columns) if i != spans_at], names=[n for n in names if n != "_spans"])
+
+
+def _only(spans: bool):
+    """Rows whose column ``_text`` has spans, or those that have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raws = batch.column(batch.schema.get_field_index("_text")).cast(pa.binary())
+            yield batch.filter(pa.array([bool(find_spans(raw.as_py() or b"")) == spans for raw in raws], pa.bool_()))
+
+    return run
+
+
+def redacted(df: DataFrame, text: str = "text", repo: str = "doc_id", owner: str = "source", example_owners: int = 3) -> DataFrame:
+    """``df`` with a marker in place of every span; the marker tells the kind and whether the value is a known example.
+
+    Spans that overlap become one. Rows without spans are unchanged, and are
+    passed on without being stored.
+    """
+    work = Workspace(df.sparkSession, "redaction")
+    columns = {f"_c{i}": F.col(f"`{c}`") for i, c in enumerate(df.columns)}
+    named = df.select(*[c.alias(name) for name, c in columns.items()], F.col(text).alias("_text"), F.col(repo).alias("_repo"), F.col(owner).alias("_owner"))
+    clean = named.mapInArrow(_only(False), named.schema)
+    dirty = named.mapInArrow(_only(True), named.schema)
+    found = work.save(scan(dirty, "_text", {c: F.col(c) for c in columns} | {"repo": F.col("_repo"), "owner": F.col("_owner"), "_body": F.col("_text")}).withColumn("row", F.monotonically_increasing_id()), "scanned")
+    candidates = found.select("row", "repo", "owner", F.explode("found").alias("c"))
+    known = ownership(candidates.select("c.hash", "repo", "owner"), "repo", "owner")
+    judged = candidates.withColumn("hash", F.col("c.hash")).join(known, "hash")
+    span = F.struct(F.col("c.kind").alias("kind"), F.col("c.start").alias("start"), F.col("c.end").alias("end"), (F.col("n_owners") >= example_owners).alias("example"))
+    spans = judged.groupBy("row").agg(F.collect_list(span).alias("_spans"))
+    kept = [*columns, F.col("_body").alias("_text"), "_spans"]
+    ready = found.join(spans, "row").select(*kept)
+    cut = ready.mapInArrow(_cut_out, ready.drop("_spans").schema)
+    at = df.columns.index(text)
+    both = clean.select(*columns, "_text").unionByName(cut)
+    return both.select(*[F.col("_text" if i == at else f"_c{i}").alias(c) for i, c in enumerate(df.columns)])
