@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS = 16
@@ -57,17 +57,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sample_labelled(df: DataFrame, lang: str, key: Column, per_lang: int) -> DataFrame:
-    """At most about ``per_lang`` rows of each language: those with the smallest hashes of ``key``."""
-    hashed = df.where(F.col(lang).isNotNull()).withColumn("_h", F.xxhash64(F.lit(5), key))
-    ranked = hashed.select(lang, "_h").withColumn("_r", F.row_number().over(Window.partitionBy(lang).orderBy("_h")))
-    bounds = ranked.where(F.col("_r") <= per_lang).groupBy(F.col(lang).alias("_lang")).agg(F.max("_h").alias("_most"))
-    return hashed.join(bounds, (F.col(lang) == F.col("_lang")) & (F.col("_h") <= F.col("_most")), "left_semi")
+    """About ``per_lang`` rows of each language, all if it has fewer: those with the smallest hashes of ``key``."""
+    labelled = df.where(F.col(lang).isNotNull())
+    sizes = labelled.groupBy(lang).count().collect()  # a row for each language
+    if not sizes:
+        return labelled
+    rates = F.create_map(*[F.lit(v) for row in sizes for v in (row[lang], min(1.0, per_lang / row["count"]))])
+    share = F.pmod(F.xxhash64(F.lit(5), key), F.lit(1 << 32)) / (1 << 32)
+    return labelled.where(share < F.element_at(rates, F.col(lang)))
 
 
 def fit(df: DataFrame, text: str, lang: str, key: Column, per_lang: int = 2000, smoothing: float = 0.01) -> tuple[list[str], np.ndarray]:
     """Languages, in order, and P(trigram | language) as an array of 2**16 rows.
 
-    Learned from at most ``per_lang`` documents of each language, whole texts.
+    Learned from about ``per_lang`` documents of each language, whole texts.
     The size of the model does not depend on that of the corpus.
     """
     sample = sample_labelled(df.where(F.col(text).isNotNull()), lang, key, per_lang)
