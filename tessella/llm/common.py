@@ -14,7 +14,7 @@ def group_key(column: str) -> Column:
     return F.when(F.col(column).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col(column)))
 
 
-def bucket_bits(rows: int, per_bucket: int = 20_000) -> int:
+def bucket_bits(rows: int, per_bucket: int = 4_000) -> int:
     """Bits such that uniform hashes leave about ``per_bucket`` rows in a bucket."""
     return max(0, (max(1, rows) - 1) // per_bucket).bit_length()
 
