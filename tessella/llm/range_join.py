@@ -90,22 +90,30 @@ class Block:
     """The home vectors of one block, their link counts and what they are known to be connected with."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, least: float):
-        self.ids, self.x, self.u, self.least = ids, x, units(x), least
+        self.ids, self.x, self.least = ids, x, least
+        self.square, self.screen = (x**2).sum(axis=1), units(x).astype(np.float32)
         self.links, self.label = np.zeros(len(ids), dtype=np.int64), ids.copy()
 
     def meet(self, ids: np.ndarray, x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts links with other vectors; returns links that connect all that these links connect."""
-        cosine = self.u @ units(x).T
-        close = cosine >= self.least
-        for i, j in zip(*np.nonzero(np.abs(cosine - self.least) < 1e-9), strict=True):
-            a, b = self.x[i], x[j]
-            close[i, j] = (a * b).sum() / np.sqrt((a * a).sum() * (b * b).sum()) >= self.least
-        close &= self.ids[:, None] != ids[None, :]
-        self.links += close @ w
-        rows, columns = np.nonzero(close.any(axis=1))[0], np.nonzero(close.any(axis=0))[0]
+        """Counts links with other vectors; returns links that connect all that these links connect.
+
+        Single precision, well within its error, tells which vectors may have a
+        link at all; these are compared in double precision.
+        """
+        near = self.screen @ units(x).astype(np.float32).T >= np.float32(self.least - 1e-4)
+        near &= self.ids[:, None] != ids[None, :]
+        rows, columns = np.nonzero(near.any(axis=1))[0], np.nonzero(near.any(axis=0))[0]
         if not len(rows):
             return ids[:0], ids[:0]
-        part, big = close[np.ix_(rows, columns)], np.iinfo(np.int64).max
+        square = (x[columns] ** 2).sum(axis=1)
+        part = self.x[rows] @ x[columns].T / np.sqrt(self.square[rows][:, None] * square[None, :]) >= self.least
+        part &= self.ids[rows][:, None] != ids[columns][None, :]
+        self.links[rows] += part @ w[columns]
+        kept, held = part.any(axis=1), part.any(axis=0)
+        if not kept.any():
+            return ids[:0], ids[:0]
+        rows, columns, part = rows[kept], columns[held], part[np.ix_(kept, held)]
+        big = np.iinfo(np.int64).max
         left, right = self.label[rows], ids[columns]
         while True:
             new = np.minimum(right, np.where(part, left[:, None], big).min(axis=0))
