@@ -40,8 +40,8 @@ from tessella.workspace import Workspace
 
 BINS = 256
 BANDS, ROWS = 32, 4
-#: Rows of a unit of pairwise work: sets held at once on each side, and sketches compared at once.
-SETS, SKETCHES = 256, 1024
+#: Spokes of a hub, and members of a bucket, that one group of rows holds.
+SETS, SKETCHES = 256, 512
 _U = np.uint64
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -157,59 +157,64 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _verify(width: int, percent: int):
-    """Rows come sorted by group, the sets of a group before its pairs."""
+    """Rows come sorted by hub and part, the hub's own row first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, unpack, group = Words(), zstandard.ZstdDecompressor(), None
-        sets: dict[int, np.ndarray] = {}
-        union = _Union()
+        words, unpack = Words(), zstandard.ZstdDecompressor()
+        group, center = None, None
         for batch in batches:
             rows, out = batch.to_pydict(), ([], [])
-            for fam, cy, cx, y, x, ky, kx, packed in zip(*(rows[c] for c in ("fam", "cy", "cx", "y", "x", "ky", "kx", "packed")), strict=True):
-                if (fam, cy, cx) != group:
-                    group = (fam, cy, cx)
-                    sets.clear()
-                    union.clear()
-                if packed is not None:
-                    if y not in sets:
-                        sets[y] = shingles(unpack.decompress(packed), words, width)
-                elif union.root(ky) != union.root(kx) and linked(sets[y], sets[x], percent):
-                    union[union.root(ky)] = union.root(kx)
-                    out[0].append(y)
-                    out[1].append(x)
+            for hub, part, id_, packed in zip(*(rows[c] for c in ("hub", "part", "id", "packed")), strict=True):
+                items = shingles(unpack.decompress(packed), words, width)
+                if (hub, part) != group:
+                    group, center = (hub, part), items
+                elif linked(center, items, percent):
+                    out[0].append(hub)
+                    out[1].append(id_)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _apart(least_equal: int, percent: int):
-    """Pairs of one bucket (or of two blocks of it) that lie in different components and may be similar.
+def _apart(width: int, least_equal: int, percent: int):
+    """Links between members of one bucket (or of two blocks of it) that lie in different components.
 
-    A pair is given only in the first band that its two members share.
+    Only pairs whose sketches allow a link are compared, each in the first band
+    that its two members share; a pair is passed over once its components are
+    known to be one. Pairs never leave the task, links do.
     """
 
-    def pairs(rows: dict) -> Iterator[tuple]:
-        n = len(rows["id"])
+    def links(rows: dict, words: Words, unpack: zstandard.ZstdDecompressor) -> Iterator[tuple[int, int]]:
+        n, union, sets = len(rows["id"]), _Union(), {}
         marks = np.frombuffer(b"".join(rows["marks"]), dtype=np.uint8).reshape(n, BINS)
         bands = np.asarray(rows["bands"], dtype=np.int64).reshape(n, BANDS)
         ids, comps, sizes, blocks = (np.asarray(rows[c], dtype=np.int64) for c in ("id", "comp", "n_shingles", "block"))
         own = int(np.nonzero(bands[0] == rows["key"][0])[0][0])
         left, right = np.nonzero(blocks == rows["i"][0])[0], np.nonzero(blocks == rows["j"][0])[0]
+
+        def items(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingles(unpack.decompress(rows["packed"][i]), words, width)
+            return sets[i]
+
         for p in left:
             q = right[(ids[right] > ids[p]) if rows["i"][0] == rows["j"][0] else slice(None)]
             q = q[(comps[q] != comps[p]) & (100 * np.minimum(sizes[q], sizes[p]) >= percent * np.maximum(sizes[q], sizes[p]))]
             q = q[(marks[q] == marks[p]).sum(axis=1) >= least_equal]
             q = q[~(bands[q, :own] == bands[p, :own]).any(axis=1)]
             for s in q:
-                yield ids[p], ids[s], comps[p], comps[s]
+                one, two = union.root(int(comps[p])), union.root(int(comps[s]))
+                if one != two and linked(items(p), items(s), percent):
+                    union[one] = two
+                    yield ids[p], ids[s]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, group, held = ("key", "i", "j", "block", "id", "comp", "n_shingles", "bands", "marks"), None, None
+        names, group, held = ("key", "i", "j", "block", "id", "comp", "n_shingles", "bands", "marks", "packed"), None, None
+        words, unpack = Words(), zstandard.ZstdDecompressor()
 
-        def flush():
-            found = list(pairs(held)) if held and len(set(held["comp"])) > 1 else []
-            columns = zip(*found, strict=True) if found else [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, dtype=np.int64)) for c in columns], names=["x", "y", "kx", "ky"])
+        def flush() -> pa.RecordBatch:
+            found = np.array(list(links(held, words, unpack)) if len(set(held["comp"])) > 1 else [], dtype=np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
         for batch in batches:
             for row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names), strict=True):
@@ -225,25 +230,18 @@ def _apart(least_equal: int, percent: int):
     return run
 
 
-def _checked(work: Workspace, pairs: DataFrame, texts: DataFrame, width: int, percent: int, name: str) -> DataFrame:
-    """Links among ``pairs`` (fam, y, x, ky, kx): at least a spanning set of those between components ky and kx.
+def _spoke_links(work: Workspace, spokes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links among spokes (hub, id).
 
-    The pairs of a family are dealt to groups by blocks of its y and of its x, so
-    that a text is sent once to a group, not once for each of its pairs.
+    The spokes of a hub are dealt to groups of about SETS members, so that a
+    hub's text is sent once to a group, not once for each of its spokes.
     """
-    def blocks(side: str) -> DataFrame:
-        each = pairs.select("fam", side).distinct().groupBy("fam").agg(F.count("*").alias("n"))
-        return each.select(F.col("fam").alias(f"fam_{side}"), F.ceil(F.col("n") / SETS).alias(f"n{side}"))
-
-    dealt = pairs.join(blocks("y"), F.col("fam") == F.col("fam_y")).join(blocks("x"), F.col("fam") == F.col("fam_x"))
-    dealt = dealt.select("fam", *(F.pmod(F.xxhash64(s), F.col(f"n{s}")).alias(f"c{s}") for s in ("y", "x")), "y", "x", "ky", "kx")
-    dealt = work.save(dealt, f"{name}-pairs")
-    wanted = dealt.select("fam", "cy", "cx", "y").unionByName(dealt.select("fam", "cy", "cx", F.col("x").alias("y"))).distinct()
-    none = F.lit(None).cast("long")
-    sets = wanted.join(texts, F.col("y") == F.col("id")).select("fam", "cy", "cx", "y", none.alias("x"), none.alias("ky"), none.alias("kx"), "packed")
-    rows = sets.unionByName(dealt.withColumn("packed", F.lit(None).cast("binary")))
-    grouped = rows.repartition("fam", "cy", "cx").sortWithinPartitions("fam", "cy", "cx", F.col("packed").isNull())
-    return work.save(grouped.mapInArrow(_verify(width, percent), "a bigint, b bigint"), f"{name}-links")
+    degrees = spokes.groupBy("hub").agg(F.ceil(F.count("*") / SETS).alias("groups")).withColumnRenamed("hub", "_hub")
+    dealt = work.save(spokes.join(degrees, F.col("hub") == F.col("_hub")).select("hub", F.pmod(F.xxhash64("id"), F.col("groups")).alias("part"), "id"), "spokes")
+    wanted = dealt.unionByName(dealt.select("hub", "part", F.col("hub").alias("id")).distinct())
+    rows = wanted.join(texts, "id").select("hub", "part", "id", "packed")
+    grouped = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("id") != F.col("hub"))
+    return work.save(grouped.mapInArrow(_verify(width, percent), "a bigint, b bigint"), "spoke-links")
 
 
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75, width: int = 5) -> DataFrame:
@@ -265,14 +263,13 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     banded = sets.select("id", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("m")).where("m > 1")
     shared = work.save(banded.join(buckets, "key"), "buckets")
-    spokes = shared.where("id != first_id").select("first_id", "id").distinct()
-    spokes = work.save(spokes.select(F.col("first_id").alias("fam"), F.col("first_id").alias("y"), F.col("id").alias("x"), F.col("first_id").alias("ky"), F.col("id").alias("kx")), "spokes")
+    spokes = shared.where("id != first_id").select(F.col("first_id").alias("hub"), "id").distinct()
     busy = shared.select("id").distinct()
     sought = sets.join(busy, "id", "left_semi").select("id", F.col("place.doc_id").alias("_doc"), F.col("place.md5").alias("_md5"))
     packed = docs.where(F.length("text") > 0).select("doc_id", "md5", "text").mapInArrow(_compress, f"doc_id {kind}, md5 string, packed binary")
     texts = work.save(packed.join(sought, (F.col("md5") == F.col("_md5")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).select("id", "packed"), "texts")
 
-    links = _checked(work, spokes, texts, width, percent, "spokes")
+    links = _spoke_links(work, spokes, texts, width, percent)
     label = work.save(connected_components(work, links), "labels")
 
     def labelled(table: DataFrame, column: str, out: str) -> DataFrame:
@@ -281,21 +278,15 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
 
     placed = work.save(labelled(shared.select("key", "id", "m"), "id", "comp"), "placed")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    loose = placed.join(mixed, "key", "left_semi").join(sets.select("id", "n_shingles", "bands", "marks"), "id")
+    loose = placed.join(mixed, "key", "left_semi").join(sets.select("id", "n_shingles", "bands", "marks"), "id").join(texts, "id")
     blocks = F.ceil(F.col("m") / SKETCHES)
     block = loose.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    dealt = block.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp", "n_shingles", "bands", "marks")
+    dealt = block.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp", "n_shingles", "bands", "marks", "packed")
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     p = percent / 100
     # two coordinates that differ still agree in their low byte once in 256 times, which only lets more pairs through
     least_equal = int(BINS * (p - 4.5 * (p * (1 - p) / BINS) ** 0.5))
-    pairs = work.save(dealt.mapInArrow(_apart(least_equal, percent), "x bigint, y bigint, kx bigint, ky bigint"), "apart")
-    ends = pairs.select(F.col("kx").alias("k")).unionAll(pairs.select(F.col("ky").alias("k"))).groupBy("k").agg(F.count("*").alias("n"))
-    weighed = pairs.join(ends.select(F.col("k").alias("kx"), F.col("n").alias("nx")), "kx").join(ends.select(F.col("k").alias("ky"), F.col("n").alias("ny")), "ky")
-    turn = F.struct("nx", "kx") > F.struct("ny", "ky")
-    pick = lambda yes, no: F.when(turn, F.col(yes)).otherwise(F.col(no))
-    families = weighed.select(pick("kx", "ky").alias("fam"), pick("x", "y").alias("y"), pick("y", "x").alias("x"), pick("kx", "ky").alias("ky"), pick("ky", "kx").alias("kx"))
-    more = _checked(work, families, texts, width, percent, "apart")
+    more = work.save(dealt.mapInArrow(_apart(width, least_equal, percent), "a bigint, b bigint"), "apart-links")
     over = labelled(labelled(more, "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     upper = work.save(connected_components(work, over), "upper").select(F.col("node").alias("comp"), F.col("label").alias("top"))
 
