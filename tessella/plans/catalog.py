@@ -784,13 +784,13 @@ _WEIGHTS = {"src0": 100.0, "src1": 45.0, "src2": 55.0, "src3": 30.0}
 
 
 @query(
-    "WITH a AS (SELECT source, count(*) AS n FROM documents WHERE source IN ('src0','src1','src2','src3') GROUP BY 1), w AS (SELECT * FROM (VALUES ('src0',100.0),('src1',45.0),('src2',55.0),('src3',30.0)) v(source, w)), x AS (SELECT source, n, 33 * w / sum(w) OVER () AS raw, w FROM a JOIN w USING (source)), "
-    "q AS (SELECT *, floor(raw) AS base, row_number() OVER (ORDER BY raw - floor(raw) DESC, w DESC) AS turn, 33 - sum(floor(raw)) OVER () AS left_over FROM x) SELECT source, CAST(base + CASE WHEN turn <= left_over THEN 1 ELSE 0 END AS BIGINT) AS quota FROM q"
+    "WITH a AS (SELECT source, count(*) AS n FROM documents WHERE source IN ('src0','src1','src2','src3') GROUP BY 1), w AS (SELECT * FROM (VALUES ('src0',100.0),('src1',45.0),('src2',55.0),('src3',30.0)) v(source, w)), x AS (SELECT source, n, 15 * w / sum(w) OVER () AS raw, w FROM a JOIN w USING (source)), "
+    "q AS (SELECT *, floor(raw) AS base, row_number() OVER (ORDER BY raw - floor(raw) DESC, w DESC) AS turn, 15 - sum(floor(raw)) OVER () AS left_over FROM x) SELECT source, CAST(base + CASE WHEN turn <= left_over THEN 1 ELSE 0 END AS BIGINT) AS quota FROM q"
 )
 def quota_alloc(spark, sf_dir):
     """Largest-remainder quotas of four sources."""
     counts = table(spark, sf_dir, "documents").where(c("source").isin(list(_WEIGHTS))).groupBy("source").count().collect()
-    q = sampling.quotas({r["source"]: r["count"] for r in counts}, _WEIGHTS, 33)
+    q = sampling.quotas({r["source"]: r["count"] for r in counts}, _WEIGHTS, 15)
     return spark.createDataFrame(sorted(q.items()), "source string, quota bigint")
 
 

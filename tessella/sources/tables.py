@@ -216,6 +216,6 @@ def mip_progression(levels: DataFrame) -> DataFrame:
     wrong = None
     for c in ("width", "height", "block"):
         last = F.lag(c).over(before)
-        test = F.col(c) != F.greatest(F.lit(1), F.floor(last / 2))
+        test = last.isNotNull() & (F.col(c) != F.greatest(F.lit(1), F.floor(last / 2)))
         wrong = test if wrong is None else wrong | test
     return levels.withColumn("_wrong", wrong).where("_wrong").drop("_wrong")
