@@ -98,3 +98,9 @@ def gaussian_window(df: DataFrame, value: str, order: str, *keys: str, radius: i
     for k, v in zip(gaussian_taps(radius, sigma), near, strict=True):
         smooth = smooth + F.lit(k) * v
     return df.withColumn("smooth", smooth).where("smooth is not null")
+
+
+def sliding_max(df: DataFrame, value: str, order: str, width: int, *keys: str) -> DataFrame:
+    """Adds best: the largest of the ``width`` values before each row, null for the first."""
+    near = Window.partitionBy(*keys).orderBy(order).rowsBetween(-width, -1)
+    return df.withColumn("best", F.max(value).over(near))

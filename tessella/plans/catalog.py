@@ -811,3 +811,84 @@ def compare_states(spark, sf_dir):
     """Rows that only one of two results has."""
     o = table(spark, sf_dir, "orders").select(c("o_orderkey").alias("id"), c("o_orderstatus").alias("status"), "o_totalprice")
     return sampling.same_rows(o.where("status = 'F'").drop("o_totalprice"), o.where("o_totalprice > 100000").drop("o_totalprice"))
+
+
+# ---------------------------------------------------------------- further windows, keys and searches
+@query(f"WITH {BLK_SQL} SELECT vec_id, pos, max(s) OVER (PARTITION BY vec_id ORDER BY pos ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS best FROM blk")
+def sliding_max(spark, sf_dir):
+    """The largest of the four values before each one, as the skip coder's states need it."""
+    return prefix.sliding_max(samples(spark, sf_dir), "s", "pos", 4, "vec_id").select("vec_id", c("pos").cast("long").alias("pos"), "best")
+
+
+@query(f"WITH {_PAT}, b AS (SELECT block, range AS pos, p[range + 1] AS bit FROM pat, range(64)) SELECT block, pos, bit, CAST(coalesce(sum(bit) OVER (PARTITION BY block ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rank FROM b")
+def bitmap_rank(spark, sf_dir):
+    """Set bits before each place of a block's bitmap, by counting the bits of a masked word."""
+    word = F.aggregate(F.zip_with("p", F.sequence(F.lit(0), F.lit(63)), lambda v, i: F.call_function("shiftleft", v.cast("long"), i)), F.lit(0).cast("long"), lambda a, v: a.bitwiseOR(v))
+    each = _patterns(spark, sf_dir).select("block", "p", word.alias("word"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("pos"))
+    below = c("word").bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("long"), c("pos"))))
+    return each.select("block", c("pos").cast("long").alias("pos"), F.get("p", c("pos")).alias("bit"), F.bit_count(below).cast("long").alias("rank"))
+
+
+@query("SELECT vec_id AS idx, vec_id % 64 AS u, vec_id // 64 AS v FROM embeddings")
+def atlas_layout(spark, sf_dir):
+    """Row-major places of values in a texture of a given width."""
+    return table(spark, sf_dir, "embeddings").select(c("vec_id").alias("idx"), (c("vec_id") % 64).alias("u"), F.expr("vec_id div 64").alias("v"))
+
+
+@query(f"WITH {_GRID}, tg AS (SELECT unnest([2.0, 4.0, 6.0]) AS target), s AS (SELECT CAST(target AS DOUBLE) AS target, b, l, g, p, bits, payload_bits, (b * 7 + l * 31 + g * 3 + p * 11 + bits) % 101 AS err FROM rates, tg WHERE payload_bits / 1048576.0 <= target AND payload_bits / 1048576.0 > target - 0.25) SELECT target, b, l, g, p, bits, err, rank FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY err, payload_bits DESC, b, l, g, p, bits) AS rank FROM s) WHERE rank <= 12")
+def top_settings_per_target(spark, sf_dir):
+    """The twelve settings of least error for each target rate, the higher rate first on ties."""
+    from pyspark.sql import Window
+
+    s = settings_grid_rates(spark, sf_dir).where(c("target").isin(2.0, 4.0, 6.0)).withColumn("err", (c("b") * 7 + c("l") * 31 + c("g") * 3 + c("p") * 11 + c("bits")) % 101)
+    rank = F.row_number().over(Window.partitionBy("target").orderBy("err", F.desc("payload_bits"), "b", "l", "g", "p", "bits"))
+    return s.withColumn("rank", rank).where("rank <= 12").select("target", "b", "l", "g", "p", "bits", "err", "rank")
+
+
+@query("SELECT lang, source, count(*) AS n, count(DISTINCT n_chars) AS lengths FROM documents GROUP BY 1, 2")
+def counts_by_key(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"), F.count_distinct("n_chars").alias("lengths"))
+
+
+def duration(seconds):
+    """Seconds as 1h 02m, 2m 03s or 4.5s."""
+    whole = F.floor(seconds + 0.5)
+    return (
+        F.when(seconds >= 3600, F.format_string("%dh %02dm", F.floor(whole / 3600), F.floor(whole % 3600 / 60)))
+        .when(seconds >= 60, F.format_string("%dm %02ds", F.floor(whole / 60), whole % 60))
+        .otherwise(F.format_string("%.1fs", seconds))
+    )
+
+
+@query("WITH o AS (SELECT o_orderkey AS id, (o_orderkey * 37 % 90000) / 10.0 AS s FROM orders) SELECT id, CASE WHEN s >= 3600 THEN printf('%dh %02dm', CAST(floor(s + 0.5) AS BIGINT) // 3600, CAST(floor(s + 0.5) AS BIGINT) % 3600 // 60) WHEN s >= 60 THEN printf('%dm %02ds', CAST(floor(s + 0.5) AS BIGINT) // 60, CAST(floor(s + 0.5) AS BIGINT) % 60) ELSE printf('%.1fs', CAST(s AS DOUBLE)) END AS took FROM o")
+def durations(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(c("o_orderkey").alias("id"), (((c("o_orderkey") * 37) % 90000) / 10.0).alias("s"))
+    return o.select("id", duration(c("s")).alias("took"))
+
+
+@query(r"SELECT event_id, CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS BIGINT) AS k FROM events")
+def parsed_fields(spark, sf_dir):
+    """A field of JSON text, with an explicit schema."""
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query("WITH s AS (SELECT o_orderkey, o_custkey % 5 AS block_size, o_orderkey % 3 AS passes FROM orders) SELECT o_orderkey AS id, coalesce(nullif(block_size, 0), 8) AS block_size, coalesce(nullif(passes, 0), 4) AS passes FROM s")
+def settings_defaults(spark, sf_dir):
+    """Settings with what is not given filled in."""
+    o = table(spark, sf_dir, "orders").select(c("o_orderkey").alias("id"), F.nullif(c("o_custkey") % 5, F.lit(0)).alias("block_size"), F.nullif(c("o_orderkey") % 3, F.lit(0)).alias("passes"))
+    return o.fillna({"block_size": 8, "passes": 4})
+
+
+@query("SELECT o_orderkey AS id, (o_orderstatus IS NOT DISTINCT FROM 'F') AND (CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE o_custkey % 4 END IS NOT DISTINCT FROM NULL) AS reusable FROM orders")
+def reusable_records(spark, sf_dir):
+    """Whether a stored record can stand for a job: all its fields are as expected, null being equal to null."""
+    o = table(spark, sf_dir, "orders").select(c("o_orderkey").alias("id"), c("o_orderstatus").alias("status"), F.when(c("o_custkey") % 4 != 0, c("o_custkey") % 4).alias("setting"))
+    return o.select("id", sampling.reusable(o, {"status": F.lit("F"), "setting": F.lit(None)}).alias("reusable"))
+
+
+@query(f"WITH {RECORDS_SQL} SELECT profile_id, round(sum(squared_error) / CAST(sum(samples) AS DOUBLE), 9) AS mse FROM records GROUP BY 1")
+def verified_metrics(spark, sf_dir):
+    """Stored errors computed anew from their parts; the query fails where they differ."""
+    r = records(spark, sf_dir).groupBy("profile_id").agg(F.sum("squared_error").alias("e"), F.sum("samples").alias("n"))
+    stored = r.withColumn("mse", c("e") / c("n"))
+    return reports.verified(stored, "mse", c("e").cast("double") / c("n").cast("double")).select("profile_id", F.round("mse", 9).alias("mse"))

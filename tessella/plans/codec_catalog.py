@@ -241,3 +241,42 @@ def stream_windowed_rates(spark, sf_dir):
     rates = streams.windowed_rates(sized, "ts", "1 hour", "1 day", ["event_type"], "bytes", "pixels")
     out = streams.run_to_table(rates, "rates_" + work.root[-12:], f"{work.root}/state")
     return out.select(c("start").cast("timestamp_ntz").alias("start"), "event_type", "records", "bytes")
+
+
+@query(_IMG + " SELECT image_id, true AS smaller, CAST(0 AS BIGINT) AS differing FROM img")
+def packed_palette_gain(spark, sf_dir):
+    """Palettes of close colours are packed: the file is smaller than its plain size and gives the same image."""
+
+    def one(rgba):
+        e = _encoded(np.concatenate([rgba[..., :3] // 16 + 100, rgba[..., 3:]], axis=-1), palettes=2, shared=64, local=4)
+        data, i = palette_file.encode(e.image), e.image
+        plain = 14 + -(-(i.palettes * i.shared * 24 + i.blocks * 1 + i.blocks * 4 * 6 + i.width * i.height * 2) // 8)
+        return len(data) < plain and palette_file.read_header(data).packed, int((palette_file.decode(data).pixels() != e.pixels).sum())
+
+    return _per_image(images(spark, sf_dir), "image_id string, smaller boolean, differing bigint", one)
+
+
+@query()
+def find_settings(spark, sf_dir):
+    """Settings for each image by encoding: candidates within the target's window, least error, nearest rate, fewest bytes."""
+    grid = [(b, n, g, p) for b, n, g in ((8, 8, 64), (8, 4, 64), (16, 8, 64), (16, 4, 32), (32, 4, 32)) for p in (1, 4)]
+    settings = spark.createDataFrame(grid, "block int, local int, shared int, palettes int")
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                rgba = np.frombuffer(r["rgba"], dtype=np.uint8).reshape(r["height"], r["width"], 4)
+                e = _encoded(rgba, block=r["block"], local=r["local"], shared=r["shared"], palettes=r["palettes"])
+                data = palette_file.encode(e.image)
+                rows.append((r["image_id"], r["block"], r["local"], r["shared"], r["palettes"], len(data), (len(data) - 14) * 8 / (r["width"] * r["height"]), e.mse**0.5))
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["image_id", "block", "local", "shared", "palettes", "bytes", "bpp", "rmse"]).astype({c: np.int32 for c in ("block", "local", "shared", "palettes")}), preserve_index=False)
+
+    # one row for each image and candidate, so that encodings spread over tasks
+    jobs = images(spark, sf_dir).crossJoin(F.broadcast(settings)).repartition("image_id", "block", "local", "shared", "palettes")
+    tried = jobs.mapInArrow(run, "image_id string, block int, local int, shared int, palettes int, bytes bigint, bpp double, rmse double")
+    target = 4.0
+    inside = c("bpp").between(3.5, 4.5)
+    rank = F.struct((~inside).alias("out"), F.when(inside, c("rmse")).otherwise(F.abs(c("bpp") - target)).alias("a"), F.abs(c("bpp") - target).alias("b"), "bytes", "block", "local", "shared", "palettes")
+    best = tried.groupBy("image_id").agg(F.min_by(F.struct("block", "local", "shared", "palettes", "bytes", "bpp", "rmse"), rank).alias("s"))
+    return best.select("image_id", "s.block", "s.local", "s.shared", "s.palettes", "s.bytes", F.round("s.bpp", 6).alias("bpp"), F.round("s.rmse", 6).alias("rmse"))

@@ -40,10 +40,23 @@ def shared_root(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
 
 
+def steady_batches(spark: SparkSession, rows: int = 1024, size: int = 16 << 20) -> None:
+    """Lowers the session's limits for Arrow batches, where they are higher.
+
+    Texts and vectors have any length, and a batch is held several times over on
+    its way through Python, so the default of 10,000 rows does not bound memory.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key, "0")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 class Workspace:
     """Named scratch tables of one operator call."""
 
     def __init__(self, spark: SparkSession, name: str):
+        steady_batches(spark)
         self.spark = spark
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0

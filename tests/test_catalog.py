@@ -1,6 +1,7 @@
 """Every query with SQL gives the same rows in Spark and in DuckDB."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tessella.plans import catalog, codec_catalog  # noqa: F401
@@ -18,7 +19,7 @@ def duck():
 
 
 def cell(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return "null"
     return f"{v + 0.0:.9g}" if isinstance(v, float) else str(v)
 
