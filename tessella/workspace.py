@@ -47,8 +47,8 @@ def steady_batches(spark: SparkSession, rows: int = 1024, size: int = 16 << 20)
     its way through Python, so the default of 10,000 rows does not bound memory.
     """
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
-        now = spark.conf.get(key, "0")
-        if not now.isdigit() or not 0 < int(now) <= most:
+        now = spark.conf.get(key, str((1 << 31) - 2))  # as if unlimited where it is unset
+        if now.isdigit() and int(now) > most:
             spark.conf.set(key, str(most))
 
 
