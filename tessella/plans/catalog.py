@@ -173,7 +173,8 @@ def palette_usage_l1(spark, sf_dir):
 
 @query(f"WITH {PX_SQL}, {_PAL} SELECT r, g, b, row_number() OVER (PARTITION BY r, g, b ORDER BY {_D2}, idx) AS rank, idx, {_D2} AS distance FROM (SELECT DISTINCT r, g, b FROM px), pal QUALIFY row_number() OVER (PARTITION BY r, g, b ORDER BY {_D2}, idx) <= 4")
 def knn_palette(spark, sf_dir):
-    return matching.k_nearest(pixels(spark, sf_dir).select("r", "g", "b").distinct(), palette(spark), 4)
+    k = matching.k_nearest(pixels(spark, sf_dir).select("r", "g", "b").distinct(), palette(spark), 4)
+    return k.withColumn("rank", c("rank").cast("long"))
 
 
 @query("WITH " + _PAL + ", p2 AS (SELECT idx AS j, pr AS qr, pg AS qg, pb AS qb FROM pal) SELECT idx AS i, j, (pr-qr)*(pr-qr)+(pg-qg)*(pg-qg)+(pb-qb)*(pb-qb) AS distance FROM pal, p2")
@@ -300,7 +301,7 @@ def checkpoint_offsets(spark, sf_dir):
 def pattern_first_use_rank(spark, sf_dir):
     """Canonical slot numbers of a block: used slots by their first place."""
     f = samples(spark, sf_dir).groupBy("vec_id", F.expr("s div 32").alias("slot")).agg(F.count("*").alias("usage"), F.min("pos").cast("long").alias("first_use"))
-    return prefix.rank_within(f, "first_use", "vec_id")
+    return prefix.rank_within(f, "first_use", "vec_id").withColumn("ordinal", c("ordinal").cast("long"))
 
 
 def _patterns(spark, sf_dir):
@@ -323,7 +324,7 @@ def _dihedral_sql() -> str:
     for t in range(8):
         swap, mx, my = matching.DIHEDRAL[t]
         u, v = ("i // 8", "i % 8") if swap else ("i % 8", "i // 8")
-        places.append(f"SELECT {t} AS t, i, {f'7 - {v}' if my else v} AS sy, {f'7 - {u}' if mx else u} AS sx FROM range(64) r(i)")
+        places.append(f"SELECT CAST({t} AS BIGINT) AS t, i, {f'7 - {v}' if my else v} AS sy, {f'7 - {u}' if mx else u} AS sx FROM range(64) r(i)")
     return " UNION ALL ".join(places)
 
 
@@ -341,14 +342,14 @@ def dihedral_min(spark, sf_dir):
 _BASIS_VALUES = ", ".join(f"({x}, {u}, {v})" for x, row in enumerate(coding.integer_basis().tolist()) for u, v in enumerate(row))
 _BASIS = f"basis AS (SELECT * FROM (VALUES {_BASIS_VALUES}) b(bx, bu, k))"
 _FWD = (
-    f"{_BASIS}, h AS (SELECT vec_id, v AS y, bu AS u, {_rd('sum((s - 128) * k)', 16384)} AS h FROM blk JOIN basis ON bx = blk.u GROUP BY 1, 2, 3), "
-    f"fwd AS (SELECT vec_id, bu AS v, u, CAST({_rd('sum(h * k)', 65536)} AS BIGINT) AS f FROM h JOIN basis ON bx = y GROUP BY 1, 2, 3)"
+    f"{_BASIS}, h AS (SELECT vec_id, v AS y, CAST(bu AS BIGINT) AS u, {_rd('sum((s - 128) * k)', 16384)} AS h FROM blk JOIN basis ON bx = blk.u GROUP BY 1, 2, 3), "
+    f"fwd AS (SELECT vec_id, CAST(bu AS BIGINT) AS v, u, CAST({_rd('sum(h * k)', 65536)} AS BIGINT) AS f FROM h JOIN basis ON bx = y GROUP BY 1, 2, 3)"
 )
 
 
 def _spread(df: DataFrame, column: str, name: str) -> DataFrame:
     e = df.select("vec_id", F.posexplode(column).alias("p", name))
-    return e.select("vec_id", F.expr("p div 8").alias("v"), (c("p") % 8).alias("u"), name)
+    return e.select("vec_id", F.expr("p div 8").alias("v"), (c("p") % 8).cast("long").alias("u"), name)
 
 
 @query(f"WITH {BLK_SQL}, {_FWD} SELECT vec_id, v, u, f FROM fwd")
@@ -378,7 +379,7 @@ _INV = (
 )
 
 
-@query(f"WITH {BLK_SQL}, {_FWD}, {_table_sql('t', _T50)}, {_INV} SELECT vec_id, y AS v, x AS u, r FROM inv")
+@query(f"WITH {BLK_SQL}, {_FWD}, {_table_sql('t', _T50)}, {_INV} SELECT vec_id, CAST(y AS BIGINT) AS v, CAST(x AS BIGINT) AS u, r FROM inv")
 def dct_fixed_inverse(spark, sf_dir):
     f = transform.mapped(transform.block_samples(table(spark, sf_dir, "embeddings")), "s", "f", transform.forward_fixed)
     d = f.select("vec_id", transform.dequantised(transform.quantised(c("f"), _T50), _T50).alias("d"))
@@ -416,7 +417,7 @@ def dct_float_energy(spark, sf_dir):
 _FB = ", ".join(f"({x}, {u}, {v!r})" for u, row in enumerate(coding.float_basis(8).tolist()) for x, v in enumerate(row))
 
 
-@query(f"WITH {BLK_SQL}, fb AS (SELECT * FROM (VALUES {_FB}) b(bx, bu, k)), h AS (SELECT vec_id, v AS y, bu AS u, sum((s - 128) * k) AS h FROM blk JOIN fb ON bx = blk.u GROUP BY 1, 2, 3) SELECT vec_id, bu AS v, u, round(sum(h * k), 4) + 0.0 AS f FROM h JOIN fb ON bx = y GROUP BY 1, 2, 3")
+@query(f"WITH {BLK_SQL}, fb AS (SELECT * FROM (VALUES {_FB}) b(bx, bu, k)), h AS (SELECT vec_id, v AS y, CAST(bu AS BIGINT) AS u, sum((s - 128) * k) AS h FROM blk JOIN fb ON bx = blk.u GROUP BY 1, 2, 3) SELECT vec_id, CAST(bu AS BIGINT) AS v, u, round(sum(h * k), 4) + 0.0 AS f FROM h JOIN fb ON bx = y GROUP BY 1, 2, 3")
 def dct_float_forward(spark, sf_dir):
     f = transform.mapped(transform.block_samples(table(spark, sf_dir, "embeddings")), "s", "f", lambda x: transform.forward_float(x - 128.0), "double")
     return _spread(f, "f", "f").withColumn("f", F.round("f", 4) + 0.0)
@@ -469,7 +470,7 @@ _SWEEP = (
 
 @query(_candidates_sql() + _SWEEP + " SELECT * FROM sw")
 def rd_sweep(spark, sf_dir):
-    return transform.sweep(rd_candidates(spark, sf_dir), 96, "quality")
+    return transform.sweep(rd_candidates(spark, sf_dir), 96, "quality").withColumn("step", c("step").cast("long"))
 
 
 @query(_candidates_sql() + _SWEEP + " SELECT *, payload_bytes <= 12000 AS within_target FROM sw ORDER BY payload_bytes > 12000, CASE WHEN payload_bytes <= 12000 THEN sse ELSE payload_bytes END, CASE WHEN payload_bytes <= 12000 THEN payload_bytes ELSE sse END, quality, step LIMIT 1")
@@ -538,7 +539,7 @@ def settings_grid(spark: SparkSession) -> DataFrame:
 
 
 _GRID = (
-    "grid AS (SELECT * FROM (SELECT unnest([4,8,16,32,64]) AS b), (SELECT unnest([2,4,8,16]) AS l), (SELECT unnest([8,16,32,64,128,256]) AS g), (SELECT unnest([1,2,4,8,16,32,64,128]) AS p), (SELECT unnest([16,24]) AS bits) WHERE l <= g AND l <= b * b), "
+    "grid AS (SELECT * FROM (SELECT CAST(unnest([4,8,16,32,64]) AS BIGINT) AS b), (SELECT CAST(unnest([2,4,8,16]) AS BIGINT) AS l), (SELECT CAST(unnest([8,16,32,64,128,256]) AS BIGINT) AS g), (SELECT CAST(unnest([1,2,4,8,16,32,64,128]) AS BIGINT) AS p), (SELECT CAST(unnest([16,24]) AS BIGINT) AS bits) WHERE l <= g AND l <= b * b), "
     "rates AS (SELECT *, CAST(p * g * bits + (1024 // b) ** 2 * log2(p) + (1024 // b) ** 2 * l * log2(g) + CASE WHEN l = b * b THEN 0 ELSE 1048576 * log2(l) END AS BIGINT) AS payload_bits FROM grid)"
 )
 
@@ -803,7 +804,7 @@ def stratified_sample(spark, sf_dir):
 @query(f"WITH {BLK_SQL}, w AS (SELECT vec_id, pos, s, {', '.join(f'lag(s, {k}) OVER o AS a{k}, lead(s, {k}) OVER o AS b{k}' for k in range(1, 6))} FROM blk WHERE vec_id < 50 WINDOW o AS (PARTITION BY vec_id ORDER BY pos)) SELECT vec_id, pos, round({repr(prefix.gaussian_taps()[5])} * s + {' + '.join(f'{prefix.gaussian_taps()[5 + k]!r} * (a{k} + b{k})' for k in range(1, 6))}, 6) AS smooth FROM w WHERE a5 IS NOT NULL AND b5 IS NOT NULL")
 def gaussian_window(spark, sf_dir):
     b = samples(spark, sf_dir).where("vec_id < 50")
-    return prefix.gaussian_window(b, "s", "pos", "vec_id").select("vec_id", "pos", F.round("smooth", 6).alias("smooth"))
+    return prefix.gaussian_window(b, "s", "pos", "vec_id").select("vec_id", c("pos").cast("long").alias("pos"), F.round("smooth", 6).alias("smooth"))
 
 
 @query("SELECT o_orderkey AS id, o_orderstatus AS status, 'left' AS side FROM orders WHERE o_orderstatus = 'F' AND o_totalprice <= 100000 UNION ALL SELECT o_orderkey, o_orderstatus, 'right' FROM orders WHERE o_orderstatus <> 'F' AND o_totalprice > 100000")
@@ -842,7 +843,7 @@ def top_settings_per_target(spark, sf_dir):
 
     s = settings_grid_rates(spark, sf_dir).where(c("target").isin(2.0, 4.0, 6.0)).withColumn("err", (c("b") * 7 + c("l") * 31 + c("g") * 3 + c("p") * 11 + c("bits")) % 101)
     rank = F.row_number().over(Window.partitionBy("target").orderBy("err", F.desc("payload_bits"), "b", "l", "g", "p", "bits"))
-    return s.withColumn("rank", rank).where("rank <= 12").select("target", "b", "l", "g", "p", "bits", "err", "rank")
+    return s.withColumn("rank", rank).where("rank <= 12").select("target", "b", "l", "g", "p", "bits", "err", c("rank").cast("long").alias("rank"))
 
 
 @query("SELECT lang, source, count(*) AS n, count(DISTINCT n_chars) AS lengths FROM documents GROUP BY 1, 2")

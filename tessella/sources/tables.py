@@ -219,3 +219,47 @@ def mip_progression(levels: DataFrame) -> DataFrame:
         test = last.isNotNull() & (F.col(c) != F.greatest(F.lit(1), F.floor(last / 2)))
         wrong = test if wrong is None else wrong | test
     return levels.withColumn("_wrong", wrong).where("_wrong").drop("_wrong")
+
+
+def jpeg_blocks(images: DataFrame) -> DataFrame:
+    """image_id, component, by, bx and coefficients (dequantised, natural order) of JPEG files (image_id, content)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                image = jpeg.parse(data)
+                for k, part in enumerate(image.components):
+                    by, bx = np.divmod(np.arange(part.rows * part.columns), part.columns)
+                    values = image.dequantised(k).reshape(-1)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(by) + 1, dtype=np.int32) * 64), pa.array(values.astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(by), pa.string()), pa.array(np.full(len(by), k, dtype=np.int32)), pa.array(by.astype(np.int32)), pa.array(bx.astype(np.int32)), lists], names=["image_id", "component", "by", "bx", "coefficients"])
+
+    return images.select("image_id", "content").mapInArrow(run, "image_id string, component int, by int, bx int, coefficients array<int>")
+
+
+def palette_relations(images: DataFrame) -> dict[str, DataFrame]:
+    """The parts of palette files (image_id, content) as relations.
+
+    palette: image_id, pal, idx, r, g, b; selector: image_id, block, pal;
+    block_table: image_id, block, slot, idx; pixel_index: image_id, y, x, slot.
+    """
+
+    def part(which: str, schema: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    i = palette_file.decode(data)
+                    arrays = {"palette": i.palette[..., 0], "selector": i.selectors, "block_table": i.table, "pixel_index": i.slots()}
+                    values = np.asarray(arrays[which])
+                    places = np.unravel_index(np.arange(values.size), values.shape)
+                    columns = [*places, *(i.palette[..., k].ravel() for k in range(3))] if which == "palette" else [*places, values.ravel()]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * values.size, pa.string())] + [pa.array(v.astype(np.int32)) for v in columns], names=[f.split()[0] for f in schema.split(", ")])
+
+        return images.select("image_id", "content").mapInArrow(run, schema)
+
+    return {
+        "palette": part("palette", "image_id string, pal int, idx int, r int, g int, b int"),
+        "selector": part("selector", "image_id string, block int, pal int"),
+        "block_table": part("block_table", "image_id string, block int, slot int, idx int"),
+        "pixel_index": part("pixel_index", "image_id string, y int, x int, slot int"),
+    }

@@ -234,3 +234,13 @@ def test_workspace_keeps_its_result_only(spark):
     assert sorted(r[0] for r in out.collect()) == [0, 2, 4]
     with pytest.raises(Exception):
         spark.read.parquet(first._tessella_path).count()
+
+
+def test_palette_relations_join_back_to_pixels(spark, folder):
+    root, rgba, e = folder
+    rel = tables.palette_relations(tables.files(spark, str(root), "*.pal"))
+    across = e.image.across
+    px = rel["pixel_index"].withColumn("block", F.expr(f"y div {e.image.block} * {across} + x div {e.image.block}"))
+    whole = px.join(rel["selector"], ["image_id", "block"]).join(rel["block_table"], ["image_id", "block", "slot"]).join(rel["palette"], ["image_id", "pal", "idx"])
+    got = {(r["y"], r["x"]): (r["r"], r["g"], r["b"]) for r in whole.collect()}
+    assert len(got) == 480 and all(got[y, x] == tuple(map(int, e.pixels[y, x])) for y, x in got)
