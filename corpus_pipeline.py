@@ -19,7 +19,8 @@ LEAST_SHARE = 0.5
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a main language; a null lang is filled with the predicted one."""
     train = docs.where(~language_id.held_out("doc_id"))
-    judged = language_id.identify(docs, train, keep={c: F.col(c) for c in docs.columns})
+    rest = {c: F.col(c) for c in docs.columns if c != "text"}
+    judged = language_id.identify(docs, train, keep=rest, keep_text=True).withColumnRenamed("_text", "text")
     kept = judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 

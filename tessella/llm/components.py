@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tessella.workspace import Workspace
 
+#: Links in a file of a scratch table: few links are written to few files.
+ROWS = 50_000
+
 
 def connected_components(work: Workspace, links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, label for every node that has a link, label being the smallest node reachable.
@@ -28,10 +31,11 @@ def connected_components(work: Workspace, links: DataFrame, a: str = "a", b: str
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = work.save(large, "large")
+        parts = 1 + mark["n"] // ROWS
+        large = work.save(large.coalesce(parts), "large")
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(root, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = work.save(small.unionByName(root.select("u", F.col("m").alias("v"))).distinct(), "links")
+        after = work.save(small.unionByName(root.select("u", F.col("m").alias("v"))).distinct().coalesce(parts), "links")
         work.drop(large, now)
         now = after
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()

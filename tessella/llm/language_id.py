@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.workspace import steady_batches
+
 BITS = 16
 #: Multipliers of the trigram hash.
 _MIX = np.array([2654435761, 2246822519, 3266489917], dtype=np.uint64)
@@ -140,7 +142,7 @@ def infer(grams: list[np.ndarray], matrix: np.ndarray, penalty: float, rounds: i
     return chosen
 
 
-def _predict(langs: list[str], matrix: np.ndarray, penalty: float, rounds: int, chunk: int = 1 << 20):
+def _predict(langs: list[str], matrix: np.ndarray, penalty: float, rounds: int, keep_text: bool, chunk: int = 1 << 17):
     def judged(grams: dict[int, np.ndarray], out: list) -> None:
         if not grams:
             return
@@ -165,7 +167,7 @@ def _predict(langs: list[str], matrix: np.ndarray, penalty: float, rounds: int,
                     held = 0
             judged(waiting, out)
             pred, score, names, shares = zip(*out, strict=True) if out else ((), (), (), ())
-            kept = [i for i in range(batch.num_columns) if i != at]
+            kept = [i for i in range(batch.num_columns) if i != at or keep_text]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in kept] + [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(names, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))],
                 names=[batch.schema.names[i] for i in kept] + ["lang_pred", "score", "languages", "shares"],
@@ -174,19 +176,20 @@ def _predict(langs: list[str], matrix: np.ndarray, penalty: float, rounds: int,
     return run
 
 
-def identify(df: DataFrame, train: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 2000, penalty: float = 6.0, rounds: int = 12, keep: dict[str, Column] | None = None) -> DataFrame:
-    """The columns of ``keep`` with lang_pred, score, languages and shares, for every row of ``df``.
+def identify(df: DataFrame, train: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 2000, penalty: float = 6.0, rounds: int = 12, keep: dict[str, Column] | None = None, keep_text: bool = False) -> DataFrame:
+    """The columns of ``keep``, and the text as _text if ``keep_text``, with lang_pred, score, languages and shares, for every row of ``df``.
 
     ``train`` holds labelled rows. lang_pred is the language with the largest
     share, score that share; languages and shares are the chosen mixture.
     """
+    steady_batches(df.sparkSession)
     langs, matrix = fit(train, text, lang, F.coalesce(F.col(key).cast("string"), F.lit("")), per_lang)
     model = df.sparkSession.sparkContext.broadcast(matrix)  # 2**16 rows for each language, whatever the corpus
     kept = df.select(*[c.alias(name) for name, c in (keep or {key: F.col(key)}).items()], F.col(text).alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != "_text")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != "_text" or keep_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _predict(langs, model.value, penalty, rounds)(batches)
+        return _predict(langs, model.value, penalty, rounds, keep_text)(batches)
 
     return kept.mapInArrow(run, f"{fields}, lang_pred string, score double, languages array<string>, shares array<double>")
 
