@@ -187,7 +187,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, factor: float = 1.0, v
     facts = rows.agg(F.count("*").alias("n"), F.count_if("q").alias("q"), F.max(norm).alias("top")).first()
     shards, blocks = max(1, -(-facts["n"] // shard_rows)), max(1, -(-facts["q"] // block_rows))
     lift = (facts["top"] or 1.0) ** 0.5 * (1 + 1e-12)
-    groups = min(shards, 8)  # of shards: a block's queries go to so many tasks
+    groups = min(shards, max(8, -(-shards // 16)))  # of shards: a block's queries go to so many tasks, each with at most 16 shards beyond 128
     number = lambda count, salt: F.pmod(F.xxhash64(F.lit(seed + salt), "id"), F.lit(count)).cast("int")
     numbers = lambda count: F.sequence(F.lit(0), F.lit(count - 1))
     asked = rows.where("q").select(number(blocks, 1).alias("block"), F.explode(numbers(groups)).alias("part"), F.lit(-1).alias("shard"), "id", "x")
