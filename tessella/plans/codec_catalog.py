@@ -28,7 +28,7 @@ _IMG = f"WITH {PX_SQL}, img AS (SELECT CAST(y // {BAND} AS VARCHAR) AS image_id,
 def images(spark, sf_dir) -> DataFrame:
     """image_id, width, height, rgba."""
     p = pixels(spark, sf_dir).select((c("y") / BAND).cast("long").cast("string").alias("image_id"), (c("y") % BAND).alias("y"), "x", "r", "g", "b", "a")
-    return tables.packed(p)
+    return tables.spread(tables.packed(p), "image_id")
 
 
 def _per_image(df: DataFrame, schema: str, one) -> DataFrame:
@@ -157,7 +157,7 @@ def transform_file_presets(spark, sf_dir):
 
     presets = F.explode(F.array(*map(F.lit, ("0.75", "2", "3", "6", "9"))))
     each = images(spark, sf_dir).select("image_id", presets.alias("preset"), "width", "height", "rgba")
-    return each.mapInArrow(run, "image_id string, preset string, sampled_wrong bigint")
+    return tables.spread(each, "image_id", "preset").mapInArrow(run, "image_id string, preset string, sampled_wrong bigint")
 
 
 @query(_IMG + " SELECT image_id, pixels, true AS no_worse FROM img")
@@ -273,7 +273,7 @@ def find_settings(spark, sf_dir):
             yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["image_id", "block", "local", "shared", "palettes", "bytes", "bpp", "rmse"]).astype({c: np.int32 for c in ("block", "local", "shared", "palettes")}), preserve_index=False)
 
     # one row for each image and candidate, so that encodings spread over tasks
-    jobs = images(spark, sf_dir).crossJoin(F.broadcast(settings)).repartition("image_id", "block", "local", "shared", "palettes")
+    jobs = tables.spread(images(spark, sf_dir).crossJoin(F.broadcast(settings)), "image_id", "block", "local", "shared", "palettes")
     tried = jobs.mapInArrow(run, "image_id string, block int, local int, shared int, palettes int, bytes bigint, bpp double, rmse double")
     target = 4.0
     inside = c("bpp").between(3.5, 4.5)

@@ -188,6 +188,17 @@ def packed(px: DataFrame, image_id: str = "image_id") -> DataFrame:
     return whole.select("image_id", "width", "height", F.unhex(F.array_join(F.transform("lines", lambda x: x["h"]), "")).alias("rgba"))
 
 
+def spread(images: DataFrame, *keys: str) -> DataFrame:
+    """Images dealt to at least four tasks for each core.
+
+    Their rows are few and small next to the work on them, so that Spark would
+    otherwise put them together by size.
+    """
+    spark = images.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return images.repartition(tasks, *keys)
+
+
 def write_files(encoded: DataFrame, path: str, ending: str) -> None:
     """Writes each row (image_id, data) to its own file below ``path``, through the file system that Spark uses there."""
     hadoop = encoded.sparkSession.sparkContext._jvm.org.apache.hadoop.fs
