@@ -93,8 +93,12 @@ def bayer_threshold(x: Column, y: Column, size: int) -> Column:
 
 def systematic_sample(df: DataFrame, most: int, order: str, *keys: str) -> DataFrame:
     """Every k-th row in ``order``, k being the least that leaves at most ``most`` rows of each of ``keys``."""
-    ranked = df.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
-    return ranked.where(F.col("_k") % F.ceil(F.col("_n") / most) == 0).drop("_n", "_k")
+    from tessella.operators.prefix import prefix_offsets
+
+    ranked = prefix_offsets(df.withColumn("_one", F.lit(1)), "_one", order, *keys, out="_k")
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    sized = ranked.join(counts, list(keys)) if keys else ranked.crossJoin(F.broadcast(counts))
+    return sized.where(F.col("_k") % F.ceil(F.col("_n") / most) == 0).select(*df.columns)
 
 
 def squared_error(pairs: DataFrame, *keys: str) -> DataFrame:

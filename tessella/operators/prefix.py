@@ -6,8 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Consecutive rows that one task sums, where a running sum goes over a whole relation.
+SPAN = 1 << 16
+
+
 def prefix_offsets(df: DataFrame, size: str, order: str, *keys: str, out: str = "offset") -> DataFrame:
-    """Adds where each row's section begins: the sizes of the rows before it."""
+    """Adds where each row's section begins: the sizes of the rows before it.
+
+    Where ``order`` is a whole number, spans of it are summed first and only
+    their sums are ordered over the whole of ``keys``, so that no task sorts it.
+    """
+    if df.schema[order].dataType.typeName() in ("integer", "long", "short"):
+        split = checkpoint_offsets(df, size, order, SPAN, *keys)
+        return split.withColumn(out, F.col("checkpoint") + F.col("within")).select(*df.columns, out)
+    return _running(df, size, order, *keys, out=out)
+
+
+def _running(df: DataFrame, size: str, order: str, *keys: str, out: str) -> DataFrame:
     before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn(out, F.coalesce(F.sum(size).over(before), F.lit(0)))
 
@@ -20,7 +35,7 @@ def checkpoint_offsets(df: DataFrame, size: str, order: str, interval: int, *key
     """
     grouped = df.withColumn("_group", F.floor(F.col(order) / interval))
     sums = grouped.groupBy(*keys, "_group").agg(F.sum(size).alias("_sum"))
-    marks = prefix_offsets(sums, "_sum", "_group", *keys, out="checkpoint").drop("_sum")
+    marks = _running(sums, "_sum", "_group", *keys, out="checkpoint").drop("_sum")
     inside = Window.partitionBy(*keys, "_group").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     joined = grouped.join(marks, [*keys, "_group"])
     return joined.withColumn("within", F.coalesce(F.sum(size).over(inside), F.lit(0))).drop("_group")

@@ -19,12 +19,14 @@ def first_per_group(df: DataFrame, group: str, order: list[str | Column], count:
 def round_robin(df: DataFrame, stratum: str, order: list[str | Column], count: Column | int, *keys: str) -> DataFrame:
     """One row of each stratum in turn, strata by name, until ``count`` rows of each of ``keys`` are taken.
 
-    ``count`` may be a column, constant for each of ``keys``.
+    ``count`` may be a column, constant for each of ``keys``. No stratum gives
+    more than ``count`` rows, so only these are ordered across strata.
     """
+    most = count if isinstance(count, Column) else F.lit(count)
     turn = F.row_number().over(Window.partitionBy(*keys, stratum).orderBy(*order))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("_turn", stratum))
-    taken = df.withColumn("_turn", turn).withColumn("_place", place)
-    return taken.where(F.col("_place") <= (count if isinstance(count, Column) else F.lit(count))).drop("_turn", "_place")
+    taken = df.withColumn("_turn", turn).where(F.col("_turn") <= most).withColumn("_place", place)
+    return taken.where(F.col("_place") <= most).drop("_turn", "_place")
 
 
 def quotas(available: dict[str, int], weights: dict[str, float], count: int) -> dict[str, int]:
