@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.operators import block_texture, palette_encoder, reports
+from tessella.operators import block_texture, hybrid_encoder, palette_encoder, reports
 from tessella.operators.clustering import histogram, quantise
 from tessella.plans.catalog import query
 from tessella.plans.fixtures import PX_SQL, pixels, table
@@ -280,3 +280,21 @@ def find_settings(spark, sf_dir):
     rank = F.struct((~inside).alias("out"), F.when(inside, c("rmse")).otherwise(F.abs(c("bpp") - target)).alias("a"), F.abs(c("bpp") - target).alias("b"), "bytes", "block", "local", "shared", "palettes")
     best = tried.groupBy("image_id").agg(F.min_by(F.struct("block", "local", "shared", "palettes", "bytes", "bpp", "rmse"), rank).alias("s"))
     return best.select("image_id", "s.block", "s.local", "s.shared", "s.palettes", "s.bytes", F.round("s.bpp", 6).alias("bpp"), F.round("s.rmse", 6).alias("rmse"))
+
+
+@query(_IMG + " SELECT image_id, true AS within, true AS same_size, true AS same_error FROM img")
+def hybrid_encode(spark, sf_dir):
+    """Encoding to six bits per pixel: the file is as large and as wrong as the chosen state says."""
+    made = hybrid_encoder.encode_images(images(spark, sf_dir), 6.0)
+    both = images(spark, sf_dir).join(made, "image_id")
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                rgb = np.frombuffer(r["rgba"], dtype=np.uint8).reshape(r["height"], r["width"], 4)[..., :3]
+                px = hybrid_file.pixels(hybrid_file.decode(r["data"]))
+                rows.append({"image_id": r["image_id"], "within": r["payload_bytes"] <= r["width"] * r["height"] * 6 // 8, "same_size": r["payload_bytes"] == len(r["data"]) - hybrid_file.HEAD.size, "same_error": int(((rgb.astype(np.int64) - px) ** 2).sum()) == r["sse"]})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("image_id", pa.string()), ("within", pa.bool_()), ("same_size", pa.bool_()), ("same_error", pa.bool_())]))
+
+    return both.mapInArrow(run, "image_id string, within boolean, same_size boolean, same_error boolean")

@@ -244,3 +244,24 @@ def test_palette_relations_join_back_to_pixels(spark, folder):
     whole = px.join(rel["selector"], ["image_id", "block"]).join(rel["block_table"], ["image_id", "block", "slot"]).join(rel["palette"], ["image_id", "pal", "idx"])
     got = {(r["y"], r["x"]): (r["r"], r["g"], r["b"]) for r in whole.collect()}
     assert len(got) == 480 and all(got[y, x] == tuple(map(int, e.pixels[y, x])) for y, x in got)
+
+
+def test_hybrid_budget_and_modes():
+    from tessella.operators import hybrid_encoder
+    from tessella.sources import hybrid_file
+
+    rgba = np.concatenate([smooth(32, 32), np.kron(np.random.default_rng(3).integers(0, 2, (16, 16, 1)) * 255, np.ones((2, 2, 4))).astype(np.uint8)], axis=1)
+    rgba[..., 3] = 255
+    errors = {}
+    for mode in ("palette", "transform", "auto"):
+        image, state = hybrid_encoder.encode(rgba, 8.0, mode=mode)
+        data = hybrid_file.encode(image)
+        assert len(data) - hybrid_file.HEAD.size == state.payload_bytes <= 8 * 32 * 64 // 8
+        px = hybrid_file.pixels(hybrid_file.decode(data))
+        assert ((px.astype(int) - rgba[..., :3]) ** 2).sum() == state.sse
+        errors[mode] = state.sse
+    assert errors["auto"] <= min(errors["palette"], errors["transform"])
+    blocks = hybrid_file.quantise(hybrid_file.transformed(rgba[..., :3]), hybrid_file.quality_tables(50))
+    assert [[hybrid_file.block_bits(b) for b in u] for u in blocks] == hybrid_encoder.record_bits(blocks).tolist()
+    with pytest.raises(ValueError):
+        hybrid_encoder.encode(rgba, 0)
