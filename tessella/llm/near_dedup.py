@@ -77,8 +77,10 @@ def shingles(raw: bytes, words: Words, width: int = 5) -> np.ndarray:
     span = min(n, width)
     total = np.full(n - span + 1, span, dtype=np.uint64)
     for i in range(span):
-        total += _mix(h[i : n - span + 1 + i] + _PLACE[i % 5]) * _PLACE[i % 5]
-    return np.unique(_mix(total))
+        total += h[i : n - span + 1 + i] * (_PLACE[i % 5] + _U(2 * (i // 5)))  # odd factors, one for each place
+    found = _mix(total)
+    found.sort()
+    return found[np.concatenate([[True], found[1:] != found[:-1]])]
 
 
 def sketch(items: np.ndarray, bins: int = BINS) -> np.ndarray:
