@@ -19,10 +19,11 @@ LEAST_SHARE = 0.5
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a main language; a null lang is filled with the predicted one."""
     train = docs.where(~language_id.held_out("doc_id"))
-    rest = {c: F.col(c) for c in docs.columns if c != "text"}
-    judged = language_id.identify(docs, train, keep=rest, keep_text=True).withColumnRenamed("_text", "text")
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    judged = language_id.identify(docs, train, keep={"row": rest}, keep_text=True)
     kept = judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    fresh = {"text": F.col("_text"), "lang": F.coalesce("row.lang", "lang_pred")}
+    return kept.select(*[fresh.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,11 @@ def group_key(column: str) -> Column:
     return F.when(F.col(column).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col(column)))
 
 
+def as_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct, so that helper columns beside it clash with no name."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def bucket_bits(rows: int, per_bucket: int = 4_000) -> int:
     """Bits such that uniform hashes leave about ``per_bucket`` rows in a bucket."""
     return max(0, (max(1, rows) - 1) // per_bucket).bit_length()

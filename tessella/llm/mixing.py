@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WORD, bucket_bits, group_key, hash_bucket, permuted, running_sum
+from tessella.llm.common import WORD, as_row, bucket_bits, group_key, hash_bucket, permuted, running_sum
 from tessella.workspace import Workspace
 
 #: Slots are made by two nested ranges, so that no row expands to more than this.
@@ -65,14 +65,14 @@ class Mix:
     """The tables of one mix; see the module's text.
 
     sources: g, source, source_size, weight, target
-    documents: doc_id, source, size, g, first (words of the source before it), and the columns kept
+    documents: doc_id, source, size, text_md5, g and first (words of the source before it)
     slots: shard, slot, g, epoch, block, block_size, take (words used of the block)
     pieces: g, block, first, at (place in the block), start (word of the document), length
     """
 
-    def __init__(self, df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: list[str] | None = None, weights: tuple[float, ...] = (5, 2, 1), limit: float = 3.0, block: int = 512, shard_slots: int = 4096, seed: int = 23):
+    def __init__(self, df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5, 2, 1), limit: float = 3.0, block: int = 512, shard_slots: int = 4096, seed: int = 23):
         self.work = work = Workspace(df.sparkSession, "mixing")
-        slim = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_md5"), *(keep or []))
+        slim = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_md5"))
         hashed = slim.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text_md5")).withColumn("g", group_key("source"))
         rows = work.save(hashed, "sizes")
         sizes = rows.groupBy("g", "source").agg(F.sum("size").alias("source_size"))
@@ -140,19 +140,19 @@ class Mix:
         per_doc = pieces.select("g", "first", F.explode(runs).alias("r")).select("g", "first", "r.a", "r.z").groupBy("g", "first").agg(F.collect_list(F.struct("a", "z")).alias("runs"))
         again = ["doc_id", "text_md5", "g"]
         number = F.row_number().over(Window.partitionBy(*again).orderBy("first"))
-        chosen = self.documents.where("size > 0").withColumn("_nth", number).join(per_doc, ["g", "first"])
-        chosen = chosen.select(F.col("doc_id").alias("_doc"), F.col("text_md5").alias("_md5"), F.col("g").alias("_g"), "_nth", F.col("size").alias("_words"), F.col("runs").alias("_runs"))
-        here = df.where(word_count(text) > 0).withColumn("_md5", F.md5(F.col(text).cast("binary"))).withColumn("_g", group_key(source))
-        here = here.withColumn("_nth", F.row_number().over(Window.partitionBy(doc_id, "_md5", "_g").orderBy(F.lit(0))))
-        rows = here.join(chosen, ["_md5", "_g", "_nth"]).where(F.col(doc_id).eqNullSafe(F.col("_doc")))
-        cut = rows.withColumn("_run", F.explode("_runs"))
-        words = F.regexp_extract_all(F.col(text), F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), 1)
-        part = F.array_join(F.slice(words, (F.col("_run.a") + 1).cast("int"), (F.col("_run.z") - F.col("_run.a")).cast("int")), "")
-        new = F.when(F.col("_run.z") - F.col("_run.a") == F.col("_words"), F.col(text)).otherwise(part)
-        out = cut.withColumn(text, new)
+        chosen = self.documents.where("size > 0").withColumn("nth", number).join(per_doc, ["g", "first"])
+        chosen = chosen.select(F.col("doc_id").alias("own_id"), "text_md5", "g", "nth", F.col("size").alias("words"), "runs")
+        here = df.where(word_count(text) > 0).select(as_row(df).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.md5(F.col(text).cast("binary")).alias("text_md5"), group_key(source).alias("g"))
+        here = here.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "text_md5", "g").orderBy(F.lit(0))))
+        rows = here.join(chosen, ["text_md5", "g", "nth"]).where(F.col("doc_id").eqNullSafe(F.col("own_id")))
+        cut = rows.withColumn("run", F.explode("runs"))
+        found = F.regexp_extract_all(F.col("text"), F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), 1)
+        part = F.array_join(F.slice(found, (F.col("run.a") + 1).cast("int"), (F.col("run.z") - F.col("run.a")).cast("int")), "")
+        out = cut.withColumn("new", F.when(F.col("run.z") - F.col("run.a") == F.col("words"), F.col("text")).otherwise(part))
+        fresh = {text: F.col("new")}
         if "n_chars" in df.columns:
-            out = out.withColumn("n_chars", F.length(text).cast(df.schema["n_chars"].dataType))
-        return out.select(*df.columns)
+            fresh["n_chars"] = F.length("new").cast(df.schema["n_chars"].dataType)
+        return out.select(*[fresh.get(c, F.col(f"row.`{c}`")).alias(c) for c in df.columns])
 
 
 def mix_sources(df: DataFrame, **options) -> DataFrame:

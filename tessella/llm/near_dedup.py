@@ -32,9 +32,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.llm.common import as_row
 from tessella.llm.components import connected_components
 from tessella.workspace import Workspace
 
@@ -313,10 +314,9 @@ def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **op
     A row without words is never a duplicate. Of repeated rows, equal in id and
     text, one stays.
     """
-    from pyspark.sql import Window
-
-    stay = classes(df, doc_id, text, **options).where("stays").select(F.col("doc_id").alias("_doc"), F.col("md5").alias("_md5"), (F.col("n_shingles") == 0).alias("_alone")).distinct()
-    here = df.withColumn("_text_md5", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    numbered = here.withColumn("_nth", F.row_number().over(Window.partitionBy("_text_md5", doc_id).orderBy(F.lit(0))))
-    joined = numbered.join(stay, (F.col("_text_md5") == F.col("_md5")) & F.col(doc_id).eqNullSafe(F.col("_doc")))
-    return joined.where("_alone or _nth = 1").select(*df.columns)
+    stay = classes(df, doc_id, text, **options).where("stays").select("doc_id", "md5", (F.col("n_shingles") == 0).alias("alone")).distinct()
+    stay = stay.withColumnsRenamed({"doc_id": "own_id", "md5": "own_md5"})
+    rows = df.select(as_row(df).alias("row"), F.col(doc_id).alias("doc_id"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("md5"))
+    numbered = rows.withColumn("nth", F.row_number().over(Window.partitionBy("md5", "doc_id").orderBy(F.lit(0))))
+    joined = numbered.join(stay, (F.col("md5") == F.col("own_md5")) & F.col("doc_id").eqNullSafe(F.col("own_id")))
+    return joined.where("alone or nth = 1").select(*[F.col(f"row.`{c}`") for c in df.columns])

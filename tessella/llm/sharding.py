@@ -8,8 +8,8 @@ This line is cut into shards whose row counts differ by one at most.
 Nulls and odd cases: a null source is a source of its own, apart from the empty
 name; null ids and texts are hashed as such; repeated rows each get a place of
 their own; with fewer rows than shards some shards are empty; an empty table
-gives no row. Columns of the input whose names start with an underscore must not
-clash with the helper columns (_h, _g, _b, _n, _rank); others pass through.
+gives no row. Columns of any name pass through; a column named shard or slot is
+replaced by the new one.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import bucket_bits, group_key, hash_bucket, running_sum
+from tessella.llm.common import as_row, bucket_bits, group_key, hash_bucket, running_sum
 from tessella.workspace import Workspace
 
 
@@ -29,19 +29,20 @@ def assign_shards(df: DataFrame, source: str, key: list[str], shards: int = 16,
     counts and from windows within a bucket of the hash or of the rank.
     """
     work = Workspace(df.sparkSession, "sharding")
-    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), *key)).withColumn("_g", group_key(source))
-    rows = work.save(hashed, "hashed")
+    ties = F.struct(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(key)])
+    rows = work.save(df.select(as_row(df).alias("row"), F.xxhash64(F.lit(seed), *[F.col(f"`{k}`") for k in key]).alias("h"), group_key(source).alias("g"), ties.alias("k")), "hashed")
     total = rows.count()
     bits = bucket_bits(total)
     one = F.lit(1).cast("long")
-    ranked = running_sum(rows.withColumn("_b", hash_bucket("_h", bits)), "_g", "_b", ["_h", *key], one, "_rank")
-    counts = rows.groupBy("_g").agg(F.count("*").alias("_n"))
-    placed = ranked.drop("_b").join(counts, "_g").withColumn("_f", (F.col("_rank") + 0.5) / F.col("_n"))
-    lined = placed.withColumn("_all", F.lit(0)).withColumn("_b", F.floor(F.col("_f") * (1 << bits)))
-    at = running_sum(lined, "_all", "_b", ["_f", "_g"], one, "_at")
-    shard = F.expr(f"_at * {shards} div {max(1, total)}")
+    ranked = running_sum(rows.withColumn("b", hash_bucket("h", bits)), "g", "b", ["h", "k"], one, "rank")
+    counts = rows.groupBy("g").agg(F.count("*").alias("n"))
+    placed = ranked.drop("b").join(counts, "g").withColumn("f", (F.col("rank") + 0.5) / F.col("n"))
+    lined = placed.withColumn("all", F.lit(0)).withColumn("b", F.floor(F.col("f") * (1 << bits)))
+    at = running_sum(lined, "all", "b", ["f", "g"], one, "at")
+    shard = F.expr(f"at * {shards} div {max(1, total)}")
     first = F.expr(f"(shard * {total} + {shards - 1}) div {shards}")
-    return at.withColumn("shard", shard.cast("int")).withColumn("slot", (F.col("_at") - first).cast("long")).drop("_h", "_g", "_b", "_n", "_rank", "_f", "_all", "_at")
+    cut = at.withColumn("shard", shard.cast("int")).withColumn("slot", (F.col("at") - first).cast("long"))
+    return cut.select(*[F.col(f"row.`{c}`") for c in df.columns if c not in ("shard", "slot")], "shard", "slot")
 
 
 def write_shards(df: DataFrame, path: str) -> None:

@@ -41,6 +41,17 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
+def test_columns_of_any_name_pass_through(spark, docs):
+    names = ["row", "h", "g", "k", "b", "n", "rank", "f", "all", "at", "md5", "nth", "own_id", "alone", "text_md5", "new", "run", "runs", "words", "_c0", "_text", "_spans", "score", "languages", "shard"]
+    wide = docs.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(i).alias(c) for i, c in enumerate(names)])
+    shards = sharding.assign_shards(wide, "source", ["doc_id", "text"])
+    assert shards.columns == [c for c in wide.columns if c != "shard"] + ["shard", "slot"] and shards.count() == len(odd_rows())
+    for out in (near_dedup.deduplicated(wide), secret_scan.redacted(wide), mixing.Mix(wide).texts(wide)):
+        assert out.columns == wide.columns and {r["run"] for r in out.collect()} == {names.index("run")}
+    for out in (near_dedup.near_duplicates(wide), secret_scan.secret_scan(wide), mixing.mix_sources(wide), packing.pack(wide), license_scan.scan(wide)):
+        assert out.count() >= len(odd_rows())
+
+
 def word_list(text):
     return (text or "").encode().split()
 
