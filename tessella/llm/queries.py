@@ -64,4 +64,20 @@ def op10_range_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_license_digests, op2_secret_ownership, op3_minhash_classes, op4_language_mixture, op5_path_templates, op6_concat_pack, op7_interleaved_shards, op8_block_mix, op9_vantage_search, op10_range_classes)
 }
-ORACLE: dict[str, str] = {"op1_license_digests": license_scan.oracle_sql()}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_NEAR_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+linked AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS v, doc_id AS r FROM documents UNION SELECT reach.v, linked.b FROM reach JOIN linked ON linked.a = reach.r),
+comp AS (SELECT v AS doc_id, min(r) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN comp USING (doc_id)"""
+_RANGE_SQL = """
+WITH RECURSIVE ok AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND len(list_filter(embedding, lambda v: v <> 0)) > 0),
+linked AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id AS v, vec_id AS r FROM embeddings UNION SELECT reach.v, linked.b FROM reach JOIN linked ON linked.a = reach.r),
+comp AS (SELECT v AS vec_id, min(r) AS component_id FROM reach GROUP BY 1),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM linked GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN comp USING (vec_id) LEFT JOIN n USING (vec_id)"""
+ORACLE: dict[str, str] = {"op1_license_digests": license_scan.oracle_sql(), "op3_minhash_classes": _NEAR_SQL, "op10_range_classes": _RANGE_SQL}
