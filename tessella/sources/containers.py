@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import struct
+import zlib
 
 import numpy as np
 
@@ -62,3 +63,76 @@ def write_astc(payload: bytes, width: int, height: int, block: tuple[int, int])
         raise ValueError("wrong payload size")
     extent = b"".join(n.to_bytes(3, "little") for n in (width, height, 1))
     return struct.pack("<I", 0x5CA1AB13) + bytes([*block, 1]) + extent + payload
+
+
+def read_png(data: bytes) -> np.ndarray:
+    """(height, width, 3) bytes of a PNG without interlacing; 16-bit samples are scaled, and transparency is refused."""
+    if data[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("not a PNG")
+    at, head, table, packed = 8, None, None, []
+    while at + 8 <= len(data):
+        size, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+        body = data[at + 8 : at + 8 + size]
+        if len(body) < size or zlib.crc32(kind + body) != int.from_bytes(data[at + 8 + size : at + 12 + size], "big"):
+            raise ValueError("broken PNG")
+        if kind == b"IHDR":
+            head = struct.unpack(">IIBBBBB", body)
+        elif kind == b"PLTE":
+            table = np.frombuffer(body, dtype=np.uint8).reshape(-1, 3)
+        elif kind == b"tRNS":
+            raise ValueError("transparent pixels are not supported")
+        elif kind == b"IDAT":
+            packed.append(body)
+        at += 12 + size
+    if head is None or head[4] or head[5] or (head[3] == 3 and table is None):
+        raise ValueError("unsupported PNG")
+    width, height, depth, kind, *_, interlaced = head
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(kind)
+    if channels is None or interlaced or depth not in ((1, 2, 4, 8) if kind == 3 else (1, 2, 4, 8, 16) if kind == 0 else (8, 16)):
+        raise ValueError("unsupported PNG")
+    step, row = max(1, channels * depth // 8), -(-width * channels * depth // 8)
+    raw = np.frombuffer(zlib.decompress(b"".join(packed)), dtype=np.uint8)
+    if len(raw) != height * (row + 1):
+        raise ValueError("broken PNG")
+    raw = raw.reshape(height, row + 1)
+    out = np.zeros((height + 1, row + step), dtype=np.int64)
+    for y in range(height):
+        _unfilter(int(raw[y, 0]), raw[y, 1:].astype(np.int64), out[y + 1], out[y], step)
+    lines = out[1:, step:].astype(np.uint8)
+    if depth == 16:
+        values = scaled_16(lines.reshape(height, width * channels, 2).astype(np.int64) @ np.array([256, 1]))
+    elif depth == 8:
+        values = lines
+    else:
+        bits = np.unpackbits(lines, axis=1).reshape(height, -1, depth)[:, : width * channels]
+        values = (bits @ (1 << np.arange(depth - 1, -1, -1))).astype(np.uint8)
+        values = values if kind == 3 else (values.astype(np.int64) * 255 // ((1 << depth) - 1)).astype(np.uint8)
+    values = values.reshape(height, width, channels)
+    if kind == 3:
+        if values.max(initial=0) >= len(table):
+            raise ValueError("broken PNG")
+        return table[values[..., 0]]
+    if channels in (2, 4) and (values[..., -1] != 255).any():
+        raise ValueError("transparent pixels are not supported")
+    return np.repeat(values[..., :1], 3, axis=2) if channels < 3 else values[..., :3]
+
+
+def _unfilter(kind: int, x: np.ndarray, now: np.ndarray, above: np.ndarray, step: int) -> None:
+    """Undoes the filter of one line; ``now`` and ``above`` have ``step`` zeros before them."""
+    up = above[step:]
+    if kind in (0, 2):
+        now[step:] = (x + (up if kind == 2 else 0)) & 255
+    elif kind == 1:
+        for k in range(step):
+            now[step + k :: step] = np.cumsum(x[k::step]) & 255
+    elif kind in (3, 4):
+        for i in range(len(x)):
+            a, b, c = now[i], above[i + step], above[i]
+            if kind == 3:
+                guess = (a + b) // 2
+            else:
+                p = a + b - c
+                guess = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+            now[i + step] = (x[i] + guess) & 255
+    else:
+        raise ValueError("broken PNG")

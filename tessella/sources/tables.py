@@ -85,6 +85,8 @@ def decode(data: bytes) -> np.ndarray:
     """(height, width, 3) bytes of any file of this package, told by its first bytes."""
     if data[:2] == b"P6":
         return containers.read_ppm(data)
+    if data[:4] == b"\x89PNG":
+        return containers.read_png(data)
     if data[:2] == b"\xff\xd8":
         return jpeg.pixels(jpeg.parse(data))
     readers: dict[bytes, Callable] = {

@@ -414,3 +414,41 @@ def test_jpeg_coefficients(factors, progressive):
     for bad in (b"", data[:2], data[:60]):
         with pytest.raises((ValueError, IndexError)):
             jpeg.parse(bad)
+
+
+def png_bytes(samples, kind, depth, filters=(0, 1, 2, 3, 4), table=None):
+    """A PNG of whole-byte samples (h, w, channels), its lines filtered in turn."""
+    import zlib
+
+    h, w, channels = samples.shape
+    lines = samples.astype(">u2" if depth == 16 else np.uint8).tobytes()
+    row, step = len(lines) // h, channels * depth // 8
+    out, above = b"", bytes(row)
+    for y in range(h):
+        x, f = lines[y * row : (y + 1) * row], filters[y % len(filters)]
+        done = bytearray([f])
+        for i in range(row):
+            a, b, c = x[i - step] if i >= step else 0, above[i], above[i - step] if i >= step else 0
+            p = a + b - c
+            paeth = a if abs(p - a) <= abs(p - b) and abs(p - a) <= abs(p - c) else b if abs(p - b) <= abs(p - c) else c
+            done.append((x[i] - (0, a, b, (a + b) // 2, paeth)[f]) & 255)
+        out, above = out + bytes(done), x
+    chunk = lambda t, b: len(b).to_bytes(4, "big") + t + b + zlib.crc32(t + b).to_bytes(4, "big")
+    head = struct.pack(">IIBBBBB", w, h, depth, kind, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + (chunk(b"PLTE", table.tobytes()) if table is not None else b"") + chunk(b"IDAT", zlib.compress(out)) + chunk(b"IEND", b"")
+
+
+def test_png():
+    rgb = smooth(11, 13)
+    assert (containers.read_png(png_bytes(rgb, 2, 8)) == rgb).all()
+    assert (containers.read_png(png_bytes(np.dstack([rgb, np.full((11, 13), 255)]), 6, 8)) == rgb).all()
+    grey = rgb[..., :1]
+    assert (containers.read_png(png_bytes(grey, 0, 8)) == np.repeat(grey, 3, axis=2)).all()
+    wide = RNG.integers(0, 65536, (5, 7, 3))
+    assert (containers.read_png(png_bytes(wide, 2, 16)) == (wide + 128) // 257).all()
+    table = RNG.integers(0, 256, (9, 3)).astype(np.uint8)
+    slots = RNG.integers(0, 9, (6, 5, 1))
+    assert (containers.read_png(png_bytes(slots, 3, 8, table=table)) == table[slots[..., 0]]).all()
+    for bad in (png_bytes(np.dstack([rgb, np.full((11, 13), 9)]), 6, 8), png_bytes(rgb, 2, 8)[:-30], b"\x89PNG", png_bytes(slots, 3, 8, table=table[:2])):
+        with pytest.raises(ValueError):
+            containers.read_png(bad)
