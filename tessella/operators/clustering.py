@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from tessella.sources.palette_file import _from_lab, _to_lab
+from tessella.sources.palette_file import from_lab, to_lab
 
 METHODS = ("k-means", "k-medians", "k-medoids", "k-means-uniform")
 SPACES = ("oklab", "rgb")
@@ -19,7 +19,7 @@ SPACES = ("oklab", "rgb")
 def points_of(rgb: np.ndarray, space: str) -> np.ndarray:
     """Colours in the space where distances are taken; values beyond a byte are clipped for OKLab."""
     rgb = np.asarray(rgb, dtype=np.float64)
-    return _to_lab(np.clip(rgb, 0, 255)) if space == "oklab" else rgb
+    return to_lab(np.clip(rgb, 0, 255)) if space == "oklab" else rgb
 
 
 def distances(a: np.ndarray, b: np.ndarray, method: str = "k-means") -> np.ndarray:
@@ -148,7 +148,7 @@ def quantise(colors: np.ndarray, counts: np.ndarray, k: int, method: str = "k-me
     if method == "k-medoids":
         rgb = colors[np.maximum(0, medoids(points, counts, own, centers))].astype(np.float64)
     else:
-        rgb = _from_lab(centers) if space == "oklab" else centers
+        rgb = from_lab(centers) if space == "oklab" else centers
     rgb = np.clip(np.floor(rgb + 0.5), 0, 255).astype(np.uint8)
     order = np.lexsort((np.arange(k), -sizes))
     order = order[sizes[order] > 0]

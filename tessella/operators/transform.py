@@ -104,7 +104,7 @@ def level_candidates(vectors: DataFrame, levels: int = 4) -> DataFrame:
 
     def error(v: Column) -> Column:
         span = F.col("hi") - F.col("lo")
-        slot = F.when(span == 0, 0).otherwise(F.expr("0") + F.floor(((v - F.col("lo")) * top * 2 + span) / (span * 2)))
+        slot = F.when(span == 0, 0).otherwise(F.floor(((v - F.col("lo")) * top * 2 + span) / (span * 2)))
         back = F.col("lo") + F.floor((slot * span * 2 + top) / (top * 2))
         return ((v - back) * (v - back)).cast("long")
 

@@ -236,13 +236,13 @@ def _palette_bits(data: bytes, head: Header) -> int:
     return head.palettes * head.shared * (8 if head.scalar else head.color_bits)
 
 
-def _to_lab(rgb: np.ndarray) -> np.ndarray:
+def to_lab(rgb: np.ndarray) -> np.ndarray:
     x = rgb / 255.0
     linear = np.where(x <= SRGB_BREAK, x / 12.92, ((x + 0.055) / 1.055) ** 2.4)
     return np.cbrt(linear @ np.array(TO_LMS).T) @ np.array(TO_LAB).T
 
 
-def _from_lab(lab: np.ndarray) -> np.ndarray:
+def from_lab(lab: np.ndarray) -> np.ndarray:
     linear = np.clip((lab @ np.array(FROM_LAB).T) ** 3 @ np.array(FROM_LMS).T, 0, 1)
     return np.where(linear <= LINEAR_BREAK, linear * 12.92, 1.055 * linear ** (1 / 2.4) - 0.055) * 255
 
@@ -252,9 +252,9 @@ def vector_palette(ends: np.ndarray, shared: int, lab: bool) -> np.ndarray:
     ramps = []
     for k, pair in enumerate(ends.astype(np.float64)):
         n = shared // len(ends) + (1 if k < shared % len(ends) else 0)
-        a, b = _to_lab(pair) if lab else pair
+        a, b = to_lab(pair) if lab else pair
         steps = a + (b - a) * (np.arange(n) / max(1, n - 1))[:, None]
-        ramps.append(_from_lab(steps) if lab else steps)
+        ramps.append(from_lab(steps) if lab else steps)
     return np.clip(np.floor(np.concatenate(ramps) + 0.5), 0, 255).astype(np.uint8)
 
 
