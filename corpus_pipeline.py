@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from tessella.llm import language_id, mixing, near_dedup, packing, secret_scan
 from tessella.workspace import Workspace
 
-#: A document is rejected by the language stage below this share of its main language.
-LEAST_SHARE = 0.5
+#: A document without letters, or whose main language has a smaller share than this, is rejected as having no language of its own.
+LEAST_SHARE = 1 / 3
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
