@@ -56,10 +56,10 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class Words(dict):
-    """Word to 64-bit hash, remembered for up to 2**19 words at a time."""
+    """Word to 64-bit hash, remembered for up to 2**17 words at a time."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 19:
+        if len(self) >= 1 << 17:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
