@@ -305,7 +305,7 @@ def pattern_first_use_rank(spark, sf_dir):
 
 
 def _patterns(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").where("vec_id < 64").select(c("vec_id").alias("block"), F.transform("embedding", lambda v: F.when(v >= 0, 1).otherwise(0)).alias("p"))
+    return table(spark, sf_dir, "embeddings").select(c("vec_id").alias("block"), F.transform("embedding", lambda v: F.when(v >= 0, 1).otherwise(0)).alias("p"))
 
 
 _PAT = "pat AS (SELECT vec_id AS block, list_transform(embedding, lambda v: CASE WHEN v >= 0 THEN 1 ELSE 0 END) AS p FROM embeddings WHERE vec_id < 64)"
