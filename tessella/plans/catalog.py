@@ -803,8 +803,7 @@ def stratified_sample(spark, sf_dir):
 
 @query(f"WITH {BLK_SQL}, w AS (SELECT vec_id, pos, s, {', '.join(f'lag(s, {k}) OVER o AS a{k}, lead(s, {k}) OVER o AS b{k}' for k in range(1, 6))} FROM blk WHERE vec_id < 50 WINDOW o AS (PARTITION BY vec_id ORDER BY pos)) SELECT vec_id, pos, round({repr(prefix.gaussian_taps()[5])} * s + {' + '.join(f'{prefix.gaussian_taps()[5 + k]!r} * (a{k} + b{k})' for k in range(1, 6))}, 6) AS smooth FROM w WHERE a5 IS NOT NULL AND b5 IS NOT NULL")
 def gaussian_window(spark, sf_dir):
-    b = samples(spark, sf_dir).where("vec_id < 50")
-    return prefix.gaussian_window(b, "s", "pos", "vec_id").select("vec_id", c("pos").cast("long").alias("pos"), F.round("smooth", 6).alias("smooth"))
+    return prefix.gaussian_window(samples(spark, sf_dir), "s", "pos", "vec_id").select("vec_id", c("pos").cast("long").alias("pos"), F.round("smooth", 6).alias("smooth"))
 
 
 @query("SELECT o_orderkey AS id, o_orderstatus AS status, 'left' AS side FROM orders WHERE o_orderstatus = 'F' AND o_totalprice <= 100000 UNION ALL SELECT o_orderkey, o_orderstatus, 'right' FROM orders WHERE o_orderstatus <> 'F' AND o_totalprice > 100000")

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tessella.operators import matching
+from tessella.operators import matching, prefix
 from tessella.plans import catalog
 
 N = 150
@@ -42,3 +42,11 @@ def test_bitmap_rank_has_every_block(spark, vectors):
     below = bits.cumsum(axis=1) - bits
     want = {(b, p, int(bits[b, p]), int(below[b, p])) for b in range(N) for p in range(64)}
     assert {tuple(r) for r in catalog.bitmap_rank(spark, folder).collect()} == want
+
+
+def test_gaussian_window_has_every_vector(spark, vectors):
+    folder, x = vectors
+    s = np.floor((x.astype(np.float64) + 1) * 127.5)
+    want = {(b, p): float(s[b, p - 5 : p + 6] @ np.array(prefix.gaussian_taps())) for b in range(N) for p in range(5, 59)}
+    got = {(r["vec_id"], r["pos"]): r["smooth"] for r in catalog.gaussian_window(spark, folder).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
