@@ -150,7 +150,7 @@ def transform_file_presets(spark, sf_dir):
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                rgb = np.frombuffer(r["rgba"], dtype=np.uint8).reshape(r["height"], r["width"], 4)[:32, :32, :3]
+                rgb = np.frombuffer(r["rgba"], dtype=np.uint8).reshape(r["height"], r["width"], 4)[..., :3]
                 t = dct_file.Transformed(dct_file.encode(rgb, r["preset"]))
                 out.append(_mismatches(t.sample, t.pixels()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], names=["image_id", "preset", "sampled_wrong"])
@@ -165,10 +165,11 @@ def transform_file_library(spark, sf_dir):
     """A prototype library reads back, and its search over allocations is no worse than the fixed one."""
 
     def one(rgba):
-        rgb = rgba[:32, :48, :3]
+        rgb = rgba[..., :3]
         t = dct_file.Transformed(dct_file.encode(rgb, "2", library=4, library_kind=7))
         best, fixed = (dct_file.squared_error(rgb, d) for d in (dct_file.encode_best(rgb, "3"), dct_file.encode(rgb, "3")))
-        return rgba.shape[0] * rgba.shape[1], bool(best <= fixed and t.pixels().shape == rgb.shape)
+        px = t.pixels()
+        return px.shape[0] * px.shape[1], bool(best <= fixed and px.shape == rgb.shape and not _mismatches(t.sample, px))
 
     return _per_image(images(spark, sf_dir), "image_id string, pixels bigint, no_worse boolean", one)
 
