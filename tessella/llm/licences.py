@@ -1,4 +1,13 @@
-"""Known licences, as texts: the default digests of the licence scan."""
+"""Known licences, as texts: the default digests of the licence scan.
+
+Full texts beyond the short ones here are files of ``licence_texts``, named by
+licence. One-line notices are a fixed set of phrases around the names of a general
+list of licences.
+"""
+
+from __future__ import annotations
+
+from pathlib import Path
 
 # Licence texts and notices, and spellings that count as equal.
 MIT = """MIT License
@@ -29,7 +38,7 @@ APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License"
 
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.
 """
-KNOWN = (
+_FIRST = (
     ("MIT", MIT),
     ("MIT", "Released under the MIT License."),
     ("MIT", "This project is licensed under the MIT License."),
@@ -42,6 +51,63 @@ KNOWN = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is licensed under the GNU General Public License, version 3."),
 )
+#: Names of licences in one-line notices.
+NAMES = {
+    "MIT": ("MIT", "MIT License"),
+    "ISC": ("ISC", "ISC License"),
+    "BSD-2-Clause": ("BSD 2-Clause", "BSD 2-Clause License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause", "BSD 3-Clause License", "New BSD License", "Modified BSD License"),
+    "Apache-2.0": ("Apache 2.0", "Apache-2.0 License", "Apache License 2.0", "Apache License, Version 2.0"),
+    "MPL-1.1": ("MPL 1.1", "Mozilla Public License 1.1", "Mozilla Public License, version 1.1"),
+    "MPL-2.0": ("MPL 2.0", "Mozilla Public License 2.0", "Mozilla Public License, version 2.0", "Mozilla Public License, v. 2.0"),
+    "EPL-2.0": ("EPL 2.0", "Eclipse Public License 2.0", "Eclipse Public License, version 2.0"),
+    "BSL-1.0": ("BSL 1.0", "Boost Software License 1.0", "Boost Software License, Version 1.0"),
+    "Unlicense": ("Unlicense",),
+    "CC0-1.0": ("CC0", "CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero 1.0 Universal"),
+} | {
+    f"{short}-{v}": (f"{short} {v}", f"{short}v{v[0] if v.endswith('.0') else v}", f"{name} {v}", f"{name}, version {v}", f"{name} version {v}") + ((f"{name}, version {v[0]}", f"{name} version {v[0]}", f"{name} v{v[0]}") if v.endswith(".0") else ())
+    for short, name, versions in (
+        ("GPL", "GNU General Public License", ("1.0", "2.0", "3.0")), ("LGPL", "GNU Lesser General Public License", ("2.1", "3.0")),
+        ("AGPL", "GNU Affero General Public License", ("3.0",)), ("GFDL", "GNU Free Documentation License", ("1.2", "1.3")),
+    )
+    for v in versions
+} | {
+    f"CC-{short}-{v}": (f"CC {short} {v}", f"Creative Commons {short} {v}", f"Creative Commons {name} {v}", *(f"Creative Commons {name} {v} {where}{tail}" for where in {"4.0": ("International",), "3.0": ("Unported",)}.get(v, ("Generic",)) for tail in ("", " License")), f"Creative Commons {name} {v} License")
+    for short, name in (
+        ("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"),
+        ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+    )
+    for v in ("2.0", "2.5", "3.0", "4.0")
+}
+_SUBJECTS = ("", "This work is ", "This project is ", "This program is ", "This software is ")
+
+
+def _notices() -> list[tuple[str, str]]:
+    out = []
+    for licence, names in NAMES.items():
+        for name in names:
+            long = name.startswith("GNU") or "License" in name
+            articles = (("a ", "the ") if licence.startswith("CC") else ("the ",)) if long else ("", "the ")
+            out += [(licence, f"{who}{how} under {article}{name}.") for article in articles for who in _SUBJECTS for how in ("licensed", "released")]
+        out.append((licence, f"SPDX-License-Identifier: {licence}"))
+    return out
+
+
+def _full_texts() -> list[tuple[str, str]]:
+    """Each text file, and what comes before its appendix; BSD and MIT texts with and without their titles."""
+    out = [("MIT", MIT.removeprefix("MIT License\n")), ("MIT", "The " + MIT)]
+    for path in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")):
+        licence, text = path.stem.removesuffix("-regents"), path.read_text("utf-8")
+        out.append((licence, text))
+        head, end, _ = text.partition("END OF TERMS AND CONDITIONS")
+        if end:
+            out += [(licence, head + end), (licence, head)]
+        if licence == "BSD-3-Clause":
+            out += [(licence, title + text) for title in ("BSD 3-Clause License\n", "The 3-Clause BSD License\n")]
+    return out
+
+
+KNOWN = (*_FIRST, *_full_texts(), *_notices())
 EQUAL_WORDS = (
     ("acknowledgement", "acknowledgment"),
     ("analogue", "analog"),

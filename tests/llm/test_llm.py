@@ -65,6 +65,22 @@ def test_licence_forms(spark):
     assert out[3]["line_licenses"] == "MIT" and out[3]["n_license_lines"] == 1 and out[4]["digest"] is None
 
 
+def test_common_licences_are_known(spark):
+    bsd = (
+        "Copyright (c) 2024, Somebody\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n"
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n"
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+    )
+    bsd += license_scan.KNOWN[5][1].partition("\n\n3.")[0][license_scan.KNOWN[5][1].index("THIS SOFTWARE") :]
+    full = {lic: text for lic, text in reversed(license_scan.KNOWN) if len(text) > 1000}
+    names = ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0", "Unlicense", "BSL-1.0"]
+    notices = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.": "CC-BY-4.0", "Released under the GNU Lesser General Public License, version 3.": "LGPL-3.0", "SPDX-License-Identifier: MPL-2.0": "MPL-2.0"}
+    rows = [("bsd", bsd), *[(n, full[n].replace("\n", "\r\n")) for n in names], *[(t, f"x y\n{t}\nz") for t in notices]]
+    out = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert out["bsd"]["license_id"] == "BSD-3-Clause" and all(out[n]["license_id"] == n for n in names)
+    assert all(out[t]["line_licenses"] == lic and out[t]["license_id"] is None for t, lic in notices.items())
+
+
 def test_licence_scan_keeps_rows(docs, empty):
     assert license_scan.scan(docs).count() == len(odd_rows())
     assert license_scan.scan(empty).count() == 0
