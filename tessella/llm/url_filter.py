@@ -6,7 +6,8 @@ the children of a node become one wildcard where there are more than a limit;
 children whose labelled rates do not differ by a two-proportion test are merged
 into a wildcard as well. A template is rejected if its smoothed share of bad
 labelled pages, (bad + strength * prior) / (labelled + strength), is above a
-threshold, so that a template without labels is let through.
+threshold. A template without labels takes the smoothed share of its nearest
+ancestor that has some, the host at last; only a host without labels is let through.
 
 All statistics are sums over distinct (host, path shape) pairs, aggregated
 before the shuffle, so a host with any share of the rows costs no single task.
@@ -74,6 +75,19 @@ def templates(shapes: DataFrame, work: Workspace, depth: int = 8, fanout: int =
     return tree.select("host", "shape", "labelled", "bad", "template")
 
 
+def purity(tree: DataFrame, prior: float, strength: float, depth: int = 8) -> DataFrame:
+    """host, template and badness of every template of ``tree``, from its own labels or from its nearest labelled ancestor's."""
+    own = tree.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
+    parts = F.split("template", "/")
+    ancestors = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(depth + 1))), lambda k: F.struct(k.alias("k"), F.array_join(F.slice(parts, 1, k), "/").alias("above")))
+    chains = own.select("host", "template", "l", "b", F.inline(ancestors))
+    above = chains.groupBy("host", "above").agg(F.sum("l").alias("ls"), F.sum("b").alias("bs")).where("ls > 0")
+    smoothed = lambda b, l: (F.col(b) + strength * prior) / (F.col(l) + strength)
+    inherited = chains.where("l = 0").join(above, ["host", "above"]).groupBy("host", "template").agg(F.max_by(smoothed("bs", "ls"), "k").alias("inherited"))
+    both = own.join(inherited, ["host", "template"], "left")
+    return both.select("host", "template", F.when(F.col("l") > 0, smoothed("b", "l")).otherwise(F.coalesce("inherited", F.lit(prior))).alias("badness"))
+
+
 def judge(df: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, bad: Column | None = None, page_id: str = "page_id", url: str = "url", prior: float = 0.2, strength: float = 5.0, most: float = 0.5, **options) -> DataFrame:
     """page_id, host, path, rule, verdict, template and badness for every row of ``df``.
 
@@ -89,8 +103,7 @@ def judge(df: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, bad: Column
     shaped = ruled.withColumn("shape", F.regexp_replace("path", "[0-9]+", "#"))
     shapes = shaped.groupBy("host", "shape").agg(F.count("bad").alias("labelled"), F.count_if("bad").alias("bad"))
     tree = templates(work.save(shapes, "shapes"), work, **options)
-    purity = tree.groupBy("host", "template").agg(((F.sum("bad") + strength * prior) / (F.sum("labelled") + strength)).alias("badness"))
-    known = tree.select("host", "shape", "template").join(purity, ["host", "template"])
+    known = tree.select("host", "shape", "template").join(purity(tree, prior, strength, options.get("depth", 8)), ["host", "template"])
     told = shaped.join(known, ["host", "shape"], "left")
     own = F.when(F.col("badness") > most, "block").otherwise("allow")
     return told.select("page_id", "host", "path", "rule", F.coalesce("told", own).alias("verdict"), "template", "badness")

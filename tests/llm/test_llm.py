@@ -242,6 +242,14 @@ def test_templates_generalise_and_reject(spark):
     assert out[201]["template"] == "/good/p#" and out[201]["verdict"] == "allow"
 
 
+def test_labels_reach_unlabelled_templates(spark):
+    rows = [(i, f"http://casino.com/en/win{i}", True) for i in range(20)] + [(20 + i, f"http://h.com/en/bad/x{i}", True) for i in range(9)] + [(30 + i, f"http://h.com/good/x{i}", False) for i in range(40)]
+    rows += [(100, "http://casino.com/de/other", None), (101, "http://h.com/en/new", None), (102, "http://h.com/fr/new", None), (103, "http://other.com/de/x", None), (104, "http://casino.com", None)]
+    out = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, spam boolean"), (), F.col("spam")).collect()}
+    want = {100: ("block", 21 / 25), 101: ("block", 10 / 14), 102: ("allow", 10 / 54), 103: ("allow", 0.2), 104: ("block", 21 / 25)}
+    assert len(out) == len(rows) and all(out[i]["verdict"] == v and abs(out[i]["badness"] - b) < 1e-9 for i, (v, b) in want.items())
+
+
 # -------------------------------------------------------------------- packing
 def test_packing_round_trip(docs, empty):
     from tokenizers import Tokenizer
