@@ -2,8 +2,8 @@
 
 Every text is searched for candidate secrets. The hash of each candidate's value
 is then counted over the whole corpus by distinct repositories and distinct
-owners: a value that many owners share is a copied example, a value that one
-owner holds and that looks random is a live credential.
+owners: a value that many owners share, or that is copied into many repositories
+of few owners, is an example; any other that looks random is a live credential.
 
 Nulls and odd cases: a null text counts as empty and has no spans; a null owner
 or repository counts as one owner or repository of its own; repeated rows each
@@ -126,13 +126,19 @@ def ownership(candidates: DataFrame, repo: str, owner: str) -> DataFrame:
     return pairs.groupBy("hash").agg(F.count_if(F.col("what") == 0).alias("n_repos"), F.count_if(F.col("what") == 1).alias("n_owners"))
 
 
-def secret_scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: str = "doc_id", owner: str = "source", example_owners: int = 3) -> DataFrame:
+def is_example(example_owners: int, example_repos: int) -> Column:
+    """Whether columns n_owners and n_repos make a value a copied example."""
+    return (F.col("n_owners") >= example_owners) | (F.col("n_repos") >= example_repos)
+
+
+def secret_scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: str = "doc_id", owner: str = "source", example_owners: int = 3, example_repos: int = 100) -> DataFrame:
     """Spans of every row with a verdict on each candidate.
 
     Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans, and n_live and
     n_example (long): how many candidates look like live credentials of one
     owner, and how many are examples. A value is an example if ``example_owners``
-    or more owners hold it; otherwise it is live if it looks random.
+    or more owners hold it, or if it is in ``example_repos`` or more repositories;
+    otherwise it is live if it looks random.
     """
     work = Workspace(df.sparkSession, "secrets")
     keep = {"doc_id": F.col(doc_id), "repo": F.col(repo), "owner": F.col(owner)}
@@ -142,8 +148,8 @@ def secret_scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", repo:
     judged = (
         candidates.select("row", "hash", "random").join(known, "hash")
         .groupBy("row").agg(
-            F.count_if(F.col("n_owners") >= example_owners).alias("n_example"),
-            F.count_if((F.col("n_owners") < example_owners) & F.col("random")).alias("n_live"),
+            F.count_if(is_example(example_owners, example_repos)).alias("n_example"),
+            F.count_if(~is_example(example_owners, example_repos) & F.col("random")).alias("n_live"),
         )
     )
     none = F.lit(0).cast("long")
@@ -180,7 +186,7 @@ def _only(spans: bool):
     return run
 
 
-def redacted(df: DataFrame, text: str = "text", repo: str = "doc_id", owner: str = "source", example_owners: int = 3) -> DataFrame:
+def redacted(df: DataFrame, text: str = "text", repo: str = "doc_id", owner: str = "source", example_owners: int = 3, example_repos: int = 100) -> DataFrame:
     """``df`` with a marker in place of every span; the marker tells the kind and whether the value is a known example.
 
     Spans that overlap become one. Rows without spans are unchanged, and are
@@ -195,7 +201,7 @@ def redacted(df: DataFrame, text: str = "text", repo: str = "doc_id", owner: str
     candidates = found.select("row", "repo", "owner", F.explode("found").alias("c"))
     known = ownership(candidates.select("c.hash", "repo", "owner"), "repo", "owner")
     judged = candidates.withColumn("hash", F.col("c.hash")).join(known, "hash")
-    span = F.struct(F.col("c.kind").alias("kind"), F.col("c.start").alias("start"), F.col("c.end").alias("end"), (F.col("n_owners") >= example_owners).alias("example"))
+    span = F.struct(F.col("c.kind").alias("kind"), F.col("c.start").alias("start"), F.col("c.end").alias("end"), is_example(example_owners, example_repos).alias("example"))
     spans = judged.groupBy("row").agg(F.collect_list(span).alias("_spans"))
     kept = [*columns, F.col("_body").alias("_text"), "_spans"]
     ready = found.join(spans, "row").select(*kept)

@@ -118,6 +118,16 @@ def test_ownership_separates_examples(spark):
     assert all(out[i]["n_live"] == 1 for i in (4, 5))
 
 
+def test_ownership_counts_repositories(spark):
+    hot, few = "token=abcd1234efgh5678", "token=live7a9f8e7d6c5b"
+    rows = [(i, hot if i < 120 else few, f"s{i % 2}", "", 1) for i in range(130)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    out = {r["doc_id"]: (r["n_example"], r["n_live"]) for r in secret_scan.secret_scan(docs).collect()}
+    assert all(out[i] == ((1, 0) if i < 120 else (0, 1)) for i in range(130))
+    texts = {r["doc_id"]: r["text"] for r in secret_scan.redacted(docs).collect()}
+    assert all(texts[i] == ("<assign:example>" if i < 120 else "<assign:removed>") for i in range(130))
+
+
 def test_redaction(docs, empty):
     out = secret_scan.redacted(docs.select("doc_id", "text", "lang", "source", "n_chars"))
     rows = collections.Counter((r["doc_id"], r["text"]) for r in out.collect())
