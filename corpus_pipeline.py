@@ -14,14 +14,16 @@ from tessella.workspace import Workspace
 
 #: A document without letters, or whose main language has a smaller share than this, is rejected as having no language of its own.
 LEAST_SHARE = 1 / 3
+#: A document is rejected as well if the learned languages explain a smaller share of its letters than this.
+LEAST_EXPLAINED = 1 / 2
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a main language; a null lang is filled with the predicted one."""
     train = docs.where(~language_id.held_out("doc_id"))
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
-    judged = language_id.identify(docs, train, keep={"row": rest}, keep_text=True)
-    kept = judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
+    judged = language_id.identify(docs, train, keep={"row": rest}, keep_text=True, explained=True)
+    kept = judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE) & (F.col("explained") >= LEAST_EXPLAINED))
     fresh = {"text": F.col("_text"), "lang": F.coalesce("row.lang", "lang_pred")}
     return kept.select(*[fresh.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 

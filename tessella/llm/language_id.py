@@ -142,7 +142,9 @@ def infer(grams: list[np.ndarray], matrix: np.ndarray, penalty: float, rounds: i
     return chosen
 
 
-def _predict(langs: list[str], matrix: np.ndarray, penalty: float, rounds: int, keep_text: bool, chunk: int = 1 << 17):
+def _predict(langs: list[str], matrix: np.ndarray, penalty: float, rounds: int, keep_text: bool, explained: bool = False, chunk: int = 1 << 17):
+    likely = matrix.max(axis=1) > 1 / (1 << BITS) if langs else np.zeros(1 << BITS, dtype=bool)  # better than by chance
+
     def judged(grams: dict[int, np.ndarray], out: list) -> None:
         if not grams:
             return
@@ -156,11 +158,13 @@ def _predict(langs: list[str], matrix: np.ndarray, penalty: float, rounds: int,
             at = batch.schema.get_field_index("_text")
             out: list = [("und", 0.0, [], [])] * batch.num_rows
             waiting: dict[int, np.ndarray] = {}
+            fit_for = [0.0] * batch.num_rows
             held = 0
             for i, cell in enumerate(batch.column(at)):
                 grams = trigrams(cell.as_py() or "") if langs else np.zeros(0)
                 if len(grams):
                     waiting[i] = grams
+                    fit_for[i] = float(likely[grams].mean())
                     held += len(grams)
                 if held > chunk:
                     judged(waiting, out)
@@ -168,19 +172,22 @@ def _predict(langs: list[str], matrix: np.ndarray, penalty: float, rounds: int,
             judged(waiting, out)
             pred, score, names, shares = zip(*out, strict=True) if out else ((), (), (), ())
             kept = [i for i in range(batch.num_columns) if i != at or keep_text]
+            more = [pa.array(fit_for, pa.float64())] if explained else []
             yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in kept] + [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(names, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))],
-                names=[batch.schema.names[i] for i in kept] + ["lang_pred", "score", "languages", "shares"],
+                [batch.column(i) for i in kept] + [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(names, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64())), *more],
+                names=[batch.schema.names[i] for i in kept] + ["lang_pred", "score", "languages", "shares", *["explained"] * len(more)],
             )
 
     return run
 
 
-def identify(df: DataFrame, train: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 2000, penalty: float = 6.0, rounds: int = 12, keep: dict[str, Column] | None = None, keep_text: bool = False) -> DataFrame:
+def identify(df: DataFrame, train: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 2000, penalty: float = 6.0, rounds: int = 12, keep: dict[str, Column] | None = None, keep_text: bool = False, explained: bool = False) -> DataFrame:
     """The columns of ``keep``, and the text as _text if ``keep_text``, with lang_pred, score, languages and shares, for every row of ``df``.
 
     ``train`` holds labelled rows. lang_pred is the language with the largest
     share, score that share; languages and shares are the chosen mixture.
+    ``explained`` adds a column of this name: the share of a text's letters whose
+    trigrams some learned language makes likelier than a uniform law does.
     """
     steady_batches(df.sparkSession)
     langs, matrix = fit(train, text, lang, F.coalesce(F.col(key).cast("string"), F.lit("")), per_lang)
@@ -189,9 +196,9 @@ def identify(df: DataFrame, train: DataFrame, text: str = "text", lang: str = "l
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != "_text" or keep_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _predict(langs, model.value, penalty, rounds, keep_text)(batches)
+        return _predict(langs, model.value, penalty, rounds, keep_text, explained)(batches)
 
-    return kept.mapInArrow(run, f"{fields}, lang_pred string, score double, languages array<string>, shares array<double>")
+    return kept.mapInArrow(run, f"{fields}, lang_pred string, score double, languages array<string>, shares array<double>" + (", explained double" if explained else ""))
 
 
 def held_out(key: str) -> Column:

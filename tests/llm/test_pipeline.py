@@ -1,5 +1,7 @@
 """The pipeline's stages, each on its own input."""
 
+import random
+
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -28,6 +30,14 @@ def test_language_keeps_clean_documents(stages):
     assert stages[1].count() == stages[0].count()
 
 
+def test_language_rejects_what_no_language_explains(spark, stages):
+    rng = random.Random(4)
+    odd = [(-1, "Ὁ δὲ ἀνὴρ οὗτος ἦλθεν εἰς τὴν πόλιν καὶ εἶδεν πολλοὺς ἀνθρώπους " * 5), (-2, " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(8)) for _ in range(60))), (-3, "Это предложение написано на языке, которого нет среди выученных. " * 5)]
+    docs = stages[0].unionByName(spark.createDataFrame(odd, "doc_id long, text string"), allowMissingColumns=True)
+    kept = {r["doc_id"] for r in corpus_pipeline.by_language(spark, docs, SF).select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in stages[0].select("doc_id").collect()}
+
+
 def test_one_of_each_group_stays(stages):
     kept = {r["doc_id"] for r in near_dedup.near_duplicates(stages[1]).where("kept").collect()}
     assert {r["doc_id"] for r in stages[2].collect()} == kept
