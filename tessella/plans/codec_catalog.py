@@ -189,14 +189,8 @@ def transform_units_scan(spark, sf_dir):
 
 @query(f"WITH {PX_SQL} SELECT CAST(y // {BAND} AS VARCHAR) AS image_id, pos - (y // {BAND}) * {BAND * 100} AS pos, CAST(y % {BAND} AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST(r AS INTEGER) AS r, CAST(g AS INTEGER) AS g, CAST(b AS INTEGER) AS b, CAST(a AS INTEGER) AS a FROM px")
 def raw_file_scan(spark, sf_dir):
-    """Headerless files: packed from pixels and scanned again, each height on its own."""
-    packed = images(spark, sf_dir).select("image_id", "height", c("rgba").alias("content"))
-    heights = [r["height"] for r in packed.select("height").distinct().collect()]
-    parts = [tables.raw_pixels(packed.where(c("height") == h), 100, h) for h in heights]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Headerless files: packed from pixels and scanned again, each with its own height."""
+    return tables.raw_pixels(images(spark, sf_dir).select("image_id", "height", c("rgba").alias("content")), 100, c("height"))
 
 
 @query(_IMG + " SELECT image_id, CAST(1.0 AS DOUBLE) AS same, true AS lower FROM img WHERE pixels >= 1100")
@@ -228,8 +222,8 @@ def stream_last_wins(spark, sf_dir):
     schema = table(spark, sf_dir, "events").select("user_id", "event_type", "value", "event_id")
     stream = streams.record_stream(spark, sf_dir, table(spark, sf_dir, "events").schema, "parquet", "events.parquet")
     work = Workspace(spark, "stream")
-    name = "latest_" + work.root[-12:]
-    return streams.run_to_table(streams.latest(stream.select(*schema.columns), ["user_id", "event_type"], "event_id"), name, f"{work.root}/state").select(*schema.columns)
+    keys = ["user_id", "event_type"]
+    return streams.run_to_table(streams.latest(stream.select(*schema.columns), keys, "event_id"), keys, f"{work.root}/latest", f"{work.root}/state").select(*schema.columns)
 
 
 @query("SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS records, CAST(sum(event_id % 97) AS BIGINT) AS bytes FROM events GROUP BY 1, 2")
@@ -240,7 +234,7 @@ def stream_windowed_rates(spark, sf_dir):
     sized = stream.select(c("ts").cast("timestamp").alias("ts"), "event_type", (c("event_id") % 97).alias("bytes"), F.lit(1).alias("pixels"))
     work = Workspace(spark, "stream")
     rates = streams.windowed_rates(sized, "ts", "1 hour", "1 day", ["event_type"], "bytes", "pixels")
-    out = streams.run_to_table(rates, "rates_" + work.root[-12:], f"{work.root}/state")
+    out = streams.run_to_table(rates, ["start", "event_type"], f"{work.root}/rates", f"{work.root}/state")
     return out.select(c("start").cast("timestamp_ntz").alias("start"), "event_type", "records", "bytes")
 
 

@@ -113,12 +113,16 @@ def pixels(images: DataFrame) -> DataFrame:
     return images.select("image_id", "content").mapInArrow(run, PIXELS)
 
 
-def raw_pixels(images: DataFrame, width: int, height: int) -> DataFrame:
-    """pos, y, x and r, g, b, a of headerless RGBA files, without Python: bytes are taken out by position."""
-    if width < 1 or height < 1:
+def raw_pixels(images: DataFrame, width: int, height: int | Column) -> DataFrame:
+    """pos, y, x and r, g, b, a of headerless RGBA files, without Python: bytes are taken out by position.
+
+    ``height`` is one number or a column of ``images``.
+    """
+    if width < 1 or (isinstance(height, int) and height < 1):
         raise ValueError("bad dimensions")
-    fits = F.when(F.length("content") == width * height * 4, F.col("content")).otherwise(F.raise_error(F.lit("the size of the file does not match the dimensions")).cast("binary"))
-    each = images.select("image_id", fits.alias("content")).select("image_id", "content", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y"))
+    lines = F.lit(height) if isinstance(height, int) else height.cast("int")
+    fits = F.when(F.length("content") == lines * (width * 4), F.col("content")).otherwise(F.raise_error(F.lit("the size of the file does not match the dimensions")).cast("binary"))
+    each = images.select("image_id", fits.alias("content"), F.explode(F.sequence(F.lit(0), lines - 1)).alias("y"))
     rows = each.select("image_id", "y", F.hex(F.substring("content", F.col("y") * (width * 4) + 1, F.lit(width * 4))).alias("h"))
     cells = rows.select("image_id", "y", "h", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
     byte: Callable[[int], Column] = lambda k: F.conv(F.substring("h", F.col("x") * 8 + (1 + 2 * k), F.lit(2)), 16, 10).cast("int")
@@ -202,14 +206,21 @@ def spread(images: DataFrame, *keys: str) -> DataFrame:
 
 
 def write_files(encoded: DataFrame, path: str, ending: str) -> None:
-    """Writes each row (image_id, data) to its own file below ``path``, through the file system that Spark uses there."""
-    hadoop = encoded.sparkSession.sparkContext._jvm.org.apache.hadoop.fs
-    conf = encoded.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for row in encoded.select("image_id", "data").toLocalIterator():
-        target = hadoop.Path(f"{path}/{row['image_id']}{ending}")
-        stream = target.getFileSystem(conf).create(target, True)
-        stream.write(bytearray(row["data"]))
-        stream.close()
+    """Writes each row (image_id, data) to its own file below ``path``, a folder or URI that every executor reaches.
+
+    Executors write the files themselves; a repeated task writes the same files again.
+    """
+
+    def write(rows: Iterator) -> None:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+        system.create_dir(root, recursive=True)
+        for row in rows:
+            with system.open_output_stream(f"{root}/{row['image_id']}{ending}") as stream:
+                stream.write(bytes(row["data"]))
+
+    encoded.select("image_id", "data").foreachPartition(write)
 
 
 def write_report(aggregate: DataFrame, path: str, columns: list[str]) -> None:

@@ -32,8 +32,18 @@ def windowed_rates(stream: DataFrame, time: str, size: str, late: str, keys: lis
     )
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all that is there now and returns what it has put out, as a table in memory."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_table(stream: DataFrame, keys: list[str], path: str, checkpoint: str) -> DataFrame:
+    """Runs an aggregated stream over all that is there now; the last row of each of ``keys``, as a table under ``path``.
+
+    Executors write what each batch has changed to a folder of its own, which a
+    repeated batch overwrites, so neither the driver nor a batch holds the result.
+    """
+
+    def write(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{path}/_batch={batch}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    schema = stream.schema.add("_batch", "long")
+    changes = stream.sparkSession.read.schema(schema).option("basePath", path).parquet(path)
+    return last_wins(changes, keys, "_batch").select(*stream.columns)

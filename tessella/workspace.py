@@ -7,18 +7,46 @@ table survives the loss of any executor, which a local checkpoint does not.
 from __future__ import annotations
 
 import atexit
-import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOT: list[str] = []
+#: Folders that are still there, each with the JVM objects that can delete it.
+_OPEN: dict[str, tuple] = {}
 
 
-def _drop_local() -> None:
-    for path in _LOCAL_ROOT:
-        shutil.rmtree(path, ignore_errors=True)
+def _delete(path: str, jvm, conf) -> None:
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(conf).delete(place, True)
+
+
+def _forget(paths: list[str]) -> None:
+    for path in paths:
+        jvm, conf = _OPEN.pop(path)
+        try:
+            _delete(path, jvm, conf)
+        except Exception:  # the JVM may have ended before this process does
+            pass
+
+
+@atexit.register
+def _forget_all() -> None:
+    _forget(list(_OPEN))
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """Deletes, at its end, every workspace opened within; what is to stay must be written elsewhere by then."""
+    before = set(_OPEN)
+    try:
+        yield
+    finally:
+        _forget([path for path in _OPEN if path not in before])
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -26,7 +54,7 @@ def shared_root(spark: SparkSession) -> str:
 
     The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a
     single-process session (tests) gets a temporary folder and any other session
-    the warehouse, which all executors see.
+    the warehouse, if that is not a folder of one machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -35,9 +63,12 @@ def shared_root(spark: SparkSession) -> str:
     if master.startswith("local") and not master.startswith("local-cluster"):
         if not _LOCAL_ROOT:
             _LOCAL_ROOT.append(tempfile.mkdtemp(prefix="tessella-"))
-            atexit.register(_drop_local)
+            _OPEN[_LOCAL_ROOT[0]] = (spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration())
         return _LOCAL_ROOT[0]
-    return spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if urlsplit(warehouse).scheme in ("", "file"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share: the warehouse is a local folder")
+    return f"{warehouse}/_scratch"
 
 
 def steady_batches(spark: SparkSession, rows: int = 1024, size: int = 16 << 20) -> None:
@@ -53,12 +84,14 @@ def steady_batches(spark: SparkSession, rows: int = 1024, size: int = 16 << 20)
 
 
 class Workspace:
-    """Named scratch tables of one operator call."""
+    """Named scratch tables of one operator call, deleted when the process ends unless that is done before."""
 
     def __init__(self, spark: SparkSession, name: str):
         steady_batches(spark)
         self.spark = spark
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self._jvm = (spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration())
+        _OPEN[self.root] = self._jvm
         self._n = 0
         self._tables: list[DataFrame] = []
 
@@ -74,11 +107,8 @@ class Workspace:
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables of this workspace that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._tessella_path)
-            path.getFileSystem(conf).delete(path, True)
+            _delete(table._tessella_path, *self._jvm)
             self._tables = [t for t in self._tables if t is not table]
 
     def result(self, df: DataFrame) -> DataFrame:
