@@ -8,7 +8,9 @@ leaves one record for each side. Only the very last window can be short.
 
 Nulls and odd cases: a null text counts as empty, and an empty document is the
 end token alone; repeated rows are packed once each; a text of any length is cut
-over as many windows as it needs; an empty table gives no piece.
+over as many windows as it needs; a text that holds the string of an added token
+has that token's one id there; an empty table gives no piece. Only the named
+columns are read.
 """
 
 from __future__ import annotations
@@ -26,8 +28,9 @@ from pyspark.sql import functions as F
 
 from tessella.workspace import Workspace
 
-#: Fixed value: pre-token pattern of the byte-level vocabulary.
+# Pre-token pattern of the byte-level vocabulary, and its added token, which the ranks file leaves out.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+ADDED = {"<|endoftext|>": 50256}
 
 _ENCODERS: dict[str, object] = {}
 
@@ -45,8 +48,7 @@ def encoder(vocabulary: str):
     """Text to ids, for a ranks file of a byte-level vocabulary or for a tokenizer's JSON file.
 
     ``byte_bpe_50k.tiktoken`` holds the same vocabulary as ``byte_bpe_50k.json``
-    and gives the same ids about four times as fast. Strings of special tokens
-    are ordinary text.
+    and gives, with the added token, the same ids about four times as fast.
     """
     if vocabulary not in _ENCODERS:
         path = vocabulary_path(vocabulary)
@@ -55,13 +57,12 @@ def encoder(vocabulary: str):
 
             with open(path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            coding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-            _ENCODERS[vocabulary] = lambda text: coding.encode_ordinary(text)
+            coding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
+            _ENCODERS[vocabulary] = lambda text: coding.encode(text, allowed_special="all")
         else:
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True
             _ENCODERS[vocabulary] = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
     return _ENCODERS[vocabulary]
 

@@ -265,7 +265,6 @@ def test_packing_round_trip(docs, empty):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.vocabulary_path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     pieces = packing.pack(docs, window=64, with_ids=True).collect()
     by_doc, by_window = collections.defaultdict(list), collections.defaultdict(list)
     for p in pieces:
@@ -288,6 +287,23 @@ def test_packing_round_trip(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_ids_are_those_of_the_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.vocabulary_path("byte_bpe_50k.json"))
+    mark, rng = "<|endoftext|>", np.random.default_rng(6)
+    texts = [mark, mark * 2, f"a{mark}b", f"{mark}a b", f"a b{mark}", f"a {mark} b", f" {mark}\n{mark}  c", "<|endoftext", "<|endoftext|", "<<|endoftext|>>", f"x<|endof{mark}text|>", "<|ENDOFTEXT|>"]
+    parts = [mark, " ", "  ", "\n", "a", "word", "'s", "Ünï", "😀", "12", "<|", "|>", "\t", "中文"]
+    texts += ["".join(parts[i] for i in rng.integers(0, len(parts), int(n))) for n in rng.integers(1, 30, 300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = collections.defaultdict(dict)
+    for p in packing.pack(docs, window=16, with_ids=True).collect():
+        ids[p["doc_id"]][p["start"]] = p["ids"]
+    for i, text in enumerate(texts):
+        assert [v for start in sorted(ids[i]) for v in ids[i][start]] == tokenizer.encode(text, add_special_tokens=False).ids + [1]
+        assert packing.encoder("byte_bpe_50k.json")(text) == packing.encoder("byte_bpe_50k.tiktoken")(text)
+
+
 # ------------------------------------------------------------------- sharding
 def test_shards_are_even_and_mixed(spark, empty):
     rows = [(i, f"s{i % 7}" if i % 3 else "hot") for i in range(1000)] + [(None, None), (5, None), (5, None)]
