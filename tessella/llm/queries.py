@@ -80,4 +80,10 @@ reach AS (SELECT vec_id AS v, vec_id AS r FROM embeddings UNION SELECT reach.v,
 comp AS (SELECT v AS vec_id, min(r) AS component_id FROM reach GROUP BY 1),
 n AS (SELECT a AS vec_id, count(*) AS n_links FROM linked GROUP BY 1)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN comp USING (vec_id) LEFT JOIN n USING (vec_id)"""
-ORACLE: dict[str, str] = {"op1_license_digests": license_scan.oracle_sql(), "op3_minhash_classes": _NEAR_SQL, "op10_range_classes": _RANGE_SQL}
+_SEARCH_SQL = """
+WITH fine AS (SELECT row_number() OVER () AS n, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND len(list_filter(embedding, lambda v: v <> 0)) > 0),
+ok AS (SELECT * FROM fine WHERE len(e) = (SELECT len(e) FROM fine GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)),
+pairs AS (SELECT q.n, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM ok q JOIN ok c ON q.n <> c.n WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM pairs)
+SELECT * FROM ranked WHERE rank <= 20"""
+ORACLE: dict[str, str] = {"op1_license_digests": license_scan.oracle_sql(), "op3_minhash_classes": _NEAR_SQL, "op9_vantage_search": _SEARCH_SQL, "op10_range_classes": _RANGE_SQL}

@@ -8,13 +8,16 @@ the span of distances on both sides. A branch is left out if the triangle
 inequality puts all of it further than the query's k-th best so far; ``factor``
 multiplies the bound, so 1 gives the exact result and more prunes more.
 
-Trees are searched for a block of queries at a time. Blocks meet shards by
-number, and the best k of a block are merged over shards.
-
-Nulls and odd cases: a vector that is null, zero or holds a null or non-finite
-component takes no part, as query or as candidate, nor does a null id; a query
-with fewer candidates than k gets all of them; ties go to the smaller id;
-repeated rows are separate candidates, but a row never finds its own id; an
+A task holds one shard at a time, builds its tree once and lets all queries pass
+by in blocks; the best k of each query are then merged over shards. Scores of
+whole leaves are first found by a matrix product; those that may be among the
+best are summed anew, component by component, so that equal vectors tie.
+
+Nulls and odd cases: a vector that is null, zero, holds a null or non-finite
+component or has another length than most takes no part, as query or as
+candidate, nor does a null id; a query with fewer candidates than k gets all of
+them; ties go to the smaller id; a row never finds itself, but repeated rows are
+separate queries and candidates, so each finds its twin under their common id; an
 empty table gives no row. Only the named columns are read.
 """
 
@@ -31,6 +34,8 @@ from tessella.llm.vectors import matrix, usable
 from tessella.workspace import Workspace
 
 LEAF = 256
+#: Pairs whose scores are summed at once.
+PAIRS = 1 << 15
 
 
 class Tree:
@@ -75,12 +80,21 @@ class Best:
         self.score[which], self.id[which] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
 
 
-def search(tree: Tree, ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, best: Best, lift: float, factor: float) -> None:
+def inner(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of paired rows, summed from the first component to the last."""
+    total = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        total += x[:, j] * y[:, j]
+    return total
+
+
+def search(tree: Tree, numbers: np.ndarray, ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, query_numbers: np.ndarray, best: Best, lift: float, factor: float) -> None:
     """Offers to ``best`` what the tree holds near the queries.
 
-    vectors and queries are the original ones; lift is the common length. First
-    every query goes straight down to one leaf, which gives it a first bound.
-    Then the tree is walked once, with the queries that each branch may serve.
+    vectors and queries are the original ones; numbers tell rows apart, ids are
+    theirs to keep; lift is the common length. First every query goes straight
+    down to one leaf, which gives it a first bound. Then the tree is walked once,
+    with the queries that each branch may serve.
     """
     lifted = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1)
     square = (queries**2).sum(axis=1) + lift**2
@@ -90,9 +104,14 @@ def search(tree: Tree, ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray
     def scan(node: int, which: np.ndarray) -> None:
         rows = tree.nodes[node][3]
         if len(rows) and len(which):
-            # one pair is summed in the same order wherever it stands, so equal vectors tie
-            scores = np.einsum("ij,kj->ik", queries[which], vectors[rows])
-            scores[query_ids[which][:, None] == ids[rows][None, :]] = -np.inf
+            rough = queries[which] @ vectors[rows].T
+            hopeful = rough >= (best.score[which, -1] - slack[which])[:, None]
+            hopeful &= query_numbers[which][:, None] != numbers[rows][None, :]
+            at, row = np.nonzero(hopeful)
+            scores = np.full(rough.shape, -np.inf)
+            for a in range(0, len(at), PAIRS):
+                i, j = at[a : a + PAIRS], row[a : a + PAIRS]
+                scores[i, j] = inner(queries[which[i]], vectors[rows[j]])
             best.offer(which, scores, ids[rows])
 
     def distance(which: np.ndarray, vantage: np.ndarray) -> np.ndarray:
@@ -124,77 +143,76 @@ def search(tree: Tree, ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray
                 todo.append((child, part))
 
 
-def _search_shards(k: int, lift: float, factor: float):
-    """Rows come sorted by query block, its queries before the shards; one shard is held at a time."""
+def _search_shards(k: int, lift: float, factor: float, block_rows: int):
+    """Rows come sorted by shard, its candidates before the queries; one shard and one block of queries are held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, shard = None, None
-        held: dict[str, tuple[list, list]] = {}
-        best, queries, query_ids = None, None, None
-
-        def close_shard() -> None:
-            nonlocal best, queries, query_ids
-            if "query" in held:
-                query_ids, queries = np.concatenate(held["query"][0]), np.concatenate(held["query"][1])
-                best = Best(len(queries), k)
-            if "row" in held and queries is not None:
-                ids, x = np.concatenate(held["row"][0]), np.concatenate(held["row"][1])
-                last = np.sqrt(np.maximum(0, lift**2 - (x**2).sum(axis=1)))
-                search(Tree(np.concatenate([x, last[:, None]], axis=1)), ids, x, queries, query_ids, best, lift, factor)
-            held.clear()
-
-        def close_block():
-            nonlocal best, queries, query_ids
-            close_shard()
-            at, rank = np.nonzero(best.score > -np.inf) if best is not None else (np.zeros(0, int), np.zeros(0, int))
-            columns = {"query_id": query_ids[at], "vec_id": best.id[at, rank], "score": best.score[at, rank]} if len(at) else {"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)}
-            best = queries = query_ids = None
+        shard, tree = None, None
+        rows: list[tuple] = []
+        asked: list[tuple] = []
+
+        def found() -> pa.RecordBatch:
+            numbers, ids, x = (np.concatenate(c) for c in zip(*asked))
+            best = Best(len(ids), k)
+            search(*tree, x, numbers, best, lift, factor)
+            at, rank = np.nonzero(best.score > -np.inf)
+            asked.clear()
+            columns = {"query": numbers[at], "query_id": ids[at], "vec_id": best.id[at, rank], "score": best.score[at, rank]}
             return pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in columns.items()})
 
+        def planted() -> tuple:
+            numbers, ids, x = (np.concatenate(c) for c in zip(*rows))
+            rows.clear()
+            last = np.sqrt(np.maximum(0, lift**2 - (x**2).sum(axis=1)))
+            return Tree(np.concatenate([x, last[:, None]], axis=1)), numbers, ids, x
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            blocks, shards = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            ids, x = batch.column(2).to_numpy(), matrix(batch.column(3))
-            cuts = np.nonzero((np.diff(blocks) != 0) | (np.diff(shards) != 0))[0] + 1
+            shards, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            numbers, ids, x = batch.column(2).to_numpy(), batch.column(3).to_numpy(), matrix(batch.column(4))
+            cuts = np.nonzero((np.diff(shards) != 0) | (np.diff(asks.astype(np.int8)) != 0))[0] + 1
             for a, b in zip([0, *cuts], [*cuts, len(ids)]):
-                if shard is not None and (blocks[a], shards[a]) != (block, shard):
-                    if blocks[a] != block:
-                        yield close_block()
-                    else:
-                        close_shard()
-                block, shard = blocks[a], shards[a]
-                kept = held.setdefault("query" if shard < 0 else "row", ([], []))
-                kept[0].append(ids[a:b])
-                kept[1].append(x[a:b])
-        if shard is not None:
-            yield close_block()
+                if shards[a] != shard:
+                    if asked and tree:
+                        yield found()
+                    shard, tree = shards[a], None
+                    rows.clear()
+                    asked.clear()
+                (asked if asks[a] else rows).append((numbers[a:b], ids[a:b], x[a:b]))
+                if asks[a]:
+                    tree = tree or (planted() if rows else None)
+                    if tree and sum(len(part[0]) for part in asked) >= block_rows:
+                        yield found()
+                    elif not tree:
+                        asked.clear()
+        if asked and tree:
+            yield found()
 
     return run
 
 
-def nearest(df: DataFrame, is_query: Column, k: int = 20, factor: float = 1.0, vec_id: str = "vec_id", embedding: str = "embedding", shard_rows: int = 8192, block_rows: int = 2048, seed: int = 17) -> DataFrame:
+def nearest(df: DataFrame, is_query: Column, k: int = 20, factor: float = 1.0, vec_id: str = "vec_id", embedding: str = "embedding", shard_rows: int = 65536, least_shards: int = 8, block_rows: int = 2048, seed: int = 17) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest of each query, nearest first.
 
-    A shard holds about ``shard_rows`` rows and a block about ``block_rows``
-    queries, dealt by a hash of the id. Each task works on one block and on a
-    group of shards, one after the other, and sends on k rows for each query.
+    A shard holds about ``shard_rows`` rows, dealt by a hash of the row's number;
+    small tables are cut into ``least_shards`` all the same, to keep tasks busy.
+    Every query visits every shard, once, and sends on k rows from it at most.
     """
     work = Workspace(df.sparkSession, "vptrees")
     named = df.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).alias("x"), is_query.alias("q")).where(F.col("id").isNotNull() & usable("x"))
-    rows = work.save(named.select("id", F.transform("x", lambda v: v.cast("double")).alias("x"), F.coalesce("q", F.lit(False)).alias("q")), "rows")
+    rows = work.save(named.select(F.monotonically_increasing_id().alias("n"), "id", F.transform("x", lambda v: v.cast("double")).alias("x"), F.coalesce("q", F.lit(False)).alias("q")), "rows")
     norm = F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)
-    facts = rows.agg(F.count("*").alias("n"), F.count_if("q").alias("q"), F.max(norm).alias("top")).first()
-    shards, blocks = max(1, -(-facts["n"] // shard_rows)), max(1, -(-facts["q"] // block_rows))
-    lift = (facts["top"] or 1.0) ** 0.5 * (1 + 1e-12)
-    groups = min(shards, max(8, -(-shards // 16)))  # of shards: a block's queries go to so many tasks, each with at most 16 shards beyond 128
-    number = lambda count, salt: F.pmod(F.xxhash64(F.lit(seed + salt), "id"), F.lit(count)).cast("int")
-    numbers = lambda count: F.sequence(F.lit(0), F.lit(count - 1))
-    asked = rows.where("q").select(number(blocks, 1).alias("block"), F.explode(numbers(groups)).alias("part"), F.lit(-1).alias("shard"), "id", "x")
-    offered = rows.select(number(shards, 2).alias("shard"), "id", "x").select(F.explode(numbers(blocks)).alias("block"), F.pmod("shard", F.lit(groups)).alias("part"), "shard", "id", "x")
-    both = asked.unionByName(offered)
-    dealt = both.repartition(blocks * groups, "block", "part").sortWithinPartitions("block", "part", "shard", "id")
-    pair = F.col("block") * groups + F.col("part")
-    found = dealt.select(pair.alias("block"), "shard", "id", "x").mapInArrow(_search_shards(k, lift, factor), "query_id bigint, vec_id bigint, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    facts = rows.groupBy(F.size("x").alias("length")).agg(F.count("*").alias("n"), F.max(norm).alias("top")).orderBy(F.desc("n"), "length").first()
+    if facts is None:
+        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    rows = rows.where(F.size("x") == facts["length"])
+    shards = max(min(least_shards, -(-facts["n"] // 4 // k)), -(-facts["n"] // shard_rows))
+    lift = facts["top"] ** 0.5 * (1 + 1e-12)
+    offered = rows.select(F.pmod(F.xxhash64(F.lit(seed), "n"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"), "n", "id", "x")
+    asked = rows.where("q").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asks"), "n", "id", "x")
+    # more partitions than shards, so that few of them meet in one
+    dealt = offered.unionByName(asked).repartition(4 * shards, "shard").sortWithinPartitions("shard", "asks", "n")
+    found = dealt.mapInArrow(_search_shards(k, lift, factor, block_rows), "query bigint, query_id bigint, vec_id bigint, score double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

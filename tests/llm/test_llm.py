@@ -388,7 +388,7 @@ def test_vantage_search_is_exact(spark):
     x = np.array([r[1] for r in rows])
     for k, shard in ((20, 64), (400, 1000)):
         got = collections.defaultdict(list)
-        for r in vp_search.nearest(df, F.col("vec_id") % 20 == 0, k=k, shard_rows=shard, block_rows=4).collect():
+        for r in vp_search.nearest(df, F.col("vec_id") % 20 == 0, k=k, shard_rows=shard, least_shards=1, block_rows=4).collect():
             got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
         assert sorted(got) == list(range(0, 300, 20))
         for q, found in got.items():
@@ -398,6 +398,22 @@ def test_vantage_search_is_exact(spark):
     assert vp_search.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_search_with_repeated_rows_and_odd_lengths(spark):
+    rng = np.random.default_rng(4)
+    x = [[float(np.float32(v)) for v in rng.normal(size=4)] for _ in range(60)]
+    rows = [(i, v) for i, v in enumerate(x)] + [(0, x[0]), (0, x[1]), (7, x[7]), (None, x[2]), (100, [1.0, 2.0, 3.0]), (120, [9.0] * 5), (140, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").select("*", *[F.lit(1).alias(c) for c in ("n", "id", "x", "q", "rank", "query", "shard")])
+    fine = [(i, v) for i, v in rows if i is not None and len(v) == 4]
+    for least in (1, 5):
+        want = collections.Counter()
+        for a, (i, v) in enumerate(fine):
+            if i % 20 == 0:
+                scored = sorted((-float(np.round(sum(p * q for p, q in zip(v, w)), 10)), j) for b, (j, w) in enumerate(fine) if b != a)[:5]
+                want += collections.Counter((i, rank, j, -s) for rank, (s, j) in enumerate(scored, 1))
+        out = vp_search.nearest(df, F.col("vec_id") % 20 == 0, k=5, least_shards=least).collect()
+        assert collections.Counter((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 10)) for r in out) == want
+
+
 def test_relaxed_search_keeps_recall(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2000, 8)).astype(np.float32)
