@@ -29,20 +29,39 @@ def hash_bucket(hash_column: str, bits: int) -> Column:
     return F.shiftright(F.col(hash_column), 64 - bits) if bits else F.lit(0).cast("long")
 
 
+def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], total: int, how: str = "left", share: int = 512, counts: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each value of the never-null ``keys``.
+
+    A key with more than 1/``share`` of ``total`` rows, the number of ``rows`` or
+    more, is hot, so there are fewer than ``share`` hot keys, whatever the data.
+    Their rows of ``table`` are broadcast; all other keys meet by shuffle, none of
+    them large. ``rows`` should be a stored table, as it is read again for each
+    part. ``counts`` may give the keys' numbers of rows (keys, n), if they are
+    known. The columns are those of ``rows``, then the others of ``table``.
+    """
+    counts = counts if counts is not None else rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    hot = F.broadcast(counts.where(F.col("n") * share > total).select(*keys))  # fewer than ``share`` rows
+    cold = rows.join(hot, keys, "left_anti").join(table, keys, how)
+    return rows.join(hot, keys, "left_semi").join(F.broadcast(table.join(hot, keys, "left_semi")), keys, how).unionByName(cold)
+
+
 def running_sum(df: DataFrame, group: str, bucket: str, order: list, size: Column, out: str) -> DataFrame:
     """Adds the sum of ``size`` over the rows before this one in its group.
 
-    Works in two levels so that no task holds a whole group: buckets are summed
-    first, their running sums are taken over the few bucket rows, and only rows
-    of one bucket are sorted together. ``bucket`` must not fall along ``order``.
+    Works in three levels so that no task holds a whole group: rows are summed by
+    bucket and by span of 4,096 buckets, running sums are taken over the spans of
+    a group, then over the buckets of a span, and only rows of one bucket are
+    sorted together. ``bucket`` is a long and must not fall along ``order``.
     """
     sized = df.withColumn("_size", size)
-    sums = sized.groupBy(group, bucket).agg(F.sum("_size").alias("_sum"))
-    before = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select(
-        F.col(group).alias("_sum_group"), F.col(bucket).alias("_sum_bucket"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base")
-    )
-    inside = Window.partitionBy(group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.unboundedPreceding, -1
+    sums = sized.groupBy(group, bucket).agg(F.sum("_size").alias("_sum")).withColumn("_span", F.shiftright(F.col(bucket), 12))
+    spans = sums.groupBy(F.col(group).alias("_span_group"), F.col("_span").alias("_span_no")).agg(F.sum("_sum").alias("_span_sum"))
+    starts = spans.withColumn("_start", F.coalesce(F.sum("_span_sum").over(Window.partitionBy("_span_group").orderBy("_span_no").rowsBetween(*before)), F.lit(0)))
+    within = F.coalesce(F.sum("_sum").over(Window.partitionBy(group, "_span").orderBy(bucket).rowsBetween(*before)), F.lit(0))
+    bases = sums.withColumn("_within", within).join(starts, (F.col(group) == F.col("_span_group")) & (F.col("_span") == F.col("_span_no")))
+    bases = bases.select(F.col(group).alias("_sum_group"), F.col(bucket).alias("_sum_bucket"), (F.col("_start") + F.col("_within")).alias("_base"))
+    inside = Window.partitionBy(group, bucket).orderBy(*order).rowsBetween(*before)
     joined = sized.join(bases, (F.col(group) == F.col("_sum_group")) & (F.col(bucket) == F.col("_sum_bucket")))
     total = F.col("_base") + F.coalesce(F.sum("_size").over(inside), F.lit(0))
     return joined.withColumn(out, total.cast("long")).drop("_sum_group", "_sum_bucket", "_base", "_size")

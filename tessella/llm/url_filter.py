@@ -1,21 +1,30 @@
 """URL filtering by rules and by a tree of path templates for each host.
 
 Rules name a host and a path prefix; the longest that fits decides. For other
-URLs, each host's paths form a tree by segment. Runs of digits become ``#``;
-the children of a node become one wildcard where there are more than a limit;
-children whose labelled rates do not differ by a two-proportion test are merged
-into a wildcard as well. A template is rejected if its smoothed share of bad
-labelled pages, (bad + strength * prior) / (labelled + strength), is above a
-threshold. A template without labels takes the smoothed share of its nearest
-ancestor that has some, the host at last; only a host without labels is let through.
+URLs, each host's paths form a tree by segment, in which runs of digits become
+``#`` and a node with one child only is one with it. At a node, siblings are
+compared by their shares of bad labelled pages with two-proportion tests. A
+child with fewer labels than a test needs, or alike with all its siblings taken
+together, goes into the wildcard ``*``. Of the others, those that are worse than
+their siblings are compared with each other, and the alike ones go into ``*+``;
+so do those that are better, into ``*-``. What is like none of them keeps its
+name. Merged branches are one from there on. The number of siblings and the
+depth of paths play no part in this.
+
+A template is rejected if its smoothed share of bad labelled pages is above a
+threshold. A node's share is (bad + strength * above) / (labelled + strength),
+above being the share of the node over it and, at the root, a prior; so labels
+reach templates without labels, which have the share of the node over them.
 
 All statistics are sums over distinct (host, path shape) pairs, aggregated
-before the shuffle, so a host with any share of the rows costs no single task.
+before the shuffle, and hot keys meet them by broadcast, so a host with any
+share of the rows costs no single task. Each round of work goes down to the next
+node where paths part, so there are as many as paths branch, not as they are long.
 
 Nulls and odd cases: a null url or one without ``://`` has empty host and path
 and is a host like any other; a null id passes through; repeated rows are judged
-alike and count each time; segments beyond ``depth`` are one segment; an empty
-table gives no row. Only the named columns are read.
+alike and count each time; a literal ``*`` in a path is shown as ``%2A``; an
+empty table gives no row. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -23,6 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.common import hot_join
 from tessella.workspace import Workspace
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -50,42 +60,61 @@ def fitting_rule(rules: tuple[tuple[str, str], ...]) -> Column:
     return F.lit(None).cast("string") if out is None else out
 
 
-def templates(shapes: DataFrame, work: Workspace, depth: int = 8, fanout: int = 24, min_labels: int = 5, z: float = 1.96) -> DataFrame:
-    """host, shape and template for every row of ``shapes`` (host, shape, labelled, bad)."""
-    cut = F.slice(F.split(F.col("shape"), "/"), 2, depth)
-    rest = F.array_join(F.slice(F.split(F.col("shape"), "/"), depth + 2, 1 << 30), "/")
-    segments = F.when(rest == "", cut).otherwise(F.concat(cut, F.array(rest)))
-    tree = work.save(shapes.withColumn("segments", segments).withColumn("template", F.lit("")), "tree")
-    levels = tree.agg(F.max(F.size("segments"))).first()[0] or 0
-    for level in range(levels):
-        here = tree.withColumn("seg", F.get("segments", F.lit(level)))
-        kids = here.where("seg is not null").groupBy("host", "template", "seg").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
-        nodes = kids.groupBy(F.col("host").alias("_h"), F.col("template").alias("_t")).agg(F.count("*").alias("kids"), F.sum("l").alias("ls"), F.sum("b").alias("bs"))
-        both = kids.join(nodes, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")))
-        others, rate = F.col("ls") - F.col("l"), F.col("bs") / F.col("ls")
-        spread = F.sqrt(rate * (1 - rate) * (1 / F.col("l") + 1 / others))
-        apart = F.abs(F.col("b") / F.col("l") - (F.col("bs") - F.col("b")) / others)
-        alike = F.when((F.col("l") >= min_labels) & (others >= min_labels), apart <= z * spread).otherwise(False)
-        wild = both.select(F.col("_h"), F.col("_t"), F.col("seg").alias("_s"), ((F.col("kids") > fanout) | alike).alias("wild"))
-        joined = here.join(wild, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & (F.col("seg") == F.col("_s")), "left")
-        grown = F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(F.col("wild"), F.lit("*")).otherwise(F.col("seg"))))
-        after = work.save(joined.select("host", "shape", "labelled", "bad", "segments", grown.alias("template")), "tree")
-        work.drop(tree)
-        tree = after
-    return tree.select("host", "shape", "labelled", "bad", "template")
-
-
-def purity(tree: DataFrame, prior: float, strength: float, depth: int = 8) -> DataFrame:
-    """host, template and badness of every template of ``tree``, from its own labels or from its nearest labelled ancestor's."""
-    own = tree.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
-    parts = F.split("template", "/")
-    ancestors = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(depth + 1))), lambda k: F.struct(k.alias("k"), F.array_join(F.slice(parts, 1, k), "/").alias("above")))
-    chains = own.select("host", "template", "l", "b", F.inline(ancestors))
-    above = chains.groupBy("host", "above").agg(F.sum("l").alias("ls"), F.sum("b").alias("bs")).where("ls > 0")
-    smoothed = lambda b, l: (F.col(b) + strength * prior) / (F.col(l) + strength)
-    inherited = chains.where("l = 0").join(above, ["host", "above"]).groupBy("host", "template").agg(F.max_by(smoothed("bs", "ls"), "k").alias("inherited"))
-    both = own.join(inherited, ["host", "template"], "left")
-    return both.select("host", "template", F.when(F.col("l") > 0, smoothed("b", "l")).otherwise(F.coalesce("inherited", F.lit(prior))).alias("badness"))
+def _apart(z: float, min_labels: int, labelled: Column, bad: Column) -> Column:
+    """Whether a row's share of bad labels (b of l) differs from that of others; true where these are too few to tell."""
+    rate = (F.col("b") + bad) / (F.col("l") + labelled)
+    spread = F.sqrt(rate * (1 - rate) * (1 / F.col("l") + 1 / labelled))
+    return F.when(labelled < min_labels, True).otherwise(F.abs(F.col("b") / F.col("l") - bad / labelled) > z * spread)
+
+
+def branches(kids: DataFrame, total: int, min_labels: int, z: float) -> DataFrame:
+    """host, template, seg and branch (a wildcard or the segment) for children (host, template, seg, l, b) with enough labels."""
+    node = ["host", "template"]
+    told = kids.where(F.col("l") >= min_labels)
+    sums = kids.groupBy(*node).agg(F.sum("l").alias("ls"), F.sum("b").alias("bs"))
+    rest_l, rest_b = F.col("ls") - F.col("l"), F.col("bs") - F.col("b")
+    first = hot_join(told, sums, node, total).withColumn("apart", _apart(z, min_labels, rest_l, rest_b)).withColumn("worse", F.when(rest_l > 0, F.col("b") / F.col("l") > rest_b / rest_l).otherwise(True))
+    sides = first.where("apart").groupBy(*node, "worse").agg(F.sum("l").alias("side_l"), F.sum("b").alias("side_b"))
+    # the comparison of a side is with its other members; where there is none, the child is apart
+    second = first.join(sides, [*node, "worse"], "left").withColumn("alone", _apart(z, min_labels, F.col("side_l") - F.col("l"), F.col("side_b") - F.col("b")))
+    branch = F.when(~F.col("apart"), F.lit("*")).when(F.col("alone"), F.col("seg")).otherwise(F.when(F.col("worse"), F.lit("*+")).otherwise(F.lit("*-")))
+    return second.select(*node, "seg", branch.alias("branch"))
+
+
+def templates(shapes: DataFrame, work: Workspace, prior: float, strength: float, min_labels: int = 5, z: float = 1.96) -> DataFrame:
+    """host, shape, template and badness for every row of ``shapes`` (host, shape, labelled, bad)."""
+    segments = F.slice(F.split(F.replace(F.col("shape"), F.lit("*"), F.lit("%2A")), "/"), 2, (1 << 31) - 1)
+    open_ = work.save(shapes.select("host", "shape", "labelled", "bad", segments.alias("rest"), F.lit("").alias("template"), F.lit(float(prior)).alias("above")), "tree")
+    settled, total = None, open_.count()
+    while True:
+        nodes = open_.groupBy("host", "template").agg(F.count("*").alias("n"), F.count_if(F.size("rest") == 0).alias("ended"), F.min("rest").alias("lo"), F.max("rest").alias("hi"), F.sum("labelled").alias("ls"), F.sum("bad").alias("bs"))
+        # what the least and the greatest path have in common, all have
+        parts = F.array_position(F.zip_with("lo", "hi", lambda a, b: a.eqNullSafe(b)), False)
+        common = F.when(parts == 0, F.size("lo")).otherwise(parts - 1)
+        nodes = work.save(nodes.select("host", "template", "n", "ended", common.cast("int").alias("common"), "ls", "bs"), "nodes")
+        share = (F.col("bs") + strength * F.col("above")) / (F.col("ls") + strength)
+        here = hot_join(open_, nodes, ["host", "template"], total, counts=nodes.select("host", "template", "n")).withColumn("share", share)
+        done = (F.col("n") == 1) | (F.col("n") == F.col("ended"))
+        longer = lambda part: F.when(F.size(part) > 0, F.concat("template", F.lit("/"), F.array_join(part, "/"))).otherwise(F.col("template"))
+        prefix, left = F.slice("rest", F.lit(1), F.col("common")), F.slice("rest", F.col("common") + 1, F.lit((1 << 31) - 1))
+        stepped = work.save(here.select(
+            "host", "shape", "labelled", "bad", done.alias("done"), "share",
+            F.when(done, longer(F.col("rest"))).otherwise(longer(prefix)).alias("template"),
+            F.get(left, F.lit(0)).alias("seg"), F.slice(left, F.lit(2), F.lit((1 << 31) - 1)).alias("rest"),
+        ), "stepped")
+        work.drop(open_, nodes)
+        finished = stepped.where("done").select("host", "shape", "template", F.col("share").alias("badness"))
+        settled = finished if settled is None else settled.unionByName(finished)
+        going = stepped.where(~F.col("done"))
+        if going.isEmpty():
+            return settled
+        kids = work.save(going.where("seg is not null").groupBy("host", "template", "seg").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b")), "kids")
+        known = work.save(branches(kids, total, min_labels, z), "branches")
+        joined = hot_join(going.where("seg is not null"), known, ["host", "template", "seg"], total)
+        grown = joined.withColumn("template", F.concat("template", F.lit("/"), F.coalesce("branch", F.lit("*")))).drop("branch")
+        both = grown.unionByName(going.where("seg is null"))
+        open_ = work.save(both.select("host", "shape", "labelled", "bad", "rest", "template", F.col("share").alias("above")), "tree")
+        work.drop(kids, known)
 
 
 def judge(df: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, bad: Column | None = None, page_id: str = "page_id", url: str = "url", prior: float = 0.2, strength: float = 5.0, most: float = 0.5, **options) -> DataFrame:
@@ -100,10 +129,9 @@ def judge(df: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, bad: Column
     ruled = parts.withColumn("rule", fitting_rule(rules)).withColumn("told", F.element_at(verdicts, F.col("rule")))
     if bad is None:
         ruled = ruled.withColumn("bad", F.col("told") == "block")
-    shaped = ruled.withColumn("shape", F.regexp_replace("path", "[0-9]+", "#"))
-    shapes = shaped.groupBy("host", "shape").agg(F.count("bad").alias("labelled"), F.count_if("bad").alias("bad"))
-    tree = templates(work.save(shapes, "shapes"), work, **options)
-    known = tree.select("host", "shape", "template").join(purity(tree, prior, strength, options.get("depth", 8)), ["host", "template"])
-    told = shaped.join(known, ["host", "shape"], "left")
+    shaped = work.save(ruled.withColumn("shape", F.regexp_replace("path", "[0-9]+", "#")), "shaped")
+    shapes = work.save(shaped.groupBy("host", "shape").agg(F.count("bad").alias("labelled"), F.count_if("bad").alias("bad"), F.count("*").alias("n")), "shapes")
+    known = templates(shapes.drop("n"), work, prior, strength, **options)
+    told = hot_join(shaped, known, ["host", "shape"], shaped.count(), counts=shapes.select("host", "shape", "n"))
     own = F.when(F.col("badness") > most, "block").otherwise("allow")
-    return told.select("page_id", "host", "path", "rule", F.coalesce("told", own).alias("verdict"), "template", "badness")
+    return work.result(told.select("page_id", "host", "path", "rule", F.coalesce("told", own).alias("verdict"), "template", "badness"))
