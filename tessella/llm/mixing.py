@@ -2,11 +2,18 @@
 
 The words of each source, its documents laid end to end in a seeded order, are
 cut into blocks of fixed length. The mix is a line of slots cut into output
-shards. Slots get their source by a keyed permutation of the list that holds
-each source as often as its target asks, so the counts of a shard follow the
-multinomial law while the totals are exact. The k-th slot of a source takes the
-block that a keyed permutation of the source's block numbers gives for k, and
-slots and blocks are joined by block number.
+shards. Every slot draws its source by a seeded hash with the target weights, so
+the source counts of a shard are a multinomial draw. Over all shards a source is
+then drawn a little more or less often than its target asks, by about the square
+root of the number of its slots. This is corrected: of a source drawn too often,
+slots at even distances along the line go over to the sources drawn too rarely.
+Counts of a shard are thus multinomial but for its share of these few slots, and
+totals are exact. The k-th slot of a source takes the block that a keyed
+permutation of the source's block numbers gives for k, and slots and blocks are
+joined by block number.
+
+Sources are few next to documents: their targets are found in one task and their
+draw table on the driver, which more than ``MOST_SOURCES`` of them would refuse.
 
 Nulls and odd cases: a null text has size 0 and is never taken; a null source is
 a source of its own, last in the order; a source without words has target 0;
@@ -22,8 +29,10 @@ from pyspark.sql import functions as F
 from tessella.llm.common import WORD, as_row, bucket_bits, group_key, hash_bucket, permuted, running_sum
 from tessella.workspace import Workspace
 
-#: Slots are made by two nested ranges, so that no row expands to more than this.
-CHUNK = 4096
+#: Slots that one task makes.
+CHUNK = 1 << 18
+#: Distinct sources that a mix takes: some 100 bytes each where they are gathered.
+MOST_SOURCES = 1_000_000
 
 
 def word_count(text: str) -> Column:
@@ -53,12 +62,69 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), limit: flo
     return levelled.withColumn("_last", last).withColumn("target", F.least(cap, F.col("weight") * F.col("_last"))).drop("_ratio", "_level", "_last")
 
 
-def _counted(df: DataFrame, count: str, out: str) -> DataFrame:
-    """Each row once for every number below its ``count``, in two steps spread over tasks."""
-    coarse = df.where(F.col(count) > 0).withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({count} - 1) div {CHUNK}"))))
-    spread = coarse.repartition(F.col("g"), F.col("_c"))
-    top = F.least(F.col(count), (F.col("_c") + 1) * CHUNK) - 1
-    return spread.withColumn(out, F.explode(F.sequence(F.col("_c") * CHUNK, top))).drop("_c")
+def draw_table(slots: list[int]) -> list[tuple[int, int, int]]:
+    """(cell, cut, other): one of the n cells is drawn evenly, then a point below the sum of ``slots``.
+
+    A point below cut gives the source of the cell's number, any other point the
+    source other. Source i is drawn slots[i] times in sum(slots), exactly.
+    """
+    n, total = len(slots), sum(slots)
+    room, cells = [s * n for s in slots], [None] * n
+    low, high = [i for i in range(n) if room[i] < total], [i for i in range(n) if room[i] >= total]
+    while low and high:
+        i, j = low.pop(), high[-1]
+        cells[i] = (i, room[i], j)
+        room[j] -= total - room[i]
+        if room[j] < total:
+            low.append(high.pop())
+    for i in low + high:
+        cells[i] = (i, total, i)
+    return cells
+
+
+def _slots(spark, sized: DataFrame, shard_slots: int, seed: int, work: Workspace) -> DataFrame:
+    """id, g and i (its number among the slots of its source) of every slot; sized has g and slots."""
+    rows = sized.select("g", "slots").orderBy("g").collect()  # a row for each source, at most MOST_SOURCES
+    names, wanted = [r["g"] for r in rows], [r["slots"] for r in rows]
+    total = sum(wanted)
+    tasks = max(1, -(-total // CHUNK))
+    names_schema, cells = "g string, source long, slots long", "cell long, cut long, other long"
+    known = spark.createDataFrame([(g, i, n) for i, (g, n) in enumerate(zip(names, wanted))], names_schema)
+    table = spark.createDataFrame(draw_table(wanted) if total else [], cells)
+    line = spark.range(0, total, 1, max(tasks, spark.sparkContext.defaultParallelism))
+    cell = F.pmod(F.xxhash64(F.lit(seed), F.lit("cell"), "id"), F.lit(max(1, len(names))))
+    point = F.pmod(F.xxhash64(F.lit(seed), F.lit("point"), "id"), F.lit(max(1, total)))
+    drawn = line.select("id", cell.alias("cell"), point.alias("point")).join(F.broadcast(table), "cell")
+    # bounded by MOST_SOURCES rows, like the table of cells
+    drawn = drawn.select("id", F.when(F.col("point") < F.col("cut"), F.col("cell")).otherwise(F.col("other")).alias("source"), F.expr(f"id div {shard_slots}").alias("shard"))
+    drawn = work.save(drawn, "draws")
+    counts = drawn.groupBy("source", "shard").agg(F.count("*").alias("n")).withColumn("b", F.expr("shard div 1024"))
+    starts = running_sum(counts, "source", "b", ["shard"], F.col("n"), "before").select("source", "shard", "before")
+    place = F.row_number().over(Window.partitionBy("shard", "source").orderBy("id")) - 1
+    numbered = drawn.withColumn("place", place).join(starts, ["source", "shard"]).select("id", "source", (F.col("before") + F.col("place")).alias("i"))
+    numbered = work.save(numbered, "numbered")
+    had = {r["source"]: r["n"] for r in counts.groupBy("source").agg(F.sum("n").alias("n")).collect()}  # a row for each source
+    over, at = [], 0
+    short, short_at = [], 0
+    for source, n in enumerate(wanted):
+        extra = had.get(source, 0) - n
+        over.append((source, had.get(source, 0), max(0, extra), at))
+        at += max(0, extra)
+        if extra < 0:
+            short.append((source, had.get(source, 0), -extra, short_at))
+            short_at -= extra
+    over = spark.createDataFrame(over, "source long, had long, extra long, at long")
+    # the j-th slot given up lies at even distances along the slots of its source
+    gone = F.expr("(i * extra) div had")
+    split = numbered.join(F.broadcast(over), "source").withColumn("gone", gone).withColumn("goes", F.expr("((i + 1) * extra) div had > gone"))
+    stay = split.where("not goes").select("id", "source", (F.col("i") - F.col("gone")).alias("i"))
+    given = split.where("goes").select("id", (F.col("at") + F.col("gone")).alias("j"))
+    gaps = spark.createDataFrame(short, "source long, had long, lacks long, at long")
+    pieces = gaps.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(lacks - 1) div 4096")))).repartition(max(1, -(-short_at // 4096)), "source", "c")
+    filled = pieces.select("source", F.explode(F.sequence(F.col("c") * 4096, F.least(F.col("lacks"), (F.col("c") + 1) * 4096) - 1)).alias("m"), "had", "at")
+    filled = filled.select((F.col("at") + F.col("m")).alias("j"), "source", (F.col("had") + F.col("m")).alias("i"))
+    all_ = stay.unionByName(given.join(filled, "j").select("id", "source", "i"))
+    return all_.join(F.broadcast(known.drop("slots")), "source").select("id", "g", "i")
 
 
 class Mix:
@@ -75,7 +141,9 @@ class Mix:
         slim = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_md5"))
         hashed = slim.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text_md5")).withColumn("g", group_key("source"))
         rows = work.save(hashed, "sizes")
-        sizes = rows.groupBy("g", "source").agg(F.sum("size").alias("source_size"))
+        sizes = work.save(rows.groupBy("g", "source").agg(F.sum("size").alias("source_size")), "source-sizes")
+        if (found := sizes.count()) > MOST_SOURCES:
+            raise ValueError(f"{found} sources; a mix takes {MOST_SOURCES}")
         self.sources = sources = work.save(targets(sizes, weights, limit), "sources")
         bits = bucket_bits(rows.count())
         placed = running_sum(rows.withColumn("b", hash_bucket("h", bits)), "g", "b", ["h", "doc_id", "text_md5"], F.col("size"), "first")
@@ -89,16 +157,14 @@ class Mix:
             .withColumn("tail", F.col("source_size") - (F.col("blocks") - 1) * block)
             # one slot more than the rest needs, for the short last block may be among them
             .withColumn("slots", F.col("epochs") * F.col("blocks") + F.when(F.col("rest") > 0, F.least(F.col("blocks"), F.expr(f"(rest + {block - 1}) div {block}") + 1)).otherwise(0))
-            .withColumn("base", F.coalesce(F.sum("slots").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-            .withColumn("all_slots", F.sum("slots").over(Window.partitionBy()))
         )
+        sized = work.save(sized.drop("weight", "target"), "sized")
         drawn = (
-            _counted(sized, "slots", "i")
+            _slots(df.sparkSession, sized, shard_slots, seed, work).join(F.broadcast(sized), "g")
             .withColumn("epoch", F.expr("i div blocks")).withColumn("k", F.expr("i % blocks"))
             .withColumn("block", permuted(F.col("k"), F.col("blocks"), F.xxhash64(F.lit(seed), "g", "epoch")))
-            .withColumn("place", permuted(F.col("base") + F.col("i"), F.col("all_slots"), F.lit(seed)))
             .withColumn("block_size", F.when(F.col("block") == F.col("blocks") - 1, F.col("tail")).otherwise(F.lit(block)))
-            .withColumn("shard", F.expr(f"place div {shard_slots}")).withColumn("slot", F.expr(f"place % {shard_slots}"))
+            .withColumn("shard", F.expr(f"id div {shard_slots}")).withColumn("slot", F.expr(f"id % {shard_slots}"))
         )
         drawn = work.save(drawn.select("g", "epoch", "epochs", "k", "block", "block_size", "rest", "shard", "slot"), "drawn")
         # the rest is taken in the order of k; only the short block shifts the words before a slot

@@ -465,6 +465,32 @@ def test_mix_by_brute_force(spark, docs, empty):
     assert mixing.mix_sources(docs).count() == len(odd_rows()) and mixing.mix_sources(empty).count() == 0
 
 
+def test_draw_table_is_exact():
+    for slots in ([5], [3, 3], [1, 2, 3, 0], [1000, 1, 1], [7, 7, 7, 7, 7], [0, 9]):
+        n, total, got = len(slots), sum(slots), collections.Counter()
+        for cell, cut, other in mixing.draw_table(slots):
+            got[cell] += cut
+            got[other] += total - cut
+        assert [got[i] for i in range(n)] == [s * n for s in slots]
+
+
+def test_shards_draw_multinomial_counts(spark):
+    """Counts of a shard vary as independent draws do, are not fixed shares, and totals are exact."""
+    rows = [(i, "w " * 3200, "en", "abc"[i % 3], 1) for i in range(60)]
+    mix = mixing.Mix(spark.createDataFrame(rows, DOCS), block=16, shard_slots=50)
+    slots = mix.slots.collect()
+    targets = {r["g"]: r["target"] for r in mix.sources.collect()}
+    taken = collections.Counter()
+    for s in slots:
+        taken[s["g"]] += s["take"]
+    assert all(taken[g] == math.floor(t + 1e-9) for g, t in targets.items())
+    shards = max(s["shard"] for s in slots)  # but for the last, which may be short
+    share = targets["va"] / sum(targets.values())
+    counts = np.bincount([s["shard"] for s in slots if s["g"] == "va" and s["shard"] < shards], minlength=shards)
+    ratio = counts.var() / (50 * share * (1 - share))
+    assert len(counts) > 200 and 0.7 < ratio < 1.4 and abs(counts.mean() / 50 - share) < 0.02
+
+
 # -------------------------------------------------------------------- vectors
 def vector_rows():
     rng = np.random.default_rng(7)
