@@ -10,10 +10,15 @@ is concentrated about the Jaccard similarity.
 Candidates: documents with equal shingle sets are one class from the start.
 Bands of four coordinates put class representatives into buckets. First each
 member of a bucket is checked against the bucket's first member. What these
-links leave apart in a bucket is then checked pair by pair, but for pairs whose
-sketches agree in fewer coordinates than 4.5 standard deviations below the
-threshold allow. All checks use the full shingle sets. Components are found
-without collecting links.
+links leave apart in a bucket is then checked pair by pair. Pairs whose sketches
+agree in fewer coordinates than 4.5 standard deviations below the threshold are
+screened out, in both steps, before any text moves; all others are checked on
+their full shingle sets. Components are found without collecting links.
+
+In the second step a bucket's largest component need not be compared with
+itself. Its other members are dealt to parts of bounded size, each of which meets
+all members in shares of bounded size, so no task holds a bucket, and a bucket
+with few such members is sent on once.
 
 Nulls and odd cases: a null text, an empty one and one of white space have no
 shingle and link with nothing; a text with fewer words than a shingle has its
@@ -35,14 +40,14 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import as_row
+from tessella.llm.common import as_row, hot_join
 from tessella.llm.components import connected_components
 from tessella.workspace import Workspace
 
 BINS = 256
 BANDS, ROWS = 32, 4
-#: Spokes of a hub, and members of a bucket, that one group of rows holds.
-SETS, SKETCHES = 256, 512
+#: Spokes of a hub, members outside of a bucket's largest component, and members of any kind that one group of rows has, about.
+SETS, SKETCHES, SHARE = 256, 512, 8192
 _U = np.uint64
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -137,8 +142,7 @@ def _describe(width: int):
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     packer = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        packed = [packer.compress(cell.as_py()) for cell in batch.column(2)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc_id", "md5", "packed"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([packer.compress(cell.as_py()) for cell in batch.column(1)], pa.binary())], names=["id", "packed"])
 
 
 class _Union(dict):
@@ -179,72 +183,191 @@ def _verify(width: int, percent: int):
     return run
 
 
-def _apart(width: int, least_equal: int, percent: int):
-    """Links between members of one bucket (or of two blocks of it) that lie in different components.
+def _near_hub(least_equal: int, percent: int):
+    """The spokes whose sketches allow a link with their hub; rows come sorted by hub and part, the hub's own first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, center, size = None, None, 0
+        for batch in batches:
+            hubs, parts, ids, sizes = (batch.column(i).to_numpy() for i in range(4))
+            marks = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.uint8).reshape(-1, BINS)
+            keep = np.zeros(len(ids), dtype=bool)
+            cuts = np.nonzero((np.diff(hubs) != 0) | (np.diff(parts) != 0))[0] + 1
+            for a, b in zip([0, *cuts], [*cuts, len(ids)]) if len(ids) else ():
+                if (hubs[a], parts[a]) != group:
+                    group, center, size = (hubs[a], parts[a]), marks[a], sizes[a]
+                alike = (marks[a:b] == center).sum(axis=1) >= least_equal
+                keep[a:b] = alike & (100 * np.minimum(sizes[a:b], size) >= percent * np.maximum(sizes[a:b], size)) & (ids[a:b] != hubs[a])
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (hubs, parts, ids)], names=["hub", "part", "id"])
+
+    return run
 
-    Only pairs whose sketches allow a link are compared, each in the first band
-    that its two members share; a pair is passed over once its components are
-    known to be one. Pairs never leave the task, links do.
-    """
 
-    def links(rows: dict, words: Words, unpack: zstandard.ZstdDecompressor) -> Iterator[tuple[int, int]]:
-        n, union, sets = len(rows["id"]), _Union(), {}
-        marks = np.frombuffer(b"".join(rows["marks"]), dtype=np.uint8).reshape(n, BINS)
-        bands = np.asarray(rows["bands"], dtype=np.int64).reshape(n, BANDS)
-        ids, comps, sizes, blocks = (np.asarray(rows[c], dtype=np.int64) for c in ("id", "comp", "n_shingles", "block"))
-        own = int(np.nonzero(bands[0] == rows["key"][0])[0][0])
-        left, right = np.nonzero(blocks == rows["i"][0])[0], np.nonzero(blocks == rows["j"][0])[0]
-
-        def items(i: int) -> np.ndarray:
-            if i not in sets:
-                sets[i] = shingles(unpack.decompress(rows["packed"][i]), words, width)
-            return sets[i]
-
-        for p in left:
-            q = right[(ids[right] > ids[p]) if rows["i"][0] == rows["j"][0] else slice(None)]
-            q = q[(comps[q] != comps[p]) & (100 * np.minimum(sizes[q], sizes[p]) >= percent * np.maximum(sizes[q], sizes[p]))]
-            q = q[(marks[q] == marks[p]).sum(axis=1) >= least_equal]
-            q = q[~(bands[q, :own] == bands[p, :own]).any(axis=1)]
-            for s in q:
-                one, two = union.root(int(comps[p])), union.root(int(comps[s]))
-                if one != two and linked(items(p), items(s), percent):
-                    union[one] = two
-                    yield ids[p], ids[s]
+class Members:
+    """Some members of a bucket: their sketches and, where texts came with them, their shingle sets as needed."""
+
+    def __init__(self, columns: dict, words: Words, width: int):
+        self.ids, self.comps, self.sizes = (columns[c] for c in ("id", "comp", "n_shingles"))
+        self.marks = np.frombuffer(b"".join(columns["marks"]), dtype=np.uint8).reshape(-1, BINS)
+        self.bands = columns["bands"].reshape(-1, BANDS)
+        self.packed, self.words, self.width, self._sets = columns.get("packed"), words, width, {}
+
+    def items(self, i: int) -> np.ndarray:
+        if i not in self._sets:
+            self._sets[i] = shingles(zstandard.decompress(self.packed[i]), self.words, self.width)
+        return self._sets[i]
+
+    def partners(self, p: int, others: Members, band: int, least_equal: int, percent: int) -> np.ndarray:
+        """Places in ``others`` of what may link with member p, in another component and in no band before this one."""
+        q = np.nonzero((others.comps != self.comps[p]) & (100 * np.minimum(others.sizes, self.sizes[p]) >= percent * np.maximum(others.sizes, self.sizes[p])))[0]
+        q = q[(others.marks[q] == self.marks[p]).sum(axis=1) >= least_equal]
+        return q[~(others.bands[q, :band] == self.bands[p, :band]).any(axis=1)]
+
+
+def _meet(least_equal: int, percent: int, width: int, check: bool):
+    """Compares the own members of a group with each other, in its first share, and with all its other members.
+
+    Rows come sorted by key, part, share and not own. Without ``check``, gives
+    the rows of members that may have a link in the group: all its columns up to
+    comp. With it, texts come along, and links are found on full sets, but for
+    pairs whose components other links of the group connect.
+    """
+    place = ("key", "part", "share", "own", "id", "comp")
+    names = (*place, "n_shingles", "bands", "marks", *(("packed",) if check else ()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, group, held = ("key", "i", "j", "block", "id", "comp", "n_shingles", "bands", "marks", "packed"), None, None
-        words, unpack = Words(), zstandard.ZstdDecompressor()
+        words, group, parts, own, union = Words(), None, [], None, _Union()
+        hopeful: set[int] = set()
+
+        def columns(batch: pa.RecordBatch, a: int, b: int) -> dict:
+            out = {}
+            for name in names:
+                cells = batch.column(batch.schema.get_field_index(name)).slice(a, b - a)
+                out[name] = cells.flatten().to_numpy() if name == "bands" else cells.to_pylist() if name in ("marks", "packed") else cells.to_numpy(zero_copy_only=False)
+            return out
 
-        def flush() -> pa.RecordBatch:
-            found = np.array(list(links(held, words, unpack)) if len(set(held["comp"])) > 1 else [], dtype=np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+        def compared(left: Members, right: Members, within: bool) -> Iterator[tuple[int, int]]:
+            band = int(np.nonzero(left.bands[0] == group[0])[0][0])
+            for p in range(len(left.ids)):
+                q = left.partners(p, right, band, least_equal, percent)
+                for s in q[q > p] if within else q:
+                    if not check:
+                        yield p, s
+                        continue
+                    one, two = union.root(int(left.comps[p])), union.root(int(right.comps[s]))
+                    if one != two and linked(left.items(p), right.items(s), percent):
+                        union[one] = two
+                        yield p, s
+
+        def told(left: Members, right: Members, pairs: list[tuple[int, int]]) -> pa.RecordBatch | None:
+            if check:
+                return pa.RecordBatch.from_arrays([pa.array([int(m.ids[i]) for i in side], pa.int64()) for m, side in zip((left, right), zip(*pairs))], names=["a", "b"]) if pairs else None
+            hopeful.update(p for p, _ in pairs)
+            if left is right:
+                hopeful.update(s for _, s in pairs)
+                return None
+            at = sorted({int(s) for _, s in pairs})
+            return rows(right, at, False) if at else None
+
+        def rows(members: Members, at: list[int], mine: bool) -> pa.RecordBatch:
+            n = len(at)
+            fixed = [pa.array([group[0]] * n, pa.int64()), pa.array([group[1]] * n, pa.int64()), pa.array([group[2]] * n, pa.int64()), pa.array([mine] * n, pa.bool_())]
+            return pa.RecordBatch.from_arrays([*fixed, pa.array(members.ids[at]), pa.array(members.comps[at])], names=list(place))
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal own
+            if own is None and parts:
+                own = Members({c: [v for part in parts for v in part[c]] if c in ("marks", "packed") else np.concatenate([part[c] for part in parts]) for c in names}, words, width)
+                parts.clear()
+                if group[2] == 0:
+                    found = told(own, own, list(compared(own, own, True)))
+                    if found:
+                        yield found
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            nonlocal own, union
+            yield from close()
+            if own is not None and hopeful:
+                yield rows(own, sorted(map(int, hopeful)), True)
+            own, union = None, _Union()
+            hopeful.clear()
 
         for batch in batches:
-            for row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names), strict=True):
-                if row[:3] != group:
-                    if held:
-                        yield flush()
-                    group, held = row[:3], {c: [] for c in names}
-                for c, v in zip(names, row, strict=True):
-                    held[c].append(v)
-        if held:
-            yield flush()
+            if not batch.num_rows:
+                continue
+            key, part, share, mine = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in place[:4])
+            cuts = np.nonzero((np.diff(key) != 0) | (np.diff(part) != 0) | (np.diff(share) != 0) | (np.diff(mine.astype(np.int8)) != 0))[0] + 1
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+                if (key[a], part[a], share[a]) != group:
+                    yield from finish()
+                    group = (int(key[a]), int(part[a]), int(share[a]))
+                if mine[a]:
+                    parts.append(columns(batch, a, b))
+                    continue
+                yield from close()
+                if own is not None:
+                    others = Members(columns(batch, a, b), words, width)
+                    found = told(own, others, list(compared(own, others, False)))
+                    if found:
+                        yield found
+        yield from finish()
 
     return run
 
 
-def _spoke_links(work: Workspace, spokes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _texts(work: Workspace, docs: DataFrame, sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and compressed text of the sets with these ids."""
+    sought = sets.join(ids, "id", "left_semi").select("id", F.col("place.doc_id").alias("_doc"), F.col("place.md5").alias("_md5"))
+    found = docs.join(sought, (F.col("md5") == F.col("_md5")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
+    # repeated rows have one text
+    return work.save(found.select("id", "text").mapInArrow(_compress, "id bigint, packed binary"), "texts")
+
+
+def _spoke_links(work: Workspace, spokes: DataFrame, sets: DataFrame, docs: DataFrame, width: int, least_equal: int, percent: int) -> DataFrame:
     """Links among spokes (hub, id).
 
     The spokes of a hub are dealt to groups of about SETS members, so that a
     hub's text is sent once to a group, not once for each of its spokes.
     """
-    degrees = spokes.groupBy("hub").agg(F.ceil(F.count("*") / SETS).alias("groups")).withColumnRenamed("hub", "_hub")
-    dealt = work.save(spokes.join(degrees, F.col("hub") == F.col("_hub")).select("hub", F.pmod(F.xxhash64("id"), F.col("groups")).alias("part"), "id"), "spokes")
-    wanted = dealt.unionByName(dealt.select("hub", "part", F.col("hub").alias("id")).distinct())
-    rows = wanted.join(texts, "id").select("hub", "part", "id", "packed")
-    grouped = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("id") != F.col("hub"))
-    return work.save(grouped.mapInArrow(_verify(width, percent), "a bigint, b bigint"), "spoke-links")
+    spokes = work.save(spokes, "spokes")
+    degrees = work.save(spokes.groupBy("hub").agg(F.count("*").alias("n")), "degrees")
+    groups = degrees.select("hub", F.ceil(F.col("n") / SETS).alias("groups"))
+    dealt = hot_join(spokes, groups, ["hub"], spokes.count(), counts=degrees).select("hub", F.pmod(F.xxhash64("id"), F.col("groups")).alias("part"), "id")
+
+    def gathered(pairs: DataFrame, table: DataFrame) -> DataFrame:
+        wanted = pairs.unionByName(pairs.select("hub", "part", F.col("hub").alias("id")).distinct())
+        rows = wanted.join(table, "id").select("hub", "part", *table.columns)
+        return rows.repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("id") != F.col("hub"))
+
+    sketches = gathered(work.save(dealt, "dealt"), sets.select("id", "n_shingles", "marks"))
+    near = work.save(sketches.mapInArrow(_near_hub(least_equal, percent), "hub bigint, part bigint, id bigint"), "near-hubs")
+    texts = _texts(work, docs, sets, near.select("id").unionByName(near.select(F.col("hub").alias("id"))).distinct())
+    return work.save(gathered(near, texts).mapInArrow(_verify(width, percent), "a bigint, b bigint"), "spoke-links")
+
+
+def _loose_links(work: Workspace, placed: DataFrame, sets: DataFrame, docs: DataFrame, width: int, least_equal: int, percent: int) -> DataFrame:
+    """Links between members of one bucket that lie in different components; placed has key, id and comp."""
+    per = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    mixed = per.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.max("c").alias("top"), F.sum("c").alias("n"), F.count("*").alias("kinds")).where("kinds > 1")
+    mixed = work.save(mixed, "mixed")
+    loose = hot_join(placed, mixed.drop("kinds"), ["key"], placed.count(), "inner", counts=mixed.select("key", "n"))
+    long = lambda v: F.lit(v).cast("long")
+    parts, shares = F.ceil((F.col("n") - F.col("top")) / SKETCHES), F.ceil(F.col("n") / SHARE)
+    block = F.when(F.col("comp") != F.col("major"), F.pmod(F.xxhash64("id"), parts)).otherwise(parts)  # the largest component's members are own to no part
+    share = F.pmod(F.xxhash64(F.lit(7), "id"), shares)
+    own = F.when(F.col("block") < parts, F.transform(F.sequence(long(0), shares - 1), lambda s: F.struct(F.col("block").alias("part"), s.alias("share"), F.lit(True).alias("own"))))
+    met = F.when(F.col("block") > 0, F.transform(F.sequence(long(0), F.col("block") - 1), lambda i: F.struct(i.alias("part"), share.alias("share"), F.lit(False).alias("own"))))
+    none = F.array().cast("array<struct<part:bigint,share:bigint,own:boolean>>")
+    at = loose.withColumn("block", block).withColumn("at", F.concat(F.coalesce(own, none), F.coalesce(met, none)))
+    sketches = sets.select("id", "n_shingles", "bands", "marks")
+    dealt = at.select("key", "id", "comp", "at").join(sketches, "id").select("key", F.inline("at"), "id", "comp", "n_shingles", "bands", "marks")
+    order = ["key", "part", "share", ~F.col("own")]
+    place = "key bigint, part bigint, share bigint, own boolean, id bigint, comp bigint"
+    hopeful = dealt.repartition("key", "part", "share").sortWithinPartitions(*order).mapInArrow(_meet(least_equal, percent, width, False), place)
+    hopeful = work.save(hopeful, "hopeful")
+    texts = _texts(work, docs, sets, hopeful.select("id").distinct())
+    whole = hopeful.join(sketches, "id").join(texts, "id").select("key", "part", "share", "own", "id", "comp", "n_shingles", "bands", "marks", "packed")
+    return work.save(whole.repartition("key", "part", "share").sortWithinPartitions(*order).mapInArrow(_meet(least_equal, percent, width, True), "a bigint, b bigint"), "loose-links")
 
 
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75, width: int = 5) -> DataFrame:
@@ -258,49 +381,43 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     rows = work.save(docs.mapInArrow(_describe(width), f"doc_id {kind}, md5 string, n_shingles bigint, set_id binary, bands array<bigint>, marks binary"), "described")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "md5")
     first = {c: F.first(c).alias(c) for c in ("n_shingles", "bands", "marks")}
-    sets = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min(place).alias("place"), *first.values())
+    sets = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min(place).alias("place"), F.count("*").alias("n"), *first.values())
     sets = work.save(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
     members = work.save(rows.select("doc_id", "md5", "n_shingles", "set_id"), "rows")
     work.drop(rows)
+    p = percent / 100
+    # two coordinates that differ still agree in their low byte once in 256 times, which only lets more pairs through
+    least_equal = int(BINS * (p - 4.5 * (p * (1 - p) / BINS) ** 0.5))
 
     banded = sets.select("id", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("m")).where("m > 1")
-    shared = work.save(banded.join(buckets, "key"), "buckets")
+    buckets = work.save(banded.groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    shared = work.save(hot_join(banded, buckets.drop("n"), ["key"], sets.count() * BANDS, "inner", counts=buckets.select("key", "n")), "shared")
     spokes = shared.where("id != first_id").select(F.col("first_id").alias("hub"), "id").distinct()
-    busy = shared.select("id").distinct()
-    sought = sets.join(busy, "id", "left_semi").select("id", F.col("place.doc_id").alias("_doc"), F.col("place.md5").alias("_md5"))
-    packed = docs.where(F.length("text") > 0).select("doc_id", "md5", "text").mapInArrow(_compress, f"doc_id {kind}, md5 string, packed binary")
-    texts = work.save(packed.join(sought, (F.col("md5") == F.col("_md5")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).select("id", "packed"), "texts")
-
-    links = _spoke_links(work, spokes, texts, width, percent)
+    links = _spoke_links(work, spokes, sets, docs, width, least_equal, percent)
     label = work.save(connected_components(work, links), "labels")
 
     def labelled(table: DataFrame, column: str, out: str) -> DataFrame:
         joined = table.join(label.select(F.col("node").alias("_node"), F.col("label").alias("_label")), F.col(column) == F.col("_node"), "left")
         return joined.withColumn(out, F.coalesce("_label", column)).drop("_node", "_label")
 
-    placed = work.save(labelled(shared.select("key", "id", "m"), "id", "comp"), "placed")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    loose = placed.join(mixed, "key", "left_semi").join(sets.select("id", "n_shingles", "bands", "marks"), "id").join(texts, "id")
-    blocks = F.ceil(F.col("m") / SKETCHES)
-    block = loose.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    dealt = block.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp", "n_shingles", "bands", "marks", "packed")
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    p = percent / 100
-    # two coordinates that differ still agree in their low byte once in 256 times, which only lets more pairs through
-    least_equal = int(BINS * (p - 4.5 * (p * (1 - p) / BINS) ** 0.5))
-    more = work.save(dealt.mapInArrow(_apart(width, least_equal, percent), "a bigint, b bigint"), "apart-links")
+    placed = work.save(labelled(shared.select("key", "id"), "id", "comp"), "placed")
+    more = _loose_links(work, placed, sets, docs, width, least_equal, percent)
     over = labelled(labelled(more, "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     upper = work.save(connected_components(work, over), "upper").select(F.col("node").alias("comp"), F.col("label").alias("top"))
 
-    final = labelled(sets.select("id", "set_id", "place"), "id", "comp").join(upper, "comp", "left").select("set_id", "place", F.coalesce("top", "comp").alias("comp"))
-    heads = final.groupBy("comp").agg(F.min("place").alias("head"))
-    known = final.join(heads, "comp").select("set_id", F.col("head.doc_id").alias("head_doc"), F.col("head.md5").alias("head_md5"))
-    out = members.join(known, "set_id", "left")
-    alone = F.col("n_shingles") == 0
-    component = F.when(alone, F.col("doc_id")).otherwise(F.col("head_doc"))
-    stays = alone | (F.col("doc_id").eqNullSafe(F.col("head_doc")) & (F.col("md5") == F.col("head_md5")))
-    return work.result(out.select("doc_id", "md5", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), stays.alias("stays")))
+    total = members.count()
+    lower = work.save(labelled(sets.select("id", "set_id", "place", "n"), "id", "comp"), "lower")
+    final = work.save(hot_join(lower, upper, ["comp"], total).select("set_id", "place", "n", F.coalesce("top", "comp").alias("comp")), "final")
+    heads = work.save(final.groupBy("comp").agg(F.min("place").alias("head"), F.count("*").alias("n")), "heads")
+    known = hot_join(final.drop("n"), heads.drop("n"), ["comp"], total, counts=heads.select("comp", "n"))
+    known = work.save(known.select("set_id", F.col("head.doc_id").alias("head_doc"), F.col("head.md5").alias("head_md5")), "known")
+    some = members.where("n_shingles > 0")
+    out = hot_join(some, known, ["set_id"], total, counts=final.select("set_id", "n"))
+    stays = F.col("doc_id").eqNullSafe(F.col("head_doc")) & (F.col("md5") == F.col("head_md5"))
+    out = out.select("doc_id", "md5", "n_shingles", F.col("head_doc").alias("component_id"), stays.alias("stays"))
+    alone = members.where("n_shingles = 0").select("doc_id", "md5", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
+    both = out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return work.result(both.select("doc_id", "md5", "n_shingles", "component_id", "kept", "stays"))
 
 
 def near_duplicates(df: DataFrame, **options) -> DataFrame:

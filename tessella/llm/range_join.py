@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.common import hot_join
 from tessella.llm.components import connected_components
 from tessella.llm.vectors import matrix, usable
 from tessella.workspace import Workspace
@@ -198,10 +199,14 @@ def classes(df: DataFrame, cosine: float = 0.9, vec_id: str = "vec_id", embeddin
     found = work.save(dealt.mapInArrow(_join(cosine), "a bigint, b bigint, n bigint"), "found")
     label = connected_components(work, found.where("n is null").select("a", "b"))
     named = kinds.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    heads = named.groupBy("label").agg(F.min("head").alias("component"))
+    named = work.save(named, "named")
+    heads = work.save(named.groupBy("label").agg(F.min("head").alias("component"), F.count("*").alias("n")), "heads")
     links = found.where("n is not null").select(F.col("a").alias("id"), "n")
-    told = named.join(heads, "label").join(links, "id").select(F.col("x").alias("_x"), (F.col("n") + F.col("w") - 1).alias("_links"), "component")
-    joined = rows.where("ok").join(told, F.col("x") == F.col("_x")).select("vec_id", F.col("_links").alias("n_links"), F.col("component").alias("component_id"))
+    told = hot_join(named, heads.drop("n"), ["label"], n, "inner", counts=heads.select("label", "n")).join(links, "id")
+    told = work.save(told.select("x", (F.col("n") + F.col("w") - 1).alias("n_links"), F.col("component").alias("component_id")), "told")
+    total = kinds.agg(F.sum("w")).first()[0] or 0
+    joined = hot_join(rows.where("ok").select("vec_id", "x"), told, ["x"], total, "inner", counts=kinds.select("x", F.col("w").alias("n")))
+    joined = joined.select("vec_id", "n_links", "component_id")
     alone = rows.where(~F.col("ok")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     both = joined.unionByName(alone)
     return work.result(both.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))))

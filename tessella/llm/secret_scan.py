@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.common import hot_join
 from tessella.workspace import Workspace
 
 # The patterns of the base kinds and of the added kinds.
@@ -144,9 +145,9 @@ def secret_scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", repo:
     keep = {"doc_id": F.col(doc_id), "repo": F.col(repo), "owner": F.col(owner)}
     found = work.save(scan(df, text, keep).withColumn("row", F.monotonically_increasing_id()), "scanned")
     candidates = found.where(F.size("found") > 0).select("row", "repo", "owner", F.explode("found").alias("c")).select("row", "repo", "owner", "c.hash", "c.random")
-    known = ownership(candidates, "repo", "owner")
+    known = work.save(ownership(candidates, "repo", "owner"), "ownership")
     judged = (
-        candidates.select("row", "hash", "random").join(known, "hash")
+        hot_join(candidates.select("row", "hash", "random"), known, ["hash"], candidates.count(), "inner")
         .groupBy("row").agg(
             F.count_if(is_example(example_owners, example_repos)).alias("n_example"),
             F.count_if(~is_example(example_owners, example_repos) & F.col("random")).alias("n_live"),
@@ -199,8 +200,8 @@ def redacted(df: DataFrame, text: str = "text", repo: str = "doc_id", owner: str
     dirty = named.mapInArrow(_only(True), named.schema)
     found = work.save(scan(dirty, "_text", {c: F.col(c) for c in columns} | {"repo": F.col("_repo"), "owner": F.col("_owner"), "_body": F.col("_text")}).withColumn("row", F.monotonically_increasing_id()), "scanned")
     candidates = found.select("row", "repo", "owner", F.explode("found").alias("c"))
-    known = ownership(candidates.select("c.hash", "repo", "owner"), "repo", "owner")
-    judged = candidates.withColumn("hash", F.col("c.hash")).join(known, "hash")
+    known = work.save(ownership(candidates.select("c.hash", "repo", "owner"), "repo", "owner"), "ownership")
+    judged = hot_join(candidates.select("row", "c", F.col("c.hash").alias("hash")), known, ["hash"], candidates.count(), "inner")
     span = F.struct(F.col("c.kind").alias("kind"), F.col("c.start").alias("start"), F.col("c.end").alias("end"), is_example(example_owners, example_repos).alias("example"))
     spans = judged.groupBy("row").agg(F.collect_list(span).alias("_spans"))
     kept = [*columns, F.col("_body").alias("_text"), "_spans"]

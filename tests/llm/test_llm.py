@@ -189,6 +189,22 @@ def test_chains_of_near_copies(spark):
     assert got == brute_components(rows)
 
 
+def test_buckets_in_many_parts(spark, monkeypatch):
+    """Buckets with members of several components, cut into small parts and shares."""
+    monkeypatch.setattr(near_dedup, "SETS", 4)
+    monkeypatch.setattr(near_dedup, "SKETCHES", 3)
+    monkeypatch.setattr(near_dedup, "SHARE", 5)
+    rng, base, rows = np.random.default_rng(12), sentence(77, 200).split(), []
+    for i in range(150):
+        words = list(base)
+        for _ in range(int(rng.integers(3, 12))):
+            words[rng.integers(len(words))] = f"v{rng.integers(10**6)}"
+        rows.append((i, " ".join(words), "en", "a", 1))
+    got = collections.Counter(tuple(r) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect())
+    want = brute_components(rows)
+    assert got == want and 5 < len({c for _, _, c, _ in want}) < 140
+
+
 def test_deduplicated_keeps_one(docs, empty):
     kept = near_dedup.deduplicated(docs)
     ids = collections.Counter(r["doc_id"] for r in kept.select("doc_id").collect())
