@@ -1,0 +1,12 @@
+import pytest
+
+
+@pytest.fixture(autouse=True, scope="package")
+def quick_plans(spark):
+    """Small tables spend their time on compiling plans, so these tests interpret them."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.codegen.wholeStage", "spark.sql.codegen.factoryMode")}
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+    spark.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
+    yield
+    for key, value in before.items():
+        spark.conf.set(key, value)

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -68,3 +69,30 @@ def test_packing_is_gapless(stages):
 
 def test_run_gives_the_same_rows(spark, stages):
     assert corpus_pipeline.run(spark, SF).count() == stages[5].count()
+
+
+def test_odd_rows_and_names_pass_through_every_stage(spark, stages):
+    some = [tuple(r) for r in stages[0].orderBy("doc_id").limit(40).collect()]
+    text = some[0][1]
+    odd = [(1001, None, "en", "a", None), (1002, "", None, "a", 0), (1003, " \n", "en", None, 2), (1004, "12 34", "en", "a", 5), (None, text + " and more of it", None, None, None), (None, text + " and more of it", None, None, None), (1005, text, "en", "b", 1), (1006, text + " token = abcd1234efgh5678 done", "en", "b", 1), (1007, (text + " ") * 300, "en", "b", 1), some[1], some[1]]
+    docs = spark.createDataFrame(some + odd, stages[0].schema)
+    docs = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(("row", "score", "md5", "g", "h", "hash", "part", "key", "n", "size", "found", "own_id", "explained", "languages"))])
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        after, none = stage(spark, docs, SF), stage(spark, empty, SF)
+        assert none.count() == 0
+        if name != "packing":
+            assert after.columns == docs.columns and none.columns == docs.columns
+            rows = after.collect()
+            assert rows and {r["languages"] for r in rows} == {13}
+            if name == "language":
+                assert not {1001, 1002, 1003, 1004} & {r["doc_id"] for r in rows} and all(r["lang"] for r in rows)
+                assert sum(r["doc_id"] is None for r in rows) == 2
+            if name == "near duplicates":
+                assert len({(r["doc_id"], r["text"]) for r in rows}) == len(rows)
+            if name == "secrets":
+                assert not any(secret_scan.find_spans(r["text"].encode()) for r in rows)
+            docs = Workspace(spark, "test").save(after, "stage")
+        else:
+            tokens = after.agg(F.sum("length")).first()[0]
+            assert tokens > docs.count()
