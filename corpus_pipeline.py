@@ -2,6 +2,15 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it
 has kept. All but the last return the columns of documents.
+
+Nulls and odd cases: a null or empty text, or one without a letter, has no
+language and goes in the first stage, so the later ones see texts only, but they
+take such rows too: they are no one's copy, hold no secret, give no words to the
+mixture and are packed as their end token. Rows with null ids stay apart from
+each other; of rows equal in id and text one stays. A null lang is filled in, a
+null source is a source of its own, and a null n_chars of a text is counted.
+Extra columns of any name pass through up to the mixture. Texts of any length
+are read whole. An empty table gives no row in any stage.
 """
 
 from __future__ import annotations
@@ -10,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import language_id, mixing, near_dedup, packing, secret_scan
-from tessella.workspace import Workspace
+from tessella.workspace import Workspace, released
 
 #: A document without letters, or whose main language has a smaller share than this, is rejected as having no language of its own.
 LEAST_SHARE = 1 / 3
@@ -36,6 +45,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with a marker in place of each secret found in its text."""
     cleaned = secret_scan.redacted(docs)
+    if "n_chars" not in docs.columns:
+        return cleaned
     return cleaned.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
 
 
@@ -66,5 +77,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = work.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with released():  # a stage's scratch tables go once its result is written
+            docs = work.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
