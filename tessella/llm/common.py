@@ -34,13 +34,18 @@ def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], total: int, how
 
     A key with more than 1/``share`` of ``total`` rows, the number of ``rows`` or
     more, is hot, so there are fewer than ``share`` hot keys, whatever the data.
-    Their rows of ``table`` are broadcast; all other keys meet by shuffle, none of
-    them large. ``rows`` should be a stored table, as it is read again for each
-    part. ``counts`` may give the keys' numbers of rows (keys, n), if they are
-    known. The columns are those of ``rows``, then the others of ``table``.
+    They are fetched, and their rows of ``table`` are broadcast; all other keys
+    meet by shuffle, none of them large. ``rows`` should be a stored table, as it
+    is read for both parts. ``counts`` may give the keys' numbers of rows (keys,
+    n), if they are known. The columns are those of ``rows``, then the others of
+    ``table``.
     """
     counts = counts if counts is not None else rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    hot = F.broadcast(counts.where(F.col("n") * share > total).select(*keys))  # fewer than ``share`` rows
+    over = counts.where(F.col("n") * share > total).select(*keys)
+    found = over.limit(share).collect()  # there are fewer
+    if not found:
+        return rows.join(table, keys, how)
+    hot = F.broadcast(rows.sparkSession.createDataFrame(found, over.schema))
     cold = rows.join(hot, keys, "left_anti").join(table, keys, how)
     return rows.join(hot, keys, "left_semi").join(F.broadcast(table.join(hot, keys, "left_semi")), keys, how).unionByName(cold)
 

@@ -46,6 +46,8 @@ from tessella.workspace import Workspace
 
 BINS = 256
 BANDS, ROWS = 32, 4
+#: Coordinates by which pairs are screened.
+MARKS = 128
 #: Spokes of a hub, members outside of a bucket's largest component, and members of any kind that one group of rows has, about.
 SETS, SKETCHES, SHARE = 256, 512, 8192
 _U = np.uint64
@@ -126,7 +128,7 @@ def _describe(width: int):
                     full = sketch(items)
                     ids.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest())
                     bands.append(band_keys(full))
-                    marks.append(_mix(full).astype(np.uint8).tobytes())
+                    marks.append(_mix(full[:MARKS]).astype(np.uint8).tobytes())
                 else:
                     for column in (ids, bands, marks):
                         column.append(None)
@@ -142,7 +144,8 @@ def _describe(width: int):
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     packer = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([packer.compress(cell.as_py()) for cell in batch.column(1)], pa.binary())], names=["id", "packed"])
+        packed = [packer.compress(cell.as_py()) for cell in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc_id", "md5", "packed"])
 
 
 class _Union(dict):
@@ -190,7 +193,7 @@ def _near_hub(least_equal: int, percent: int):
         group, center, size = None, None, 0
         for batch in batches:
             hubs, parts, ids, sizes = (batch.column(i).to_numpy() for i in range(4))
-            marks = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.uint8).reshape(-1, BINS)
+            marks = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.uint8).reshape(-1, MARKS)
             keep = np.zeros(len(ids), dtype=bool)
             cuts = np.nonzero((np.diff(hubs) != 0) | (np.diff(parts) != 0))[0] + 1
             for a, b in zip([0, *cuts], [*cuts, len(ids)]) if len(ids) else ():
@@ -208,8 +211,8 @@ class Members:
 
     def __init__(self, columns: dict, words: Words, width: int):
         self.ids, self.comps, self.sizes = (columns[c] for c in ("id", "comp", "n_shingles"))
-        self.marks = np.frombuffer(b"".join(columns["marks"]), dtype=np.uint8).reshape(-1, BINS)
-        self.bands = columns["bands"].reshape(-1, BANDS)
+        self.marks = np.frombuffer(b"".join(columns["marks"]), dtype=np.uint8).reshape(-1, MARKS)
+        self.bands = columns["bands"].reshape(-1, BANDS) if "bands" in columns else None
         self.packed, self.words, self.width, self._sets = columns.get("packed"), words, width, {}
 
     def items(self, i: int) -> np.ndarray:
@@ -217,10 +220,13 @@ class Members:
             self._sets[i] = shingles(zstandard.decompress(self.packed[i]), self.words, self.width)
         return self._sets[i]
 
-    def partners(self, p: int, others: Members, band: int, least_equal: int, percent: int) -> np.ndarray:
-        """Places in ``others`` of what may link with member p, in another component and in no band before this one."""
+    def partners(self, p: int, others: Members, key: int, least_equal: int, percent: int) -> np.ndarray:
+        """Places in ``others`` of what may link with member p in another component; where bands came along, in no band before that of ``key``."""
         q = np.nonzero((others.comps != self.comps[p]) & (100 * np.minimum(others.sizes, self.sizes[p]) >= percent * np.maximum(others.sizes, self.sizes[p])))[0]
         q = q[(others.marks[q] == self.marks[p]).sum(axis=1) >= least_equal]
+        if self.bands is None or not len(q):
+            return q
+        band = int(np.nonzero(self.bands[p] == key)[0][0])
         return q[~(others.bands[q, :band] == self.bands[p, :band]).any(axis=1)]
 
 
@@ -233,7 +239,7 @@ def _meet(least_equal: int, percent: int, width: int, check: bool):
     pairs whose components other links of the group connect.
     """
     place = ("key", "part", "share", "own", "id", "comp")
-    names = (*place, "n_shingles", "bands", "marks", *(("packed",) if check else ()))
+    names = (*place, "n_shingles", "marks", *(("bands", "packed") if check else ()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, group, parts, own, union = Words(), None, [], None, _Union()
@@ -247,9 +253,8 @@ def _meet(least_equal: int, percent: int, width: int, check: bool):
             return out
 
         def compared(left: Members, right: Members, within: bool) -> Iterator[tuple[int, int]]:
-            band = int(np.nonzero(left.bands[0] == group[0])[0][0])
             for p in range(len(left.ids)):
-                q = left.partners(p, right, band, least_equal, percent)
+                q = left.partners(p, right, group[0], least_equal, percent)
                 for s in q[q > p] if within else q:
                     if not check:
                         yield p, s
@@ -318,9 +323,10 @@ def _meet(least_equal: int, percent: int, width: int, check: bool):
 def _texts(work: Workspace, docs: DataFrame, sets: DataFrame, ids: DataFrame) -> DataFrame:
     """id and compressed text of the sets with these ids."""
     sought = sets.join(ids, "id", "left_semi").select("id", F.col("place.doc_id").alias("_doc"), F.col("place.md5").alias("_md5"))
-    found = docs.join(sought, (F.col("md5") == F.col("_md5")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
-    # repeated rows have one text
-    return work.save(found.select("id", "text").mapInArrow(_compress, "id bigint, packed binary"), "texts")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    packed = docs.where(F.length("text") > 0).select("doc_id", "md5", "text").mapInArrow(_compress, f"doc_id {kind}, md5 string, packed binary")
+    found = packed.join(sought, (F.col("md5") == F.col("_md5")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
+    return work.save(found.groupBy("id").agg(F.first("packed").alias("packed")), "texts")  # of repeated rows one
 
 
 def _spoke_links(work: Workspace, spokes: DataFrame, sets: DataFrame, docs: DataFrame, width: int, least_equal: int, percent: int) -> DataFrame:
@@ -359,14 +365,13 @@ def _loose_links(work: Workspace, placed: DataFrame, sets: DataFrame, docs: Data
     met = F.when(F.col("block") > 0, F.transform(F.sequence(long(0), F.col("block") - 1), lambda i: F.struct(i.alias("part"), share.alias("share"), F.lit(False).alias("own"))))
     none = F.array().cast("array<struct<part:bigint,share:bigint,own:boolean>>")
     at = loose.withColumn("block", block).withColumn("at", F.concat(F.coalesce(own, none), F.coalesce(met, none)))
-    sketches = sets.select("id", "n_shingles", "bands", "marks")
-    dealt = at.select("key", "id", "comp", "at").join(sketches, "id").select("key", F.inline("at"), "id", "comp", "n_shingles", "bands", "marks")
+    dealt = at.select("key", "id", "comp", "at").join(sets.select("id", "n_shingles", "marks"), "id").select("key", F.inline("at"), "id", "comp", "n_shingles", "marks")
     order = ["key", "part", "share", ~F.col("own")]
     place = "key bigint, part bigint, share bigint, own boolean, id bigint, comp bigint"
     hopeful = dealt.repartition("key", "part", "share").sortWithinPartitions(*order).mapInArrow(_meet(least_equal, percent, width, False), place)
     hopeful = work.save(hopeful, "hopeful")
     texts = _texts(work, docs, sets, hopeful.select("id").distinct())
-    whole = hopeful.join(sketches, "id").join(texts, "id").select("key", "part", "share", "own", "id", "comp", "n_shingles", "bands", "marks", "packed")
+    whole = hopeful.join(sets.select("id", "n_shingles", "bands", "marks"), "id").join(texts, "id").select("key", "part", "share", "own", "id", "comp", "n_shingles", "bands", "marks", "packed")
     return work.save(whole.repartition("key", "part", "share").sortWithinPartitions(*order).mapInArrow(_meet(least_equal, percent, width, True), "a bigint, b bigint"), "loose-links")
 
 
@@ -387,7 +392,7 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     work.drop(rows)
     p = percent / 100
     # two coordinates that differ still agree in their low byte once in 256 times, which only lets more pairs through
-    least_equal = int(BINS * (p - 4.5 * (p * (1 - p) / BINS) ** 0.5))
+    least_equal = int(MARKS * (p - 4.5 * (p * (1 - p) / MARKS) ** 0.5))
 
     banded = sets.select("id", F.explode("bands").alias("key"))
     buckets = work.save(banded.groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1"), "buckets")
