@@ -71,13 +71,15 @@ def shared_root(spark: SparkSession) -> str:
     return f"{warehouse}/_scratch"
 
 
-def steady_batches(spark: SparkSession, rows: int = 1024, size: int = 16 << 20) -> None:
-    """Lowers the session's limits for Arrow batches, where they are higher.
+def steady_batches(spark: SparkSession, rows: int = 512, size: int = 4 << 20) -> None:
+    """Lowers the session's limits for batches, where they are higher.
 
     Texts and vectors have any length, and a batch is held several times over on
     its way through Python, so the default of 10,000 rows does not bound memory.
+    A scan fills vectors of 4,096 rows by default, one large array for each column.
     """
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size, "spark.sql.parquet.columnarReaderBatchSize": rows}
+    for key, most in limits.items():
         now = spark.conf.get(key, str((1 << 31) - 2))  # as if unlimited where it is unset
         if now.isdigit() and int(now) > most:
             spark.conf.set(key, str(most))
