@@ -493,7 +493,15 @@ def base_scans(spark, sf_dir):
     return spark.createDataFrame(rows, "profile int, position bigint, rank bigint")
 
 
-@query()
+_SKIP_SQL = """WITH g AS (SELECT a.range AS u, b.range AS v, a.range / 7.0 AS x, b.range / 7.0 AS y FROM range(8) a, range(8) b WHERE a.range + b.range > 0),
+r AS (SELECT *, sqrt(CAST(x AS DOUBLE) * x + CAST(y AS DOUBLE) * y) AS r FROM (SELECT u, v, CAST(u AS DOUBLE) / 7 AS x, CAST(v AS DOUBLE) / 7 AS y FROM g)),
+s AS (SELECT u, v, unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS profile, unnest([CAST(r * r AS DOUBLE), 0.22::DOUBLE * x * x + 2.1::DOUBLE * y * y, 2.1::DOUBLE * x * x + 0.22::DOUBLE * y * y,
+  least(0.18::DOUBLE * x * x + 2.4::DOUBLE * y * y, 2.4::DOUBLE * x * x + 0.18::DOUBLE * y * y), 0.72::DOUBLE * r * r + 1.35::DOUBLE * abs(x - y),
+  0.72::DOUBLE * r * r + 0.55::DOUBLE * least(x, y) + 0.08::DOUBLE * abs(x - y), abs(r - 0.34::DOUBLE) + 0.18::DOUBLE * r, abs(r - 0.52::DOUBLE) + 0.10::DOUBLE * least(x, y)]) AS score FROM r)
+SELECT CAST(profile AS INTEGER) AS profile, v * 8 + u AS position, row_number() OVER (PARTITION BY profile ORDER BY score, u + v, v, u) - 1 AS rank FROM s"""
+
+
+@query(_SKIP_SQL)
 def skip_scans(spark, sf_dir):
     rows = [(p, at, k) for p in range(8) for k, at in enumerate(coding.skip_scan(p, 8, 8))]
     return spark.createDataFrame(rows, "profile int, position bigint, rank bigint")
@@ -512,7 +520,14 @@ def jpeg_tables(spark, sf_dir):
     return grid.select("quality", c("pos").cast("long").alias("pos"), num.clamp(F.when(q < 50, low).otherwise(high), 1, 255).alias("q"))
 
 
-@query()
+_STEPS_SQL = f"""WITH t AS (SELECT pos, CAST(luma AS DOUBLE) AS luma, CAST(chroma AS DOUBLE) AS chroma FROM (VALUES {', '.join(f'({i}, {a}, {b})' for i, (a, b) in enumerate(zip(coding.LUMA_TABLE, coding.CHROMA_TABLE)))}) t(pos, luma, chroma)),
+g AS (SELECT s.size, q.quality, a.range AS u, b.range AS v, CAST(floor(a.range * 7.0::DOUBLE / (s.size - 1) + 0.5) AS INTEGER) AS tu, CAST(floor(b.range * 7.0::DOUBLE / (s.size - 1) + 0.5) AS INTEGER) AS tv
+  FROM (VALUES (8), (16)) s(size), (VALUES (30), (75)) q(quality), range(16) a, range(16) b WHERE a.range < s.size AND b.range < s.size)
+SELECT size, quality, CAST(v * size + u AS INTEGER) AS position, greatest(1.0::DOUBLE, (CASE WHEN c.chroma THEN t.chroma ELSE t.luma END) * (CASE WHEN quality < 50 THEN 50.0::DOUBLE / quality ELSE 2 - quality * 0.02::DOUBLE END) * (size / 8)) AS step, c.chroma
+FROM g JOIN t ON t.pos = least(7, tv) * 8 + least(7, tu), (VALUES (false), (true)) c(chroma)"""
+
+
+@query(_STEPS_SQL)
 def dct_steps(spark, sf_dir):
     rows = [(w, q, v * w + u, coding.quantisation_step(u, v, w, w, q, ch), ch) for w in (8, 16) for q in (30, 75) for ch in (False, True) for v in range(w) for u in range(w)]
     return spark.createDataFrame(rows, "size int, quality int, position int, step double, chroma boolean")

@@ -73,8 +73,63 @@ def _encoded(rgba: np.ndarray, **settings) -> palette_encoder.Encoded:
 
 
 def _mismatches(sample, px: np.ndarray) -> int:
-    """Places on a grid of 7 by 5 whose colour read alone differs from the decoded image."""
-    return sum(tuple(map(int, px[y, x])) != tuple(sample(x, y)) for y in range(0, px.shape[0], 5) for x in range(0, px.shape[1], 7))
+    """Places whose colour read alone differs from the decoded image."""
+    return sum(tuple(map(int, px[y, x])) != tuple(sample(x, y)) for y in range(px.shape[0]) for x in range(px.shape[1]))
+
+
+# Images whose parts are given by formulas, so that SQL can look up every pixel: 2 palettes of 16 colours, tables of
+# 4 entries, and as each pixel's slot its red byte modulo 4.
+def _formed(rgba: np.ndarray, block: int = 8) -> palette_file.PaletteImage:
+    height, width = rgba.shape[:2]
+    p, i = np.meshgrid(np.arange(2), np.arange(16), indexing="ij")
+    colors = np.stack([(i * 16 + p * 5) % 256, (i * 9 + p * 31) % 256, (255 - i * 5 - p * 40) % 256], axis=-1)
+    blocks = np.arange(-(-width // block) * -(-height // block))
+    table = (blocks[:, None] * 3 + np.arange(4)[None, :] * 5) % 16
+    return palette_file.PaletteImage(width, height, block, colors, blocks % 2, table, rgba[..., 0].astype(np.int64) % 4)
+
+
+def _formed_sql(size: str) -> str:
+    """The double look-up of every pixel, for blocks of ``size``."""
+    return f"""WITH {PX_SQL}, q AS (SELECT y // {BAND} AS image, y % {BAND} AS y, x, r % 4 AS slot FROM px),
+sized AS (SELECT *, {size} AS size FROM q),
+placed AS (SELECT *, (y // size) * ((100 + size - 1) // size) + x // size AS block FROM sized),
+looked AS (SELECT *, block % 2 AS p, (block * 3 + slot * 5) % 16 AS i FROM placed)
+SELECT CAST(image AS VARCHAR) AS image_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST((i * 16 + p * 5) % 256 AS INTEGER) AS r, CAST((i * 9 + p * 31) % 256 AS INTEGER) AS g, CAST((255 - i * 5 - p * 40) % 256 AS INTEGER) AS b FROM looked"""
+
+
+def _scanned(write):
+    """Pixels of the files that write(rgba) makes of each image, scanned as files of any kind are."""
+
+    def run(spark, sf_dir) -> DataFrame:
+        return tables.pixels(_per_image(images(spark, sf_dir), "image_id string, content binary", lambda rgba: (write(rgba),)))
+
+    return run
+
+
+def _tile_modes(rgba: np.ndarray) -> list[int]:
+    return [k % 4 for k in range(-(-rgba.shape[1] // 64) * -(-rgba.shape[0] // 64))]
+
+
+_WRITERS = {
+    "palette_file_pixels": (lambda rgba: palette_file.encode(_formed(rgba)), "8"),
+    "pattern_file_pixels": (lambda rgba: pattern_file.encode(_formed(rgba)), "8"),
+    "smallest_file_pixels": (lambda rgba: pattern_file.encode_smallest(_formed(rgba)), "8"),
+    "mip_file_pixels": (lambda rgba: mip_file.encode(_formed(rgba), mip_file.build(_formed(rgba))), "8"),
+    # tiles of 64 take the block sizes 4, 8, 16 and 32 in turn; an image has two
+    "adaptive_file_pixels": (lambda rgba: adaptive_file.encode([_formed(rgba, b) for b in adaptive_file.SIZES], _tile_modes(rgba)), "CASE WHEN x < 64 THEN 4 ELSE 8 END"),
+}
+for _name, (_write, _size) in _WRITERS.items():
+    _run = _scanned(_write)
+    _run.__name__ = _name
+    query(_formed_sql(_size))(_run)
+
+
+@query(_formed_sql("8") + " WHERE (x * 7 + y * 11) % 13 = 0")
+def palette_file_points(spark, sf_dir):
+    """Single pixels read by position from their own fields, without decoding the image."""
+    files = _per_image(images(spark, sf_dir), "image_id string, content binary", lambda rgba: (palette_file.encode(_formed(rgba)),))
+    p = pixels(spark, sf_dir).select((c("y") / BAND).cast("long").cast("string").alias("image_id"), "x", (c("y") % BAND).alias("y"))
+    return tables.sample_points(files, p.where((c("x") * 7 + c("y") * 11) % 13 == 0))
 
 
 @query(_IMG + " SELECT image_id, pixels, CAST(0 AS BIGINT) AS differing, CAST(0 AS BIGINT) AS sampled_wrong FROM img")
