@@ -308,7 +308,7 @@ def _patterns(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(c("vec_id").alias("block"), F.transform("embedding", lambda v: F.when(v >= 0, 1).otherwise(0)).alias("p"))
 
 
-_PAT = "pat AS (SELECT vec_id AS block, list_transform(embedding, lambda v: CASE WHEN v >= 0 THEN 1 ELSE 0 END) AS p FROM embeddings WHERE vec_id < 64)"
+_PAT = "pat AS (SELECT vec_id AS block, list_transform(embedding, lambda v: CASE WHEN v >= 0 THEN 1 ELSE 0 END) AS p FROM embeddings)"
 _HAM = "list_sum(list_transform(range(1, 65), lambda i: CASE WHEN p[i] <> q[i] THEN 1 ELSE 0 END))"
 
 
@@ -816,7 +816,7 @@ def stratified_sample(spark, sf_dir):
     return sampling.stratified(d, "source", "lang", "doc_id", _WEIGHTS, 33)
 
 
-@query(f"WITH {BLK_SQL}, w AS (SELECT vec_id, pos, s, {', '.join(f'lag(s, {k}) OVER o AS a{k}, lead(s, {k}) OVER o AS b{k}' for k in range(1, 6))} FROM blk WHERE vec_id < 50 WINDOW o AS (PARTITION BY vec_id ORDER BY pos)) SELECT vec_id, pos, round({repr(prefix.gaussian_taps()[5])} * s + {' + '.join(f'{prefix.gaussian_taps()[5 + k]!r} * (a{k} + b{k})' for k in range(1, 6))}, 6) AS smooth FROM w WHERE a5 IS NOT NULL AND b5 IS NOT NULL")
+@query(f"WITH {BLK_SQL}, w AS (SELECT vec_id, pos, s, {', '.join(f'lag(s, {k}) OVER o AS a{k}, lead(s, {k}) OVER o AS b{k}' for k in range(1, 6))} FROM blk WINDOW o AS (PARTITION BY vec_id ORDER BY pos)) SELECT vec_id, pos, round({repr(prefix.gaussian_taps()[5])} * s + {' + '.join(f'{prefix.gaussian_taps()[5 + k]!r} * (a{k} + b{k})' for k in range(1, 6))}, 6) AS smooth FROM w WHERE a5 IS NOT NULL AND b5 IS NOT NULL")
 def gaussian_window(spark, sf_dir):
     return prefix.gaussian_window(samples(spark, sf_dir), "s", "pos", "vec_id").select("vec_id", c("pos").cast("long").alias("pos"), F.round("smooth", 6).alias("smooth"))
 
