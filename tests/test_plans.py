@@ -21,7 +21,7 @@ def test_columns_are_pruned(spark):
 
 def test_filters_reach_the_scan(spark):
     assert re.search(r"PushedFilters: \[.*GreaterThan\(value,50", plan(spark, "resume_anti_join"))
-    assert re.search(r"PushedFilters: \[.*LessThan\(vec_id,64", plan(spark, "hamming_dictionary"))
+    assert re.search(r"PushedFilters: \[.*LessThan\(vec_id,8", plan(spark, "hamming_dictionary"))
 
 
 @pytest.mark.parametrize("name", ["bayer_nearest_palette", "rgb565_codes", "ycbcr_fixed", "color_hex", "ycbcr_float", "padded_tiles", "jpeg_tables"])
