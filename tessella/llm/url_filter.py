@@ -37,6 +37,8 @@ from tessella.workspace import Workspace
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)\A.*?://([^/?#]*)([^?#]*)"
+#: More elements than an array in a row can have; a start added to it is still an int, which slices need where they are interpreted.
+ALL = 1 << 30
 
 #: The rules of the registered query, as (verdict, host and path).
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"))
@@ -83,7 +85,7 @@ def branches(kids: DataFrame, total: int, min_labels: int, z: float) -> DataFram
 
 def templates(shapes: DataFrame, work: Workspace, prior: float, strength: float, min_labels: int = 5, z: float = 1.96) -> DataFrame:
     """host, shape, template and badness for every row of ``shapes`` (host, shape, labelled, bad)."""
-    segments = F.slice(F.split(F.replace(F.col("shape"), F.lit("*"), F.lit("%2A")), "/"), 2, (1 << 31) - 1)
+    segments = F.slice(F.split(F.replace(F.col("shape"), F.lit("*"), F.lit("%2A")), "/"), 2, ALL)
     open_ = work.save(shapes.select("host", "shape", "labelled", "bad", segments.alias("rest"), F.lit("").alias("template"), F.lit(float(prior)).alias("above")), "tree")
     settled, total = None, open_.count()
     while True:
@@ -96,11 +98,11 @@ def templates(shapes: DataFrame, work: Workspace, prior: float, strength: float,
         here = hot_join(open_, nodes, ["host", "template"], total, counts=nodes.select("host", "template", "n")).withColumn("share", share)
         done = (F.col("n") == 1) | (F.col("n") == F.col("ended"))
         longer = lambda part: F.when(F.size(part) > 0, F.concat("template", F.lit("/"), F.array_join(part, "/"))).otherwise(F.col("template"))
-        prefix, left = F.slice("rest", F.lit(1), F.col("common")), F.slice("rest", F.col("common") + 1, F.lit((1 << 31) - 1))
+        prefix, left = F.slice("rest", F.lit(1), F.col("common")), F.slice("rest", F.col("common") + 1, F.lit(ALL))
         stepped = work.save(here.select(
             "host", "shape", "labelled", "bad", done.alias("done"), "share",
             F.when(done, longer(F.col("rest"))).otherwise(longer(prefix)).alias("template"),
-            F.get(left, F.lit(0)).alias("seg"), F.slice(left, F.lit(2), F.lit((1 << 31) - 1)).alias("rest"),
+            F.get(left, F.lit(0)).alias("seg"), F.slice(left, F.lit(2), F.lit(ALL)).alias("rest"),
         ), "stepped")
         work.drop(open_, nodes)
         finished = stepped.where("done").select("host", "shape", "template", F.col("share").alias("badness"))

@@ -347,6 +347,21 @@ def test_templates_by_brute_force(spark, empty):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_templates_without_compiled_plans(spark):
+    rows = [(i, f"http://h.com/{'ab'[i % 2]}/x{'cde'[i % 3]}/end", i % 2 == 0) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, spam boolean")
+    want = sorted(url_filter.judge(df, (), F.col("spam")).collect())
+    before = {k: spark.conf.get(k) for k in ("spark.sql.codegen.wholeStage", "spark.sql.codegen.factoryMode")}
+    try:
+        spark.conf.set("spark.sql.codegen.wholeStage", "false")
+        spark.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
+        assert sorted(url_filter.judge(df, (), F.col("spam")).collect()) == want
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert {r["template"].split("/")[1] for r in want} == {"a", "b"}
+
+
 def test_bad_branch_among_many_siblings(spark):
     rows = [(i, f"http://h.com/{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}/p", False) for i in range(1000)]
     rows += [(1000 + i, "http://h.com/worst/p", True) for i in range(100)] + [(2000, "http://h.com/worst/new", None), (2001, "http://h.com/other/p", None)]
