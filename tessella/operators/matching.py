@@ -1,7 +1,8 @@
 """Nearest-colour joins, indexed look-ups and dictionary matching.
 
-Palettes have at most a few hundred entries by format, so they are broadcast;
-pixels are reduced to distinct colours before they meet a palette.
+One palette or dictionary is counted before it is broadcast, and refused beyond what
+a file can hold; the palettes of many images grow with the data and are joined on
+their keys. Pixels are reduced to distinct colours before they meet a palette.
 """
 
 from __future__ import annotations
@@ -13,6 +14,13 @@ from pyspark.sql import functions as F
 MOST_ENTRIES = 128 * 256
 
 
+def small(rows: DataFrame, most: int = MOST_ENTRIES) -> DataFrame:
+    """``rows`` to be broadcast, refused if there are more than ``most``."""
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows are not broadcast")
+    return F.broadcast(rows)
+
+
 def squared_distance(a: list[Column], b: list[Column]) -> Column:
     return sum(((x - y) * (x - y) for x, y in zip(a[1:], b[1:], strict=True)), (a[0] - b[0]) * (a[0] - b[0]))
 
@@ -41,8 +49,8 @@ def nearest_join(colors: DataFrame, palette: DataFrame, metric: str = "l2", keys
 
     ``keys`` are equality keys of both sides, such as the palette that a colour's block uses.
     """
-    named = F.broadcast(palette.select(*keys, "idx", *[F.col(c).alias(f"p{c}") for c in "rgb"]))
-    both = colors.join(named, list(keys)) if keys else colors.crossJoin(named)
+    named = palette.select(*keys, "idx", *[F.col(c).alias(f"p{c}") for c in "rgb"])
+    both = colors.join(named, list(keys)) if keys else colors.crossJoin(small(named))
     distance = (city_distance if metric == "l1" else squared_distance)([F.col(c) for c in "rgb"], [F.col(f"p{c}") for c in "rgb"])
     best = F.min(F.struct(distance.alias("d"), "idx"))
     return both.groupBy(*keys, "r", "g", "b").agg(best.alias("best")).select(*keys, "r", "g", "b", F.col("best.idx").alias("idx"), F.col("best.d").alias("distance"))
@@ -50,7 +58,7 @@ def nearest_join(colors: DataFrame, palette: DataFrame, metric: str = "l2", keys
 
 def k_nearest(colors: DataFrame, palette: DataFrame, k: int) -> DataFrame:
     """The k nearest entries of each distinct colour: rank, idx, distance, ordered by (distance, idx)."""
-    both = colors.crossJoin(F.broadcast(palette.select("idx", *[F.col(c).alias(f"p{c}") for c in "rgb"])))
+    both = colors.crossJoin(small(palette.select("idx", *[F.col(c).alias(f"p{c}") for c in "rgb"])))
     distance = squared_distance([F.col(c) for c in "rgb"], [F.col(f"p{c}") for c in "rgb"])
     ranked = both.groupBy("r", "g", "b").agg(F.slice(F.array_sort(F.collect_list(F.struct(distance.alias("distance"), "idx"))), 1, k).alias("near"))
     return ranked.select("r", "g", "b", F.posexplode("near").alias("p", "e")).select("r", "g", "b", (F.col("p") + 1).alias("rank"), "e.idx", "e.distance")
@@ -65,13 +73,13 @@ def assign(px: DataFrame, palette: DataFrame, metric: str = "l2", keys: tuple[st
 def distance_matrix(palette: DataFrame) -> DataFrame:
     """i, j and squared distance of all pairs of entries."""
     side = lambda n: palette.select(F.col("idx").alias(n), *[F.col(c).alias(f"{n}{c}") for c in "rgb"])
-    both = side("i").crossJoin(F.broadcast(side("j")))
+    both = side("i").crossJoin(small(side("j")))
     return both.select("i", "j", squared_distance([F.col(f"i{c}") for c in "rgb"], [F.col(f"j{c}") for c in "rgb"]).alias("distance"))
 
 
 def decode_indexed(indices: DataFrame, tables: DataFrame, palette: DataFrame) -> DataFrame:
     """Pixels of (block, slot) through the block's table (block, pal, slot, idx) and its palette (pal, idx, r, g, b)."""
-    return indices.join(tables, ["block", "slot"]).join(F.broadcast(palette), ["pal", "idx"])
+    return indices.join(tables, ["block", "slot"]).join(palette, ["pal", "idx"])
 
 
 def direct_slot(x: Column, y: Column, size: int) -> Column:
@@ -79,14 +87,15 @@ def direct_slot(x: Column, y: Column, size: int) -> Column:
     return (y % size) * size + x % size
 
 
-def hamming_nearest(patterns: DataFrame, prototypes: DataFrame, cutoff: int | None = None) -> DataFrame:
+def hamming_nearest(patterns: DataFrame, prototypes: DataFrame, cutoff: int | None = None, most: int = 1 << 16) -> DataFrame:
     """For each pattern (block, p) the prototype (proto, q) with the fewest differing places; lowest proto on ties.
 
-    A pattern whose least distance is above ``cutoff`` has no row.
+    A pattern whose least distance is above ``cutoff`` has no row; more than
+    ``most`` prototypes are refused.
     """
     differing = F.aggregate(F.zip_with("p", "q", lambda a, b: (a != b).cast("int")), F.lit(0), lambda s, v: s + v)
     best = F.min(F.struct(differing.alias("d"), "proto"))
-    out = patterns.crossJoin(F.broadcast(prototypes)).groupBy("block").agg(best.alias("best")).select("block", F.col("best.proto").alias("proto"), F.col("best.d").alias("distance"))
+    out = patterns.crossJoin(small(prototypes, most)).groupBy("block").agg(best.alias("best")).select("block", F.col("best.proto").alias("proto"), F.col("best.d").alias("distance"))
     return out if cutoff is None else out.where(F.col("distance") <= cutoff)
 
 

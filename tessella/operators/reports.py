@@ -78,7 +78,7 @@ def settings_distribution(df: DataFrame, profile: str, settings: list[tuple[str,
 def fallback_summary(df: DataFrame, targets: DataFrame, selected: str = "selected", dataset: str = "dataset") -> DataFrame:
     """For each dataset, the records whose selected rate is outside of their target's window (target, low, high)."""
     outside = (F.col(selected) < F.col("low") - 1e-9) | (F.col(selected) > F.col("high") + 1e-9)
-    rows = df.join(F.broadcast(targets), "target").withColumn("_out", outside)
+    rows = df.join(targets, "target").withColumn("_out", outside)
     return rows.groupBy(dataset).agg(F.count("*").alias("searched"), F.count_if("_out").alias("outside"), F.min(F.when(F.col("_out"), F.col(selected))).alias("least"), F.max(F.when(F.col("_out"), F.col(selected))).alias("most"))
 
 
@@ -113,7 +113,7 @@ def compare(aggregate: DataFrame, pairs: list[tuple[str, str]], profile: str, me
     rows = aggregate.sparkSession.createDataFrame(pairs, "left_id string, right_id string")
     a = aggregate.select(F.col(profile).alias("left_id"), *[F.col(m).alias(f"_a_{m}") for m in metrics])
     b = aggregate.select(F.col(profile).alias("right_id"), *[F.col(m).alias(f"_b_{m}") for m in metrics])
-    return a.join(F.broadcast(rows), "left_id").join(b, "right_id").select("left_id", "right_id", *[(F.col(f"_a_{m}") - F.col(f"_b_{m}")).alias(f"delta_{m}") for m in metrics])
+    return a.join(rows, "left_id").join(b, "right_id").select("left_id", "right_id", *[(F.col(f"_a_{m}") - F.col(f"_b_{m}")).alias(f"delta_{m}") for m in metrics])
 
 
 def verified(df: DataFrame, stored: str, computed: Column, tolerance: float = 1e-12) -> DataFrame:

@@ -60,7 +60,7 @@ def image_list(spark: SparkSession, path: str, wanted: list[str] | None = None)
     missing = asked.join(images, "id", "left_anti").limit(1).collect()
     if missing:
         raise ValueError(f"unknown id {missing[0]['id']}")
-    return images.join(F.broadcast(asked), "id", "left_semi")
+    return images.join(asked, "id", "left_semi")
 
 
 def record_log(spark: SparkSession, path: str, schema: str = RECORD) -> DataFrame:

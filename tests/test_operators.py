@@ -160,6 +160,30 @@ def test_palettes_are_bounded(spark):
         matching.palette_rows(spark.range(matching.MOST_ENTRIES + 1).select(F.col("id").alias("idx"), *[F.lit(0).alias(v) for v in "rgb"]))
 
 
+def test_broadcasts_are_counted_first(spark):
+    zeros = [F.lit(0).alias(v) for v in "rgb"]
+    entries = lambda n: spark.range(n).select(F.col("id").alias("idx"), *zeros)
+    colors = spark.createDataFrame([(1, 2, 3)], "r int, g int, b int")
+    many = entries(matching.MOST_ENTRIES + 1)
+    for refused in (lambda: matching.nearest_join(colors, many), lambda: matching.k_nearest(colors, many, 2), lambda: matching.distance_matrix(many)):
+        with pytest.raises(ValueError, match="not broadcast"):
+            refused()
+    assert matching.nearest_join(colors, entries(matching.MOST_ENTRIES)).collect()[0]["idx"] == 0
+    patterns = spark.createDataFrame([(0, [1, 0])], "block long, p array<int>")
+    with pytest.raises(ValueError, match="not broadcast"):
+        matching.hamming_nearest(patterns, spark.range(3).select(F.col("id").alias("proto"), F.array(F.lit(0), F.lit(0)).alias("q")), most=2)
+
+
+def test_palettes_of_many_images_are_not_broadcast_by_force(spark):
+    colors = spark.createDataFrame([(1, 9, 9, 9), (2, 0, 0, 0)], "pal int, r int, g int, b int")
+    palette = spark.createDataFrame([(1, 0, 0, 0, 0), (1, 1, 8, 8, 8), (2, 0, 5, 5, 5)], "pal int, idx int, r int, g int, b int")
+    out = matching.nearest_join(colors, palette, keys=("pal",))
+    assert {(r["pal"], r["idx"], r["distance"]) for r in out.collect()} == {(1, 1, 3), (2, 0, 75)}
+    assert "ResolvedHint" not in out._jdf.queryExecution().analyzed().toString() and "ResolvedHint" not in matching.decode_indexed(
+        spark.createDataFrame([(0, 0)], "block int, slot int"), spark.createDataFrame([(0, 1, 0, 1)], "block int, pal int, slot int, idx int"), palette
+    )._jdf.queryExecution().analyzed().toString()
+
+
 # ----------------------------------------------------------------------- files
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory):
