@@ -703,10 +703,25 @@ def bracket_interpolate(spark, sf_dir):
     return _rounded(prefix.interpolated(points, targets, "rate", ["psnr"], "curve"))
 
 
-@query()
+# A cubic through five points in least squares misses each by a share of their fourth divided difference, and Simpson's
+# rule is exact for cubics.
+_BD_SQL = f"""WITH v AS (SELECT * FROM (VALUES {', '.join(map(str, _CURVE))}) v(curve, rate, psnr)),
+sides AS (SELECT 'pair' AS key, curve AS side, ln(rate) AS y, CAST(psnr AS DOUBLE) AS x FROM v UNION ALL SELECT 'same', s.side, ln(rate), psnr FROM v, (SELECT unnest(['a', 'b']) AS side) s WHERE curve = 'a'),
+p AS (SELECT *, row_number() OVER (PARTITION BY key, side ORDER BY x) AS i, count(*) OVER (PARTITION BY key, side) AS n FROM sides),
+ends AS (SELECT key, max(least_x) AS low, min(most_x) AS high FROM (SELECT key, side, min(x) AS least_x, max(x) AS most_x FROM p GROUP BY 1, 2) GROUP BY 1),
+w AS (SELECT a.key, a.side, a.i, a.x, a.y, a.n, 1 / product(a.x - b.x) AS w FROM p a JOIN p b ON (a.key, a.side) = (b.key, b.side) AND a.i <> b.i GROUP BY ALL),
+fit AS (SELECT key, side, i, x, y - CASE WHEN n = 5 THEN w * sum(w * y) OVER (PARTITION BY key, side) / sum(w * w) OVER (PARTITION BY key, side) ELSE 0 END AS y FROM w),
+nodes AS (SELECT key, unnest([low, (low + high) / 2, high]) AS t, unnest([1, 4, 1]) AS weight FROM ends),
+terms AS (SELECT a.key, a.side, t, weight, a.i, a.y * product((t - b.x) / (a.x - b.x)) AS term FROM fit a JOIN fit b ON (a.key, a.side) = (b.key, b.side) AND a.i <> b.i AND a.i <= 4 AND b.i <= 4 JOIN nodes ON nodes.key = a.key GROUP BY a.key, a.side, t, weight, a.i, a.y),
+means AS (SELECT key, side, sum(weight * term) / 6 AS mean FROM terms GROUP BY 1, 2)
+SELECT a.key, round((exp(a.mean - b.mean) - 1) * 100, 6) + 0.0 AS bd_rate FROM means a JOIN means b ON a.key = b.key AND a.side = 'a' AND b.side = 'b' UNION ALL SELECT 'short', NULL"""
+
+
+@query(_BD_SQL)
 def bd_rate(spark, sf_dir):
     rows = [("pair", s, r, q) for s, r, q in _CURVE] + [("same", s, r, q) for k, r, q in _CURVE if k == "a" for s in "ab"] + [("short", s, r, q) for s, r, q in _CURVE[4:]]
-    return reports.bd_rate(spark.createDataFrame(rows, "key string, side string, rate double, quality double"))
+    found = reports.bd_rate(spark.createDataFrame(rows, "key string, side string, rate double, quality double"))
+    return found.select("key", (F.round("bd_rate", 6) + 0.0).alias("bd_rate"))
 
 
 @query("SELECT user_id, event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY 1, 2")
@@ -810,7 +825,18 @@ def quota_alloc(spark, sf_dir):
     return spark.createDataFrame(sorted(q.items()), "source string, quota bigint")
 
 
-@query()
+_STRATIFIED_SQL = """WITH wt AS (SELECT * FROM (VALUES ('src0', 100.0), ('src1', 45.0), ('src2', 55.0), ('src3', 30.0)) w(source, weight)),
+have AS (SELECT source, weight, count(*) AS n FROM documents JOIN wt USING (source) GROUP BY 1, 2),
+share AS (SELECT *, 33 * weight / sum(weight) OVER () AS exact FROM have),
+base AS (SELECT *, least(n, CAST(floor(exact) AS BIGINT)) AS q FROM share),
+spare AS (SELECT source, exact, weight, unnest(range(n - q)) AS round FROM base),
+given AS (SELECT source, count(*) AS more FROM (SELECT source FROM spare QUALIFY row_number() OVER (ORDER BY round, exact - floor(exact) DESC, weight DESC) <= 33 - (SELECT sum(q) FROM base)) GROUP BY 1),
+quota AS (SELECT source, q + coalesce(more, 0) AS q FROM base LEFT JOIN given USING (source)),
+turn AS (SELECT doc_id, source, lang, q, row_number() OVER (PARTITION BY source, lang ORDER BY sha256(CAST(doc_id AS VARCHAR)), doc_id) AS turn FROM documents JOIN quota USING (source))
+SELECT doc_id, source, lang FROM turn QUALIFY row_number() OVER (PARTITION BY source ORDER BY turn, lang NULLS FIRST) <= q"""
+
+
+@query(_STRATIFIED_SQL)
 def stratified_sample(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
     return sampling.stratified(d, "source", "lang", "doc_id", _WEIGHTS, 33)
