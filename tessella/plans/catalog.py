@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tessella.functions import coding, color
 from tessella.functions import numeric as num
-from tessella.operators import matching, prefix, reports, sampling, transform
+from tessella.operators import matching, prefix, reports, sampling, settings_search, transform
 from tessella.operators import pixels as px_ops
+from tessella.operators.settings_search import rate_bits, rate_guard
 from tessella.plans.fixtures import BLK_SQL, PX_SQL, RECORDS_SQL, WIDTH, pixels, records, samples, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -537,13 +538,6 @@ def dct_steps(spark, sf_dir):
 _GRID_SIZE = 1024
 
 
-def rate_bits(p, g, bits, b, l, width, height):  # noqa: E741
-    """Payload bits of a palette image: palettes, selectors, block tables and, unless direct, pixel indices."""
-    blocks = F.ceil(width / b) * F.ceil(height / b)
-    lg = lambda v: F.length(F.bin(v)) - 1
-    return p * g * bits + blocks * lg(p) + blocks * l * lg(g) + F.when(l == b * b, 0).otherwise(width * height * lg(l))
-
-
 def settings_grid(spark: SparkSession) -> DataFrame:
     """All valid settings: block size b, local colours l, shared colours g, palettes p, colour bits."""
     choices = {"b": [4, 8, 16, 32, 64], "l": [2, 4, 8, 16], "g": [8, 16, 32, 64, 128, 256], "p": [1, 2, 4, 8, 16, 32, 64, 128], "bits": [16, 24]}
@@ -611,12 +605,6 @@ def bpp_midpoint_windows(spark, sf_dir):
     return prefix.midpoint_windows(spark.createDataFrame([(t,) for t in (1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 6.0, 8.0)], "target double"))
 
 
-def rate_guard(error, bpp, base_error, base_bpp, penalty: float = 15.0):
-    """Whether a candidate's gain in decibels pays for its rate against a baseline."""
-    pays = 10 * F.log10(base_error / error) + 1e-12 >= penalty * F.log(bpp / base_bpp)
-    return F.when((bpp <= 0) | (base_bpp <= 0) | (error > base_error), False).when(base_error == 0, (error == 0) & (bpp <= base_bpp)).when(error == 0, True).otherwise(pays)
-
-
 @query(f"WITH {_PROF}, b AS (SELECT bytes AS bb, err AS be FROM prof ORDER BY profile LIMIT 1) SELECT profile, CASE WHEN bytes <= 0 OR bb <= 0 OR err > be THEN false WHEN be = 0 THEN err = 0 AND bytes <= bb WHEN err = 0 THEN true ELSE 10 * log10(CAST(be AS DOUBLE) / err) + 1e-12 >= 15 * ln(CAST(bytes AS DOUBLE) / bb) END AS accepted FROM prof, b")
 def rate_guard_accept(spark, sf_dir):
     p = _profiles(spark, sf_dir)
@@ -624,6 +612,46 @@ def rate_guard_accept(spark, sf_dir):
     return p.crossJoin(F.broadcast(base)).select("profile", rate_guard(c("err"), c("bytes"), c("be"), c("bb")).alias("accepted"))
 
 
+_CHOICE_SQL = """WITH t AS (SELECT l_orderkey AS image_id, l_linenumber * 10000000000 + l_partkey * 10000 + l_suppkey AS place, CAST(l_quantity AS DOUBLE) / 10 AS bpp, l_partkey * 7919 % 1003 AS error, l_suppkey % 50 AS payload_bits, l_returnflag = 'N' AS family FROM lineitem),
+d AS (SELECT *, abs(bpp - 2.5) AS distance, bpp BETWEEN 2 AND 3 AS inside FROM t),
+r AS (SELECT *, row_number() OVER (PARTITION BY image_id, only_family ORDER BY NOT inside, CASE WHEN inside THEN error ELSE distance END, CASE WHEN inside THEN distance ELSE bpp END, CASE WHEN inside THEN payload_bits ELSE 0 END, place) AS k FROM (SELECT *, false AS only_family FROM d UNION ALL SELECT *, true FROM d WHERE family)),
+j AS (SELECT s.*, f.place AS f_place, f.error AS f_error, f.bpp AS f_bpp, f.place IS NOT NULL AND NOT CASE WHEN s.error > f.error THEN false WHEN f.error = 0 THEN s.error = 0 AND s.bpp <= f.bpp WHEN s.error = 0 THEN true ELSE 10 * log10(CAST(f.error AS DOUBLE) / s.error) + 1e-12 >= 15 * ln(s.bpp / f.bpp) END AS guarded
+  FROM r s LEFT JOIN r f ON f.image_id = s.image_id AND f.k = 1 AND f.only_family WHERE s.k = 1 AND NOT s.only_family)
+SELECT image_id, guarded, CASE WHEN guarded THEN f_place ELSE place END AS place, CASE WHEN guarded THEN f_error ELSE error END AS error, CASE WHEN guarded THEN f_bpp ELSE bpp END AS bpp FROM j"""
+
+
+@query(_CHOICE_SQL)
+def settings_choice(spark, sf_dir):
+    """The choice among trials, with the guard: line items as trials, orders as images."""
+    bpp = c("l_quantity").cast("double") / 10
+    place = c("l_linenumber").cast("long") * 10000000000 + c("l_partkey") * 10000 + c("l_suppkey")
+    t = table(spark, sf_dir, "lineitem").select(
+        c("l_orderkey").alias("image_id"), place.alias("place"), bpp.alias("bpp"), (c("l_partkey") * 7919 % 1003).alias("error"), (c("l_suppkey") % 50).alias("payload_bits"),
+        (c("l_returnflag") == "N").alias("family"), F.abs(bpp - 2.5).alias("distance"), bpp.between(2, 3).alias("inside"),
+    )
+    return settings_search.choose(t).select("image_id", "guarded", "place", "error", "bpp")
+
+
+_SCREEN_SQL = """WITH size AS (SELECT p_partkey AS image_id, 64 + p_partkey % 300 AS width, 48 + p_partkey % 200 AS height FROM part),
+shapes AS (SELECT * FROM (VALUES (8, 8, 64, 0), (8, 4, 32, 1), (16, 8, 64, 2), (16, 4, 16, 3), (32, 2, 16, 4), (4, 4, 32, 5)) s(block, local, shared, shape)),
+depths AS (SELECT p, b, (row_number() OVER (ORDER BY p, b) - 1) * 6 AS first FROM (SELECT unnest([2, 16, 32, 64]) AS p), (SELECT unnest([16, 24]) AS b)),
+cand AS (SELECT 0 AS place, 4 AS block, 4 AS local, 32 AS shared, 1 AS palettes, 24 AS bits UNION ALL SELECT first + shape + 1, block, local, shared, p, b FROM shapes, depths),
+rated AS (SELECT image_id, place, palettes = 1 AND bits = 24 AS family, CAST(palettes * shared * bits + ceil(width / block) * ceil(height / block) * (log2(palettes) + local * log2(shared)) + CASE WHEN local = block * block THEN 0 ELSE width * height * log2(local) END AS BIGINT) AS payload_bits, width * height AS area FROM size, cand),
+b AS (SELECT *, payload_bits / CAST(area AS DOUBLE) AS bpp FROM rated),
+d AS (SELECT *, abs(bpp - 3) AS distance, bpp BETWEEN 2.75 AND 3.5 AS inside FROM b),
+w AS (SELECT *, bool_or(inside) OVER (PARTITION BY image_id) AS any_inside, bool_or(inside) OVER (PARTITION BY image_id, family) AS some_family, row_number() OVER (PARTITION BY image_id ORDER BY distance, bpp, place) AS k, row_number() OVER (PARTITION BY image_id, family ORDER BY distance, bpp, place) AS kf FROM d)
+SELECT image_id, CAST(place AS INTEGER) AS place, payload_bits, inside, family FROM w WHERE inside OR (NOT any_inside AND k = 1) OR (family AND NOT some_family AND kf = 1)"""
+
+
+@query(_SCREEN_SQL)
+def settings_screen(spark, sf_dir):
+    """Candidates whose rate, by formula, makes them worth encoding, for images of many sizes."""
+    sizes = table(spark, sf_dir, "part").select(c("p_partkey").alias("image_id"), (64 + c("p_partkey") % 300).alias("width"), (48 + c("p_partkey") % 200).alias("height"))
+    baseline = {"block": 4, "local": 4, "shared": 32, "palettes": 1, "bits": 24}
+    found = settings_search.grid(baseline, [(8, 8, 64), (8, 4, 32), (16, 8, 64), (16, 4, 16), (32, 2, 16)])
+    return settings_search.screened(sizes, found, baseline, 3.0, 2.75, 3.5).select("image_id", "place", "payload_bits", "inside", "family")
+
+
 @query("WITH RECURSIVE g(i, s) AS (SELECT CAST(0 AS BIGINT), CAST(2654435769 AS BIGINT) UNION ALL SELECT i + 1, (s * 1664525 + 1013904223) % 4294967296 FROM g WHERE i < 200) SELECT (a.i - 1) // 2 AS q, a.s % 100 AS x, b.s % 64 AS y FROM g a JOIN g b ON b.i = a.i + 1 WHERE a.i % 2 = 1")
 def lcg_queries(spark, sf_dir):
     """Pseudorandom sampling places: x, then y, from one linear congruential sequence."""

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.operators import block_texture, hybrid_encoder, palette_encoder, reports
+from tessella.operators import block_texture, hybrid_encoder, palette_encoder, reports, settings_search
 from tessella.operators.clustering import histogram, quantise
 from tessella.plans.catalog import query
 from tessella.plans.fixtures import PX_SQL, pixels, table
@@ -321,28 +321,28 @@ def packed_palette_gain(spark, sf_dir):
 
 @query()
 def find_settings(spark, sf_dir):
-    """Settings for each image by encoding: candidates within the target's window, least error, nearest rate, fewest bytes."""
-    grid = [(b, n, g, p) for b, n, g in ((8, 8, 64), (8, 4, 64), (16, 8, 64), (16, 4, 32), (32, 4, 32)) for p in (1, 4)]
-    settings = spark.createDataFrame(grid, "block int, local int, shared int, palettes int")
+    """Settings for each image: candidates screened by rate, the rest encoded, the best guarded by the baseline's family."""
+    baseline = {"block": 8, "local": 8, "shared": 64, "palettes": 1, "bits": 24}
+    candidates = settings_search.grid(baseline, [(b, n, g) for b in (4, 8, 16, 32) for n in (2, 4, 8, 16) for g in (16, 32, 64, 128) if n <= g and n <= b * b], (1, 2, 4, 16))
 
     def run(batches):
         for batch in batches:
-            rows = []
+            errors = []
             for r in batch.to_pylist():
                 rgba = np.frombuffer(r["rgba"], dtype=np.uint8).reshape(r["height"], r["width"], 4)
-                e = _encoded(rgba, block=r["block"], local=r["local"], shared=r["shared"], palettes=r["palettes"])
-                data = palette_file.encode(e.image)
-                rows.append((r["image_id"], r["block"], r["local"], r["shared"], r["palettes"], len(data), (len(data) - 14) * 8 / (r["width"] * r["height"]), e.mse**0.5))
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["image_id", "block", "local", "shared", "palettes", "bytes", "bpp", "rmse"]).astype({c: np.int32 for c in ("block", "local", "shared", "palettes")}), preserve_index=False)
+                e = _encoded(rgba, block=r["block"], local=r["local"], shared=r["shared"], palettes=r["palettes"], color_bits=r["bits"])
+                errors.append(round(e.mse * rgba.shape[0] * rgba.shape[1] * 3))
+            kept = [i for i, name in enumerate(batch.schema.names) if name != "rgba"]
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + [pa.array(errors, pa.int64())], names=[batch.schema.names[i] for i in kept] + ["error"])
 
+    each = images(spark, sf_dir)
+    wanted = settings_search.screened(each, candidates, baseline, 4.0, 3.5, 4.5)
     # one row for each image and candidate, so that encodings spread over tasks
-    jobs = tables.spread(images(spark, sf_dir).crossJoin(F.broadcast(settings)), "image_id", "block", "local", "shared", "palettes")
-    tried = jobs.mapInArrow(run, "image_id string, block int, local int, shared int, palettes int, bytes bigint, bpp double, rmse double")
-    target = 4.0
-    inside = c("bpp").between(3.5, 4.5)
-    rank = F.struct((~inside).alias("out"), F.when(inside, c("rmse")).otherwise(F.abs(c("bpp") - target)).alias("a"), F.abs(c("bpp") - target).alias("b"), "bytes", "block", "local", "shared", "palettes")
-    best = tried.groupBy("image_id").agg(F.min_by(F.struct("block", "local", "shared", "palettes", "bytes", "bpp", "rmse"), rank).alias("s"))
-    return best.select("image_id", "s.block", "s.local", "s.shared", "s.palettes", "s.bytes", F.round("s.bpp", 6).alias("bpp"), F.round("s.rmse", 6).alias("rmse"))
+    jobs = tables.spread(wanted.join(each, "image_id"), "image_id", "place")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in jobs.schema if f.name != "rgba")
+    best = settings_search.choose(jobs.mapInArrow(run, schema + ", error bigint"))
+    rmse = F.sqrt(c("error") / (c("width") * c("height") * 3))
+    return best.select("image_id", *settings_search.SETTINGS, "payload_bits", F.round("bpp", 6).alias("bpp"), F.round(rmse, 6).alias("rmse"), "guarded")
 
 
 @query(_IMG + " SELECT image_id, true AS within, true AS same_size, true AS same_error FROM img")
