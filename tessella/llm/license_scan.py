@@ -19,9 +19,12 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.common import hot_join
 from tessella.llm.licences import EQUAL_WORDS, KNOWN
 from tessella.workspace import Workspace
 
+#: Known digests up to this number are looked up inside the scan and broadcast; more are joined by shuffle.
+INLINE = 4_096
 _SPACES = string.punctuation + "\t\r\x0b\x0c"
 FROM, TO = string.ascii_uppercase + _SPACES, string.ascii_lowercase + " " * len(_SPACES)
 COPYRIGHT = r"^((portions )?(copyright|copr)( c| ©)? ?([0-9]{4}|year)|(c|©) (copyright )?[0-9]{4}|copyright (c|©) |all rights reserved$)"
@@ -55,21 +58,33 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", known: DataF
     digest is that of the entire text, null if its form is empty, and license_id
     the least known licence with it; line_licenses names the licences whose
     notice is an entire line, sorted and joined by commas; n_license_lines counts
-    these lines. ``known`` is a list of licences, small and independent of the
-    corpus.
+    these lines. ``known`` is a list of licences of any length: up to ``INLINE``
+    digests are looked up as each line is read, and more meet the digests of all
+    lines by shuffle.
     """
     work = Workspace(df.sparkSession, "licences")
     known = known if known is not None else known_digests(df.sparkSession)
-    listed = sorted({row["digest"] for row in known.select("digest").collect()})  # of known licences
+    one = work.save(known.where(F.col("digest") != F.md5(F.lit(""))).groupBy("digest").agg(F.min("license_id").alias("license_id")), "known")
+    listed = sorted(row["digest"] for row in one.select("digest").limit(INLINE + 1).collect())
+    few = len(listed) <= INLINE
     lines = df.select(F.col(doc_id).alias("doc_id"), canonical_lines(F.col(text)).alias("lines"))
     whole = F.when(canonical(F.col("lines")) != "", F.md5(canonical(F.col("lines"))))
-    among = ", ".join(f"'{d}'" for d in listed)  # parsed at once, as a call for each would take seconds
-    hits = F.expr(f"filter(transform(lines, line -> md5(line)), d -> d IN ({among}))") if listed else F.array().cast("array<string>")
+    if few:
+        among = ", ".join(f"'{d}'" for d in listed)  # parsed at once, as a call for each would take seconds
+        hits = F.expr(f"filter(transform(lines, line -> md5(line)), d -> d IN ({among}))") if listed else F.array().cast("array<string>")
+    else:
+        hits = F.expr("transform(filter(lines, line -> line != ''), line -> md5(line))")
     rows = work.save(lines.select("doc_id", whole.alias("digest"), hits.alias("hits")).withColumn("row", F.monotonically_increasing_id()), "digests")
-    one = known.groupBy("digest").agg(F.min("license_id").alias("license_id"))
-    by_line = rows.where(F.size("hits") > 0).select("row", F.explode("hits").alias("digest")).join(one.withColumnRenamed("license_id", "line_license"), "digest")
-    by_row = by_line.groupBy("row").agg(F.array_join(F.array_sort(F.collect_set("line_license")), ",").alias("line_licenses"), F.count("*").alias("n_license_lines"))
-    joined = rows.join(one, "digest", "left").join(by_row, "row", "left")
+    each = rows.where(F.size("hits") > 0).select("row", F.explode("hits").alias("digest"))
+    if few:
+        by_line, by_text = each.join(F.broadcast(one), "digest"), rows.join(F.broadcast(one), "digest", "left")
+    else:  # frequent lines and texts are joined apart from the others
+        each = work.save(each, "lines")
+        by_line = hot_join(each, one, ["digest"], each.count(), "inner")
+        named = work.save(rows.select("doc_id", F.coalesce("digest", F.lit("")).alias("digest"), "row"), "texts")
+        by_text = hot_join(named, one, ["digest"], named.count()).withColumn("digest", F.nullif(F.col("digest"), F.lit("")))
+    by_row = by_line.groupBy("row").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("line_licenses"), F.count("*").alias("n_license_lines"))
+    joined = by_text.join(by_row, "row", "left")
     return joined.select("doc_id", "digest", "license_id", F.coalesce("line_licenses", F.lit("")).alias("line_licenses"), F.coalesce("n_license_lines", F.lit(0).cast("long")).alias("n_license_lines"))
 
 

@@ -81,6 +81,23 @@ def test_common_licences_are_known(spark):
     assert all(out[t]["line_licenses"] == lic and out[t]["license_id"] is None for t, lic in notices.items())
 
 
+def test_licence_lists_of_any_length(spark, monkeypatch):
+    texts = [("Z", "Shared notice."), ("B", "shared NOTICE"), ("A", "Another one."), ("E", "..."), ("C", "Two lines\nof text")]
+    known = license_scan.known_digests(spark, tuple(texts))
+    rows = [(1, "Shared notice"), (2, "\n\nx\nshared notice!\nanother one\nSHARED notice\n"), (3, None), (4, "\n\n"), (5, "two lines\n\nof text."), (5, "two lines\n\nof text."), (None, "another one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def found() -> list:
+        return sorted(license_scan.scan(df, known=known).collect(), key=str)
+
+    few = found()
+    by_id = {r["doc_id"]: r for r in few}
+    assert [by_id[k]["license_id"] for k in (1, 2, 3, 4, 5, None)] == ["B", None, None, None, "C", "A"]
+    assert by_id[2]["line_licenses"] == "A,B" and by_id[2]["n_license_lines"] == 3 and by_id[4]["n_license_lines"] == 0 and len(few) == len(rows)
+    monkeypatch.setattr(license_scan, "INLINE", 2)
+    assert found() == few
+
+
 def test_licence_scan_keeps_rows(docs, empty):
     assert license_scan.scan(docs).count() == len(odd_rows())
     assert license_scan.scan(empty).count() == 0
