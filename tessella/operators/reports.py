@@ -33,6 +33,22 @@ def pooled(records: DataFrame, *keys: str) -> DataFrame:
     return records.groupBy(*keys).agg(*pooled_columns())
 
 
+def pooled_special(records: DataFrame, *keys: str, step: float) -> DataFrame:
+    """pooled with the errors of scalar and normal maps, which only some records have.
+
+    scalar_error and scalar_samples give psnr_scalar; angle_sum, angle_count and
+    angles, an array of counts in bins ``step`` wide, give the mean angle and the
+    upper edge of the bin that holds the 95th percentile. Null without such records.
+    """
+    scalar = psnr(F.try_divide(F.sum("scalar_error"), F.sum("scalar_samples")), F.lit(None).cast("double"))
+    angle = F.try_divide(F.sum("angle_sum"), F.sum("angle_count"))
+    rows = records.groupBy(*keys).agg(*pooled_columns(), scalar.alias("psnr_scalar"), angle.alias("angle_mean"))
+    bins = records.select(*keys, F.posexplode("angles").alias("bin", "n"))
+    edges = histogram_percentile(bins, 0.95, step, *keys).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("edge").alias("angle_p95"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return rows.join(edges, same, "left").drop(*[f"_{k}" for k in keys])
+
+
 def pooled_levels(records: DataFrame) -> DataFrame:
     """pooled over all records, each dataset and each image class of one dataset, in one pass."""
     sets = [["profile_id"], ["profile_id", "dataset"], ["profile_id", "dataset", "image_class"]]

@@ -690,6 +690,27 @@ def hybrid_report(spark, sf_dir):
     return _rounded(reports.hybrid(records(spark, sf_dir), "profile_id"))
 
 
+_SPECIAL_SQL = f"""WITH {RECORDS_SQL}, special AS (SELECT *, CASE WHEN image_class = 'O' THEN squared_error % 5003 END AS scalar_error, CASE WHEN image_class = 'O' THEN pixels END AS scalar_samples,
+  CASE WHEN dataset = 'N' THEN list_transform(range(8), lambda k: (pixels * (k + 1) * 7 + palette_units) % 11) END AS angles FROM records),
+rows AS (SELECT profile_id, dataset, image_class, {{_POOL}}, round(10 * log10(65025.0 * sum(scalar_samples) / sum(scalar_error)), 6) AS psnr_scalar, round(sum(CASE WHEN dataset = 'N' THEN squared_error % 997 / 10.0 END) / sum(list_sum(angles)), 6) AS angle_mean FROM special GROUP BY 1, 2, 3),
+bins AS (SELECT profile_id, dataset, image_class, bin, sum(angles[bin + 1]) AS n FROM special, (SELECT unnest(range(8)) AS bin) WHERE angles IS NOT NULL GROUP BY 1, 2, 3, 4),
+runs AS (SELECT *, sum(n) OVER (PARTITION BY profile_id, dataset, image_class ORDER BY bin) AS run, sum(n) OVER (PARTITION BY profile_id, dataset, image_class) AS total FROM bins),
+edges AS (SELECT profile_id, dataset, image_class, round((min(bin) + 1) * 0.25, 6) AS angle_p95 FROM runs WHERE run >= ceil(total * 0.95) GROUP BY 1, 2, 3)
+SELECT rows.*, angle_p95 FROM rows LEFT JOIN edges USING (profile_id, dataset, image_class)""".replace("{_POOL}", _POOL)
+
+
+@query(_SPECIAL_SQL)
+def special_maps_report(spark, sf_dir):
+    """The pooled report with scalar maps (class O) and normal maps (dataset N)."""
+    r = records(spark, sf_dir)
+    scalar, normal = c("image_class") == "O", c("dataset") == "N"
+    angles = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: (c("pixels") * k * 7 + c("palette_units")) % 11)
+    r = r.withColumns({"scalar_error": F.when(scalar, c("squared_error") % 5003), "scalar_samples": F.when(scalar, c("pixels")), "angles": F.when(normal, angles)})
+    total = F.aggregate("angles", F.lit(0).cast("long"), lambda a, b: a + b)
+    r = r.withColumns({"angle_sum": F.when(normal, c("squared_error") % 997 / 10), "angle_count": total})
+    return _rounded(reports.pooled_special(r, "profile_id", "dataset", "image_class", step=0.25))
+
+
 @query(f"WITH {RECORDS_SQL} SELECT profile_id, round(10 * log10(65025.0 / avg(squared_error / CAST(samples AS DOUBLE))), 6) AS psnr FROM records GROUP BY 1")
 def mean_mse_report(spark, sf_dir):
     return _rounded(reports.mean_mse(records(spark, sf_dir), "profile_id"))

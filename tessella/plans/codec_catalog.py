@@ -306,19 +306,6 @@ def stream_windowed_rates(spark, sf_dir):
     return out.select(c("start").cast("timestamp_ntz").alias("start"), "event_type", "records", "bytes")
 
 
-@query(_IMG + " SELECT image_id, true AS smaller, CAST(0 AS BIGINT) AS differing FROM img")
-def packed_palette_gain(spark, sf_dir):
-    """Palettes of close colours are packed: the file is smaller than its plain size and gives the same image."""
-
-    def one(rgba):
-        e = _encoded(np.concatenate([rgba[..., :3] // 16 + 100, rgba[..., 3:]], axis=-1), palettes=2, shared=64, local=4)
-        data, i = palette_file.encode(e.image), e.image
-        plain = 14 + -(-(i.palettes * i.shared * 24 + i.blocks * 1 + i.blocks * 4 * 6 + i.width * i.height * 2) // 8)
-        return len(data) < plain and palette_file.read_header(data).packed, int((palette_file.decode(data).pixels() != e.pixels).sum())
-
-    return _per_image(images(spark, sf_dir), "image_id string, smaller boolean, differing bigint", one)
-
-
 @query()
 def find_settings(spark, sf_dir):
     """Settings for each image: candidates screened by rate, the rest encoded, the best guarded by the baseline's family."""

@@ -18,6 +18,7 @@ from tessella.plans.catalog import query
 from tessella.plans.codec_catalog import _IMG, BAND, _formed, _per_image, _scanned, images
 from tessella.plans.fixtures import BLK_SQL, PX_SQL, pixels, table
 from tessella.sources import containers, hybrid_file, palette_file, tables
+from tessella.workspace import Workspace
 
 c = F.col
 
@@ -230,6 +231,96 @@ def hybrid_file_pixels(spark, sf_dir):
     return _scanned(lambda rgba: hybrid_file.encode(_formed_hybrid(rgba)))(spark, sf_dir)
 
 
+# ---------------------------------------------------------------- sizes of packed palettes
+_PACKED_SQL = f"""WITH {PX_SQL}, q AS (SELECT y // {BAND} AS image, y % {BAND} AS y, x, r, g, b FROM px),
+first AS (SELECT image, 2 + r AS m FROM q WHERE x = 0 AND y = 0),
+entry AS (SELECT image, y AS p, unnest([0, 1, 2]) AS channel, unnest([r % m, g % m, b % m]) AS v FROM q JOIN first USING (image) WHERE y < 2 AND x < 16),
+spans AS (SELECT image, p, channel, max(v) - min(v) AS span FROM entry GROUP BY 1, 2, 3),
+widths AS (SELECT image, p, sum(CASE WHEN span = 0 THEN 0 ELSE floor(log2(span)) + 1 END) AS w FROM spans GROUP BY 1, 2),
+records AS (SELECT image, sum(least(49, 5 + ceil(16 * w / 8))) AS records FROM widths GROUP BY 1),
+size AS (SELECT image, count(*) AS pixels, 13 * CAST(ceil((max(y) + 1) / 8) AS BIGINT) AS blocks FROM q GROUP BY 1)
+SELECT CAST(image AS VARCHAR) AS image_id, 4 + 8 + records < 96 AS packed, CAST(14 + ceil(((CASE WHEN 12 + records < 96 THEN 12 + records ELSE 96 END) * 8 + blocks * (1 + 4 * 4) + pixels * 2) / 8) AS BIGINT) AS bytes FROM size JOIN records USING (image)"""
+
+
+@query(_PACKED_SQL)
+def packed_palette_gain(spark, sf_dir):
+    """Sizes of files whose palettes are pixels, the closer the darker the first one: packed only where that is smaller."""
+
+    def one(rgba):
+        image = _formed(rgba)
+        image.palette = rgba[:2, :16, :3].astype(np.int64) % (2 + int(rgba[0, 0, 0]))
+        data = palette_file.encode(image)
+        if (palette_file.decode(data).pixels() != image.pixels()).any():
+            raise ValueError("the file gives another image")
+        return palette_file.read_header(data).packed, len(data)
+
+    return _per_image(images(spark, sf_dir), "image_id string, packed boolean, bytes bigint", one)
+
+
+# ---------------------------------------------------------------- sinks, folders and lists
+def _written(spark, sf_dir) -> str:
+    """A folder of PPM files."""
+    root = f"{Workspace(spark, 'sinks').root}/scans"
+    made = _per_image(images(spark, sf_dir), "image_id string, data binary", lambda rgba: (containers.write_ppm(rgba[..., :3]),))
+    tables.write_files(made, root, ".ppm")
+    return root
+
+
+@query(_IMG + " SELECT image_id, 12 + length(CAST(pixels // 100 AS VARCHAR)) + pixels * 3 AS length, 'scans' AS image_class FROM img")
+def corpus_scan(spark, sf_dir):
+    """Files that executors wrote, listed with their folder as class."""
+    return tables.corpus(spark, _written(spark, sf_dir), "*.ppm", {}).select("image_id", "length", "image_class")
+
+
+@query(_IMG + """ SELECT '{"default":"' || min(image_id) || '.ppm","files":[' || string_agg('"' || image_id || '.ppm"', ',' ORDER BY image_id) || ']}' AS manifest FROM img""")
+def asset_manifest(spark, sf_dir):
+    return tables.manifest(spark, _written(spark, sf_dir), "*.ppm")
+
+
+@query("SELECT n_name AS id, 'maps/' || n_nationkey AS path, r_name AS class, CASE WHEN n_nationkey % 2 = 0 THEN 'srgb' END AS transfer FROM nation JOIN region ON r_regionkey = n_regionkey")
+def image_list_scan(spark, sf_dir):
+    """A list of images in one JSON document."""
+    root = f"{Workspace(spark, 'sinks').root}/list"
+    both = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), c("r_regionkey") == c("n_regionkey"))
+    image = F.struct(c("n_name").alias("id"), F.concat(F.lit("maps/"), "n_nationkey").alias("path"), c("r_name").alias("class"), F.when(c("n_nationkey") % 2 == 0, "srgb").alias("transfer"))
+    both.agg(F.to_json(F.struct(F.collect_list(image).alias("images"))).alias("value")).write.text(root)
+    return tables.image_list(spark, root)
+
+
+@query("SELECT l_returnflag AS dataset, count(*) AS images, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS payload_bytes FROM lineitem GROUP BY 1")
+def report_sinks(spark, sf_dir):
+    """A report written as JSON, CSV and Markdown, and read back from each in turn."""
+    root = f"{Workspace(spark, 'sinks').root}/report"
+    r = table(spark, sf_dir, "lineitem").groupBy(c("l_returnflag").alias("dataset")).agg(F.count("*").alias("images"), F.sum(c("l_quantity").cast("long")).alias("payload_bytes"))
+    tables.write_report(r, root, ["dataset", "images", "payload_bytes"])
+    schema = "dataset string, images bigint, payload_bytes bigint"
+    cells = F.split("value", r" *\| *")
+    text = spark.read.text(f"{root}/markdown").where("value not like '| ---%' and value not like '| dataset%'")
+    markdown = text.select(F.get(cells, F.lit(1)).alias("dataset"), F.get(cells, F.lit(2)).cast("long").alias("images"), F.get(cells, F.lit(3)).cast("long").alias("payload_bytes"))
+    kinds = [spark.read.schema(schema).json(f"{root}/json"), spark.read.schema(schema).option("header", "true").csv(f"{root}/csv"), markdown]
+    return kinds[0].intersectAll(kinds[1]).intersectAll(kinds[2])
+
+
+@query(_IMG + ", k AS (SELECT * FROM (VALUES ('bc1', 8, 128, 'DXT1'), ('bc7', 16, 148, 'DX10')) k(kind, size, head, code)), s AS (SELECT image_id, kind, head, code, pixels // 100 AS height, 25 * CAST(ceil(pixels // 100 / 4.0) AS BIGINT) * size AS payload FROM img, k) SELECT image_id, kind, head + payload AS bytes, height, 100 AS width, payload, code FROM s")
+def texture_containers(spark, sf_dir):
+    """Fields of DDS files, cut out of their headers by position."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                rgba = np.frombuffer(r["rgba"], dtype=np.uint8).reshape(r["height"], r["width"], 4)
+                b = block_texture.blocks_of(np.concatenate([rgba[..., :3], np.full_like(rgba[..., 3:], 255)], axis=-1))
+                for kind, data in (("bc1", block_texture.encode_bc1(b, "fast")), ("bc7", block_texture.encode_bc7(b))):
+                    rows.append({"image_id": r["image_id"], "kind": kind, "content": containers.write_dds(kind, data.astype(np.uint8).tobytes(), r["width"], r["height"])})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("image_id", pa.string()), ("kind", pa.string()), ("content", pa.binary())]))
+
+    little = lambda at: F.conv(F.concat(*[F.hex(F.substring("content", at + k, 1)) for k in (4, 3, 2, 1)]), 16, 10).cast("long")
+    return images(spark, sf_dir).mapInArrow(run, "image_id string, kind string, content binary").select(
+        "image_id", "kind", F.length("content").cast("long").alias("bytes"), little(12).alias("height"), little(16).alias("width"), little(20).alias("payload"), F.substring("content", 85, 4).cast("string").alias("code")
+    )
+
+
 # ---------------------------------------------------------------- similarity
 _SSIM_SQL = f"""WITH {PX_SQL}, cells AS (SELECT y // {BAND} AS image, y % {BAND} AS y, x, 0.2126 * r + 0.7152 * g + 0.0722 * b AS l, 0.2126 * (r // 64 * 64) + 0.7152 * (g // 64 * 64) + 0.0722 * (b // 64 * 64) AS m FROM px),
 size AS (SELECT image, max(y) AS h FROM cells GROUP BY 1 HAVING max(y) >= 10),
