@@ -242,19 +242,6 @@ def transform_file_library(spark, sf_dir):
     return _per_image(images(spark, sf_dir), "image_id string, pixels bigint, no_worse boolean", one)
 
 
-@query(f"WITH {PX_SQL} SELECT CAST(y // {BAND} AS VARCHAR) AS image_id, CAST(y % {BAND} AS INTEGER) AS y, CAST(x AS INTEGER) AS x FROM px")
-def transform_units_scan(spark, sf_dir):
-    """Units of transform files are cut out by position and decoded apart; together they cover every pixel once."""
-
-    def run(batches):
-        for batch in batches:
-            files = [dct_file.encode(np.frombuffer(r["rgba"], dtype=np.uint8).reshape(r["height"], r["width"], 4)[..., :3], "1", coding=1) for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.binary())], names=["image_id", "content"])
-
-    files = images(spark, sf_dir).mapInArrow(run, "image_id string, content binary")
-    return tables.decode_units(tables.transform_units(files)).select("image_id", "y", "x")
-
-
 @query(f"WITH {PX_SQL} SELECT CAST(y // {BAND} AS VARCHAR) AS image_id, pos - (y // {BAND}) * {BAND * 100} AS pos, CAST(y % {BAND} AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST(r AS INTEGER) AS r, CAST(g AS INTEGER) AS g, CAST(b AS INTEGER) AS b, CAST(a AS INTEGER) AS a FROM px")
 def raw_file_scan(spark, sf_dir):
     """Headerless files: packed from pixels and scanned again, each with its own height."""

@@ -17,7 +17,8 @@ from tessella.operators import block_texture, reports, transform
 from tessella.plans.catalog import query
 from tessella.plans.codec_catalog import _IMG, BAND, _formed, _per_image, _scanned, images
 from tessella.plans.fixtures import BLK_SQL, PX_SQL, pixels, table
-from tessella.sources import containers, hybrid_file, palette_file, tables
+from tessella.sources import containers, dct_file, hybrid_file, palette_file, tables
+from tessella.sources.bits import Writer
 from tessella.workspace import Workspace
 
 c = F.col
@@ -231,6 +232,55 @@ def hybrid_file_pixels(spark, sf_dir):
     return _scanned(lambda rgba: hybrid_file.encode(_formed_hybrid(rgba)))(spark, sf_dir)
 
 
+# ---------------------------------------------------------------- transform files
+# The base tables of luma and chroma.
+_LUMA = """16 11 10 16 24 40 51 61 12 12 14 19 26 58 60 55 14 13 16 24 40 57 69 56 14 17 22 29 51 87 80 62
+18 22 37 56 68 109 103 77 24 35 55 64 81 104 113 92 49 64 78 87 103 121 120 101 72 92 95 98 112 100 103 99""".split()
+_CHROMA = """17 18 24 47 99 99 99 99 18 21 26 66 99 99 99 99 24 26 56 99 99 99 99 99 47 66 99 99 99 99 99 99
+99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99""".split()
+
+
+def _formed_transform(rgba: np.ndarray) -> bytes:
+    """A file whose records hold a first coefficient, 18 or 7 others along the zigzag, and a scale, all given by formulas."""
+    file = dct_file.encode(np.zeros_like(rgba[..., :3]), "1", coding=0)
+    units = -(-rgba.shape[0] // 16) * -(-rgba.shape[1] // 16)
+    out = [file[: dct_file.HEAD]]
+    for unit in range(units):
+        for k, (size, count) in enumerate(((16, 18), (8, 7), (8, 7))):
+            record = Writer().put(0, 4).put((unit + k) % 3, 4).put(((unit * 31 + k * 17) % 120 - 60) & 1023, 10)
+            for j in range(count):
+                record.put(((unit * 5 + j * 7 + k * 3) % 7 - 3) & 63, 6)
+            out.append(record.bytes().ljust(size, b"\0"))
+    return b"".join(out)
+
+
+_TRANSFORM_SQL = f"""WITH {PX_SQL}, q AS (SELECT y // {BAND} AS image, y % {BAND} AS y, x, (y % {BAND}) // 16 * 7 + x // 16 AS unit FROM px),
+base AS (SELECT false AS chroma, unnest([{', '.join(_LUMA)}]) AS step, unnest(range(64)) AS slot UNION ALL SELECT true, unnest([{', '.join(_CHROMA)}]), unnest(range(64))),
+grid AS (SELECT n, a.range AS u, b.range AS v, row_number() OVER (PARTITION BY n ORDER BY a.range + b.range, CASE WHEN (a.range + b.range) % 2 = 0 THEN a.range ELSE -a.range END) - 2 AS j FROM (VALUES (8), (16)) s(n), range(16) a, range(16) b WHERE a.range < n AND b.range < n),
+component AS (SELECT * FROM (VALUES (0, 16, 18), (1, 8, 7), (2, 8, 7)) c(k, n, count)),
+field AS (SELECT unit, k, n, u, v, j, (1 << ((unit + k) % 3)) * CASE WHEN j < 0 THEN (unit * 31 + k * 17) % 120 - 60 ELSE (unit * 5 + j * 7 + k * 3) % 7 - 3 END AS value FROM (SELECT DISTINCT unit FROM q), component JOIN grid USING (n) WHERE j < count),
+coefficient AS (SELECT unit, k, n, u, v, value * greatest(1, step * 0.5 * n / 8) AS f FROM field JOIN base ON chroma = (k > 0) AND slot = CAST(floor(v * 7.0 / (n - 1) + 0.5) AS BIGINT) * 8 + CAST(floor(u * 7.0 / (n - 1) + 0.5) AS BIGINT)),
+place AS (SELECT n, a.range AS px, b.range AS py FROM (VALUES (8), (16)) s(n), range(16) a, range(16) b WHERE a.range < n AND b.range < n),
+plane AS (SELECT unit, k, py AS y, px AS x, sum(f * CASE WHEN u = 0 THEN sqrt(1.0 / n) ELSE sqrt(2.0 / n) END * CASE WHEN v = 0 THEN sqrt(1.0 / n) ELSE sqrt(2.0 / n) END * cos(pi() * (2 * px + 1) * u / (2 * n)) * cos(pi() * (2 * py + 1) * v / (2 * n))) AS s FROM coefficient JOIN place USING (n) GROUP BY 1, 2, 3, 4),
+tap AS (SELECT range AS at, greatest(0, range // 2 - 1 + range % 2) AS src, CASE WHEN range % 2 = 0 THEN 1 ELSE 3 END AS w FROM range(16) UNION ALL SELECT range, least(7, range // 2 + range % 2), CASE WHEN range % 2 = 0 THEN 3 ELSE 1 END FROM range(16)),
+chroma AS (SELECT unit, k, ty.at AS y, tx.at AS x, sum(s * ty.w * tx.w) / 16 AS s FROM plane JOIN tap ty ON plane.y = ty.src JOIN tap tx ON plane.x = tx.src WHERE k > 0 GROUP BY 1, 2, 3, 4),
+units AS (SELECT l.unit, l.y AS uy, l.x AS ux, l.s + 128 AS l, cb.s AS cb, cr.s AS cr FROM plane l JOIN chroma cb ON cb.k = 1 AND (cb.unit, cb.y, cb.x) = (l.unit, l.y, l.x) JOIN chroma cr ON cr.k = 2 AND (cr.unit, cr.y, cr.x) = (l.unit, l.y, l.x) WHERE l.k = 0)
+SELECT CAST(image AS VARCHAR) AS image_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, {_RGB.format(*[_byte(f'floor({v} + 0.5)') for v in ('l + 1.402 * cr', 'l - 0.344136 * cb - 0.714136 * cr', 'l + 1.772 * cb')])} FROM q JOIN units USING (unit) WHERE uy = y % 16 AND ux = x % 16"""
+
+
+@query(_TRANSFORM_SQL)
+def transform_file_pixels(spark, sf_dir):
+    """Pixels of transform files, decoded image by image."""
+    return _scanned(_formed_transform)(spark, sf_dir)
+
+
+@query(_TRANSFORM_SQL)
+def transform_units_scan(spark, sf_dir):
+    """The same pixels from units cut out by position and decoded apart."""
+    files = _per_image(images(spark, sf_dir), "image_id string, content binary", lambda rgba: (_formed_transform(rgba),))
+    return tables.decode_units(tables.transform_units(files))
+
+
 # ---------------------------------------------------------------- sizes of packed palettes
 _PACKED_SQL = f"""WITH {PX_SQL}, q AS (SELECT y // {BAND} AS image, y % {BAND} AS y, x, r, g, b FROM px),
 first AS (SELECT image, 2 + r AS m FROM q WHERE x = 0 AND y = 0),
