@@ -10,7 +10,8 @@ Nulls and odd cases: a null text, an empty one and one without a letter give
 ``und`` with score 0; rows with null language are not learned from; a null id is
 hashed as the empty text; repeated rows are judged alike; whole texts are read,
 however long; with no labelled row everything is ``und``; an empty table gives
-no row. Only the named columns are read.
+no row; more than ``MOST`` labelled languages are refused. Only the named columns
+are read.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from tessella.workspace import steady_batches
 
 BITS = 16
+#: Languages at most: their table, 0.5 MB each, is gathered on the driver and broadcast.
+MOST = 256
 #: Multipliers of the trigram hash.
 _MIX = np.array([2654435761, 2246822519, 3266489917], dtype=np.uint64)
 _LETTERS: list[np.ndarray] = []
@@ -61,7 +64,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sample_labelled(df: DataFrame, lang: str, key: Column, per_lang: int) -> DataFrame:
     """About ``per_lang`` rows of each language, all if it has fewer: those with the smallest hashes of ``key``."""
     labelled = df.where(F.col(lang).isNotNull())
-    sizes = labelled.groupBy(lang).count().collect()  # a row for each language
+    sizes = labelled.groupBy(lang).count().limit(MOST + 1).collect()  # a row for each language
+    if len(sizes) > MOST:
+        raise ValueError(f"more than {MOST} languages")
     if not sizes:
         return labelled
     rates = F.create_map(*[F.lit(v) for row in sizes for v in (row[lang], min(1.0, per_lang / row["count"]))])

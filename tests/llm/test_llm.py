@@ -297,6 +297,15 @@ def test_language_of_odd_rows(spark, empty):
     assert language_id.identify(empty, train).count() == 0 and language_id.identify(empty, empty).count() == 0
 
 
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    train = spark.createDataFrame([(i, "some words", f"l{i}") for i in range(4)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(language_id, "MOST", 4)
+    assert language_id.identify(train, train).count() == 4
+    monkeypatch.setattr(language_id, "MOST", 3)
+    with pytest.raises(ValueError, match="languages"):
+        language_id.identify(train, train)
+
+
 def test_mixture_is_the_likelihood_optimum():
     rng = np.random.default_rng(3)
     matrix = rng.dirichlet(np.ones(1 << language_id.BITS) * 0.001, 3).T + 1e-9
