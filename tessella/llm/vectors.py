@@ -15,6 +15,19 @@ def usable(column: str) -> Column:
     return F.coalesce(x.isNotNull() & ~bad & F.exists(x, lambda v: v != 0), F.lit(False))
 
 
+def finite(column: str) -> Column:
+    """Whether a vector is there and holds neither null nor non-finite components."""
+    x = F.col(column)
+    return F.coalesce(x.isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))), F.lit(False))
+
+
+def raw_matrix(column: pa.Array) -> np.ndarray:
+    """An array of equally long lists as a matrix of the type it has."""
+    n = len(column)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(n, -1) if n else flat.reshape(0, 0)
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     """An array of equally long lists as a matrix of doubles."""
     n = len(column)
