@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators import ranges
+from tessella.operators.matching import small
+from tessella.workspace import Workspace
 
 #: Consecutive rows that one task sums, where a running sum goes over a whole relation.
 SPAN = 1 << 16
@@ -23,22 +26,25 @@ def prefix_offsets(df: DataFrame, size: str, order: str, *keys: str, out: str =
 
 
 def _running(df: DataFrame, size: str, order: str, *keys: str, out: str) -> DataFrame:
-    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(out, F.coalesce(F.sum(size).over(before), F.lit(0)))
+    return ranges.running(df, {out: ("sum", size)}, [order], *keys, inclusive=False)
 
 
 def checkpoint_offsets(df: DataFrame, size: str, order: str, interval: int, *keys: str) -> DataFrame:
     """Adds checkpoint, the offset stored for the row's group of ``interval`` rows, and within, what comes before it there.
 
-    ``order`` numbers the rows from 0. Groups are summed first, so that only
-    their sums are ordered over the whole of ``keys``.
+    ``order`` numbers the rows from 0. Groups are summed first, then spans of
+    ``SPAN`` groups, so that no task orders all groups of ``keys``: spans are
+    few, one for ``SPAN * interval`` rows.
     """
     grouped = df.withColumn("_group", F.floor(F.col(order) / interval))
-    sums = grouped.groupBy(*keys, "_group").agg(F.sum(size).alias("_sum"))
-    marks = _running(sums, "_sum", "_group", *keys, out="checkpoint").drop("_sum")
-    inside = Window.partitionBy(*keys, "_group").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = grouped.groupBy(*keys, "_group").agg(F.sum(size).alias("_sum")).withColumn("_span", F.floor(F.col("_group") / SPAN))
+    spans = sums.groupBy(*keys, "_span").agg(F.sum("_sum").alias("_total"))
+    before = lambda by, at: Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("_base", F.coalesce(F.sum("_total").over(before(keys or (F.lit(0),), "_span")), F.lit(0))).drop("_total")
+    inside = F.coalesce(F.sum("_sum").over(before((*keys, "_span"), "_group")), F.lit(0))
+    marks = sums.withColumn("_inside", inside).join(spans, [*keys, "_span"]).withColumn("checkpoint", F.col("_base") + F.col("_inside")).drop("_sum", "_span", "_base", "_inside")
     joined = grouped.join(marks, [*keys, "_group"])
-    return joined.withColumn("within", F.coalesce(F.sum(size).over(inside), F.lit(0))).drop("_group")
+    return joined.withColumn("within", F.coalesce(F.sum(size).over(before((*keys, "_group"), order)), F.lit(0))).drop("_group")
 
 
 def rank_within(df: DataFrame, order: str, *keys: str, out: str = "ordinal") -> DataFrame:
@@ -47,25 +53,27 @@ def rank_within(df: DataFrame, order: str, *keys: str, out: str = "ordinal") ->
 
 
 def rate_curve(df: DataFrame, rate: str, quality: str, *keys: str) -> DataFrame:
-    """Rows whose quality is above that of every row of lower rate, or of equal rate and lower quality."""
-    before = Window.partitionBy(*keys).orderBy(rate, quality).rowsBetween(Window.unboundedPreceding, -1)
-    best = F.max(quality).over(before)
+    """Rows whose quality is above that of every row of lower rate, or of equal rate and lower quality.
+
+    Of rows equal in rate and quality one stays. Rows without a quality or with a
+    rate of 0 or less go.
+    """
     usable = df.where((F.col(rate) > 0) & F.col(quality).isNotNull())
-    return usable.withColumn("_best", best).where(F.col("_best").isNull() | (F.col(quality) > F.col("_best"))).drop("_best")
+    return ranges.new_extremes(usable, quality, [rate, quality], *keys, least=False)
 
 
 def undominated(df: DataFrame, cost: str, error: str) -> DataFrame:
     """Rows that no other row beats: at most as costly and as wrong, and less of one. Exact duplicates all stay.
 
-    The least error for each cost is found first, so that rows meet a running
-    minimum over distinct costs instead of each other.
+    The least error for each cost is found first, so that a skyline over distinct
+    costs, in ranges of them, stands for the rows; a row stays if it is on it.
+    Rows with a null cost or error go.
     """
-    at_cost = df.groupBy(cost).agg(F.min(error).alias("_least"))
-    cheaper = Window.orderBy(cost).rowsBetween(Window.unboundedPreceding, -1)
-    floor = at_cost.withColumn("_cheaper", F.min("_least").over(cheaper))
-    joined = df.join(floor, cost)
-    alone = F.col("_cheaper").isNull() | (F.col(error) < F.col("_cheaper"))
-    return joined.where((F.col(error) == F.col("_least")) & alone).drop("_least", "_cheaper")
+    known = df.where(F.col(cost).isNotNull() & F.col(error).isNotNull())
+    at_cost = known.groupBy(cost).agg(F.min(error).alias(error))
+    front = Workspace(df.sparkSession, "skyline").save(ranges.new_extremes(at_cost, error, [cost]), "front")
+    few = front.limit(SPAN + 1).count() <= SPAN
+    return known.join(F.broadcast(front) if few else front, [cost, error], "left_semi").select(*df.columns)
 
 
 def brackets(points: DataFrame, rate: str, *keys: str) -> DataFrame:
@@ -78,9 +86,9 @@ def interpolated(points: DataFrame, targets: DataFrame, rate: str, values: list[
     """target and the values at it, linear in the logarithm of the rate; no row where the target lies outside the curve.
 
     A point within ``exact`` of the target is taken as it is. Targets are a
-    short list; each bracket looks up those that fall into it.
+    short list, refused if it is not; each bracket looks up those that fall into it.
     """
-    both = brackets(points, rate, *keys).join(F.broadcast(targets), (F.abs(F.col(rate) - F.col("target")) < exact) | F.col("target").between(F.col(rate), F.col(f"next_{rate}")))
+    both = brackets(points, rate, *keys).join(small(targets), (F.abs(F.col(rate) - F.col("target")) < exact) | F.col("target").between(F.col(rate), F.col(f"next_{rate}")))
     hit = F.abs(F.col(rate) - F.col("target")) < exact
     share = (F.log2("target") - F.log2(rate)) / (F.log2(f"next_{rate}") - F.log2(rate))
     at = [F.when(hit, F.col(v)).otherwise(F.col(v) + share * (F.col(f"next_{v}") - F.col(v))).alias(v) for v in values]
@@ -89,12 +97,14 @@ def interpolated(points: DataFrame, targets: DataFrame, rate: str, values: list[
 
 
 def midpoint_windows(targets: DataFrame) -> DataFrame:
-    """target with low and high: halfway to its neighbours, the end ones mirrored, low not below 0."""
-    order = Window.orderBy("target")
-    before, after = F.lag("target").over(order), F.lead("target").over(order)
-    t = F.col("target")
+    """target with low and high: halfway to its neighbours, the end ones mirrored, low not below 0. Targets are a short list."""
+    listed = targets.agg(F.sort_array(F.collect_list("target")).alias("_all"))
+    at = lambda i: F.get("_all", i)
+    p, t = F.col("_p"), F.col("target")
+    before, after = F.when(p > 0, at(p - 1)), at(p + 1)
     low = F.greatest(F.lit(0.0), (F.coalesce(before, t - (after - t)) + t) / 2)
-    return targets.select("target", low.alias("low"), ((F.coalesce(after, t + (t - before)) + t) / 2).alias("high"))
+    each = listed.select("_all", F.posexplode("_all").alias("_p", "target"))
+    return each.select("target", low.alias("low"), ((F.coalesce(after, t + (t - before)) + t) / 2).alias("high"))
 
 
 def gaussian_taps(radius: int = 5, sigma: float = 1.5) -> list[float]:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.numeric import psnr
+from tessella.operators.order_statistics import quantiles
 
 
 def pooled_columns() -> list[Column]:
@@ -112,10 +113,12 @@ def packing_summary(df: DataFrame, legacy: str, packed: str, *keys: str) -> Data
 
 
 def stage_statistics(df: DataFrame, value: str, *keys: str) -> DataFrame:
-    """n, least, median, p90, mean and population deviation; quantiles interpolate between order statistics."""
-    return df.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.min(value).alias("least"), F.percentile(value, 0.5).alias("median"), F.percentile(value, 0.9).alias("p90"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation")
-    )
+    """n, least, median, p90, mean and population deviation; quantiles interpolate between order statistics, which are found by counts."""
+    sums = df.groupBy(*keys).agg(F.count("*").alias("n"), F.min(value).alias("least"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"))
+    at = quantiles(df, value, {"median": 0.5, "p90": 0.9}, *keys).drop("n")
+    named = at.withColumnsRenamed({k: f"_{k}" for k in keys})
+    both = sums.join(named, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left")
+    return both.select(*keys, "n", "least", "median", "p90", "mean", "deviation")
 
 
 def wins(df: DataFrame, candidate: str, baseline: str, profile: str, keys: list[str], error: str) -> DataFrame:

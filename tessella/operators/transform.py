@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.coding import BASIS_BITS, float_basis, integer_basis, zigzag
 from tessella.functions.numeric import clamp, divide_signed, signed_golomb_bits, unsigned_golomb_bits
+from tessella.operators import ranges
+from tessella.workspace import Workspace
 
 
 def rounded(x: np.ndarray, by: int | np.ndarray) -> np.ndarray:
@@ -123,9 +125,12 @@ def sweep(candidates: DataFrame, palette_bytes: int, *keys: str, table_bytes: in
     Candidates are (keys, unit, bits0, sse0, bits1, sse1), mode 0 being palette
     and 1 transform. The sweep begins with the mode of least error in every unit
     and flips units in the order of error gained for each bit saved. A state is
-    the start plus a running sum of changes, so no loop is needed. Returns step,
-    sse, bits0, bits1, count0, count1 and payload_bytes.
+    the start plus a running sum of changes, so no loop is needed: flips are cut
+    into ranges of that order, and each range carries on from the sums of those
+    before, so the units of one key spread over many tasks. Returns step, sse,
+    bits0, bits1, count0, count1 and payload_bytes.
     """
+    candidates = Workspace(candidates.sparkSession, "sweep").save(candidates, "candidates")
     one = (F.col("sse1") < F.col("sse0")) | ((F.col("sse1") == F.col("sse0")) & (F.col("bits1") < F.col("bits0")))
     pick = lambda name, mode: F.when(F.col("mode") == mode, F.col(f"{name}{mode}")).otherwise(0)
     began = candidates.withColumn("mode", one.cast("int"))
@@ -137,10 +142,10 @@ def sweep(candidates: DataFrame, palette_bytes: int, *keys: str, table_bytes: in
     lost = F.when(F.col("mode") == 0, F.col("sse1") - F.col("sse0")).otherwise(F.col("sse0") - F.col("sse1"))
     events = began.withColumn("_saved", saved).withColumn("_lost", lost).where("_saved > 0 and _lost > 0")
     events = events.select(*keys, "unit", (F.col("_lost") / F.col("_saved")).alias("_t"), F.col("_lost").alias("d_sse"), (-sign * F.col("bits0")).alias("d0"), (sign * F.col("bits1")).alias("d1"), sign.alias("d_count"))
-    order = Window.partitionBy(*keys).orderBy("_t", "unit")
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    moved = events.select(*keys, F.row_number().over(order).alias("step"), *[F.sum(c).over(upto).alias(c) for c in ("d_sse", "d0", "d1", "d_count")])
-    zero = start.select(*keys, F.lit(0).alias("step"), *[F.lit(0).cast("long").alias(c) for c in ("d_sse", "d0", "d1", "d_count")])
+    folds = {c: ("sum", f"_{c}") for c in ("step", "d_sse", "d0", "d1", "d_count")}
+    each = events.select(*keys, "unit", "_t", F.lit(1).alias("_step"), *[F.col(c).alias(f"_{c}") for c in ("d_sse", "d0", "d1", "d_count")])
+    moved = ranges.running(each, folds, ["_t", "unit"], *keys).select(*keys, *folds)
+    zero = start.select(*keys, F.lit(0).cast("long").alias("step"), *[F.lit(0).cast("long").alias(c) for c in ("d_sse", "d0", "d1", "d_count")])
     states = moved.unionByName(zero).join(start, list(keys)) if keys else moved.unionByName(zero).crossJoin(F.broadcast(start))
     b0, b1, c0, c1 = F.col("_b0") + F.col("d0"), F.col("_b1") + F.col("d1"), F.col("_c0") - F.col("d_count"), F.col("_c1") + F.col("d_count")
     size = (
