@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.operators import asof, order_statistics, prefix, transform
+from tessella.operators import asof, corpus_palette, hamming_join, order_statistics, prefix, transform, tree_join
+from tessella.operators.farthest import farthest_first
+from tessella.operators.matching import palette_rows
 from tessella.plans import catalog
 from tessella.plans.catalog import query
-from tessella.plans.fixtures import table
+from tessella.plans.fixtures import PX_SQL, pixels, table
+from tessella.workspace import Workspace
 
 c = F.col
 
@@ -97,3 +100,93 @@ def price_order_statistics(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(c("l_returnflag").alias("flag"), c("l_linestatus").alias("status"), "l_extendedprice")
     q = order_statistics.quantiles(rows, "l_extendedprice", {"median": 0.5, "p95": 0.95, "p99": 0.99}, "flag", "status")
     return q.select("flag", "status", "n", *[F.round(v, 6).alias(v) for v in ("median", "p95", "p99")])
+
+
+# ---------------------------------------------------------------- neighbourhoods
+_BYTE = "CAST(floor((CAST(embedding[{0}] AS DOUBLE) + 1) * 127.5) AS BIGINT)"
+_NEAREST = f"WITH {PX_SQL}, e AS (SELECT vec_id AS idx, {_BYTE.format(1)} AS pr, {_BYTE.format(2)} AS pg, {_BYTE.format(3)} AS pb FROM embeddings), q AS (SELECT DISTINCT r, g, b FROM px) SELECT r, g, b, arg_min(idx, {{'d': {catalog._D2}, 'i': idx}}) AS idx, min({catalog._D2}) AS distance FROM q, e GROUP BY 1, 2, 3"
+
+
+@query(_NEAREST)
+def tree_nearest_colors(spark, sf_dir):
+    """The nearest of as many colours as there are vectors, for every distinct colour of the pixels."""
+    byte = lambda i: F.floor((F.get("embedding", F.lit(i)).cast("double") + 1) * 127.5).cast("long")
+    entries = table(spark, sf_dir, "embeddings").select(c("vec_id").alias("idx"), *[byte(i).alias(v) for i, v in enumerate("rgb")])
+    return tree_join.tree_nearest(pixels(spark, sf_dir).select("r", "g", "b"), entries, ["r", "g", "b"])
+
+
+_BITS = "pat AS (SELECT vec_id, CAST(array_to_string(list_transform(embedding, lambda v: CASE WHEN v >= 0 THEN '1' ELSE '0' END), '') AS BIT) AS p FROM embeddings), kinds AS (SELECT p, min(vec_id) AS head, count(*) AS n FROM pat GROUP BY 1)"
+
+
+_HALF = _BITS.replace("list_transform(embedding,", "list_transform(embedding[1:32],")
+
+
+@query(
+    f"WITH {_HALF}, met AS (SELECT a.p, b.head AS other, b.n AS m, CAST(bit_count(xor(a.p, b.p)) AS INTEGER) AS d FROM kinds a JOIN kinds b ON a.p <> b.p AND bit_count(xor(a.p, b.p)) <= 5), "
+    "t AS (SELECT p, sum(m) AS m, min({'d': d, 'o': other}) AS best FROM met GROUP BY 1) "
+    "SELECT vec_id AS id, head, CAST(n - 1 + coalesce(m, 0) AS BIGINT) AS n_near, CASE WHEN n > 1 THEN 0 ELSE best.d END AS nearest, best.o AS partner FROM pat JOIN kinds USING (p) LEFT JOIN t USING (p)"
+)
+def near_patterns(spark, sf_dir):
+    """The signs of every vector's first 32 components as a pattern, with how many others differ in five places or fewer."""
+    patterns = table(spark, sf_dir, "embeddings").select(c("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 32), lambda v: F.when(v >= 0, 1).otherwise(0)).alias("p"))
+    return hamming_join.near_patterns(patterns, 5, places=32)
+
+
+def _dictionary_sql(k: int) -> str:
+    """Each choice as a table of its own."""
+    order = "ORDER BY {0} DESC, head LIMIT 1"
+    parts = [_BITS, f"s0 AS MATERIALIZED (SELECT p FROM kinds {order.format('n')})", "t0 AS MATERIALIZED (SELECT kinds.*, bit_count(xor(kinds.p, s0.p)) AS near FROM kinds, s0)"]
+    for i in range(1, k):
+        parts.append(f"s{i} AS MATERIALIZED (SELECT p FROM t{i - 1} WHERE near > 0 {order.format('near * (1 + log2(n + 1))')})")
+        parts.append(f"t{i} AS MATERIALIZED (SELECT t.p, t.head, t.n, coalesce(least(t.near, bit_count(xor(t.p, s{i}.p))), t.near) AS near FROM t{i - 1} t LEFT JOIN s{i} ON true)")
+    chosen = " UNION ALL ".join(f"SELECT {i} AS proto, p AS q FROM s{i}" for i in range(k))
+    return f"WITH {', '.join(parts)}, s AS ({chosen}) SELECT vec_id AS block, CAST(proto AS INTEGER) AS proto, CAST(bit_count(xor(p, q)) AS BIGINT) AS distance FROM pat, s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY bit_count(xor(p, q)), proto) = 1"
+
+
+#: Entries of the dictionary of a corpus.
+_ENTRIES = 24
+
+
+@query(_dictionary_sql(_ENTRIES))
+def corpus_dictionary(spark, sf_dir):
+    """One dictionary of sign patterns for all vectors, frequent and far apart, and each vector's nearest entry."""
+    patterns = table(spark, sf_dir, "embeddings").select(c("vec_id").alias("block"), hamming_join.word(F.transform("embedding", lambda v: F.when(v >= 0, 1).otherwise(0))).alias("word"))
+    kinds = Workspace(spark, "dictionary").save(patterns.groupBy("word").agg(F.min("block").alias("head"), F.count("*").alias("n")), "kinds")
+    far = lambda r: hamming_join.differing(c("word"), F.lit(r["word"])).cast("double")
+    chosen = farthest_first(kinds, far, lambda near: near * (F.log2(c("n") + 1) + 1), c("n"), c("head"), _ENTRIES)
+    near = F.array_min(F.array(*[F.struct(hamming_join.differing(c("word"), F.lit(r["word"])).cast("long").alias("d"), F.lit(i).alias("i")) for i, r in enumerate(chosen)]))
+    return patterns.select("block", near.alias("near")).select("block", c("near.i").alias("proto"), c("near.d").alias("distance"))
+
+
+def _palette_sql(k: int, rounds: int) -> str:
+    """Each choice of the start and each round as tables of their own."""
+    d2 = lambda a, b: " + ".join(f"({a}.{v} - {b}.{v}) * ({a}.{v} - {b}.{v})" for v in "rgb")
+    parts = [PX_SQL, "cols AS MATERIALIZED (SELECT r, g, b, count(*) AS n, min(pos) AS first FROM px WHERE a <> 0 GROUP BY ALL)", "s0 AS MATERIALIZED (SELECT r, g, b FROM cols ORDER BY n DESC, first LIMIT 1)", f"t0 AS MATERIALIZED (SELECT c.*, {d2('c', 's0')} AS near FROM cols c, s0)"]
+    for i in range(1, k):
+        parts.append(f"s{i} AS MATERIALIZED (SELECT r, g, b FROM t{i - 1} WHERE near > 0 ORDER BY near * n DESC, first LIMIT 1)")
+        parts.append(f"t{i} AS MATERIALIZED (SELECT t.r, t.g, t.b, t.n, t.first, coalesce(least(t.near, {d2('t', f's{i}')}), t.near) AS near FROM t{i - 1} t LEFT JOIN s{i} ON true)")
+    start = " UNION ALL ".join(f"SELECT {i} AS slot, CAST(r AS DOUBLE) AS r, CAST(g AS DOUBLE) AS g, CAST(b AS DOUBLE) AS b FROM s{i}" for i in range(k))
+    parts.append(f"m0 AS MATERIALIZED ({start})")
+    own = "SELECT c.*, m.slot, {d} AS d FROM cols c, m{j} m QUALIFY row_number() OVER (PARTITION BY c.r, c.g, c.b ORDER BY {d}, m.slot) = 1"
+    for j in range(rounds):
+        means = ", ".join(f"sum({v} * n) / sum(n) AS {v}" for v in "rgb")
+        parts.append(f"a{j} AS MATERIALIZED ({own.format(d=d2('c', 'm'), j=j)})")
+        parts.append(f"m{j + 1} AS MATERIALIZED (SELECT o.slot, {', '.join(f'coalesce(q.{v}, o.{v}) AS {v}' for v in 'rgb')} FROM m{j} o LEFT JOIN (SELECT slot, {means} FROM a{j} GROUP BY 1) q USING (slot))")
+    parts.append(f"a AS MATERIALIZED ({own.format(d=d2('c', 'm'), j=rounds)})")
+    parts.append("p AS (SELECT slot, r AS pr, g AS pg, b AS pb, w FROM (SELECT *, sum(n) OVER (PARTITION BY slot) AS w, row_number() OVER (PARTITION BY slot ORDER BY round(d, 9), n DESC, first) AS k FROM a) WHERE k = 1)")
+    parts.append("o AS (SELECT *, row_number() OVER (ORDER BY w DESC, slot) - 1 AS place FROM p)")
+    return f"WITH {', '.join(parts)} SELECT r, g, b, n, CAST(place AS INTEGER) AS slot, pr, pg, pb FROM a JOIN o USING (slot)"
+
+
+@query(_palette_sql(12, 6))
+def corpus_palette_colors(spark, sf_dir):
+    """One palette of twelve colours for all pixels, six rounds, and the entry of every distinct colour."""
+    return corpus_palette.corpus_palette(pixels(spark, sf_dir), 12, rounds=6)
+
+
+@query(f"WITH {PX_SQL}, {catalog._PAL}, q AS (SELECT r, g, b, count(*) AS n FROM px WHERE a <> 0 GROUP BY ALL), o AS (SELECT r, g, b, n, arg_min(idx, {{'d': {catalog._D2}, 'i': idx}}) AS idx FROM q, pal GROUP BY 1, 2, 3, 4) SELECT CAST(idx AS INTEGER) AS slot, CAST(sum(n) AS BIGINT) AS n, round(sum(r * n) / sum(n), 6) AS r, round(sum(g * n) / sum(n), 6) AS g, round(sum(b * n) / sum(n), 6) AS b FROM o GROUP BY 1")
+def corpus_palette_round(spark, sf_dir):
+    """One round from given centres."""
+    centres = [[float(v) for v in row] for row in palette_rows(catalog.palette(spark))]
+    means = corpus_palette.round_means(corpus_palette.weighted_colors(pixels(spark, sf_dir)), centres)
+    return means.select("slot", "n", *[F.round(v, 6).alias(v) for v in "rgb"])
