@@ -81,7 +81,7 @@ def purchase_asof_click(spark, sf_dir):
 @query(
     "WITH p AS (SELECT round(value * 100) / 100 AS rate, arg_max(user_id, event_id) AS q FROM events WHERE value > 0 GROUP BY 1), p2 AS (SELECT round(value * 100) / 100 AS rate, arg_min(user_id, event_id) AS q FROM events WHERE value > 0 GROUP BY 1), "
     "t AS (SELECT o_orderkey, o_totalprice / 1000 AS target FROM orders), lo AS (SELECT t.o_orderkey, t.target, p.rate AS r0, p.q AS q0 FROM t ASOF LEFT JOIN p ON t.target >= p.rate), hi AS (SELECT t.o_orderkey, p2.rate AS r1, p2.q AS q1 FROM t ASOF LEFT JOIN p2 ON t.target <= p2.rate) "
-    "SELECT o_orderkey, r0, r1, round(CASE WHEN r1 = r0 THEN q0 ELSE q0 + (log2(target) - log2(r0)) / (log2(r1) - log2(r0)) * (q1 - q0) END, 6) AS quality FROM lo JOIN hi USING (o_orderkey)"
+    "SELECT o_orderkey, r0, r1, round(CASE WHEN r1 = r0 THEN q0 ELSE q0 + ln(target / r0) / ln(r1 / r0) * (q1 - q0) END, 6) AS quality FROM lo JOIN hi USING (o_orderkey)"
 )
 def order_rate_brackets(spark, sf_dir):
     """Orders as target rates between the points of one curve, events: the bracket of each and the quality within it."""
@@ -89,7 +89,7 @@ def order_rate_brackets(spark, sf_dir):
     targets = table(spark, sf_dir, "orders").select("o_orderkey", (c("o_totalprice") / 1000).alias("target"))
     low = asof.asof_join(targets, points, "target", "event_id").select("o_orderkey", "target", c("match.target").alias("r0"), c("match.q").alias("q0"))
     both = asof.asof_join(low, points, "target", "event_id", forward=True).withColumns({"r1": c("match.target"), "q1": c("match.q")})
-    share = (F.log2("target") - F.log2("r0")) / (F.log2("r1") - F.log2("r0"))
+    share = F.log(c("target") / c("r0")) / F.log(c("r1") / c("r0"))
     return both.select("o_orderkey", "r0", "r1", F.round(F.when(c("r1") == c("r0"), c("q0")).otherwise(c("q0") + share * (c("q1") - c("q0"))), 6).alias("quality"))
 
 
