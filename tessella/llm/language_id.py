@@ -92,15 +92,19 @@ def fit(df: DataFrame, text: str, lang: str, key: Column, per_lang: int = 2000,
 
 
 def _em(p: np.ndarray, c: np.ndarray, first: np.ndarray, doc: np.ndarray, pi: np.ndarray, rounds: int) -> np.ndarray:
-    """Proportions of each document; zero ones stay zero. first: where each document's rows begin."""
-    total = np.add.reduceat(c, first)[:, None]
+    """Proportions of each document; zero ones stay zero. first: where each document's rows begin.
+
+    A document that has settled is left as it is, so its neighbours decide nothing.
+    """
+    total, live = np.add.reduceat(c, first)[:, None], np.ones(len(first), dtype=bool)
     for _ in range(rounds):
         r = p * pi[doc]
         r *= (c / r.sum(axis=1))[:, None]
         new = np.add.reduceat(r, first, axis=0) / total
-        done = np.abs(new - pi).max() < 1e-3
-        pi = new
-        if done:
+        settled = np.abs(new - pi).max(axis=1) < 1e-3
+        pi = np.where(live[:, None], new, pi)
+        live &= ~settled
+        if not live.any():
             break
     return pi
 

@@ -32,7 +32,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 ADDED = {
-    "pem": re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,4}PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END (?:[A-Z0-9]+ ){0,4}PRIVATE KEY-----)?"),
+    "pem": re.compile(
+        r"-----BEGIN (?:[A-Z0-9]+ ){0,4}PRIVATE KEY-----(?:(?>\s*(?=[A-Za-z]*[0-9+/])[A-Za-z0-9+/]{16,}+={0,2}+(?![^\s-]))++|(?=\s*[A-Za-z0-9+/]+={0,2}\s*-----END ))"
+        r"(?:\s*[A-Za-z0-9+/]+={0,2}(?=\s*-----END ))?(?:\s*-----END (?:[A-Z0-9]+ ){0,4}PRIVATE KEY-----)?"
+    ),
     "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
     "forge": re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}"),
     "urlauth": re.compile(r"://[A-Za-z0-9._-]+:[^\s:@/]{6,}@"),
