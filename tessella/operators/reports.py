@@ -177,34 +177,48 @@ def bd_rate(curves: DataFrame, key: str = "key") -> DataFrame:
     return curves.groupBy(key).applyInPandas(one, f"{key} {kind}, bd_rate double")
 
 
-def ssim(pairs: DataFrame, key: str = "image_id") -> DataFrame:
+#: Side of the squares of window places that one task works on at a time.
+TILE = 64
+
+
+def ssim(pairs: DataFrame, key: str = "image_id", tile: int = TILE) -> DataFrame:
     """Mean structural similarity of luma for each image, from pixels with r, g, b and r2, g2, b2 at (y, x).
 
-    An image is one group: the 11 by 11 Gaussian window reaches across blocks.
-    Images under 11 pixels in a direction have no value.
+    Windows of 11 by 11 pixels are dealt to tiles by their first pixel. A tile
+    gets the ten lines and columns beyond it as well, so tiles are summed apart and
+    an image of any size spreads over tasks. Images under 11 pixels in a direction
+    have no value; an image must have a pixel at every place.
     """
     from tessella.functions.color import LUMA_709
     from tessella.operators.prefix import gaussian_taps
 
     taps = np.array(gaussian_taps(), dtype=np.float32)
+    beyond = len(taps) - 1
 
     def smooth(x: np.ndarray) -> np.ndarray:
         rows = np.lib.stride_tricks.sliding_window_view(x, len(taps), axis=1) @ taps
         return np.lib.stride_tricks.sliding_window_view(rows, len(taps), axis=0) @ taps
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x"])
-        shape = (pdf["y"].max() + 1, pdf["x"].max() + 1)
-        value = None
+        y, x = (pdf[c].to_numpy() - pdf[t].iloc[0] * tile for c, t in (("y", "_ty"), ("x", "_tx")))
+        shape, total, n = (y.max() + 1, x.max() + 1), 0.0, 0
+        if len(pdf) != shape[0] * shape[1]:
+            raise ValueError("an image without some of its pixels")
         if min(shape) >= len(taps):
-            a, b = ((pdf[cs].to_numpy(dtype=np.float32) @ np.array(LUMA_709, dtype=np.float32)).reshape(shape) for cs in (["r", "g", "b"], ["r2", "g2", "b2"]))
+            a, b = np.zeros(shape, dtype=np.float32), np.zeros(shape, dtype=np.float32)
+            for plane, cs in ((a, ["r", "g", "b"]), (b, ["r2", "g2", "b2"])):
+                plane[y, x] = pdf[cs].to_numpy(dtype=np.float32) @ np.array(LUMA_709, dtype=np.float32)
             ma, mb = smooth(a), smooth(b)
             va, vb, cov = np.maximum(smooth(a * a) - ma * ma, 0), np.maximum(smooth(b * b) - mb * mb, 0), smooth(a * b) - ma * mb
             c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
-            value = float(np.mean((2 * ma * mb + c1) * (2 * cov + c2) / ((ma * ma + mb * mb + c1) * (va + vb + c2)), dtype=np.float64))
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "ssim": [value]})
-
-    return pairs.groupBy(key).applyInPandas(one, f"{key} {pairs.schema[key].dataType.simpleString()}, ssim double")
+            value = (2 * ma * mb + c1) * (2 * cov + c2) / ((ma * ma + mb * mb + c1) * (va + vb + c2))
+            total, n = float(value.sum(dtype=np.float64)), value.size
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "total": [total], "n": [n]})
+
+    tiles = lambda v: F.sequence((F.greatest(F.lit(0), F.col(v) - beyond) / tile).cast("int"), (F.col(v) / tile).cast("int"))
+    dealt = pairs.select(key, "y", "x", "r", "g", "b", "r2", "g2", "b2", F.explode(tiles("y")).alias("_ty")).select("*", F.explode(tiles("x")).alias("_tx"))
+    sums = dealt.groupBy(key, "_ty", "_tx").applyInPandas(one, f"{key} {pairs.schema[key].dataType.simpleString()}, total double, n long")
+    return sums.groupBy(key).agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("ssim"))
 
 
 def markdown(df: DataFrame, columns: list[str]) -> Iterator[str]:

@@ -388,6 +388,14 @@ def ssim_coarse(spark, sf_dir):
     return reports.ssim(p).where("ssim is not null").select("image_id", F.round("ssim", 3).alias("ssim"))
 
 
+@query(_SSIM_SQL.replace(f"y // {BAND} AS image, y % {BAND} AS y", "0 AS image, y"))
+def ssim_whole(spark, sf_dir):
+    """The same for all pixels as one image, which spreads over tasks by tiles."""
+    coarse = [(F.floor(c(v) / 64) * 64).alias(f"{v}2") for v in "rgb"]
+    p = pixels(spark, sf_dir).select(F.lit("0").alias("image_id"), "y", "x", "r", "g", "b", *coarse)
+    return reports.ssim(p).where("ssim is not null").select("image_id", F.round("ssim", 3).alias("ssim"))
+
+
 # ---------------------------------------------------------------- validation
 _CHECKED = "p_partkey AS id, p_partkey % 11 AS width, [2, 3, 4, 8, 512][p_partkey % 5 + 1] AS block, [1, 2, 4, 8, 32][p_partkey // 5 % 5 + 1] AS local, [4, 16, 256, 512][p_partkey // 25 % 4 + 1] AS shared, [1, 2, 128, 256][p_partkey // 3 % 4 + 1] AS palettes, CASE WHEN p_partkey % 13 = 0 THEN 20 ELSE 24 END AS bits, p_partkey // 7 % 3 AS extra"
 

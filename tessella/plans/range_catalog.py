@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.operators import asof, corpus_palette, hamming_join, order_statistics, prefix, transform, tree_join
+from tessella.operators import asof, corpus_palette, hamming_join, order_statistics, prefix, staged_search, transform, tree_join
 from tessella.operators.farthest import farthest_first
 from tessella.operators.matching import palette_rows
 from tessella.plans import catalog
 from tessella.plans.catalog import query
 from tessella.plans.fixtures import PX_SQL, pixels, table
+from tessella.streaming import records, sessions
 from tessella.workspace import Workspace
 
 c = F.col
@@ -190,3 +191,74 @@ def corpus_palette_round(spark, sf_dir):
     centres = [[float(v) for v in row] for row in palette_rows(catalog.palette(spark))]
     means = corpus_palette.round_means(corpus_palette.weighted_colors(pixels(spark, sf_dir)), centres)
     return means.select("slot", "n", *[F.round(v, 6).alias(v) for v in "rgb"])
+
+
+# ---------------------------------------------------------------- staged search
+_TARGETS = (1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 6.0, 8.0)
+_LIST = ", ".join(f"CAST({t} AS DOUBLE)" for t in _TARGETS)
+_SEARCH_SQL = f"""WITH runs AS (SELECT l_partkey AS candidate, l_suppkey % 4 AS source, l_returnflag || l_linestatus AS policy, (l_orderkey * 31 + l_linenumber * 977 + l_suppkey * 7919) % 10007 AS error FROM lineitem),
+candidates AS (SELECT p_partkey AS candidate, 1 + (p_partkey * 7919 % 2801) / 400.0::DOUBLE AS rate FROM part),
+within AS (SELECT candidate, rate, target FROM candidates, (SELECT unnest([{_LIST}]) AS target) WHERE rate <= target AND rate >= target - 0.25),
+screen AS (SELECT target, candidate, rate, error, row_number() OVER (PARTITION BY target ORDER BY error, rate DESC, candidate) AS rank FROM within JOIN (SELECT candidate, CAST(sum(error) AS DOUBLE) / count(*) AS error FROM runs WHERE source = 0 GROUP BY 1) USING (candidate) QUALIFY rank <= 12),
+top AS (SELECT DISTINCT target, candidate, rate FROM screen WHERE rank <= 3),
+validate AS (SELECT target, candidate, rate, error, row_number() OVER (PARTITION BY target ORDER BY error, rate DESC, candidate) AS rank FROM top JOIN (SELECT candidate, CAST(sum(error) AS DOUBLE) / count(*) AS error FROM runs GROUP BY 1) USING (candidate) QUALIFY rank <= 3),
+policy AS (SELECT target, candidate, policy, rate, r.error, row_number() OVER (PARTITION BY target ORDER BY r.error, policy) AS rank FROM validate JOIN (SELECT candidate, policy, CAST(sum(error) AS DOUBLE) / count(*) AS error FROM runs GROUP BY 1, 2) r USING (candidate) WHERE rank = 1)
+"""
+
+
+def _searched(spark, sf_dir, root: str | None = None) -> tuple:
+    """The rows of the three stages: parts as candidates, their line items as trial runs by source and policy."""
+    k = lambda n: c(f"l_{n}").cast("long")
+    error = (k("orderkey") * 31 + k("linenumber") * 977 + k("suppkey") * 7919) % 10007
+    runs = table(spark, sf_dir, "lineitem").select(k("partkey").alias("candidate"), (k("suppkey") % 4).alias("source"), F.concat("l_returnflag", "l_linestatus").alias("policy"), error.alias("error"))
+    candidates = table(spark, sf_dir, "part").select(c("p_partkey").cast("long").alias("candidate"), ((c("p_partkey") * 7919 % 2801) / 400.0 + 1).alias("rate"))
+    mean = (F.sum("error").cast("double") / F.count("*")).alias("error")
+    on = lambda rows, *by: lambda work: work.join(rows.groupBy(*by).agg(mean), list(by))
+    stages = staged_search.Stages(spark, root)
+    screen = staged_search.screened(stages, candidates, list(_TARGETS), on(runs.where("source = 0"), "candidate"))
+    validate = staged_search.validated(stages, screen, on(runs, "candidate"))
+    policies = runs.select("policy").distinct()
+    return screen, validate, lambda: staged_search.with_policy(stages, validate, policies, on(runs, "candidate", "policy"))
+
+
+@query(_SEARCH_SQL + "SELECT target, candidate, rate, error, rank FROM screen")
+def search_screen(spark, sf_dir):
+    """The twelve best candidates of each target rate on one source."""
+    return _searched(spark, sf_dir)[0].withColumn("rank", c("rank").cast("long"))
+
+
+@query(_SEARCH_SQL + "SELECT target, candidate, rate, error, rank FROM validate")
+def search_validate(spark, sf_dir):
+    """The three best of each target, scored on all sources."""
+    return _searched(spark, sf_dir)[1].withColumn("rank", c("rank").cast("long"))
+
+
+@query(_SEARCH_SQL + "SELECT target, candidate, policy, rate, error FROM policy QUALIFY row_number() OVER (PARTITION BY target ORDER BY error, policy) = 1")
+def search_policy(spark, sf_dir):
+    """The best policy for the winner of each target."""
+    return _searched(spark, sf_dir)[2]().drop("rank")
+
+
+# ---------------------------------------------------------------- sessions of a stream
+_GAP, _LATE, _SLICES = 6 * 3600, 3600, 3
+
+
+@query(
+    f"WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, event_id, value FROM events WHERE value IS NOT NULL), s AS (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) <= {_GAP * 1000} THEN 0 ELSE 1 END AS fresh FROM e), "
+    "n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS no FROM s), "
+    "g AS (SELECT user_id, min(ms) AS begin_ms, max(ms) AS end_ms, count(*) AS records, round(sum(value), 4) AS total, max({'m': ms, 'e': event_id}).e AS last_order, arg_max(value, {'m': ms, 'e': event_id}) AS last_value FROM n GROUP BY user_id, no) "
+    f"SELECT * FROM g WHERE end_ms + {_GAP * 1000} <= (SELECT max(ms) FROM e) - {_LATE * 1000}"
+)
+def stream_sessions(spark, sf_dir):
+    """Sessions of each user, closed by timers; the log arrives in three parts, the stream is restarted for each from its checkpoint."""
+    e = table(spark, sf_dir, "events").select("user_id", c("ts").cast("timestamp").alias("ts"), "event_id", "value")
+    work = Workspace(spark, "sessions")
+    first, last = e.agg(F.min(F.unix_millis("ts")), F.max(F.unix_millis("ts"))).first()
+    slot = F.least(F.lit(_SLICES - 1), F.floor((F.unix_millis("ts") - F.lit(first)) * _SLICES / F.lit(max(1, last - first))))
+    source = records.record_stream(spark, f"{work.root}/log/*", e.schema, "parquet")
+    closed = sessions.closed_sessions(source, "user_id", "ts", "event_id", "value", str(_GAP), str(_LATE))
+    for i in range(_SLICES):
+        e.where(slot == i).write.parquet(f"{work.root}/log/{i}")
+        sessions.run_available(closed, f"{work.root}/closed", f"{work.root}/state")
+    out = spark.read.schema(closed.schema).option("basePath", f"{work.root}/closed").parquet(f"{work.root}/closed")
+    return out.select(*[n for n in closed.columns if n != "total"], F.round("total", 4).alias("total"))
