@@ -72,6 +72,7 @@ def _by_score(width: int, height: int, score) -> list[int]:
 
 def scan(profile: int, width: int, height: int) -> list[int]:
     """One of four base orders of the frequencies: diagonal, horizontal, vertical, square."""
+    # The coefficients of the scores.
     scores = (
         lambda u, v: u + v + (v if (u + v) % 2 == 0 else u) * 0.001,
         lambda u, v: u + v * 2.4,
@@ -83,6 +84,7 @@ def scan(profile: int, width: int, height: int) -> list[int]:
 
 def skip_scan(profile: int, width: int, height: int) -> list[int]:
     """One of eight orders over frequencies scaled to 0..1."""
+    # The coefficients of the scores.
     scores = (
         lambda u, v, r: r * r,
         lambda u, v, r: 0.22 * u * u + 2.1 * v * v,

@@ -23,6 +23,20 @@ def rate_guard(error, bpp, base_error, base_bpp, penalty: float = 15.0) -> Colum
     return F.when((bpp <= 0) | (base_bpp <= 0) | (error > base_error), False).when(base_error == 0, (error == 0) & (bpp <= base_bpp)).when(error == 0, True).otherwise(pays)
 
 
+def palette_fault(width, height, block, local, shared, palettes, bits, blocks, most) -> Column:
+    """The first constraint of a palette image that its numbers break, as its reader names it, or the empty string.
+
+    ``blocks`` is the number of blocks that it has, ``most`` its greatest colour byte.
+    """
+    power = lambda v: (v > 0) & (v.bitwiseAND(v - 1) == 0)
+    limits = {"block": (block, 2, 256), "local": (local, 2, 16), "shared": (shared, 2, 256), "palettes": (palettes, 1, 128)}
+    fault = F.when(~(width.between(1, 1 << 24) & height.between(1, 1 << 24)), "bad dimensions")
+    for name, (v, low, high) in limits.items():
+        fault = fault.when(~power(v), f"{name} is not a power of two").when(~v.between(low, high), f"{name} out of range")
+    fault = fault.when((local > shared) | (local > block * block), "more local colours than shared colours or pixels").when(~bits.isin(16, 24), "bad colour mode")
+    return fault.when(blocks != F.ceil(width / block) * F.ceil(height / block), "wrong number of blocks").when(most > 255, "value out of range").otherwise("")
+
+
 def grid(baseline: dict[str, int], profiles: list[tuple[int, int, int]], palettes: tuple[int, ...] = (2, 16, 32, 64), bits: tuple[int, ...] = (16, 24)) -> list[dict[str, int]]:
     """The baseline, then every profile (block, local, shared) with every number of palettes and colour depth, each once."""
     shapes = [*profiles, tuple(baseline[k] for k in SETTINGS[:3])]

@@ -6,18 +6,16 @@ The SQL spells its tables and steps out by itself: no constant of it comes from
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tessella.operators import block_texture, reports, transform
+from tessella.operators import block_texture, reports, settings_search, transform
 from tessella.plans.catalog import query
 from tessella.plans.codec_catalog import _IMG, BAND, _formed, _per_image, _scanned, images
 from tessella.plans.fixtures import BLK_SQL, PX_SQL, pixels, table
-from tessella.sources import containers, dct_file, hybrid_file, palette_file, tables
+from tessella.sources import containers, dct_file, hybrid_file, palette_file, tables, unit_source
 from tessella.sources.bits import Writer
 from tessella.workspace import Workspace
 
@@ -281,6 +279,27 @@ def transform_units_scan(spark, sf_dir):
     return tables.decode_units(tables.transform_units(files))
 
 
+def _unit_folder(spark, sf_dir):
+    """A folder with the transform file of every image, written by executors."""
+    made = _per_image(images(spark, sf_dir), "image_id string, data binary", lambda rgba: (_formed_transform(rgba),))
+    root = f"{Workspace(spark, 'units').root}/files"
+    tables.write_files(made, root, ".dct")
+    return root
+
+
+@query(_TRANSFORM_SQL)
+def unit_source_pixels(spark, sf_dir):
+    """The same pixels from files that a source cuts into ranges of units."""
+    return tables.decode_units(unit_source.read_units(spark, _unit_folder(spark, sf_dir), units=5))
+
+
+@query(_TRANSFORM_SQL + " AND unit BETWEEN 3 AND 8")
+def unit_source_range(spark, sf_dir):
+    """Some units of each image; the condition reaches the source, which does not read the others."""
+    units = unit_source.read_units(spark, _unit_folder(spark, sf_dir), units=5)
+    return tables.decode_units(units.where("unit between 3 and 8"))
+
+
 # ---------------------------------------------------------------- sizes of packed palettes
 _PACKED_SQL = f"""WITH {PX_SQL}, q AS (SELECT y // {BAND} AS image, y % {BAND} AS y, x, r, g, b FROM px),
 first AS (SELECT image, 2 + r AS m FROM q WHERE x = 0 AND y = 0),
@@ -414,20 +433,6 @@ def palette_constraints(spark, sf_dir):
         pick([4, 16, 256, 512], div(25) % 4).alias("shared"), pick([1, 2, 128, 256], div(3) % 4).alias("palettes"), F.when(c("p_partkey") % 13 == 0, 20).otherwise(24).alias("bits"), (div(7) % 3).alias("extra"),
     )
 
-    def fault(r) -> str:
-        blocks = -(-r.width // r.block) * -(-2 // r.block)
-        n = blocks + (r.extra == 1)
-        colors = np.full((r.palettes, r.shared, 3), 300 if r.extra == 2 else 7)
-        direct = r.local == r.block**2
-        try:
-            palette_file.PaletteImage(r.width, 2, r.block, colors, np.zeros(n, dtype=np.int64), np.zeros((n, r.local), dtype=np.int64), None if direct else np.zeros((2, r.width), dtype=np.int64), r.bits).check()
-        except ValueError as e:
-            return str(e)
-        return ""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "fault": [fault(r) for r in pdf.itertuples(index=False)]})
-
-    kind = s.schema["id"].dataType.simpleString()
-    return s.mapInPandas(run, f"id {kind}, fault string")
+    blocks = F.ceil(c("width") / c("block")) * F.ceil(F.lit(2) / c("block"))
+    given = blocks + (c("extra") == 1).cast("int")
+    return s.select("id", settings_search.palette_fault(c("width"), F.lit(2), c("block"), c("local"), c("shared"), c("palettes"), c("bits"), given, F.when(c("extra") == 2, 300).otherwise(7)).alias("fault"))
