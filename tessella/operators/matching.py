@@ -70,11 +70,11 @@ def assign(px: DataFrame, palette: DataFrame, metric: str = "l2", keys: tuple[st
     return px.join(known, [*keys, "r", "g", "b"])
 
 
-def distance_matrix(palette: DataFrame) -> DataFrame:
-    """i, j and squared distance of all pairs of entries."""
-    side = lambda n: palette.select(F.col("idx").alias(n), *[F.col(c).alias(f"{n}{c}") for c in "rgb"])
-    both = side("i").crossJoin(small(side("j")))
-    return both.select("i", "j", squared_distance([F.col(f"i{c}") for c in "rgb"], [F.col(f"j{c}") for c in "rgb"]).alias("distance"))
+def distance_matrix(palette: DataFrame, *keys: str) -> DataFrame:
+    """i, j and squared distance of all pairs of entries, of one palette or within each of the palettes that ``keys`` name."""
+    side = lambda n: palette.select(*keys, F.col("idx").alias(n), *[F.col(c).alias(f"{n}{c}") for c in "rgb"])
+    both = side("i").join(side("j"), list(keys)) if keys else side("i").crossJoin(small(side("j")))
+    return both.select(*keys, "i", "j", squared_distance([F.col(f"i{c}") for c in "rgb"], [F.col(f"j{c}") for c in "rgb"]).alias("distance"))
 
 
 def decode_indexed(indices: DataFrame, tables: DataFrame, palette: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tessella.plans import catalog, codec_catalog, file_catalog, range_catalog  # noqa: F401
+from tessella.plans import catalog, codec_catalog, file_catalog, range_catalog, table_catalog  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
