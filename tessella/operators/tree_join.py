@@ -4,8 +4,11 @@ The tree comes from a hash-ordered sample of the entries, bounded by ``SAMPLE``,
 and has at most ``MOST_CELLS`` cells; entries and points are both dealt to cells and meet there
 by an equality join, so neither is sent to all tasks. The nearest entry of a point's
 own cell bounds what can be nearer: the point then visits the cells whose box of entries lies
-within that distance, found by descending the tree, ties included, and no others. Sums of the
-visits are partial aggregates, so a join's pairs never leave a task.
+within that distance, found by descending the tree, ties included, and no others.
+
+A cell's entries reach a task first and are held, its points then stream past them, so no
+pair of rows is made. A cell with many points is split, each share meeting a copy of the
+cell's entries, so a hot cell is no single task.
 
 Nulls and odd cases: points and entries with a null coordinate take no part;
 entries of equal place count once, with the least index; equal points count once. Without entries
@@ -21,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.operators.matching import squared_distance
 from tessella.workspace import Workspace
 
 #: Entries of a cell that the tree aims at, sampled entries for each cell, and cells at most.
 LEAF, SAMPLE_EACH, MOST_CELLS = 64, 8, 1 << 14
+#: Points of a cell that meet one copy of its entries; distances worked out at once.
+SHARE, CHUNK = 1 << 16, 1 << 20
 
 
 class Tree:
@@ -97,28 +101,75 @@ def _visits(tree: Tree, dims: int):
     return run
 
 
+def _nearest(dims: int, whole: bool):
+    """The nearest entry of each point; rows come sorted by (cell, share), entries first. A cell without entries gives none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, ready = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell, share, point = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            x = np.stack([batch.column(4 + i).to_numpy().astype(np.int64 if whole else np.float64) for i in range(dims)], axis=1)
+            idx = batch.column(3).fill_null(0).to_numpy()
+            cuts = np.nonzero((np.diff(cell) != 0) | (np.diff(share) != 0) | (np.diff(point.astype(np.int8)) != 0))[0] + 1
+            for a, b in zip([0, *cuts], [*cuts, len(cell)], strict=True):
+                if (cell[a], share[a]) != at:
+                    at, held, ready = (cell[a], share[a]), [], None
+                if not point[a]:
+                    held.append((idx[a:b], x[a:b]))
+                    continue
+                if ready is None and held:
+                    own, places = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+                    order = np.argsort(own, kind="stable")  # the first of equal distances has the lowest idx
+                    ready = own[order], places[order]
+                step = max(1, CHUNK // len(ready[0])) if ready else b - a
+                for c in range(a, b, step):
+                    mine = x[c : min(b, c + step)]
+                    best, far = pa.nulls(len(mine), pa.int64()), pa.nulls(len(mine), pa.int64() if whole else pa.float64())
+                    if ready:
+                        d = sum((mine[:, None, k] - ready[1][None, :, k]) ** 2 for k in range(dims))
+                        near = d.argmin(axis=1)
+                        best, far = pa.array(ready[0][near]), pa.array(d[np.arange(len(mine)), near])
+                    columns = [batch.column(4 + i).slice(c, len(mine)) for i in range(dims)]
+                    yield pa.RecordBatch.from_arrays([*columns, batch.column(0).slice(c, len(mine)), best, far], names=[*batch.schema.names[4:], "cell", "idx", "distance"])
+
+    return run
+
+
+def _met(points: DataFrame, homes: DataFrame, coordinates: list[str], whole: bool) -> DataFrame:
+    """The stored points (coordinates, cell) with the idx and distance of the nearest entry of that cell, null where it has none."""
+    large = points.groupBy("cell").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares")).where("shares > 1")  # at most a row for each cell
+    shares = F.coalesce("shares", F.lit(1))
+    mine = points.join(F.broadcast(large), "cell", "left").select("cell", F.pmod(F.xxhash64(*coordinates), shares).cast("int").alias("share"), F.lit(True).alias("point"), F.lit(None).cast("long").alias("idx"), *coordinates)
+    copies = homes.join(F.broadcast(large), "cell", "left").select("cell", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"), F.lit(False).alias("point"), F.col("idx").cast("long").alias("idx"), *coordinates)
+    dealt = copies.unionByName(mine).repartition("cell", "share").sortWithinPartitions("cell", "share", "point")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.select(*coordinates).schema.fields)
+    return dealt.mapInArrow(_nearest(len(coordinates), whole), f"{kinds}, cell long, idx long, distance {'long' if whole else 'double'}")
+
+
 def tree_nearest(points: DataFrame, entries: DataFrame, coordinates: list[str], leaf: int = LEAF, most_cells: int = MOST_CELLS) -> DataFrame:
     """Each distinct point with the idx and squared distance of its nearest entry (idx, coordinates), the lowest idx on ties."""
     work, dims = Workspace(points.sparkSession, "treejoin"), len(coordinates)
     there = lambda df: df.dropna(subset=coordinates)
-    places = work.save(there(entries).groupBy(*coordinates).agg(F.min("idx").alias("idx")), "entries")
+    whole = all(df.schema[v].dataType.typeName() in ("byte", "short", "integer", "long") for df in (points, entries) for v in coordinates)
+    cast = lambda df: df.withColumns({v: F.col(v).cast("long" if whole else "double") for v in coordinates})
+    places = work.save(cast(there(entries)).groupBy(*coordinates).agg(F.min("idx").alias("idx")), "entries")
     count = places.count()
     depth = max(0, min(most_cells, -(-count // leaf)) - 1).bit_length()
     sampled = places.orderBy(F.xxhash64(*coordinates)).limit(SAMPLE_EACH << depth).select(*coordinates).collect()
     tree = Tree(np.array([list(r) for r in sampled], dtype=np.float64).reshape(-1, dims), depth)
     fields = lambda df: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     homes = work.save(places.mapInArrow(_dealt(tree, dims), f"{fields(places)}, cell long"), "homes")
-    edges = homes.groupBy("cell").agg(*[f(c).alias(f"{n}{i}") for n, f in (("lo", F.min), ("hi", F.max)) for i, c in enumerate(coordinates)])
+    edges = homes.groupBy("cell").agg(*[f(v).alias(f"{n}{i}") for n, f in (("lo", F.min), ("hi", F.max)) for i, v in enumerate(coordinates)])
     boxes = {r["cell"]: ([r[f"lo{i}"] for i in range(dims)], [r[f"hi{i}"] for i in range(dims)]) for r in edges.collect()}  # a row for each cell
     tree.bounded(boxes, dims)
-    asked = there(points).select(*coordinates).distinct()
-    asked = work.save(asked.mapInArrow(_dealt(tree, dims), f"{fields(asked)}, cell long"), "points")
-    named = homes.select("cell", "idx", *[F.col(c).alias(f"_{c}") for c in coordinates])
-    distance = squared_distance([F.col(c) for c in coordinates], [F.col(f"_{c}") for c in coordinates])
-    best = F.min(F.struct(distance.alias("d"), "idx")).alias("best")
-    first = asked.join(named, "cell", "left").groupBy(*coordinates, "cell").agg(best)
-    first = work.save(first.select(*coordinates, "cell", F.coalesce(F.col("best.d").cast("double"), F.lit(float("inf"))).alias("near"), F.when(F.col("best.d").isNotNull(), F.col("best")).alias("best")), "first")
-    visits = first.select(*coordinates, "cell", "near").mapInArrow(_visits(tree, dims), fields(asked))
-    later = visits.join(named, "cell").groupBy(*coordinates).agg(best)
-    both = first.where("best is not null").select(*coordinates, "best").unionByName(later).groupBy(*coordinates).agg(F.min("best").alias("best"))
-    return both.select(*coordinates, F.col("best.idx").alias("idx"), F.col("best.d").alias("distance"))
+    asked = cast(there(points).select(*coordinates)).distinct()
+    kinds = fields(asked)
+    asked = work.save(asked.mapInArrow(_dealt(tree, dims), f"{kinds}, cell long"), "points")
+    first = work.save(_met(asked, homes, coordinates, whole), "first")
+    near = first.select(*coordinates, "cell", F.coalesce(F.col("distance").cast("double"), F.lit(float("inf"))).alias("near"))
+    visits = work.save(near.mapInArrow(_visits(tree, dims), f"{kinds}, cell long"), "visits")
+    later = _met(visits, homes, coordinates, whole)
+    both = first.unionByName(later).where("idx is not null").groupBy(*coordinates).agg(F.min(F.struct("distance", "idx")).alias("best"))
+    return both.select(*coordinates, F.col("best.idx").alias("idx"), F.col("best.distance").alias("distance"))
