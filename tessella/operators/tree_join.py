@@ -29,7 +29,7 @@ from tessella.workspace import Workspace
 #: Entries of a cell that the tree aims at, sampled entries for each cell, and cells at most.
 LEAF, SAMPLE_EACH, MOST_CELLS = 64, 8, 1 << 14
 #: Points of a cell that meet one copy of its entries; distances worked out at once.
-SHARE, CHUNK = 1 << 16, 1 << 20
+SHARE, CHUNK = 1 << 12, 1 << 20
 
 
 class Tree:

@@ -44,23 +44,23 @@ class Sessions(StatefulProcessor):
             else:
                 merged.append(list(s))
         self._store(merged)
-        for s in merged:
-            self.handle.registerTimer(s[1] + self.gap)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if not self.open.exists():
             return
-        until = expiredTimerInfo.getExpiryTimeInMs()
+        until = timerValues.getCurrentWatermarkInMs()
         known = [list(s) for s in zip(*self.open.get(), strict=True)]
         over = [s for s in known if s[1] + self.gap <= until]
+        self._store([s for s in known if s[1] + self.gap > until])
         if over:
-            self._store([s for s in known if s[1] + self.gap > until])
             yield pd.DataFrame({self.key: [key[0]] * len(over), **{n: [s[i] for s in over] for i, n in enumerate(("begin_ms", "end_ms", "records", "total", "last_order", "last_value"))}})
 
     def _store(self, sessions: list[list]) -> None:
+        """Keeps sessions, in the order of their times, and a timer for the first to end; a timer that comes too early only sets the next."""
         if sessions:
             self.open.update(tuple([s[i] for s in sessions] for i in range(6)))
+            self.handle.registerTimer(sessions[0][1] + self.gap)
         else:
             self.open.clear()
 
