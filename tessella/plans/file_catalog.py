@@ -356,6 +356,23 @@ def image_list_scan(spark, sf_dir):
     return tables.image_list(spark, root)
 
 
+@query("SELECT 'part-' || p_partkey AS id, 'maps/' || p_brand || '/' || p_partkey AS path, p_type AS class, CASE WHEN p_partkey % 2 = 0 THEN 'srgb' END AS transfer FROM part WHERE p_size <= 25")
+def image_lines_scan(spark, sf_dir):
+    """A list of images on lines, written and read by many tasks, and the entries that a relation of ids asks for."""
+    root = f"{Workspace(spark, 'sinks').root}/lines"
+    k = c("p_partkey").cast("string")
+    p = table(spark, sf_dir, "part")
+    entry = [F.concat(F.lit("part-"), k).alias("id"), F.concat(F.lit("maps/"), "p_brand", F.lit("/"), k).alias("path"), c("p_type").alias("class"), F.when(c("p_partkey") % 2 == 0, "srgb").alias("transfer")]
+    tables.spread(p.select(*entry), "id").write.json(root)
+    return tables.image_list(spark, root, p.where("p_size <= 25").select(entry[0]), lines=True)
+
+
+@query(_IMG + " SELECT image_id || '.ppm' AS name, image_id = min(image_id) OVER () AS is_default FROM img")
+def asset_lines(spark, sf_dir):
+    """A manifest of files as lines, in ranges of their names."""
+    return tables.manifest_lines(spark, _written(spark, sf_dir), "*.ppm", f"{Workspace(spark, 'sinks').root}/assets")
+
+
 @query("SELECT l_returnflag AS dataset, count(*) AS images, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS payload_bytes FROM lineitem GROUP BY 1")
 def report_sinks(spark, sf_dir):
     """A report written as JSON, CSV and Markdown, and read back from each in turn."""

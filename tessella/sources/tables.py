@@ -48,15 +48,37 @@ def manifest(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return listed.select(F.to_json(F.struct(F.get("files", F.lit(0)).alias("default"), "files")).alias("manifest"))
 
 
-def image_list(spark: SparkSession, path: str, wanted: list[str] | None = None) -> DataFrame:
-    """The entries of a JSON manifest's ``images``, with all ids known and unique."""
-    images = spark.read.schema("images array<struct<id:string,path:string,class:string,transfer:string>>").json(path, multiLine=True).select(F.explode("images").alias("i")).select("i.*")
+def manifest_lines(spark: SparkSession, path: str, pattern: str, out: str) -> DataFrame:
+    """The manifest as JSON lines below ``out``, in the order of names over its files: name and whether it is the default, the first.
+
+    Each task writes a range of names, so a folder of any number of files has one.
+    """
+    names = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"))
+    first = names.agg(F.min("name").alias("first"))
+    marked = names.crossJoin(F.broadcast(first)).select("name", (F.col("name") == F.col("first")).alias("is_default"))  # one row
+    marked.repartitionByRange("name").sortWithinPartitions("name").write.json(out)
+    return spark.read.schema("name string, is_default boolean").json(out)
+
+
+ENTRY = "id string, path string, class string, transfer string"
+
+
+def image_list(spark: SparkSession, path: str, wanted: list[str] | DataFrame | None = None, lines: bool = False) -> DataFrame:
+    """The entries of a JSON manifest's ``images``, with all ids known and unique.
+
+    With ``lines`` there is an entry on each line, and lists of any length are read by
+    many tasks. ``wanted``, ids or a relation of column id, chooses entries.
+    """
+    if lines:
+        images = spark.read.schema(ENTRY).option("mode", "FAILFAST").json(path)
+    else:
+        images = spark.read.schema(f"images array<struct<{ENTRY.replace(' string', ':string')}>>").json(path, multiLine=True).select(F.explode("images").alias("i")).select("i.*")
     twice = images.groupBy("id").count().where("count > 1 or id is null").limit(1).collect()
     if twice:
         raise ValueError("ids are not unique")
     if wanted is None:
         return images
-    asked = spark.createDataFrame([(w,) for w in wanted], "id string")
+    asked = wanted.select("id") if isinstance(wanted, DataFrame) else spark.createDataFrame([(w,) for w in wanted], "id string")
     missing = asked.join(images, "id", "left_anti").limit(1).collect()
     if missing:
         raise ValueError(f"unknown id {missing[0]['id']}")

@@ -70,3 +70,22 @@ def test_faults_of_columns_are_those_of_the_reader(spark):
         except ValueError as err:
             want = str(err)
         assert got[w, b, n, g, p, t, e] == want
+
+
+def test_lists_on_lines(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"id":"x","path":"p"}\n{"id":"y","path":"q","class":"c"}\n')
+    asked = spark.createDataFrame([("y",)], "id string")
+    assert [r["path"] for r in tables.image_list(spark, str(tmp_path), asked, lines=True).collect()] == ["q"]
+    with pytest.raises(ValueError, match="unknown id z"):
+        tables.image_list(spark, str(tmp_path), ["x", "z"], lines=True)
+    (tmp_path / "b.json").write_text('{"id":"x","path":"r"}\n')
+    with pytest.raises(ValueError, match="not unique"):
+        tables.image_list(spark, str(tmp_path), lines=True)
+
+
+def test_a_manifest_of_lines(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in ("b", "a", "c"):
+        (tmp_path / "in" / f"{name}.ppm").write_bytes(b"x")
+    out = tables.manifest_lines(spark, str(tmp_path / "in"), "*.ppm", str(tmp_path / "out")).collect()
+    assert sorted((r["name"], r["is_default"]) for r in out) == [("a.ppm", True), ("b.ppm", False), ("c.ppm", False)]
