@@ -37,11 +37,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import as_row, hot_join
+from tessella.llm.common import WORD, as_row, group_key, hot_join
 from tessella.llm.components import connected_components
+from tessella.llm.decontamination import BitTable
 from tessella.workspace import Workspace
 
 BINS = 256
@@ -141,11 +143,20 @@ def _describe(width: int):
     return run
 
 
-def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    packer = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        packed = [packer.compress(cell.as_py()) for cell in batch.column(2)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc_id", "md5", "packed"])
+def _compress(wanted: Broadcast[BitTable]):
+    """Key and compressed text of the rows (key, text, h) whose h the table lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, table = zstandard.ZstdCompressor(level=3), wanted.value
+        for batch in batches:
+            passed = table(batch.column(2).to_numpy().view(np.uint64))
+            if not passed.any():
+                continue
+            some = batch.filter(pa.array(passed))
+            packed = [packer.compress(cell.as_py()) for cell in some.column(1)]
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(packed, pa.binary())], names=["key", "packed"])
+
+    return run
 
 
 class _Union(dict):
@@ -320,17 +331,29 @@ def _meet(least_equal: int, percent: int, width: int, check: bool):
     return run
 
 
+def _row_key() -> Column:
+    """One never-null string of columns doc_id and md5."""
+    return F.concat("md5", group_key("doc_id"))
+
+
 def _texts(work: Workspace, docs: DataFrame, sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and compressed text of the sets with these ids."""
-    sought = sets.join(ids, "id", "left_semi").select("id", F.col("place.doc_id").alias("_doc"), F.col("place.md5").alias("_md5"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    packed = docs.where(F.length("text") > 0).select("doc_id", "md5", "text").mapInArrow(_compress, f"doc_id {kind}, md5 string, packed binary")
-    found = packed.join(sought, (F.col("md5") == F.col("_md5")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
-    return work.save(found.groupBy("id").agg(F.first("packed").alias("packed")), "texts")  # of repeated rows one
+    """id and compressed text of the sets with these ids.
+
+    A bit table of at most 16 MiB keeps the texts of other documents from leaving
+    the scan. What passes it by chance is dropped by the join, so a table that is
+    too small for the ids only means that more texts move.
+    """
+    placed = sets.join(ids, "id", "left_semi").select("id", "place.doc_id", "place.md5")
+    sought = work.save(placed.select("id", _row_key().alias("key")), "sought")
+    table = BitTable.of(sought.select(F.xxhash64("key").alias("h")), sought.count())
+    rows = docs.where(F.length("text") > 0).select(_row_key().alias("key"), "text").withColumn("h", F.xxhash64("key"))
+    packed = rows.mapInArrow(_compress(work.spark.sparkContext.broadcast(table)), "key string, packed binary")
+    once = packed.groupBy("key").agg(F.first("packed").alias("packed"))  # each task sends one of its repeated rows
+    return work.save(once.join(sought, "key").select("id", "packed"), "texts")
 
 
-def _spoke_links(work: Workspace, spokes: DataFrame, sets: DataFrame, docs: DataFrame, width: int, least_equal: int, percent: int) -> DataFrame:
-    """Links among spokes (hub, id).
+def _spoke_links(work: Workspace, spokes: DataFrame, sets: DataFrame, docs: DataFrame, width: int, least_equal: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links among spokes (hub, id), and the texts that were fetched for them.
 
     The spokes of a hub are dealt to groups of about SETS members, so that a
     hub's text is sent once to a group, not once for each of its spokes.
@@ -348,11 +371,11 @@ def _spoke_links(work: Workspace, spokes: DataFrame, sets: DataFrame, docs: Data
     sketches = gathered(work.save(dealt, "dealt"), sets.select("id", "n_shingles", "marks"))
     near = work.save(sketches.mapInArrow(_near_hub(least_equal, percent), "hub bigint, part bigint, id bigint"), "near-hubs")
     texts = _texts(work, docs, sets, near.select("id").unionByName(near.select(F.col("hub").alias("id"))).distinct())
-    return work.save(gathered(near, texts).mapInArrow(_verify(width, percent), "a bigint, b bigint"), "spoke-links")
+    return work.save(gathered(near, texts).mapInArrow(_verify(width, percent), "a bigint, b bigint"), "spoke-links"), texts
 
 
-def _loose_links(work: Workspace, placed: DataFrame, sets: DataFrame, docs: DataFrame, width: int, least_equal: int, percent: int) -> DataFrame:
-    """Links between members of one bucket that lie in different components; placed has key, id and comp."""
+def _loose_links(work: Workspace, placed: DataFrame, sets: DataFrame, docs: DataFrame, texts: DataFrame, width: int, least_equal: int, percent: int) -> DataFrame:
+    """Links between members of one bucket that lie in different components; placed has key, id and comp, texts what has been fetched."""
     per = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
     mixed = per.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.max("c").alias("top"), F.sum("c").alias("n"), F.count("*").alias("kinds")).where("kinds > 1")
     mixed = work.save(mixed, "mixed")
@@ -370,7 +393,9 @@ def _loose_links(work: Workspace, placed: DataFrame, sets: DataFrame, docs: Data
     place = "key bigint, part bigint, share bigint, own boolean, id bigint, comp bigint"
     hopeful = dealt.repartition("key", "part", "share").sortWithinPartitions(*order).mapInArrow(_meet(least_equal, percent, width, False), place)
     hopeful = work.save(hopeful, "hopeful")
-    texts = _texts(work, docs, sets, hopeful.select("id").distinct())
+    more = work.save(hopeful.select("id").distinct().join(texts, "id", "left_anti"), "more")
+    if not more.isEmpty():
+        texts = texts.unionByName(_texts(work, docs, sets, more))
     whole = hopeful.join(sets.select("id", "n_shingles", "bands", "marks"), "id").join(texts, "id").select("key", "part", "share", "own", "id", "comp", "n_shingles", "bands", "marks", "packed")
     return work.save(whole.repartition("key", "part", "share").sortWithinPartitions(*order).mapInArrow(_meet(least_equal, percent, width, True), "a bigint, b bigint"), "loose-links")
 
@@ -398,7 +423,7 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     buckets = work.save(banded.groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1"), "buckets")
     shared = work.save(hot_join(banded, buckets.drop("n"), ["key"], sets.count() * BANDS, "inner", counts=buckets.select("key", "n")), "shared")
     spokes = shared.where("id != first_id").select(F.col("first_id").alias("hub"), "id").distinct()
-    links = _spoke_links(work, spokes, sets, docs, width, least_equal, percent)
+    links, texts = _spoke_links(work, spokes, sets, docs, width, least_equal, percent)
     label = work.save(connected_components(work, links), "labels")
 
     def labelled(table: DataFrame, column: str, out: str) -> DataFrame:
@@ -406,7 +431,7 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
         return joined.withColumn(out, F.coalesce("_label", column)).drop("_node", "_label")
 
     placed = work.save(labelled(shared.select("key", "id"), "id", "comp"), "placed")
-    more = _loose_links(work, placed, sets, docs, width, least_equal, percent)
+    more = _loose_links(work, placed, sets, docs, texts, width, least_equal, percent)
     over = labelled(labelled(more, "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     upper = work.save(connected_components(work, over), "upper").select(F.col("node").alias("comp"), F.col("label").alias("top"))
 
@@ -436,9 +461,8 @@ def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **op
     A row without words is never a duplicate. Of repeated rows, equal in id and
     text, one stays.
     """
-    stay = classes(df, doc_id, text, **options).where("stays").select("doc_id", "md5", (F.col("n_shingles") == 0).alias("alone")).distinct()
-    stay = stay.withColumnsRenamed({"doc_id": "own_id", "md5": "own_md5"})
-    rows = df.select(as_row(df).alias("row"), F.col(doc_id).alias("doc_id"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("md5"))
-    numbered = rows.withColumn("nth", F.row_number().over(Window.partitionBy("md5", "doc_id").orderBy(F.lit(0))))
-    joined = numbered.join(stay, (F.col("md5") == F.col("own_md5")) & F.col("doc_id").eqNullSafe(F.col("own_id")))
-    return joined.where("alone or nth = 1").select(*[F.col(f"row.`{c}`") for c in df.columns])
+    stay = classes(df, doc_id, text, **options).where("stays and n_shingles > 0").select(_row_key().alias("key")).distinct()
+    worded = F.coalesce(F.col(text).rlike(WORD), F.lit(False))
+    rows = df.where(worded).select(as_row(df).alias("row"), F.col(doc_id).alias("doc_id"), F.md5(F.col(text).cast("binary")).alias("md5"))
+    once = rows.groupBy(_row_key().alias("key")).agg(F.first("row").alias("row"))  # each task sends one of its repeated rows
+    return once.join(stay, "key").select(*[F.col(f"row.`{c}`") for c in df.columns]).unionByName(df.where(~worded))
