@@ -18,8 +18,11 @@ reach templates without labels, which have the share of the node over them.
 
 All statistics are sums over distinct (host, path shape) pairs, aggregated
 before the shuffle, and hot keys meet them by broadcast, so a host with any
-share of the rows costs no single task. Each round of work goes down to the next
-node where paths part, so there are as many as paths branch, not as they are long.
+share of the rows costs no single task. A node with at most ``within`` distinct shapes,
+of at most ``BYTES`` together, is finished with all that lies under it in one step, many
+such nodes in a task. Larger nodes are split in rounds of joins and sums, each of which
+goes down to the next node where paths part, until what is left is small. Both ways give
+the same templates.
 
 Nulls and odd cases: a null url or one without ``://`` has empty host and path
 and is a host like any other; a null id passes through; repeated rows are judged
@@ -29,6 +32,11 @@ empty table gives no row. Only the named columns are read.
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +47,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)\A.*?://([^/?#]*)([^?#]*)"
 #: More elements than an array in a row can have; a start added to it is still an int, which slices need where they are interpreted.
 ALL = 1 << 30
+#: Bytes of the shapes of a node that is finished in one step, at most.
+BYTES = 4 << 20
 
 #: The rules of the registered query, as (verdict, host and path).
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"))
@@ -83,30 +93,115 @@ def branches(kids: DataFrame, total: int, min_labels: int, z: float) -> DataFram
     return second.select(*node, "seg", branch.alias("branch"))
 
 
-def templates(shapes: DataFrame, work: Workspace, prior: float, strength: float, min_labels: int = 5, z: float = 1.96) -> DataFrame:
+class Subtrees:
+    """Finishes whole nodes: members (shape, rest, labelled, bad), the segments up to ``template`` being behind them."""
+
+    def __init__(self, strength: float, min_labels: int, z: float):
+        self.strength, self.min_labels, self.z = strength, min_labels, z
+
+    def apart(self, own: tuple[int, int], labelled: int, bad: int) -> bool:
+        n, b = own
+        if labelled < self.min_labels:
+            return True
+        rate = (b + bad) / (n + labelled)
+        return abs(b / n - bad / labelled) > self.z * math.sqrt(rate * (1 - rate) * (1 / n + 1 / labelled))
+
+    def branches(self, kids: dict[str, list[int]]) -> dict[str, str]:
+        """The branch of each segment with enough labels, as ``branches`` finds it for many nodes."""
+        n, b = (sum(kid[i] for kid in kids.values()) for i in (0, 1))
+        told = {seg: tuple(kid) for seg, kid in kids.items() if kid[0] >= self.min_labels}
+        worse, sides = {}, {True: [0, 0], False: [0, 0]}
+        for seg, own in told.items():
+            rest = n - own[0], b - own[1]
+            if self.apart(own, *rest):
+                worse[seg] = side = not rest[0] or own[1] / own[0] > rest[1] / rest[0]
+                sides[side][0] += own[0]
+                sides[side][1] += own[1]
+        out = dict.fromkeys(told, "*")
+        for seg, side in worse.items():
+            alone = self.apart(told[seg], sides[side][0] - told[seg][0], sides[side][1] - told[seg][1])
+            out[seg] = seg if alone else "*+" if side else "*-"
+        return out
+
+    def finish(self, members: list[tuple], template: str, above: float) -> Iterator[tuple[str, str, float]]:
+        """shape, template and badness of every member; nodes wait on a list, as paths may be deeper than calls can be."""
+        waiting = [(members, 0, template, above)]
+        while waiting:
+            members, at, template, above = waiting.pop()
+            share = (sum(m[3] for m in members) + self.strength * above) / (sum(m[2] for m in members) + self.strength)
+            least = min(len(m[1]) for m in members)
+            if len(members) == 1 or all(len(m[1]) == at for m in members):
+                for shape, rest, *_ in members:
+                    yield shape, "/".join([template, *rest[at:]]), share
+                continue
+            end, first = at, members[0][1]
+            while end < least and all(m[1][end] == first[end] for m in members):
+                end += 1
+            template = "/".join([template, *first[at:end]])
+            kids, parts = defaultdict(lambda: [0, 0]), defaultdict(list)
+            for m in members:
+                if len(m[1]) > end:
+                    kids[m[1][end]][0] += m[2]
+                    kids[m[1][end]][1] += m[3]
+            known = self.branches(kids)
+            for m in members:
+                parts[known.get(m[1][end], "*") if len(m[1]) > end else None].append(m)
+            for branch, part in parts.items():
+                waiting.append((part, end, template, share) if branch is None else (part, end + 1, f"{template}/{branch}", share))
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (host, template, above, shape, rest, labelled, bad) come sorted by host and template."""
+        node, members = None, []
+
+        def finished() -> pa.RecordBatch:
+            rows = list(self.finish(members, *node[1:])) if members else []
+            names = [pa.array([row[i] for row in rows], pa.string()) for i in (0, 1)]
+            return pa.RecordBatch.from_arrays([pa.array([node and node[0]] * len(rows), pa.string()), *names, pa.array([row[2] for row in rows], pa.float64())], names=["host", "shape", "template", "badness"])
+
+        for batch in batches:
+            for *own, shape, rest, labelled, bad in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if own != node:
+                    yield finished()
+                    node, members = own, []
+                members.append((shape, rest, labelled, bad))
+        yield finished()
+
+
+def templates(shapes: DataFrame, work: Workspace, prior: float, strength: float, min_labels: int = 5, z: float = 1.96, within: int = 4096) -> DataFrame:
     """host, shape, template and badness for every row of ``shapes`` (host, shape, labelled, bad)."""
+    subtrees = Subtrees(strength, min_labels, z)
+
+    def finished(rows: DataFrame) -> DataFrame:
+        dealt = rows.select("host", "template", "above", "shape", "rest", "labelled", "bad").repartition("host", "template").sortWithinPartitions("host", "template")
+        return work.save(dealt.mapInArrow(subtrees, "host string, shape string, template string, badness double"), "finished")
+
     segments = F.slice(F.split(F.replace(F.col("shape"), F.lit("*"), F.lit("%2A")), "/"), 2, ALL)
     open_ = work.save(shapes.select("host", "shape", "labelled", "bad", segments.alias("rest"), F.lit("").alias("template"), F.lit(float(prior)).alias("above")), "tree")
     settled, total = None, open_.count()
     while True:
-        nodes = open_.groupBy("host", "template").agg(F.count("*").alias("n"), F.count_if(F.size("rest") == 0).alias("ended"), F.min("rest").alias("lo"), F.max("rest").alias("hi"), F.sum("labelled").alias("ls"), F.sum("bad").alias("bs"))
+        nodes = open_.groupBy("host", "template").agg(F.count("*").alias("n"), F.count_if(F.size("rest") == 0).alias("ended"), F.min("rest").alias("lo"), F.max("rest").alias("hi"), F.sum("labelled").alias("ls"), F.sum("bad").alias("bs"), F.sum(F.octet_length("shape")).alias("size"))
         # what the least and the greatest path have in common, all have
         parts = F.array_position(F.zip_with("lo", "hi", lambda a, b: a.eqNullSafe(b)), False)
         common = F.when(parts == 0, F.size("lo")).otherwise(parts - 1)
-        nodes = work.save(nodes.select("host", "template", "n", "ended", common.cast("int").alias("common"), "ls", "bs"), "nodes")
+        small = (F.col("n") <= within) & (F.col("size") <= BYTES)
+        nodes = work.save(nodes.select("host", "template", "n", "ended", common.cast("int").alias("common"), "ls", "bs", small.alias("small")), "nodes")
+        if nodes.where("not small").isEmpty():
+            last = finished(open_)
+            return last if settled is None else settled.unionByName(last)
         share = (F.col("bs") + strength * F.col("above")) / (F.col("ls") + strength)
         here = hot_join(open_, nodes, ["host", "template"], total, counts=nodes.select("host", "template", "n")).withColumn("share", share)
+        ended = finished(here.where("small"))
+        settled = ended if settled is None else settled.unionByName(ended)
         done = (F.col("n") == 1) | (F.col("n") == F.col("ended"))
         longer = lambda part: F.when(F.size(part) > 0, F.concat("template", F.lit("/"), F.array_join(part, "/"))).otherwise(F.col("template"))
         prefix, left = F.slice("rest", F.lit(1), F.col("common")), F.slice("rest", F.col("common") + 1, F.lit(ALL))
-        stepped = work.save(here.select(
+        stepped = work.save(here.where("not small").select(
             "host", "shape", "labelled", "bad", done.alias("done"), "share",
             F.when(done, longer(F.col("rest"))).otherwise(longer(prefix)).alias("template"),
             F.get(left, F.lit(0)).alias("seg"), F.slice(left, F.lit(2), F.lit(ALL)).alias("rest"),
         ), "stepped")
         work.drop(open_, nodes)
-        finished = stepped.where("done").select("host", "shape", "template", F.col("share").alias("badness"))
-        settled = finished if settled is None else settled.unionByName(finished)
+        settled = settled.unionByName(stepped.where("done").select("host", "shape", "template", F.col("share").alias("badness")))
         going = stepped.where(~F.col("done"))
         if going.isEmpty():
             return settled

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import common, language_id, license_scan, mixing, near_dedup, packing, range_join, secret_scan, sharding, url_filter, vp_search
+from tessella.llm import common, components, language_id, license_scan, mixing, near_dedup, packing, range_join, secret_scan, sharding, url_filter, vp_search
+from tessella.workspace import Workspace
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
@@ -257,6 +258,25 @@ def test_deduplicated_keeps_one(docs, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("rows", (1, 50_000))
+def test_components_in_rounds_and_in_one_task(spark, monkeypatch, rows):
+    """Chains, a star, a ring, links of a node with itself and repeated ones, by stars over many tasks and followed in one."""
+    monkeypatch.setattr(components, "ROWS", rows)
+    links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(200 + i, 200 + (i + 1) % 9) for i in range(9)] + [(300, 300), (311, 310), (310, 311), (310, 311)]
+    got = components.connected_components(Workspace(spark, "t"), spark.createDataFrame(links, "a long, b long"))
+    want = {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 130), 100), **dict.fromkeys(range(200, 209), 200), 310: 310, 311: 310}
+    assert sorted(map(tuple, got.collect())) == sorted(want.items())
+    assert components.connected_components(Workspace(spark, "t"), spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_texts_that_pass_by_chance_change_nothing(docs, monkeypatch):
+    """A bit table that lets every text through only moves more texts."""
+    want = sorted(map(str, near_dedup.near_duplicates(docs).collect()))
+    full = np.full(1 << 10, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+    monkeypatch.setattr(near_dedup.BitTable, "of", staticmethod(lambda shingles, n: near_dedup.BitTable(full)))
+    assert sorted(map(str, near_dedup.near_duplicates(docs).collect())) == want
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(0)
     for n in (1, 3, 40, 2000):
@@ -472,7 +492,9 @@ def brute_templates(rows, prior=0.2, strength=5.0, few=5, z=1.96):
     return out
 
 
-def test_templates_by_brute_force(spark, empty):
+@pytest.mark.parametrize("within", (0, 40, 4096))
+def test_templates_by_brute_force(spark, within):
+    """All nodes split in rounds, large ones only, and none."""
     rng, rows = np.random.default_rng(8), []
     for host in range(4):
         for _ in range(500):
@@ -483,7 +505,7 @@ def test_templates_by_brute_force(spark, empty):
     long = "/".join(f"d{'abc'[i % 3]}" for i in range(3000))
     rows += [(len(rows) + i, f"http://long.com/{long}/{tail}", bad) for i, (tail, bad) in enumerate([("x", True)] * 9 + [("y", False)] * 9 + [("z/" + long, None), ("*", None)])]
     df = spark.createDataFrame(rows, "page_id long, url string, spam boolean").select("*", *[F.lit("x").alias(c) for c in ("host", "path", "shape", "template", "n", "seg")])
-    out = {r["page_id"]: r for r in url_filter.judge(df, (), F.col("spam")).collect()}
+    out = {r["page_id"]: r for r in url_filter.judge(df, (), F.col("spam"), within=within).collect()}
     assert len(out) == len(rows)
     seen = set()
     for host in ("h0.com", "h1.com", "h2.com", "h3.com", "long.com"):
@@ -497,7 +519,16 @@ def test_templates_by_brute_force(spark, empty):
             assert out[i]["template"] == template and abs(out[i]["badness"] - badness) < 1e-9 and out[i]["verdict"] == ("block" if badness > 0.5 else "allow")
             seen.add(template[-40:])
     assert {"*", "*+", "*-"} <= {part for t in seen for part in t.split("/")}
-    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), within=within).count() == 0
+
+
+def test_paths_that_part_at_every_level(spark):
+    """A crawler trap: 400 levels, with a page to leave it at each."""
+    paths = ["".join(f"/d{'abc'[i % 3]}" for i in range(level)) + f"/{name}" for level in range(400) for name in ("out", "end")]
+    df = spark.createDataFrame([(i, f"http://trap.com{path}", i % 2 == 0) for i, path in enumerate(paths)], "page_id long, url string, spam boolean")
+    want = brute_templates([(path, i % 2 == 0) for i, path in enumerate(paths)])
+    out = url_filter.judge(df, (), F.col("spam")).collect()
+    assert len(out) == len(paths) and all(r["template"] == want[r["path"]][0] and abs(r["badness"] - want[r["path"]][1]) < 1e-9 for r in out)
 
 
 def test_templates_without_compiled_plans(spark):
