@@ -10,8 +10,8 @@ Nulls and odd cases: a null text, an empty one and one without a letter give
 ``und`` with score 0; rows with null language are not learned from; a null id is
 hashed as the empty text; repeated rows are judged alike; whole texts are read,
 however long; with no labelled row everything is ``und``; an empty table gives
-no row; more than ``MOST`` labelled languages are refused. Only the named columns
-are read.
+no row; of more labelled languages than ``most`` those with the most labelled
+rows are learned, ties by name. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from tessella.workspace import steady_batches
 
 BITS = 16
-#: Languages at most: their table, 0.5 MB each, is gathered on the driver and broadcast.
-MOST = 256
+#: Languages learned unless told otherwise: their table, 0.5 MB each, is gathered on the driver and broadcast.
+MOST = 512
 #: Multipliers of the trigram hash.
 _MIX = np.array([2654435761, 2246822519, 3266489917], dtype=np.uint64)
 _LETTERS: list[np.ndarray] = []
@@ -61,34 +61,38 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "gram": pa.array(at.astype(np.int32)), "n": pa.array(n[at])})
 
 
-def sample_labelled(df: DataFrame, lang: str, key: Column, per_lang: int) -> DataFrame:
-    """About ``per_lang`` rows of each language, all if it has fewer: those with the smallest hashes of ``key``."""
+def sample_labelled(df: DataFrame, lang: str, key: Column, per_lang: int, most: int = MOST) -> DataFrame:
+    """About ``per_lang`` rows of each language, all if it has fewer: those with the smallest hashes of ``key``.
+
+    Of more than ``most`` languages, those with the most labelled rows, ties by name.
+    """
     labelled = df.where(F.col(lang).isNotNull())
-    sizes = labelled.groupBy(lang).count().limit(MOST + 1).collect()  # a row for each language
-    if len(sizes) > MOST:
-        raise ValueError(f"more than {MOST} languages")
+    sizes = labelled.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(most).collect()  # at most ``most`` rows
     if not sizes:
         return labelled
     rates = F.create_map(*[F.lit(v) for row in sizes for v in (row[lang], min(1.0, per_lang / row["count"]))])
     share = F.pmod(F.xxhash64(F.lit(5), key), F.lit(1 << 32)) / (1 << 32)
-    return labelled.where(share < F.element_at(rates, F.col(lang)))
+    return labelled.where(share < F.element_at(rates, F.col(lang)))  # no rate, no row
 
 
-def fit(df: DataFrame, text: str, lang: str, key: Column, per_lang: int = 2000, smoothing: float = 0.01) -> tuple[list[str], np.ndarray]:
+def fit(df: DataFrame, text: str, lang: str, key: Column, per_lang: int = 2000, smoothing: float = 0.01, most: int = MOST) -> tuple[list[str], np.ndarray]:
     """Languages, in order, and P(trigram | language) as an array of 2**16 rows.
 
-    Learned from about ``per_lang`` documents of each language, whole texts.
-    The size of the model does not depend on that of the corpus.
+    Learned from about ``per_lang`` documents of each language, whole texts, and
+    from ``most`` languages at most. So the size of the model does not depend on
+    that of the corpus.
     """
-    sample = sample_labelled(df.where(F.col(text).isNotNull()), lang, key, per_lang)
+    sample = sample_labelled(df.where(F.col(text).isNotNull()), lang, key, per_lang, most)
     counts = sample.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(_count, "lang string, gram int, n bigint")
-    table = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(table["lang"].unique())
-    matrix = np.full((1 << BITS, len(langs)), smoothing)
-    for j, name in enumerate(langs):
-        own = table[table["lang"] == name]
-        matrix[own["gram"].to_numpy(), j] += own["n"].to_numpy()
-    return langs, matrix / matrix.sum(axis=0, keepdims=True) if langs else matrix
+    sums = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # one row a language, with 2**16 pairs at most
+    table = sums.groupBy("lang").agg(F.collect_list(F.struct("gram", "n")).alias("p")).select("lang", "p.gram", "p.n").toArrow()
+    rows = sorted(zip(table["lang"].to_pylist(), table["gram"], table["n"], strict=True), key=lambda row: row[0])
+    matrix = np.full((1 << BITS, len(rows)), smoothing)
+    for j, (_, gram, n) in enumerate(rows):
+        matrix[gram.values.to_numpy(), j] += n.values.to_numpy()
+    matrix /= matrix.sum(axis=0, keepdims=True)
+    return [row[0] for row in rows], matrix
 
 
 def _em(p: np.ndarray, c: np.ndarray, first: np.ndarray, doc: np.ndarray, pi: np.ndarray, rounds: int) -> np.ndarray:
@@ -151,7 +155,8 @@ def infer(grams: list[np.ndarray], matrix: np.ndarray, penalty: float, rounds: i
     return chosen
 
 
-def _predict(langs: list[str], matrix: np.ndarray, penalty: float, rounds: int, keep_text: bool, explained: bool = False, chunk: int = 1 << 17):
+def _predict(langs: list[str], matrix: np.ndarray, penalty: float, rounds: int, keep_text: bool, explained: bool = False, cells: int = 1 << 21):
+    chunk = max(1, min(1 << 17, cells // max(1, len(langs))))  # letters judged together, fewer with more languages
     likely = matrix.max(axis=1) > 1 / (1 << BITS) if langs else np.zeros(1 << BITS, dtype=bool)  # better than by chance
 
     def judged(grams: dict[int, np.ndarray], out: list) -> None:
@@ -190,16 +195,17 @@ def _predict(langs: list[str], matrix: np.ndarray, penalty: float, rounds: int,
     return run
 
 
-def identify(df: DataFrame, train: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 2000, penalty: float = 6.0, rounds: int = 12, keep: dict[str, Column] | None = None, keep_text: bool = False, explained: bool = False) -> DataFrame:
+def identify(df: DataFrame, train: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 2000, penalty: float = 6.0, rounds: int = 12, keep: dict[str, Column] | None = None, keep_text: bool = False, explained: bool = False, most: int = MOST) -> DataFrame:
     """The columns of ``keep``, and the text as _text if ``keep_text``, with lang_pred, score, languages and shares, for every row of ``df``.
 
     ``train`` holds labelled rows. lang_pred is the language with the largest
-    share, score that share; languages and shares are the chosen mixture.
+    share, score that share; languages and shares are the chosen mixture. At most
+    ``most`` languages are learned, those with the most labelled rows.
     ``explained`` adds a column of this name: the share of a text's letters whose
     trigrams some learned language makes likelier than a uniform law does.
     """
     steady_batches(df.sparkSession)
-    langs, matrix = fit(train, text, lang, F.coalesce(F.col(key).cast("string"), F.lit("")), per_lang)
+    langs, matrix = fit(train, text, lang, F.coalesce(F.col(key).cast("string"), F.lit("")), per_lang, most=most)
     model = df.sparkSession.sparkContext.broadcast(matrix)  # 2**16 rows for each language, whatever the corpus
     kept = df.select(*[c.alias(name) for name, c in (keep or {key: F.col(key)}).items()], F.col(text).alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != "_text" or keep_text)

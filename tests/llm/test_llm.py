@@ -317,13 +317,23 @@ def test_language_of_odd_rows(spark, empty):
     assert language_id.identify(empty, train).count() == 0 and language_id.identify(empty, empty).count() == 0
 
 
-def test_too_many_languages_are_refused(spark, monkeypatch):
-    train = spark.createDataFrame([(i, "some words", f"l{i}") for i in range(4)], "doc_id long, text string, lang string")
-    monkeypatch.setattr(language_id, "MOST", 4)
-    assert language_id.identify(train, train).count() == 4
-    monkeypatch.setattr(language_id, "MOST", 3)
-    with pytest.raises(ValueError, match="languages"):
-        language_id.identify(train, train)
+def test_hundreds_of_languages(spark):
+    rng = np.random.default_rng(8)
+    words = ["".join(map(chr, rng.integers(97, 123, 8))) for _ in range(300)]
+    rows = [(i, f"{w} " * int(rng.integers(2, 9)), f"l{i % 300:03d}") for i, w in enumerate(words * 2)] + [(-1, f"{words[7]} {words[211]} " * 20, None), (-2, "42", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r for r in language_id.identify(df, df).collect()}
+    assert all(out[i]["lang_pred"] == lang for i, _, lang in rows if lang) and len(out) == len(rows)
+    assert sorted(out[-1]["languages"]) == ["l007", "l211"] and out[-2]["lang_pred"] == "und"
+
+
+def test_languages_beyond_most_are_left_out_not_refused(spark):
+    rows = [(i, "some words of one kind", f"l{i % 5}") for i in range(8)]  # l0, l1 and l2 have two rows, l3 and l4 one
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    key = F.col("doc_id").cast("string")
+    assert language_id.fit(df, "text", "lang", key, most=4)[0] == ["l0", "l1", "l2", "l3"]
+    assert language_id.fit(df, "text", "lang", key, most=2)[0] == ["l0", "l1"]
+    assert {r["lang_pred"] for r in language_id.identify(df, df, most=2).collect()} == {"l0"}
 
 
 def test_mixture_is_the_likelihood_optimum():
