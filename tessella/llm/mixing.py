@@ -12,8 +12,11 @@ totals are exact. The k-th slot of a source takes the block that a keyed
 permutation of the source's block numbers gives for k, and slots and blocks are
 joined by block number.
 
-Sources are few next to documents: their targets are found in one task and their
-draw table on the driver, which more than ``MOST_SOURCES`` of them would refuse.
+There may be any number of sources. Their order, the level of their targets and
+their places on the line that slots draw from are running sums in ranges; a slot
+meets its source as the last one that begins at or before its point, by an as-of
+join; and a source with a large share of all slots is joined apart from the rest.
+The driver learns totals only.
 
 Nulls and odd cases: a null text has size 0 and is never taken; a null source is
 a source of its own, last in the order; a source without words has target 0;
@@ -26,13 +29,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WORD, as_row, bucket_bits, group_key, hash_bucket, permuted, running_sum
+from tessella.llm.common import WORD, as_row, bucket_bits, group_key, hash_bucket, hot_join, permuted, running_sum
+from tessella.operators import ranges
+from tessella.operators.asof import asof_join
 from tessella.workspace import Workspace
 
 #: Slots that one task makes.
 CHUNK = 1 << 18
-#: Distinct sources that a mix takes: some 100 bytes each where they are gathered.
-MOST_SOURCES = 1_000_000
 
 
 def word_count(text: str) -> Column:
@@ -40,7 +43,7 @@ def word_count(text: str) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), limit: float = 3.0) -> DataFrame:
-    """Adds weight and target to one row per source (g, source, source_size).
+    """Adds no (place in the order of sources), weight and target to one row per source (g, source, source_size).
 
     The targets share the sum of all sizes by weight; none is above ``limit``
     times its source's size, and what is cut off is shared out again by weight.
@@ -48,89 +51,59 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), limit: flo
     all; sources in the order of limit * size / weight are cut off as long as
     that ratio is below the level that the others would then have.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
+    by_name = sizes.withColumn("_null", F.col("source").isNull()).withColumn("_one", F.lit(1).cast("long"))
+    placed = ranges.running(by_name, {"no": ("sum", "_one")}, ["_null", "source"], inclusive=False).drop("_one")
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    weighed = sizes.withColumn("weight", F.element_at(cycle, (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int")))
-    cap = F.col("source_size") * F.lit(float(limit))
-    by_ratio = Window.orderBy("_ratio", F.col("source").asc_nulls_last())
-    before, after = by_ratio.rowsBetween(Window.unboundedPreceding, -1), by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum(cap).over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    levelled = weighed.withColumn("_ratio", cap / F.col("weight")).withColumn("_level", level)
-    free = F.when(F.col("_ratio") >= F.col("_level"), F.struct("_ratio", "source", "_level"))
-    last = F.coalesce(F.min(free).over(everything)["_level"], F.lit(0.0))
-    return levelled.withColumn("_last", last).withColumn("target", F.least(cap, F.col("weight") * F.col("_last"))).drop("_ratio", "_level", "_last")
-
-
-def draw_table(slots: list[int]) -> list[tuple[int, int, int]]:
-    """(cell, cut, other): one of the n cells is drawn evenly, then a point below the sum of ``slots``.
-
-    A point below cut gives the source of the cell's number, any other point the
-    source other. Source i is drawn slots[i] times in sum(slots), exactly.
-    """
-    n, total = len(slots), sum(slots)
-    room, cells = [s * n for s in slots], [None] * n
-    low, high = [i for i in range(n) if room[i] < total], [i for i in range(n) if room[i] >= total]
-    while low and high:
-        i, j = low.pop(), high[-1]
-        cells[i] = (i, room[i], j)
-        room[j] -= total - room[i]
-        if room[j] < total:
-            low.append(high.pop())
-    for i in low + high:
-        cells[i] = (i, total, i)
-    return cells
+    weighed = placed.withColumn("weight", F.element_at(cycle, (F.pmod("no", F.lit(len(weights))) + 1).cast("int")))
+    weighed = weighed.withColumn("_cap", F.col("source_size") * F.lit(float(limit))).withColumn("_ratio", F.col("_cap") / F.col("weight"))
+    size, weight = weighed.agg(F.sum("source_size"), F.sum("weight")).first()
+    before = ranges.running(weighed, {"_cut": ("sum", "_cap"), "_used": ("sum", "weight")}, ["_ratio", "_null", "source"], inclusive=False)
+    levelled = before.withColumn("_level", (F.lit(float(size or 0)) - F.col("_cut")) / (F.lit(weight or 0.0) - F.col("_used")))
+    free = F.when(F.col("_ratio") >= F.col("_level"), F.struct("_ratio", "_null", "source", "_level"))
+    last = levelled.agg(F.min(free)).first()[0]
+    level = F.lit(last["_level"] if last else 0.0)
+    return levelled.withColumn("target", F.least("_cap", F.col("weight") * level)).select(*sizes.columns, "no", "weight", "target")
+
+
+def draws(spark, sized: DataFrame, total: int, seed: int) -> DataFrame:
+    """id and no for ``total`` slots: each draws the source in whose stretch of the line of all slots its point lies."""
+    starts = ranges.running(sized.where("slots > 0").select("no", "slots"), {"point": ("sum", "slots")}, ["no"], inclusive=False).select("point", "no")
+    line = spark.range(0, total, 1, max(-(-total // CHUNK), spark.sparkContext.defaultParallelism))
+    point = F.pmod(F.xxhash64(F.lit(seed), F.lit("point"), "id"), F.lit(max(1, total)))
+    return asof_join(line.withColumn("point", point), starts, "point", "no").select("id", F.col("match.no").alias("no"))
 
 
 def _slots(spark, sized: DataFrame, shard_slots: int, seed: int, work: Workspace) -> DataFrame:
-    """id, g and i (its number among the slots of its source) of every slot; sized has g and slots."""
-    rows = sized.select("g", "slots").orderBy("g").collect()  # a row for each source, at most MOST_SOURCES
-    names, wanted = [r["g"] for r in rows], [r["slots"] for r in rows]
-    total = sum(wanted)
-    tasks = max(1, -(-total // CHUNK))
-    names_schema, cells = "g string, source long, slots long", "cell long, cut long, other long"
-    known = spark.createDataFrame([(g, i, n) for i, (g, n) in enumerate(zip(names, wanted))], names_schema)
-    table = spark.createDataFrame(draw_table(wanted) if total else [], cells)
-    line = spark.range(0, total, 1, max(tasks, spark.sparkContext.defaultParallelism))
-    cell = F.pmod(F.xxhash64(F.lit(seed), F.lit("cell"), "id"), F.lit(max(1, len(names))))
-    point = F.pmod(F.xxhash64(F.lit(seed), F.lit("point"), "id"), F.lit(max(1, total)))
-    drawn = line.select("id", cell.alias("cell"), point.alias("point")).join(F.broadcast(table), "cell")
-    # bounded by MOST_SOURCES rows, like the table of cells
-    drawn = drawn.select("id", F.when(F.col("point") < F.col("cut"), F.col("cell")).otherwise(F.col("other")).alias("source"), F.expr(f"id div {shard_slots}").alias("shard"))
-    drawn = work.save(drawn, "draws")
-    counts = drawn.groupBy("source", "shard").agg(F.count("*").alias("n")).withColumn("b", F.expr("shard div 1024"))
-    starts = running_sum(counts, "source", "b", ["shard"], F.col("n"), "before").select("source", "shard", "before")
-    place = F.row_number().over(Window.partitionBy("shard", "source").orderBy("id")) - 1
-    numbered = drawn.withColumn("place", place).join(starts, ["source", "shard"]).select("id", "source", (F.col("before") + F.col("place")).alias("i"))
+    """id and i (its number among the slots of its source) of every slot with the columns of its source; sized has no and slots."""
+    total = sized.agg(F.sum("slots")).first()[0] or 0
+    drawn = work.save(draws(spark, sized, total, seed).withColumn("shard", F.expr(f"id div {shard_slots}")), "draws")
+    counts = drawn.groupBy("no", "shard").agg(F.count("*").alias("n")).withColumn("b", F.expr("shard div 1024"))
+    starts = running_sum(counts, "no", "b", ["shard"], F.col("n"), "before").select("no", "shard", "before")
+    place = F.row_number().over(Window.partitionBy("shard", "no").orderBy("id")) - 1
+    numbered = drawn.withColumn("place", place).join(starts, ["no", "shard"]).select("id", "no", (F.col("before") + F.col("place")).alias("i"))
     numbered = work.save(numbered, "numbered")
-    had = {r["source"]: r["n"] for r in counts.groupBy("source").agg(F.sum("n").alias("n")).collect()}  # a row for each source
-    over, at = [], 0
-    short, short_at = [], 0
-    for source, n in enumerate(wanted):
-        extra = had.get(source, 0) - n
-        over.append((source, had.get(source, 0), max(0, extra), at))
-        at += max(0, extra)
-        if extra < 0:
-            short.append((source, had.get(source, 0), -extra, short_at))
-            short_at -= extra
-    over = spark.createDataFrame(over, "source long, had long, extra long, at long")
+    per_source = work.save(counts.groupBy("no").agg(F.sum("n").alias("n")), "drawn-of-source")
+    had, none = F.coalesce("n", F.lit(0).cast("long")), F.lit(0).cast("long")
+    drift = sized.join(per_source, "no", "left").withColumn("had", had).drop("n")
+    drift = drift.withColumn("extra", F.greatest(none, F.col("had") - F.col("slots"))).withColumn("lacks", F.greatest(none, F.col("slots") - F.col("had")))
+    drift = ranges.running(drift, {"at": ("sum", "extra"), "short_at": ("sum", "lacks")}, ["no"], inclusive=False)
+    lacking = drift.agg(F.sum("lacks")).first()[0] or 0
     # the j-th slot given up lies at even distances along the slots of its source
-    gone = F.expr("(i * extra) div had")
-    split = numbered.join(F.broadcast(over), "source").withColumn("gone", gone).withColumn("goes", F.expr("((i + 1) * extra) div had > gone"))
-    stay = split.where("not goes").select("id", "source", (F.col("i") - F.col("gone")).alias("i"))
+    split = hot_join(numbered, drift, ["no"], total, "inner", counts=per_source)
+    split = split.withColumn("gone", F.expr("(i * extra) div had")).withColumn("goes", F.expr("((i + 1) * extra) div had > gone"))
+    stay = split.where("not goes").withColumn("i", F.col("i") - F.col("gone"))
     given = split.where("goes").select("id", (F.col("at") + F.col("gone")).alias("j"))
-    gaps = spark.createDataFrame(short, "source long, had long, lacks long, at long")
-    pieces = gaps.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(lacks - 1) div 4096")))).repartition(max(1, -(-short_at // 4096)), "source", "c")
-    filled = pieces.select("source", F.explode(F.sequence(F.col("c") * 4096, F.least(F.col("lacks"), (F.col("c") + 1) * 4096) - 1)).alias("m"), "had", "at")
-    filled = filled.select((F.col("at") + F.col("m")).alias("j"), "source", (F.col("had") + F.col("m")).alias("i"))
-    all_ = stay.unionByName(given.join(filled, "j").select("id", "source", "i"))
-    return all_.join(F.broadcast(known.drop("slots")), "source").select("id", "g", "i")
+    pieces = drift.where("lacks > 0").withColumn("c", F.explode(F.sequence(none, F.expr("(lacks - 1) div 4096")))).repartition(max(1, -(-lacking // 4096)), "no", "c")
+    filled = pieces.withColumn("m", F.explode(F.sequence(F.col("c") * 4096, F.least(F.col("lacks"), (F.col("c") + 1) * 4096) - 1)))
+    filled = filled.withColumn("j", F.col("short_at") + F.col("m")).withColumn("i", F.col("had") + F.col("m"))
+    columns = ["id", "i", *sized.columns]
+    return stay.select(*columns).unionByName(given.join(filled, "j").select(*columns))
 
 
 class Mix:
     """The tables of one mix; see the module's text.
 
-    sources: g, source, source_size, weight, target
+    sources: g, source, source_size, no, weight, target
     documents: doc_id, source, size, text_md5, g and first (words of the source before it)
     slots: shard, slot, g, epoch, block, block_size, take (words used of the block)
     pieces: g, block, first, at (place in the block), start (word of the document), length
@@ -142,8 +115,6 @@ class Mix:
         hashed = slim.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text_md5")).withColumn("g", group_key("source"))
         rows = work.save(hashed, "sizes")
         sizes = work.save(rows.groupBy("g", "source").agg(F.sum("size").alias("source_size")), "source-sizes")
-        if (found := sizes.count()) > MOST_SOURCES:
-            raise ValueError(f"{found} sources; a mix takes {MOST_SOURCES}")
         self.sources = sources = work.save(targets(sizes, weights, limit), "sources")
         bits = bucket_bits(rows.count())
         placed = running_sum(rows.withColumn("b", hash_bucket("h", bits)), "g", "b", ["h", "doc_id", "text_md5"], F.col("size"), "first")
@@ -160,7 +131,7 @@ class Mix:
         )
         sized = work.save(sized.drop("weight", "target"), "sized")
         drawn = (
-            _slots(df.sparkSession, sized, shard_slots, seed, work).join(F.broadcast(sized), "g")
+            _slots(df.sparkSession, sized, shard_slots, seed, work)
             .withColumn("epoch", F.expr("i div blocks")).withColumn("k", F.expr("i % blocks"))
             .withColumn("block", permuted(F.col("k"), F.col("blocks"), F.xxhash64(F.lit(seed), "g", "epoch")))
             .withColumn("block_size", F.when(F.col("block") == F.col("blocks") - 1, F.col("tail")).otherwise(F.lit(block)))

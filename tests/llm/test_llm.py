@@ -716,13 +716,28 @@ def test_mix_by_brute_force(spark, docs, empty):
     assert mixing.mix_sources(docs).count() == len(odd_rows()) and mixing.mix_sources(empty).count() == 0
 
 
-def test_draw_table_is_exact():
-    for slots in ([5], [3, 3], [1, 2, 3, 0], [1000, 1, 1], [7, 7, 7, 7, 7], [0, 9]):
-        n, total, got = len(slots), sum(slots), collections.Counter()
-        for cell, cut, other in mixing.draw_table(slots):
-            got[cell] += cut
-            got[other] += total - cut
-        assert [got[i] for i in range(n)] == [s * n for s in slots]
+def test_draws_follow_the_line_of_slots(spark):
+    for slots in ([5], [3, 3], [1, 2, 3, 0], [1000, 1, 1], [7] * 40, [0, 9]):
+        line = [no for no, n in enumerate(slots) for _ in range(n)]
+        sized = spark.createDataFrame(list(enumerate(slots)), "no long, slots long")
+        points = spark.range(len(line)).select("id", F.pmod(F.xxhash64(F.lit(5), F.lit("point"), "id"), F.lit(len(line))).alias("p")).collect()
+        got = {r["id"]: r["no"] for r in mixing.draws(spark, sized, len(line), 5).collect()}
+        assert got == {r["id"]: line[r["p"]] for r in points}
+
+
+def test_thousands_of_sources(spark):
+    """As many sources as documents but for one large one: every source is taken exactly to its target."""
+    rng = np.random.default_rng(5)
+    rows = [(i, "w " * int(n), "en", f"s{i:05d}" if i >= 1000 else "hot", 1) for i, n in enumerate(rng.integers(1, 60, 4000))]
+    mix = mixing.Mix(spark.createDataFrame(rows, DOCS), block=16, shard_slots=64)
+    sizes, taken = collections.Counter(), collections.Counter()
+    for _, text, _, source, _ in rows:
+        sizes[source] += len(word_list(text))
+    want = brute_targets(dict(sizes))
+    for r in mix.per_document().collect():
+        taken[r["source"]] += r["taken"]
+        assert abs(r["target"] - want[r["source"]]) < 1e-6 * want[r["source"]]
+    assert all(taken[s] == math.floor(t + 1e-9) for s, t in want.items())
 
 
 def test_shards_draw_multinomial_counts(spark):
