@@ -51,7 +51,7 @@ ALL = 1 << 30
 BYTES = 4 << 20
 
 #: The rules of the registered query, as (verdict, host and path).
-RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"))
+RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
 
 def host(url: Column) -> Column:
