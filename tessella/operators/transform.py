@@ -124,7 +124,8 @@ def sweep(candidates: DataFrame, palette_bytes: int, *keys: str, table_bytes: in
 
     Candidates are (keys, unit, bits0, sse0, bits1, sse1), mode 0 being palette
     and 1 transform. The sweep begins with the mode of least error in every unit
-    and flips units in the order of error gained for each bit saved. A state is
+    and flips units in the order of error gained for each bit saved; where a unit
+    has several rows, equal ones flip in the order of their changes. A state is
     the start plus a running sum of changes, so no loop is needed: flips are cut
     into ranges of that order, and each range carries on from the sums of those
     before, so the units of one key spread over many tasks. Returns step, sse,
@@ -144,7 +145,8 @@ def sweep(candidates: DataFrame, palette_bytes: int, *keys: str, table_bytes: in
     events = events.select(*keys, "unit", (F.col("_lost") / F.col("_saved")).alias("_t"), F.col("_lost").alias("d_sse"), (-sign * F.col("bits0")).alias("d0"), (sign * F.col("bits1")).alias("d1"), sign.alias("d_count"))
     folds = {c: ("sum", f"_{c}") for c in ("step", "d_sse", "d0", "d1", "d_count")}
     each = events.select(*keys, "unit", "_t", F.lit(1).alias("_step"), *[F.col(c).alias(f"_{c}") for c in ("d_sse", "d0", "d1", "d_count")])
-    moved = ranges.running(each, folds, ["_t", "unit"], *keys).select(*keys, *folds)
+    # rows that share a unit and a threshold are told apart by what they change, so that every run gives the same states
+    moved = ranges.running(each, folds, ["_t", "unit", "_d_sse", "_d0", "_d1", "_d_count"], *keys).select(*keys, *folds)
     zero = start.select(*keys, F.lit(0).cast("long").alias("step"), *[F.lit(0).cast("long").alias(c) for c in ("d_sse", "d0", "d1", "d_count")])
     states = moved.unionByName(zero).join(start, list(keys)) if keys else moved.unionByName(zero).crossJoin(F.broadcast(start))
     b0, b1, c0, c1 = F.col("_b0") + F.col("d0"), F.col("_b1") + F.col("d1"), F.col("_c0") - F.col("d_count"), F.col("_c1") + F.col("d_count")

@@ -97,6 +97,13 @@ def test_sweep_in_ranges_is_the_sweep_in_one(spark):
     assert got == want
 
 
+def test_sweep_of_repeated_units_does_not_depend_on_their_order(spark):
+    data = [(1, u, 50 + k, 10, 50, 10 + 2 * k) for u in (1, 2) for k in range(1, 30)] + [(1, 2, 40, 10 + 2 * k, 40 + k, 10) for k in range(1, 9)]
+    states = lambda rows: sorted(map(tuple, transform.sweep(spark.createDataFrame(rows, "quality int, unit long, bits0 long, sse0 long, bits1 long, sse1 long").coalesce(1), 96, "quality").collect()))
+    first = states(data)
+    assert first == states(data[::-1]) == states(data[::3] + data[1::3] + data[2::3]) and len(first) == len(data) + 1
+
+
 @pytest.mark.parametrize("forward", [False, True])
 def test_asof_by_brute_force(spark, forward):
     rng = np.random.default_rng(7)
