@@ -452,3 +452,27 @@ def test_png():
     for bad in (png_bytes(np.dstack([rgb, np.full((11, 13), 9)]), 6, 8), png_bytes(rgb, 2, 8)[:-30], b"\x89PNG", png_bytes(slots, 3, 8, table=table[:2])):
         with pytest.raises(ValueError):
             containers.read_png(bad)
+
+
+@pytest.mark.parametrize("preset", ["0.75", "2", "3", "9"])
+def test_records_are_chosen_for_many_units_at_once(monkeypatch, preset):
+    rgb = np.random.default_rng(4).integers(0, 256, (64, 80, 3))
+    calls, plain = [], dct_records._plain
+    monkeypatch.setattr(dct_records, "_plain", lambda *a, **k: (calls.append(1), plain(*a, **k))[1])
+    dct_file.encode(rgb[:16, :16], preset)
+    alone = len(calls)
+    whole = dct_file.Transformed(dct_file.encode(rgb, preset))
+    assert len(calls) == 2 * alone  # twenty units take as many steps as one
+    for unit in (0, 7, 19):
+        y, x = unit // 5 * 16, unit % 5 * 16
+        one = dct_file.Transformed(dct_file.encode(rgb[y : y + 16, x : x + 16], preset))
+        assert whole.data[dct_file.HEAD + unit * whole.layout.unit :][: whole.layout.unit] == one.data[dct_file.HEAD :]
+
+
+@pytest.mark.parametrize("coding,size", [(1, 16), (3, 24), (4, 32), (5, 16)])
+def test_many_records_are_those_chosen_one_by_one(coding, size):
+    f = np.random.default_rng(coding).normal(0, 60, (300, 64)) * np.exp(-np.arange(64) / 20)
+    kind = replace(dct_records.CODINGS[coding], zigzag=True)
+    many = dct_records.written(f, 8, 8, size, 60, False, kind)
+    for k in (0, 1, 127, 128, 299):
+        assert many[k].tobytes() == dct_records.write(dct_records.choose(f[k], 8, 8, size, 60, False, kind), size)
