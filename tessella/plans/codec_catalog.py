@@ -311,8 +311,9 @@ def find_settings(spark, sf_dir):
 
     each = images(spark, sf_dir)
     wanted = settings_search.screened(each, candidates, baseline, 4.0, 3.5, 4.5)
-    # one row for each image and candidate, so that encodings spread over tasks
-    jobs = tables.spread(wanted.join(each, "image_id"), "image_id", "place")
+    # one row for each image and candidate, so that encodings spread over tasks; those that share palettes are neighbours
+    alike = ["image_id", "palettes", "shared"]
+    jobs = tables.spread(wanted.join(each, "image_id"), *alike).sortWithinPartitions(*alike, "block", "place")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in jobs.schema if f.name != "rgba")
     best = settings_search.choose(jobs.mapInArrow(run, schema + ", error bigint"))
     rmse = F.sqrt(c("error") / (c("width") * c("height") * 3))

@@ -289,3 +289,12 @@ def test_hybrid_budget_and_modes():
     assert [[hybrid_file.block_bits(b) for b in u] for u in blocks] == hybrid_encoder.record_bits(blocks).tolist()
     with pytest.raises(ValueError):
         hybrid_encoder.encode(rgba, 0)
+
+
+def test_settings_that_share_palettes_quantise_once(monkeypatch):
+    rgba = np.random.default_rng(8).integers(0, 256, (24, 40, 4)).astype(np.uint8)
+    calls, quantise = [], palette_encoder.quantise
+    monkeypatch.setattr(palette_encoder, "quantise", lambda *a: (calls.append(1), quantise(*a))[1])
+    for local, bits in ((4, 24), (8, 24), (8, 16)):
+        palette_encoder.compress(rgba, palette_encoder.Settings(block=8, local=local, shared=32, palettes=2, color_bits=bits, passes=0))
+    assert len(calls) == 2
