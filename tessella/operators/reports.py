@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -167,14 +168,61 @@ def bd_rate_of(first: list[tuple[float, float]], second: list[tuple[float, float
     return float(np.expm1(means[0] - means[1]) * 100)
 
 
+def _hulls(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """group, log rate and quality of the points on the upper hull of each group, in rising order; ``frame`` has group, rate and quality."""
+    usable = frame[(frame["rate"] > 0) & frame["quality"].notna()].sort_values(["group", "rate", "quality"])
+    before = usable.groupby("group")["quality"].cummax().groupby(usable["group"]).shift()
+    kept = usable[before.isna() | (usable["quality"] > before)]
+    return kept["group"].to_numpy(), np.log(kept["rate"].to_numpy(dtype=np.float64)), kept["quality"].to_numpy(dtype=np.float64)
+
+
+def bd_rates_of(group: np.ndarray, second: np.ndarray, rate: np.ndarray, quality: np.ndarray, n: int) -> np.ndarray:
+    """``bd_rate_of`` for groups 0 to n - 1 at once, NaN where it has none; ``second`` tells the second curve's points.
+
+    Curves with equally many points are fitted together, about the middle of the
+    two curves' common qualities.
+    """
+    which, y, x = _hulls(pd.DataFrame({"group": group * 2 + second, "rate": rate, "quality": quality}))
+    count = np.bincount(which, minlength=2 * n)
+    start = np.cumsum(count) - count
+    ends = np.full((2, 2 * n), np.nan)
+    some = count > 0  # qualities rise along a hull
+    ends[0, some], ends[1, some] = x[start[some]], x[(start + count - 1)[some]]
+    low, high = ends[0].reshape(n, 2).max(axis=1), ends[1].reshape(n, 2).min(axis=1)
+    fine = (count.reshape(n, 2) >= 4).all(axis=1) & (high > low)
+    means = np.full(2 * n, np.nan)
+    for points in np.unique(count[np.repeat(fine, 2)]):
+        mine = np.flatnonzero((count == points) & np.repeat(fine, 2))
+        at = start[mine][:, None] + np.arange(points)
+        middle, half = ((high + low) / 2)[mine // 2][:, None], ((high - low) / 2)[mine // 2][:, None]
+        t = (x[at] - middle) / half
+        scale = np.abs(t).max(axis=1)
+        t /= scale[:, None]
+        q, r = np.linalg.qr(t[..., None] ** np.arange(4))
+        fit = np.linalg.solve(r, q.swapaxes(1, 2) @ y[at][..., None])[..., 0]
+        # over -1 to 1 the odd powers cancel; the mean of a square is a third
+        means[mine] = fit[:, 0] + fit[:, 2] / (3 * scale**2)
+    return np.expm1(means[0::2] - means[1::2]) * 100
+
+
 def bd_rate(curves: DataFrame, key: str = "key") -> DataFrame:
-    """bd_rate for each key of (key, side, rate, quality), side being 'a' or 'b'."""
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        side = {s: list(zip(g["rate"], g["quality"], strict=True)) for s, g in pdf.groupby("side")}
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "bd_rate": [bd_rate_of(side.get("a", []), side.get("b", []))]})
+    """bd_rate for each key of (key, side, rate, quality), side being 'a' or 'b'.
 
-    kind = curves.schema[key].dataType.simpleString()
-    return curves.groupBy(key).applyInPandas(one, f"{key} {kind}, bd_rate double")
+    A key's points come together as one row, so a task fits the curves of many keys at once.
+    """
+    point = F.struct((F.col("side") == "b").alias("b"), F.col("rate").cast("double").alias("rate"), F.col("quality").cast("double").alias("quality"))
+    each = curves.groupBy(key).agg(F.collect_list(F.when(F.col("side").isin("a", "b"), point)).alias("points"))
+    rows = each.select(key, F.transform("points", lambda p: p["b"]).alias("b"), F.transform("points", lambda p: p["rate"]).alias("rate"), F.transform("points", lambda p: p["quality"]).alias("quality"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            group = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            b, rate, quality = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+            found = bd_rates_of(group, b.astype(np.int64), rate.astype(np.float64), quality.astype(np.float64), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64(), from_pandas=True)], names=[key, "bd_rate"])
+
+    return rows.mapInArrow(run, f"{key} {curves.schema[key].dataType.simpleString()}, bd_rate double")
 
 
 #: Side of the squares of window places that one task works on at a time.

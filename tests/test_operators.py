@@ -298,3 +298,22 @@ def test_settings_that_share_palettes_quantise_once(monkeypatch):
     for local, bits in ((4, 24), (8, 24), (8, 16)):
         palette_encoder.compress(rgba, palette_encoder.Settings(block=8, local=local, shared=32, palettes=2, color_bits=bits, passes=0))
     assert len(calls) == 2
+
+
+def test_rate_differences_of_many_keys_are_those_one_by_one(spark):
+    rng, rows, want = np.random.default_rng(2), [], {}
+    for k in range(120):
+        sides = []
+        for _ in "ab":
+            m = int(rng.integers(0, 9)) if k % 3 else 6
+            rates = np.sort(rng.choice([0, -1, *np.exp(rng.normal(0, 1, 40))], m))
+            sides.append([(float(r), float(q)) for r, q in zip(rates, 30 + np.sort(rng.normal(5, 4, m)) + k % 2 * rng.normal(0, 2, m), strict=True)])
+        want[k] = reports.bd_rate_of(*sides)
+        rows += [(k, s, *p) for s, points in zip("ab", sides, strict=True) for p in points] + [(k, "c", 1.0, 1.0), (k, "a", 3.0, None)]
+    curves = spark.createDataFrame(rows, "key long, side string, rate double, quality double")
+    got = {r["key"]: r["bd_rate"] for r in reports.bd_rate(curves).collect()}
+    assert got.keys() == want.keys() and sum(v is not None for v in want.values()) > 20
+    for k, v in want.items():
+        assert (got[k] is None) == (v is None) and (v is None or got[k] == pytest.approx(v, rel=1e-7, abs=1e-7))
+    calls = reports.bd_rates_of(np.zeros(0, dtype=int), np.zeros(0, dtype=int), np.zeros(0), np.zeros(0), 2)
+    assert np.isnan(calls).all()
