@@ -51,23 +51,35 @@ def screened(sizes: DataFrame, candidates: list[dict[str, int]], baseline: dict[
     nearest to ``target``; and the same among the candidates of the baseline's
     family, those with its palettes and colour depth.
     """
-    each = F.array(*[F.struct(F.lit(i).alias("place"), *[F.lit(s[k]).cast("long").alias(k) for k in SETTINGS]) for i, s in enumerate(candidates)])
+    lg = lambda v: v.bit_length() - 1
+
+    def constants(i: int, s: dict[str, int]) -> Column:
+        """A candidate with what the formula of ``rate_bits`` takes from it alone, so that a row pays for none of it."""
+        direct = s["local"] == s["block"] ** 2
+        rate = {"fixed": s["palettes"] * s["shared"] * s["bits"], "a_block": lg(s["palettes"]) + s["local"] * lg(s["shared"]), "a_pixel": 0 if direct else lg(s["local"])}
+        own = s["palettes"] == baseline["palettes"] and s["bits"] == baseline["bits"]
+        return F.struct(F.lit(i).alias("place"), F.lit(own).alias("family"), *[F.lit(s[k]).cast("long").alias(k) for k in SETTINGS], *[F.lit(v).cast("long").alias(k) for k, v in rate.items()])
+
+    width, height = c("width").cast("long"), c("height").cast("long")
+    each = F.array(*[constants(i, s) for i, s in enumerate(candidates)])
+    blocks = lambda s: F.ceil(width / s["block"]) * F.ceil(height / s["block"])
+    paid = lambda s: F.struct((s["fixed"] + blocks(s) * s["a_block"] + width * height * s["a_pixel"]).cast("long").alias("payload_bits"), s.alias("s"))
     area = c("width").cast("double") * c("height")
+    weighed = lambda p: F.struct((p["payload_bits"] / area).alias("bpp"), p["payload_bits"].alias("payload_bits"), p["s"].alias("s"))
 
-    def rated(s: Column) -> Column:
-        payload = rate_bits(s["palettes"], s["shared"], s["bits"], s["block"], s["local"], c("width").cast("long"), c("height").cast("long")).cast("long")
-        bpp = payload / area
+    def rated(p: Column) -> Column:
         # compared in this order where the nearest is sought
         return F.struct(
-            F.abs(bpp - target).alias("distance"), bpp.alias("bpp"), s["place"].alias("place"), payload.alias("payload_bits"), bpp.between(low, high).alias("inside"),
-            ((s["palettes"] == baseline["palettes"]) & (s["bits"] == baseline["bits"])).alias("family"), *[s[k].alias(k) for k in SETTINGS],
+            F.abs(p["bpp"] - target).alias("distance"), p["bpp"].alias("bpp"), p["s"]["place"].alias("place"), p["payload_bits"].alias("payload_bits"), p["bpp"].between(low, high).alias("inside"),
+            p["s"]["family"].alias("family"), *[p["s"][k].alias(k) for k in SETTINGS],
         )
 
     def wanted(rows: Column) -> Column:
         inside = F.filter(rows, lambda s: s["inside"])
         return F.when(F.size(inside) > 0, inside).when(F.size(rows) > 0, F.array(F.array_min(rows))).otherwise(rows)
 
-    rows = sizes.select("image_id", "width", "height", F.transform(each, rated).alias("rows"))
+    # in three steps, each of which reads what the one before worked out: a lambda works out an expression each time it is named
+    rows = sizes.select("image_id", "width", "height", F.transform(F.transform(F.transform(each, paid), weighed), rated).alias("rows"))
     kept = F.array_distinct(F.concat(wanted(c("rows")), wanted(F.filter("rows", lambda s: s["family"]))))
     return rows.select("image_id", F.explode(kept).alias("s")).select("image_id", "s.*")
 

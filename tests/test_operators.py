@@ -317,3 +317,18 @@ def test_rate_differences_of_many_keys_are_those_one_by_one(spark):
         assert (got[k] is None) == (v is None) and (v is None or got[k] == pytest.approx(v, rel=1e-7, abs=1e-7))
     calls = reports.bd_rates_of(np.zeros(0, dtype=int), np.zeros(0, dtype=int), np.zeros(0), np.zeros(0), 2)
     assert np.isnan(calls).all()
+
+
+def test_screening_is_by_the_rate_formula_in_many_tasks(spark, tmp_path):
+    from tessella.operators import settings_search
+    from tessella.plans import catalog
+
+    spark.range(1, 400).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert catalog.settings_screen(spark, str(tmp_path)).rdd.getNumPartitions() > 1  # of one file with one split
+    baseline = {"block": 4, "local": 16, "shared": 32, "palettes": 2, "bits": 24}
+    found = settings_search.grid(baseline, [(8, 8, 64), (16, 2, 16)], (1, 16))
+    sizes = spark.createDataFrame([(i, 10 + 7 * i, 33 + i) for i in range(9)], "image_id long, width long, height long")
+    got = settings_search.screened(sizes, found, baseline, 3.0, 0.0, 1e9)
+    formula = settings_search.rate_bits(*[F.col(k) for k in ("palettes", "shared", "bits", "block", "local", "width", "height")])
+    rows = got.join(sizes, "image_id").select("payload_bits", formula.cast("long").alias("want"), "family", "palettes", "bits").collect()
+    assert len(rows) == 9 * len(found) and all(r["payload_bits"] == r["want"] and r["family"] == ((r["palettes"], r["bits"]) == (2, 24)) for r in rows)
