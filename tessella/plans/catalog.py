@@ -261,7 +261,8 @@ def direct_lookup_decode(spark, sf_dir):
     p = blocks.select("block").distinct()
     tables = p.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long")))).select("block", (c("block") % 3).alias("pal"), "slot", ((c("slot") * 5 + c("block")) % 16).alias("idx"))
     shared = spark.range(48).select((c("id") % 3).alias("pal"), F.expr("id div 3").alias("idx")).select("pal", "idx", ((c("idx") * 53 + c("pal") * 17) % 256).alias("r"), ((c("idx") * 97 + c("pal")) % 256).alias("g"), ((c("idx") * 29 + c("pal") * 7) % 256).alias("b"))
-    return matching.decode_indexed(blocks.select("pos", "block", "slot"), tables, shared).select("pos", "pal", "idx", "r", "g", "b")
+    # direct tables have an entry for each pixel; Spark takes entries made of few blocks for few and would send them whole
+    return matching.decode_indexed(blocks.select("pos", "block", "slot"), tables.hint("merge"), shared).select("pos", "pal", "idx", "r", "g", "b")
 
 
 def _mip_sql() -> str:

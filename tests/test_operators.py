@@ -332,3 +332,13 @@ def test_screening_is_by_the_rate_formula_in_many_tasks(spark, tmp_path):
     formula = settings_search.rate_bits(*[F.col(k) for k in ("palettes", "shared", "bits", "block", "local", "width", "height")])
     rows = got.join(sizes, "image_id").select("payload_bits", formula.cast("long").alias("want"), "family", "palettes", "bits").collect()
     assert len(rows) == 9 * len(found) and all(r["payload_bits"] == r["want"] and r["family"] == ((r["palettes"], r["bits"]) == (2, 24)) for r in rows)
+
+
+def test_direct_tables_are_not_broadcast(spark, tmp_path):
+    from tessella.plans import catalog
+
+    events = spark.range(4000).select(F.col("id").alias("event_id"), (F.col("id") % 7).alias("user_id"), (F.col("id") / 9).alias("value"), F.timestamp_seconds("id").alias("ts"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    out = catalog.direct_lookup_decode(spark, str(tmp_path))
+    assert "SortMergeJoin [block" in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 4000
