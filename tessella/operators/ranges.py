@@ -76,14 +76,14 @@ def running(df: DataFrame, folds: dict[str, tuple[str, str]], order: list[str],
 def new_extremes(df: DataFrame, value: str, order: list[str], *keys: str, least: bool = True) -> DataFrame:
     """Rows whose value is strictly below (or above) that of every row before them.
 
-    A range keeps its own frontier first, which is small as a rule, and only that
-    meets what the ranges before hold.
+    What the ranges before hold leaves few rows of a range as a rule, and only
+    these are ordered within it; of a group's first range all rows are.
     """
     kind, beats = ("min", lambda a, b: a < b) if least else ("max", lambda a, b: a > b)
     ranged = in_ranges(df, order, *keys)
+    start = begins(ranged, {"_before": (kind, value)}, order, *keys)
+    met = _with_begins(ranged, start, {"_before": "_before"}, *keys)
+    left = met.where(F.col(value).isNotNull() & (F.col("_before").isNull() | beats(F.col(value), F.col("_before")))).drop("_before")
     within = Window.partitionBy(*keys, RANGE).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     best = (F.min if least else F.max)(value).over(within)
-    local = ranged.withColumn("_best", best).where(F.col("_best").isNull() | beats(F.col(value), F.col("_best"))).drop("_best")
-    start = begins(ranged, {"_before": (kind, value)}, order, *keys)
-    met = _with_begins(local, start, {"_before": "_before"}, *keys)
-    return met.where(F.col(value).isNotNull() & (F.col("_before").isNull() | beats(F.col(value), F.col("_before")))).select(*df.columns)
+    return left.withColumn("_best", best).where(F.col("_best").isNull() | beats(F.col(value), F.col("_best"))).select(*df.columns)

@@ -81,6 +81,12 @@ def test_rate_curve_by_brute_force(spark):
     assert got == collections.Counter(want)
 
 
+def test_ranges_are_thinned_before_they_are_ordered(spark):
+    rows = spark.range(4000).select((F.col("id") % 3).alias("k"), (F.col("id") + 1).alias("rate"), (F.col("id") * 7919 % 4001).alias("q"))
+    plan = prefix.rate_curve(rows, "rate", "q", "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window [max(q") < plan.index("Join Inner")
+
+
 def test_sweep_in_ranges_is_the_sweep_in_one(spark):
     rng = np.random.default_rng(6)
     data = [(q, u, *(int(v) for v in rng.integers(1, 60, 4))) for q in (1, 2) for u in range(300 if q == 1 else 9)]
