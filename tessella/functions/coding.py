@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 # The base quantisation tables of JPEG, row by row.
@@ -36,10 +38,13 @@ def integer_basis() -> np.ndarray:
     return np.rint(c * np.cos((2 * x + 1) * u * np.pi / 16) * (1 << BASIS_BITS)).astype(np.int64)
 
 
+@lru_cache(maxsize=None)
 def float_basis(size: int) -> np.ndarray:
-    """basis[u, x] of the orthonormal transform."""
+    """basis[u, x] of the orthonormal transform, read only."""
     u, x = np.meshgrid(np.arange(size), np.arange(size), indexing="ij")
-    return np.where(u == 0, np.sqrt(1 / size), np.sqrt(2 / size)) * np.cos(np.pi * (2 * x + 1) * u / (2 * size))
+    basis = np.where(u == 0, np.sqrt(1 / size), np.sqrt(2 / size)) * np.cos(np.pi * (2 * x + 1) * u / (2 * size))
+    basis.flags.writeable = False
+    return basis
 
 
 def scaled_table(base: tuple[int, ...], quality: int) -> list[int]:

@@ -72,21 +72,23 @@ def _encoded(rgba: np.ndarray, **settings) -> palette_encoder.Encoded:
     return palette_encoder.compress(rgba, palette_encoder.Settings(passes=0, space="rgb", method="k-means", **settings))
 
 
-def _mismatches(sample, px: np.ndarray, every: int = 1) -> int:
-    """Places, in every so many lines and columns, whose colour read alone differs from the decoded image."""
-    return sum(tuple(map(int, px[y, x])) != tuple(sample(x, y)) for y in range(0, px.shape[0], every) for x in range(0, px.shape[1], every))
+def _mismatches(sample, px: np.ndarray) -> int:
+    """Places whose colour read alone differs from the decoded image."""
+    return sum(tuple(map(int, px[y, x])) != tuple(sample(x, y)) for y in range(px.shape[0]) for x in range(px.shape[1]))
 
 
 def _unit_mismatches(t: dct_file.Transformed, px: np.ndarray) -> int:
     """Pixels that differ where each unit is decoded alone, and places in every fifth line and column read alone.
 
     A place read alone decodes what its unit holds, so units are compared whole and places need not all be.
+    Places are read unit by unit, so that the file decodes a unit for them once and not for each.
     """
-    across, wrong = -(-px.shape[1] // 16), _mismatches(t.sample, px, 5)
+    across, wrong = -(-px.shape[1] // 16), 0
     for k in range(across * -(-px.shape[0] // 16)):
         y, x = k // across * 16, k % across * 16
         part = px[y : y + 16, x : x + 16]
         wrong += int((t.unit(k).reshape(16, 16, 3)[: part.shape[0], : part.shape[1]] != part).any(axis=-1).sum())
+        wrong += sum(tuple(part[v, u].tolist()) != t.sample(x + u, y + v) for v in range(-y % 5, part.shape[0], 5) for u in range(-x % 5, part.shape[1], 5))
     return wrong
 
 

@@ -476,3 +476,38 @@ def test_many_records_are_those_chosen_one_by_one(coding, size):
     many = dct_records.written(f, 8, 8, size, 60, False, kind)
     for k in (0, 1, 127, 128, 299):
         assert many[k].tobytes() == dct_records.write(dct_records.choose(f[k], 8, 8, size, 60, False, kind), size)
+
+
+@pytest.mark.parametrize("coding,w,size", [(3, 8, 16), (4, 8, 16), (4, 16, 32), (5, 16, 64)])
+def test_skips_look_at_no_place_out_of_reach_and_lose_nothing(monkeypatch, coding, w, size):
+    """Against the gain of a plain search over all places, scale by scale."""
+    kind, q = replace(dct_records.CODINGS[coding], zigzag=True), 60
+    f = np.random.default_rng(coding).normal(0, 60, (3, w * w)) * np.exp(-np.arange(w * w) / 40)
+    tokens, coarse, tail = dct_records.skip_layout(size, w, w, kind.skip)
+    widths, ahead = [], dct_records._ahead
+    monkeypatch.setattr(dct_records, "_ahead", lambda g: (widths.append(g.shape[-1] - 4), ahead(g))[1])
+    step = dct_records.steps(w, w, q, False)
+    got = dct_records._skips(f, step, w, w, size, kind)
+    profiles = dct_records.profiles(kind, True)
+    whole = 4 * (tokens - 1 + tail) + 1
+    assert sum(widths) <= profiles * (sum(4 * t + 1 for t in range(tokens - 1)) + tail * whole)
+    for v, gain in zip(f, got.gain, strict=True):
+        best = -np.inf
+        for profile in range(profiles):
+            at = dct_records.profile_scan(kind, profile, w, w, True)
+            for k, scale in enumerate(dct_records.SCALES):
+                fine = dct_records.SCALES[1 if k >= 3 else 0]
+                gains = [np.maximum(dct_records._stored(v[at], step[at] * s, b)[1], 0).tolist() for s, b in ((scale, 6), (fine, 4))]
+                after, moves = [-np.inf] * (len(at) + 4), []
+                for t in range(tokens - 1, -1, -1):
+                    ahead_of = [after[p + 1 : p + 5] if t + 1 < tokens else [0.0] for p in range(len(at))]
+                    moves.insert(0, [1 + a.index(max(a)) for a in ahead_of])
+                    after = [gains[0 if t < coarse else 1][p] + max(a) for p, a in enumerate(ahead_of)] + [-np.inf] * 4
+                end = 0
+                for move in moves[:-1]:
+                    end += move[end]
+                more = [0.0] * (len(at) + 4)  # the tail goes on from the last token, whose place it does not change
+                for _ in range(tail):
+                    more = [max([gains[1][p + d] + more[p + d] for d in range(1, 5) if p + d < len(at)], default=0.0) for p in range(len(at))] + [0.0] * 4
+                best = max(best, after[0] + more[end] + float(dct_records._stored(v[:1], step[:1] * scale, 10)[1][0]))
+        assert gain == pytest.approx(best, rel=1e-12)
