@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +47,13 @@ def grid(baseline: dict[str, int], profiles: list[tuple[int, int, int]], palette
 
 
 def screened(sizes: DataFrame, candidates: list[dict[str, int]], baseline: dict[str, int], target: float, low: float, high: float) -> DataFrame:
-    """Candidates worth encoding for each (image_id, width, height), found from rates alone and without a shuffle.
+    """Candidates worth encoding for each (image_id, width, height), a row each: those of ``shortlisted``."""
+    rows = shortlisted(sizes.select("image_id", "width", "height"), candidates, baseline, target, low, high)
+    return rows.select("image_id", F.explode("tried").alias("s")).select("image_id", "s.*")
+
+
+def shortlisted(sizes: DataFrame, candidates: list[dict[str, int]], baseline: dict[str, int], target: float, low: float, high: float) -> DataFrame:
+    """Adds ``tried``, the candidates worth encoding for an image of ``width`` and ``height``, found from rates alone and without a shuffle.
 
     These are all within ``low`` to ``high`` bits per pixel; where none is, the
     nearest to ``target``; and the same among the candidates of the baseline's
@@ -53,15 +61,17 @@ def screened(sizes: DataFrame, candidates: list[dict[str, int]], baseline: dict[
     """
     lg = lambda v: v.bit_length() - 1
 
-    def constants(i: int, s: dict[str, int]) -> Column:
+    def constants(i: int, s: dict[str, int]) -> dict:
         """A candidate with what the formula of ``rate_bits`` takes from it alone, so that a row pays for none of it."""
         direct = s["local"] == s["block"] ** 2
         rate = {"fixed": s["palettes"] * s["shared"] * s["bits"], "a_block": lg(s["palettes"]) + s["local"] * lg(s["shared"]), "a_pixel": 0 if direct else lg(s["local"])}
         own = s["palettes"] == baseline["palettes"] and s["bits"] == baseline["bits"]
-        return F.struct(F.lit(i).alias("place"), F.lit(own).alias("family"), *[F.lit(s[k]).cast("long").alias(k) for k in SETTINGS], *[F.lit(v).cast("long").alias(k) for k, v in rate.items()])
+        return {"place": i, "family": own, **{k: s[k] for k in SETTINGS}, **rate}
 
     width, height = c("width").cast("long"), c("height").cast("long")
-    each = F.array(*[constants(i, s) for i, s in enumerate(candidates)])
+    # one literal: a plan of some thousands takes longer to make than to run
+    kinds = ["place:int", "family:boolean", *[f"{k}:bigint" for k in (*SETTINGS, "fixed", "a_block", "a_pixel")]]
+    each = F.from_json(F.lit(json.dumps([constants(i, s) for i, s in enumerate(candidates)])), f"array<struct<{','.join(kinds)}>>")
     blocks = lambda s: F.ceil(width / s["block"]) * F.ceil(height / s["block"])
     paid = lambda s: F.struct((s["fixed"] + blocks(s) * s["a_block"] + width * height * s["a_pixel"]).cast("long").alias("payload_bits"), s.alias("s"))
     area = c("width").cast("double") * c("height")
@@ -79,9 +89,9 @@ def screened(sizes: DataFrame, candidates: list[dict[str, int]], baseline: dict[
         return F.when(F.size(inside) > 0, inside).when(F.size(rows) > 0, F.array(F.array_min(rows))).otherwise(rows)
 
     # in three steps, each of which reads what the one before worked out: a lambda works out an expression each time it is named
-    rows = sizes.select("image_id", "width", "height", F.transform(F.transform(F.transform(each, paid), weighed), rated).alias("rows"))
+    rows = sizes.select("*", F.transform(F.transform(F.transform(each, paid), weighed), rated).alias("rows"))
     kept = F.array_distinct(F.concat(wanted(c("rows")), wanted(F.filter("rows", lambda s: s["family"]))))
-    return rows.select("image_id", F.explode(kept).alias("s")).select("image_id", "s.*")
+    return rows.withColumn("tried", kept).drop("rows")
 
 
 def choose(tried: DataFrame) -> DataFrame:

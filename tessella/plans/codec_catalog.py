@@ -9,8 +9,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tessella.operators import block_texture, hybrid_encoder, palette_encoder, reports, settings_search
+from tessella.operators import block_texture, hybrid_encoder, palette_encoder, reports, settings_bounds, settings_search
 from tessella.operators.clustering import histogram, quantise
 from tessella.plans.catalog import query
 from tessella.plans.fixtures import PX_SQL, pixels, table
@@ -297,27 +299,23 @@ def stream_windowed_rates(spark, sf_dir):
 
 @query()
 def find_settings(spark, sf_dir):
-    """Settings for each image: candidates screened by rate, the rest encoded, the best guarded by the baseline's family."""
+    """Settings for each image: candidates screened by rate, the rest encoded or ruled out by bounds, the best guarded by the baseline's family."""
     baseline = {"block": 8, "local": 8, "shared": 64, "palettes": 1, "bits": 24}
     candidates = settings_search.grid(baseline, [(b, n, g) for b in (4, 8, 16, 32) for n in (2, 4, 8, 16) for g in (16, 32, 64, 128) if n <= g and n <= b * b], (1, 2, 4, 16))
 
     def run(batches):
         for batch in batches:
-            errors = []
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):
+                (r,) = batch.slice(i, 1).to_pylist()
                 rgba = np.frombuffer(r["rgba"], dtype=np.uint8).reshape(r["height"], r["width"], 4)
-                e = _encoded(rgba, block=r["block"], local=r["local"], shared=r["shared"], palettes=r["palettes"], color_bits=r["bits"])
-                errors.append(round(e.mse * rgba.shape[0] * rgba.shape[1] * 3))
-            kept = [i for i, name in enumerate(batch.schema.names) if name != "rgba"]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + [pa.array(errors, pa.int64())], names=[batch.schema.names[i] for i in kept] + ["error"])
-
-    each = images(spark, sf_dir)
-    wanted = settings_search.screened(each, candidates, baseline, 4.0, 3.5, 4.5)
-    # one row for each image and candidate, so that encodings spread over tasks; those that share palettes are neighbours
-    alike = ["image_id", "palettes", "shared"]
-    jobs = tables.spread(wanted.join(each, "image_id"), *alike).sortWithinPartitions(*alike, "block", "place")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in jobs.schema if f.name != "rgba")
-    best = settings_search.choose(jobs.mapInArrow(run, schema + ", error bigint"))
+                errors = settings_bounds.least_errors(rgba, r["tried"])
+                tried = [{"image_id": r["image_id"], "width": r["width"], "height": r["height"], **t, "error": e} for t, e in zip(r["tried"], errors, strict=True) if e is not None]
+                yield pa.RecordBatch.from_pylist(tried, to_arrow_schema(found))
+
+    # an image's candidates are judged together, as the least error of some rules others out
+    jobs = settings_search.shortlisted(images(spark, sf_dir), candidates, baseline, 4.0, 3.5, 4.5)
+    found = StructType([*[jobs.schema[k] for k in ("image_id", "width", "height")], *jobs.schema["tried"].dataType.elementType.fields, StructField("error", LongType())])
+    best = settings_search.choose(jobs.mapInArrow(run, found))
     rmse = F.sqrt(c("error") / (c("width") * c("height") * 3))
     return best.select("image_id", *settings_search.SETTINGS, "payload_bits", F.round("bpp", 6).alias("bpp"), F.round(rmse, 6).alias("rmse"), "guarded")
 

@@ -220,11 +220,12 @@ def spread(images: DataFrame, *keys: str) -> DataFrame:
     """Images dealt to at least four tasks for each core.
 
     Their rows are few and small next to the work on them, so that Spark would
-    otherwise put them together by size.
+    otherwise put them together by size. They are dealt by a hash of ``keys``, as
+    Spark leaves out a repartition by the keys themselves after a grouping by them.
     """
     spark = images.sparkSession
     tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return images.repartition(tasks, *keys)
+    return images.repartition(tasks, F.xxhash64(*keys))
 
 
 def write_files(encoded: DataFrame, path: str, ending: str) -> None:
